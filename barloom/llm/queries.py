@@ -4,14 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from public_tokenizers import PATTERN, path
 
-from . import near_dedup, substring_dedup
+from . import bpe, near_dedup, substring_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE ids of whole texts and the bytes that the ids decode to, as digests."""
+    ranks = path("byte_bpe_50k.tiktoken")
+    out = bpe.decode(bpe.encode(_read(spark, sf_dir, "documents"), ranks, PATTERN), ranks, PATTERN)
+    return out.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents after the words of repeated 13-word windows are cut out."""
     out = substring_dedup.remove_repeats(_read(spark, sf_dir, "documents"), size=13)
@@ -25,6 +33,7 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op6_bpe": op6_bpe,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_near_dedup": op9_near_dedup,
 }
