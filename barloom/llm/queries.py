@@ -6,13 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from public_tokenizers import PATTERN, path
 
-from . import bpe, near_dedup, substring_dedup
+from . import bpe, near_dedup, quality, substring_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents by a machine fitted on labels outside the held-out fold."""
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels.where(~quality.held_out()), metadata=["n_chars"])
+    out = quality.score(docs, model, metadata=["n_chars"], threshold=0.3)
+    return out.select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of whole texts and the bytes that the ids decode to, as digests."""
     ranks = path("byte_bpe_50k.tiktoken")
@@ -33,6 +41,7 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op5_quality": op5_quality,
     "op6_bpe": op6_bpe,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_near_dedup": op9_near_dedup,
