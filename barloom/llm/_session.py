@@ -42,8 +42,8 @@ def table(df: DataFrame, name: str) -> DataFrame:
 
 
 def fan(spark: SparkSession) -> int:
-    """Groups of packed exchanges: four to a shuffle partition, so that hashing them evens out."""
-    return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """Groups of packed exchanges: two to a shuffle partition evens hashing out and keeps the number of packed rows, groups times ranges, low."""
+    return 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def id_filter(ids: DataFrame, column: str, log2_bits: int = 25) -> np.ndarray:
