@@ -6,13 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from public_tokenizers import PATTERN, path
 
-from . import bpe, near_dedup, quality, substring_dedup
+from . import bpe, near_dedup, quality, substring_dedup, vector_search
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op3_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best inner products of every vector whose id is divisible by 100 against all others."""
+    vectors = _read(spark, sf_dir, "embeddings")
+    return vector_search.top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10, scale=1024)
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents by a machine fitted on labels outside the held-out fold."""
     docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
@@ -41,6 +47,7 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_vector_topk": op3_vector_topk,
     "op5_quality": op5_quality,
     "op6_bpe": op6_bpe,
     "op8_substring_dedup": op8_substring_dedup,
@@ -48,6 +55,18 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op3_vector_topk": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         CAST(list_sum(list_transform(generate_series(1, len(c.e)), lambda i: q.e[i] * c.e[i])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(c.e) = len(q.e)
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
+""",
     "op8_substring_dedup": r"""
 WITH d AS (
   SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents
@@ -74,7 +93,7 @@ WITH RECURSIVE d AS (
   SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents
 ), sh AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
-    ELSE list_transform(generate_series(1, len(w) - 2), i -> array_to_string(w[i:i + 2], ' ')) END) AS s FROM d
+    ELSE list_transform(generate_series(1, len(w) - 2), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS s FROM d
 ), n AS (
   SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id
 ), common AS (
