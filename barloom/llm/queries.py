@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from public_tokenizers import PATTERN, path
 
-from . import bpe, near_dedup, quality, substring_dedup, vector_search
+from . import bpe, near_dedup, quality, sharding, substring_dedup, vector_search
+from ._session import scratch
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -46,12 +47,23 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents appended in three arrivals, compacted to shards of 32 MB; the rows as the last manifest has them."""
+    docs = _read(spark, sf_dir, "documents")
+    turn = F.pmod(F.xxhash64("doc_id"), F.lit(3))
+    store = sharding.ingest(docs, [turn == i for i in range(3)], scratch(spark, "shards"), target_bytes=32 << 20)
+    version, shards = store.manifest()
+    rows = store.read(version)
+    return rows.select("doc_id", F.crc32(F.col("text").cast("binary")).alias("text_crc32"), "lang", "source", "n_chars", "shard", F.lit(version).cast("long").alias("version"))
+
+
 QUERIES = {
     "op3_vector_topk": op3_vector_topk,
     "op5_quality": op5_quality,
     "op6_bpe": op6_bpe,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_near_dedup": op9_near_dedup,
+    "op10_sharding": op10_sharding,
 }
 
 ORACLE_SQL = {
