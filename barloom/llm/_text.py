@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 
 U64 = np.uint64
 CHUNK = 1 << 20
@@ -133,3 +134,19 @@ def windows(hashed: np.ndarray, first: np.ndarray, size: int, seed: int) -> tupl
 def doc_of(at: np.ndarray, first: np.ndarray) -> np.ndarray:
     """The document's row of each word index."""
     return np.searchsorted(first, at, "right") - 1
+
+
+def slices(sizes: np.ndarray, limit: int = 4 << 20):
+    """(lo, hi) row ranges of at most ``limit`` bytes each, one row at least; sizes: bytes by row."""
+    total, lo = np.r_[0, np.cumsum(sizes)], 0
+    while lo < len(sizes):
+        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + limit, "right")) - 1)
+        yield lo, hi
+        lo = hi
+
+
+def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = 4 << 20):
+    """The batch in parts of a bounded number of text bytes."""
+    sizes = np.asarray(pa.compute.binary_length(batch.column(column).cast(pa.large_binary())).fill_null(0), np.int64)
+    for lo, hi in slices(sizes, limit):
+        yield batch.slice(lo, hi - lo)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from public_tokenizers import PATTERN, path
 
-from . import bpe, near_dedup, quality, sharding, substring_dedup, vector_search
+from . import bpe, decontaminate, near_dedup, quality, sharding, substring_dedup, vector_search
 from ._session import scratch
 
 
@@ -14,6 +14,11 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, verbatim or with other numbers, names and units."""
+    return decontaminate.find(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op3_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 best inner products of every vector whose id is divisible by 100 against all others."""
     vectors = _read(spark, sf_dir, "embeddings")
@@ -58,6 +63,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op3_vector_topk": op3_vector_topk,
     "op5_quality": op5_quality,
     "op6_bpe": op6_bpe,
