@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from public_tokenizers import PATTERN, path
 
-from . import bpe, decontaminate, near_dedup, quality, sharding, substring_dedup, vector_search
+from . import bpe, decontaminate, near_dedup, pseudonyms, quality, sharding, substring_dedup, vector_search
 from ._session import scratch
 
 
@@ -19,6 +19,12 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op2_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts with personal data replaced by keyed pseudonyms of the same format, and counts by kind."""
+    out = pseudonyms.pseudonymise(_read(spark, sf_dir, "documents"), key="fixed key of the query")
+    return out.select("doc_id", "text", *[f"n_{k}" for k in pseudonyms.KINDS])
+
+
 def op3_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 best inner products of every vector whose id is divisible by 100 against all others."""
     vectors = _read(spark, sf_dir, "embeddings")
@@ -64,6 +70,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_pseudonyms": op2_pseudonyms,
     "op3_vector_topk": op3_vector_topk,
     "op5_quality": op5_quality,
     "op6_bpe": op6_bpe,
