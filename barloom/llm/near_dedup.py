@@ -6,8 +6,9 @@ probability (1 - (1 - s**r)**m)**2; ``bands`` takes the smallest m that misses a
 links at the threshold.  Only hashes that another document shares take part in the m * m products.
 
 Texts with equal sets are one class, so copies never meet as pairs.  Candidates are verified in two
-rounds: each key's members against its smallest one; then, of the pairs in one key, those that the links
-found so far leave in different components.
+rounds: each key's members against its smallest one; then every pair that shares a key and that the links
+found so far leave in different components, each once, at the first a_i that it shares.  Pairs within a
+component are never formed.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ SETS = "id long, n long, shingles binary"
 
 def bands(threshold: float, miss: float = 1e-4) -> tuple[int, int]:
     """(minima in a hash, hashes in a collection) for a similarity threshold."""
-    r = 5 if threshold >= 0.83 else 4
+    r = 6
     return r, math.ceil(math.log(miss / 2) / math.log(1 - threshold**r))
 
 
@@ -154,14 +155,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, miss: flo
     sides = kept.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.posexplode(F.concat("a", "b")).alias("k", "v"))
     sides = sides.select("id", "n", F.expr(f"k >= {m}").alias("second"), F.xxhash64("k", "v").alias("h"))
     shared = sides.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
-    both = sides.join(shared, "h").groupBy("id", "n").agg(F.collect_set(F.expr("if(second, null, h)")).alias("x"), F.collect_set(F.expr("if(second, h, null)")).alias("y"))
-    keys = both.select("id", "n", F.explode("x").alias("x"), "y").select("id", "n", "x", F.explode("y").alias("y"))
+    both = sides.join(shared, "h").groupBy("id", "n").agg(F.collect_set(F.expr("if(second, null, h)")).alias("xs"), F.collect_set(F.expr("if(second, h, null)")).alias("ys"))
+    both = _session.table(both.where("size(xs) > 0 and size(ys) > 0"), "hashes")
+    keys = both.select("id", "n", F.explode("xs").alias("x"), "ys").select("id", "n", "x", F.explode("ys").alias("y"))
     keys = keys.select("id", "n", F.xxhash64("x", "y").alias("key"))
     low = keys.groupBy("key").agg(F.min(F.struct("id", "n")).alias("low"), F.count("*").alias("c")).where("c > 1")
-    keys = _session.table(keys.join(low, "key").select("key", "id", "n", F.col("low.id").alias("a"), F.col("low.n").alias("an")), "keys")
+    keys = keys.join(low, "key").select("id", "n", F.col("low.id").alias("a"), F.col("low.n").alias("an")).distinct()
+    keys = _session.table(keys, "keys")
 
     near = f"100 * least(n, an) >= {percent} * greatest(n, an)"
-    stars = _session.table(keys.where(f"id <> a and {near}").select("a", F.col("id").alias("b")).distinct(), "stars")
+    stars = keys.where(f"id <> a and {near}").select("a", F.col("id").alias("b")).distinct()
     allowed = spark.sparkContext.broadcast(_session.id_filter(keys.select("id"), "id"))
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(len(allowed.value) * 64)).alias("slot")
     wanted = keys.select("id").distinct()
@@ -179,13 +182,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, miss: flo
     links = _session.table(confirmed(stars), "links")
     found = _session.components(links)
 
-    at = keys.select("key", "id", "n").join(found.hint("shuffle_merge"), "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"))
-    mixed = at.groupBy("key").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p <> q").select("key")
-    at = _session.table(at.join(mixed, "key"), "mixed")
-    roots = at.select("key", F.col("root").alias("other")).distinct()
-    cross = at.join(roots, "key").where("root < other").select("key", F.col("id").alias("x"), F.col("n").alias("an"), "other")
-    cross = cross.join(at.select("key", "id", "n", F.col("root").alias("other")), ["key", "other"]).where(near)
-    cross = cross.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    at = both.join(keys.select("id").distinct(), "id", "left_semi").join(found, "id", "left").withColumn("root", F.coalesce("root", "id")).select("*", F.explode("xs").alias("x"))
+    mixed = at.groupBy("x").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p <> q").select("x")
+    counts = at.join(mixed, "x", "left_semi").groupBy("x", "root").agg(F.count("*").alias("c"))
+    at = _session.table(at.join(counts, ["x", "root"]), "mixed")
+    other = at.select(*[F.col(c).alias(f"o_{c}") for c in ("x", "id", "n", "xs", "ys", "root", "c")])
+    both_sides = ["x", "id", "n", "xs", "ys", "o_id", "o_n", "o_xs", "o_ys"]
+    fits = f"100 * least(n, o_n) >= {percent} * greatest(n, o_n) and arrays_overlap(ys, o_ys) and array_min(array_intersect(xs, o_xs)) = x"
+    # documents that are alone with their component at this hash meet one by one; larger components by their root
+    alone = at.where("c = 1").join(other.where("o_c = 1"), F.expr(f"x = o_x and id < o_id and {fits}")).select(both_sides)
+    heads = at.where("c > 1").select("x", F.col("root").alias("h_root")).distinct()
+    grouped = at.join(heads, "x").where("root <> h_root and (c = 1 or root < h_root)").join(other.where("o_c > 1"), F.expr(f"x = o_x and h_root = o_root and {fits}")).select(both_sides)
+    cross = alone.union(grouped).select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b")).distinct()
+    cross = cross.join(stars, ["a", "b"], "left_anti")
     more = confirmed(cross)
     found = _session.table(_session.components(links.union(more).union(split)), "components")
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from public_tokenizers import PATTERN, path
 
-from . import bpe, decontaminate, near_dedup, pseudonyms, quality, sharding, substring_dedup, vector_search
+from . import bpe, decontaminate, licenses, near_dedup, pseudonyms, quality, sharding, substring_dedup, vector_search
 from ._session import scratch
 
 
@@ -31,6 +31,11 @@ def op3_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10, scale=1024)
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License statements and grants in whole texts, with their containment."""
+    return licenses.scan(_read(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents by a machine fitted on labels outside the held-out fold."""
     docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
@@ -72,6 +77,7 @@ QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_pseudonyms": op2_pseudonyms,
     "op3_vector_topk": op3_vector_topk,
+    "op4_licenses": op4_licenses,
     "op5_quality": op5_quality,
     "op6_bpe": op6_bpe,
     "op8_substring_dedup": op8_substring_dedup,
@@ -79,7 +85,34 @@ QUERIES = {
     "op10_sharding": op10_sharding,
 }
 
+def _license_sql() -> str:
+    """Containment of every template in every window of its class, without MinHash."""
+    size_of = licenses.classes(licenses.TEMPLATES)
+    rows = []
+    for name, text in licenses.TEMPLATES.items():
+        words = licenses.words_of(text)
+        stride, wide = licenses.shape(size_of[name])
+        own = sorted({" ".join(words[i : i + licenses.SHINGLE]) for i in range(len(words) - licenses.SHINGLE + 1)})
+        rows.append(f"('{name}', {stride}, {wide}, [{', '.join(repr(x) for x in own)}])")
+    values = ", ".join(rows)
+    return f"""
+WITH t(license, stride, wide, own) AS (VALUES {values}), d AS (
+  SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents WHERE text IS NOT NULL
+), s AS (
+  SELECT doc_id, list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' ')) AS sh FROM d WHERE len(w) >= 5
+), p AS (
+  SELECT doc_id, license, stride, wide, own, sh, unnest(generate_series(0, len(sh) - 1, stride)) AS pos
+  FROM s JOIN t ON list_has_any(sh, own)
+), c AS (
+  SELECT doc_id, license, pos, len(list_intersect(list_distinct(sh[pos + 1:pos + wide]), own)) / len(own) AS containment FROM p
+)
+SELECT doc_id, license, max(containment) AS containment, arg_max(pos, containment * 1e9 - pos) AS word
+FROM c WHERE containment >= 0.8 GROUP BY doc_id, license
+"""
+
+
 ORACLE_SQL = {
+    "op4_licenses": _license_sql(),
     "op3_vector_topk": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
