@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from public_tokenizers import PATTERN, path
 
-from . import bpe, decontaminate, licenses, near_dedup, pseudonyms, quality, sharding, substring_dedup, vector_search
+from . import bpe, decontaminate, licenses, maxent, near_dedup, pseudonyms, quality, sharding, substring_dedup, vector_search
 from ._session import scratch
 
 
@@ -51,6 +51,12 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probabilities of whole texts by smoothed counts and by the maximum-entropy model."""
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    return maxent.score(_read(spark, sf_dir, "documents"), held_out)
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents after the words of repeated 13-word windows are cut out."""
     out = substring_dedup.remove_repeats(_read(spark, sf_dir, "documents"), size=13)
@@ -80,6 +86,7 @@ QUERIES = {
     "op4_licenses": op4_licenses,
     "op5_quality": op5_quality,
     "op6_bpe": op6_bpe,
+    "op7_maxent": op7_maxent,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_near_dedup": op9_near_dedup,
     "op10_sharding": op10_sharding,
