@@ -1 +1,100 @@
+"""Tables of the data model, read from Parquet: column pruning and filters reach the scans."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+MICRO = 1e-9
+
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """symbol, date, open, high, low, close, volume, amount; one partial aggregation and one shuffle.
+
+    open and close are the prices of the first and last trade in the order of (order, line, part, amount, quantity).
+    """
+    trades = read(spark, sf_dir, "lineitem").where("l_quantity > 0 and l_shipdate is not null").select(
+        F.col("l_suppkey").alias("symbol"), F.to_date("l_shipdate").alias("date"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
+        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity").alias("at"), "l_quantity", "l_extendedprice",
+    )
+    return trades.groupBy("symbol", "date").agg(
+        F.min_by("price", "at").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "at").alias("close"),
+        F.sum("l_quantity").alias("volume"), F.sum("l_extendedprice").alias("amount"),
+    )
+
+
+def stock_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """code, name, area, industry of every supplier."""
+    supplier, nation, region = (read(spark, sf_dir, t) for t in ("supplier", "nation", "region"))
+    return supplier.join(nation, supplier.s_nationkey == nation.n_nationkey).join(region, nation.n_regionkey == region.r_regionkey).select(
+        F.col("s_suppkey").alias("code"), F.col("s_name").alias("name"), F.col("r_name").alias("area"), F.col("n_name").alias("industry")
+    )
+
+
+def disclosures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, symbol (source), tag (lang), ann_date, title, url, raw_content of every document."""
+    return read(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("id"), F.col("source").alias("symbol"), F.col("lang").alias("tag"),
+        F.date_add(F.lit("2020-01-01").cast("date"), (F.col("doc_id") % 1826).cast("int")).alias("ann_date"),
+        F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), F.concat(F.lit("http://host/a?id="), F.col("doc_id").cast("string"), F.lit("&t="), F.col("lang")).alias("url"),
+        F.col("text").alias("raw_content"),
+    )
+
+
+def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quarterly reports of nations (symbol) from orders: report_type benefit and debt, report_date, data as JSON text.
+
+    Amounts are written with unit signs, as published reports have them.
+    """
+    orders, customer = read(spark, sf_dir, "orders"), read(spark, sf_dir, "customer")
+    sums = (
+        orders.join(customer, orders.o_custkey == customer.c_custkey)
+        .groupBy(F.col("c_nationkey").cast("long").alias("symbol"), F.last_day(F.add_months(F.date_trunc("quarter", "o_orderdate").cast("date"), 2)).alias("report_date"))
+        .agg(F.round(F.sum("o_totalprice"), 2).alias("revenue"), F.count("*").alias("n"))
+    )
+    wan = F.format_string("%.4f万", F.col("revenue") / 10000)
+    profit = F.format_string("%.2f", F.col("revenue") * (F.col("n") % 7 - 1) / 20)
+    benefit = F.concat(F.lit('{"营业总收入":"'), wan, F.lit('","净利润":"'), profit, F.lit('"}'))
+    equity = F.concat(F.lit('{"所有者权益合计":"'), F.format_string("%.6f亿", F.col("revenue") * (F.col("n") % 5 - 1) / 1e8), F.lit('"}'))
+    kinds = F.array(F.struct(F.lit("benefit").alias("report_type"), benefit.alias("data")), F.struct(F.lit("debt").alias("report_type"), equity.alias("data")))
+    return sums.select("symbol", "report_date", F.inline(kinds))
+
+
+SQL = {
+    "bars": """
+bars AS (
+  SELECT l_suppkey AS symbol, CAST(l_shipdate AS DATE) AS date,
+         arg_min(l_extendedprice / l_quantity, (l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity)) AS open,
+         max(l_extendedprice / l_quantity) AS high, min(l_extendedprice / l_quantity) AS low,
+         arg_max(l_extendedprice / l_quantity, (l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity)) AS close,
+         sum(l_quantity) AS volume, sum(l_extendedprice) AS amount
+  FROM lineitem WHERE l_quantity > 0 AND l_shipdate IS NOT NULL GROUP BY 1, 2
+)""",
+    "stocks": """
+stocks AS (
+  SELECT s_suppkey AS code, s_name AS name, r_name AS area, n_name AS industry
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+)""",
+    "disc": """
+disc AS (
+  SELECT doc_id AS id, source AS symbol, lang AS tag, DATE '2020-01-01' + CAST(doc_id % 1826 AS INTEGER) AS ann_date,
+         split_part(text, chr(10), 1) AS title, 'http://host/a?id=' || doc_id || '&t=' || lang AS url, text AS raw_content
+  FROM documents
+)""",
+    "reports": """
+sums AS (
+  SELECT CAST(c_nationkey AS BIGINT) AS symbol, last_day(CAST(date_trunc('quarter', o_orderdate) AS DATE) + INTERVAL 2 MONTH) AS report_date,
+         round(sum(o_totalprice), 2) AS revenue, count(*) AS n
+  FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2
+), reports AS (
+  SELECT symbol, CAST(report_date AS DATE) AS report_date, revenue, n FROM sums
+), facts AS (
+  SELECT symbol, report_date, round(revenue / 10000, 4) * 10000 AS revenue, round(revenue * (n % 7 - 1) / 20, 2) AS profit,
+         round(revenue * (n % 5 - 1) / 1e8, 6) * 1e8 AS equity
+  FROM reports
+)""",
+}
