@@ -54,7 +54,7 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     sums = (
         orders.join(customer, orders.o_custkey == customer.c_custkey)
         .groupBy(F.col("c_nationkey").cast("long").alias("symbol"), F.last_day(F.add_months(F.date_trunc("quarter", "o_orderdate").cast("date"), 2)).alias("report_date"))
-        .agg(F.round(F.sum("o_totalprice"), 2).alias("revenue"), F.count("*").alias("n"))
+        .agg(F.round(F.sum("o_totalprice"), 0).alias("revenue"), F.count("*").alias("n"))
     )
     wan = F.format_string("%.4f万", F.col("revenue") / 10000)
     profit = F.format_string("%.2f", F.col("revenue") * (F.col("n") % 7 - 1) / 20)
@@ -88,7 +88,7 @@ disc AS (
     "reports": """
 sums AS (
   SELECT CAST(c_nationkey AS BIGINT) AS symbol, last_day(CAST(date_trunc('quarter', o_orderdate) AS DATE) + INTERVAL 2 MONTH) AS report_date,
-         round(sum(o_totalprice), 2) AS revenue, count(*) AS n
+         round(sum(o_totalprice), 0) AS revenue, count(*) AS n
   FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2
 ), reports AS (
   SELECT symbol, CAST(report_date AS DATE) AS report_date, revenue, n FROM sums
