@@ -134,14 +134,21 @@ def _ask_windows(size: int, block: int, buckets: int):
     def run(key, left, right):
         group = _Group(left, size, block, True)
         hashes, _ = group.anchors()
-        a, b, low, _, _ = group.candidates(_unpacked(right, hashes, buckets), hashes, size)
+        hit = _unpacked(right, hashes, buckets)
+        a, b, low, _, _ = group.candidates(hit, hashes, size)
         top = (b >> U64(32)).astype(np.uint32)
-        return _packed(key[0].as_py(), a, buckets, lambda i, j: a[i:j].tobytes() + low[i:j].tobytes() + top[i:j].tobytes())
+        pid = key[0].as_py()
+        asked = _packed(pid, a, buckets, lambda i, j: a[i:j].tobytes() + low[i:j].tobytes() + top[i:j].tobytes())
+        # the group's own anchors go along under a bucket of their own, so that they are not looked up twice
+        own = pa.table({"pid": pa.array([pid], pa.int32()), "bucket": pa.array([-1 - pid], pa.int32()), "payload": pa.array([np.packbits(hit).tobytes()], pa.binary())})
+        return pa.concat_tables([asked, own])
 
     return run
 
 
 def _answer_windows(key, table):
+    if key[0].as_py() < 0:
+        return pa.table({"pid": table["pid"], "bucket": pa.array([-1] * len(table), pa.int32()), "bits": table["payload"]})
     raws, pids = table["payload"].to_pylist(), table["pid"].to_pylist()
     sizes = [len(x) // 20 for x in raws]
     a = np.concatenate([np.frombuffer(x, U64, n) for x, n in zip(raws, sizes)])
@@ -159,13 +166,13 @@ OUT = "doc_id long, n_words long, n_removed long, kept_text string, repeats arra
 
 
 def _strip(size: int, block: int, buckets: int):
-    def run(key, left, anchors):
-        answers = anchors.filter(pc.equal(anchors["stage"], 1))
-        anchors = anchors.filter(pc.equal(anchors["stage"], 0))
+    def run(key, left, answers):
+        own = answers.filter(pc.equal(answers["bucket"], -1))
         group = _Group(left, size, block, True)
         hashes, _ = group.anchors()
-        a, _, low, order, kind = group.candidates(_unpacked(anchors, hashes, buckets), hashes, size)
-        smaller = _unpacked(answers, a, buckets)
+        hit = np.unpackbits(np.frombuffer(own["bits"][0].as_buffer(), np.uint8), count=len(hashes)).view(bool) if len(own) else np.zeros(len(hashes), bool)
+        a, _, low, order, kind = group.candidates(hit, hashes, size)
+        smaller = _unpacked(answers.filter(pc.greater_equal(answers["bucket"], 0)), a, buckets)
         gone = np.zeros(len(group.start) + 1, np.int64)
         if len(order):
             bad = smaller[kind] | (group.ids[group.far_doc[order]] > low[kind])
@@ -211,5 +218,4 @@ def remove_repeats(docs: DataFrame, size: int = 13) -> DataFrame:
     anchors = asked.groupBy("bucket").applyInArrow(_answer_anchors, ANSWER)
     asked = rows.groupBy("pid").cogroup(anchors.groupBy("pid")).applyInArrow(_ask_windows(size, block, buckets), ASK)
     answers = asked.groupBy("bucket").applyInArrow(_answer_windows, ANSWER)
-    both = anchors.withColumn("stage", F.lit(0)).union(answers.withColumn("stage", F.lit(1)))
-    return rows.groupBy("pid").cogroup(both.groupBy("pid")).applyInArrow(_strip(size, block, buckets), OUT)
+    return rows.groupBy("pid").cogroup(answers.groupBy("pid")).applyInArrow(_strip(size, block, buckets), OUT)
