@@ -1 +1,144 @@
+"""Queries of documents and vectors (J, O, and the text rows of E)."""
 
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from barloom import functions as fn
+from barloom.operators import chunking, retrieval, text
+from barloom.plans.catalog import query
+from barloom.sources import disclosures, read
+
+COUNTED = """
+l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line FROM documents), r AS (SELECT doc_id, trim(line) AS line, count(*) AS n FROM l WHERE trim(line) <> '' GROUP BY 1, 2)"""
+
+
+@query("e13_line_frequency", "WITH " + COUNTED.strip() + " SELECT doc_id, line, n FROM r WHERE n >= 3 AND length(line) <= 100")
+def e13(spark, d):
+    lines = read(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", F.trim("line").alias("line")).where("line <> ''")
+    return lines.groupBy("doc_id", "line").agg(F.count("*").alias("n")).where("n >= 3 and length(line) <= 100")
+
+
+@query("e14_top_words", "WITH w AS (SELECT lang, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS word FROM documents), c AS (SELECT lang, word, count(*) AS n FROM w WHERE word NOT IN ('the','and','that','les','des','que','die','der','und','los','las') GROUP BY 1, 2) SELECT lang, word, n FROM c QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) <= 5")
+def e14(spark, d):
+    stop = ["the", "and", "that", "les", "des", "que", "die", "der", "und", "los", "las"]
+    words = read(spark, d, "documents").select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))).alias("word")).where(~F.col("word").isin(stop))
+    counts = words.groupBy("lang", "word").agg(F.count("*").alias("n"))
+    return counts.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where("r <= 5").drop("r")
+
+
+@query("j01_drop_repeated_lines", "WITH " + COUNTED.strip() + ", bad AS (SELECT doc_id, line FROM r WHERE n >= 3 AND length(line) <= 100), g AS (SELECT doc_id, list(line) AS bad FROM bad GROUP BY 1) SELECT doc_id, coalesce(array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(coalesce(bad, []), trim(x))), chr(10)), '') AS text FROM documents LEFT JOIN g USING (doc_id) WHERE text IS NOT NULL")
+def j01(spark, d):
+    return read(spark, d, "documents").where("text is not null").select("doc_id", fn.drop_repeated_lines(F.col("text")).alias("text"))
+
+
+@query("j02_drop_lines_any_length", "WITH " + COUNTED.strip() + ", g AS (SELECT doc_id, list(line) AS bad FROM r WHERE n > 2 GROUP BY 1) SELECT doc_id, CAST(len(list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(coalesce(bad, []), trim(x)))) AS BIGINT) AS n_lines FROM documents LEFT JOIN g USING (doc_id) WHERE text IS NOT NULL")
+def j02(spark, d):
+    kept = fn.drop_repeated_lines(F.col("text"), 3, None)
+    return read(spark, d, "documents").where("text is not null").select("doc_id", F.when(kept == "", 0 * F.size(F.split("text", "\n"))).otherwise(F.size(F.split(kept, "\n"))).cast("long").alias("n_lines"))
+
+
+@query("j03_normalise_space", r"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '\s*\n\s*', chr(10), 'g'), '[ \t]+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS text FROM documents")
+def j03(spark, d):
+    return read(spark, d, "documents").select("doc_id", fn.normalise_space(F.col("text")).alias("text"))
+
+
+@query("j04_section")
+def j04(spark, d):
+    found = text.section(F.col("raw_content"), ["(?m)^The and", "(?m)^Of", "(?m)^De"], [r"\nThe", r"\nOf", r"\nIn", r"\nLe", r"\nEin"])
+    return disclosures(spark, d).select("id", found.alias("section"))
+
+
+@query("j05_without_tables")
+def j05(spark, d):
+    return disclosures(spark, d).select("id", text.without_tables(F.col("raw_content")).alias("text"))
+
+
+@query("j06_paragraphs")
+def j06(spark, d):
+    return disclosures(spark, d).select("id", text.paragraphs(F.col("raw_content")).alias("text"))
+
+
+@query("j07_narrative")
+def j07(spark, d):
+    cut = disclosures(spark, d).select("id", text.section(F.col("raw_content"), ["(?m)^The and", "(?m)^Of", "(?m)^De"], [r"\nThe", r"\nOf", r"\nIn"]).alias("t"))
+    return cut.select("id", text.without_tables(F.col("t")).alias("t")).select("id", text.paragraphs(F.col("t")).alias("text"))
+
+
+QA = "SELECT conv_id, turn, text AS question, lead(text) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS answer, role, lead(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS next FROM conversations WHERE text IS NOT NULL"
+
+
+@query("j08_questions_and_answers", f"WITH q AS ({QA}) SELECT conv_id, turn, question, answer FROM q WHERE role = 'user' AND next = 'assistant'")
+def j08(spark, d):
+    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    rows = read(spark, d, "conversations").where("text is not null").withColumns({"answer": F.lead("text").over(w), "next": F.lead("role").over(w)})
+    return rows.where("role = 'user' and next = 'assistant'").select("conv_id", "turn", F.col("text").alias("question"), "answer")
+
+
+@query("j09_pairs_to_chunks", f"WITH q AS ({QA}) SELECT conv_id, '问题：' || question || chr(10) || '回答：' || answer AS chunk FROM q WHERE role = 'user' AND next = 'assistant'")
+def j09(spark, d):
+    pairs = j08(spark, d).groupBy("conv_id").agg(F.to_json(F.collect_list(F.struct("question", "answer"))).alias("data"))
+    each = pairs.select("conv_id", F.explode(F.from_json("data", "array<struct<question:string,answer:string>>")).alias("p"))
+    return each.select("conv_id", F.concat(F.lit("问题："), F.col("p.question"), F.lit("\n回答："), F.col("p.answer")).alias("chunk"))
+
+
+@query("j10_recursive_chunks")
+def j10(spark, d):
+    return chunking.chunks(disclosures(spark, d), "recursive")
+
+
+@query("j11_sentence_chunks")
+def j11(spark, d):
+    return chunking.chunks(disclosures(spark, d), "sentence")
+
+
+@query("j12_paragraph_packs")
+def j12(spark, d):
+    return chunking.chunks(disclosures(spark, d), "paragraph")
+
+
+@query("j13_stride_chunks", "SELECT doc_id, CAST(i / 400 AS INTEGER) AS chunk_order, substr(text, CAST(i + 1 AS BIGINT), 450) AS chunk_text FROM (SELECT doc_id, text, unnest(generate_series(0, greatest(0, length(text) - 1), 400)) AS i FROM documents WHERE text <> '')")
+def j13(spark, d):
+    at = F.posexplode(F.sequence(F.lit(0), F.length("text") - 1, F.lit(400))).alias("chunk_order", "i")
+    return read(spark, d, "documents").where("text <> ''").select("doc_id", "text", at).select("doc_id", "chunk_order", F.substring("text", F.col("i") + 1, F.lit(450)).alias("chunk_text"))
+
+
+@query("j14_number_chunks", "SELECT doc_id, CAST(i - 1 AS INTEGER) AS chunk_order, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE trim(line) <> ''")
+def j14(spark, d):
+    return read(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("chunk_order", "line")).where("trim(line) <> ''")
+
+
+@query("j15_normalise_vectors", "SELECT vec_id, round(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))))), 4) AS total, CAST(len(embedding) AS INTEGER) AS dims FROM embeddings")
+def j15(spark, d):
+    unit = retrieval.normalised("embedding")
+    return read(spark, d, "embeddings").select("vec_id", F.round(F.aggregate(unit, F.lit(0.0), lambda s, x: s + x), 4).alias("total"), F.size("embedding").alias("dims"))
+
+
+COS = "round(1 - list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 5)"
+
+
+@query("o01_nearest_in_symbol", f"SELECT q.label, e.vec_id, {COS} AS distance FROM embeddings e JOIN (SELECT label, arg_min(embedding, vec_id) AS embedding, min(vec_id) AS vec_id FROM embeddings GROUP BY 1) q ON q.label = e.label AND q.vec_id <> e.vec_id QUALIFY row_number() OVER (PARTITION BY q.label ORDER BY {COS}, e.vec_id) <= 5")
+def o01(spark, d):
+    vectors = read(spark, d, "embeddings").where("embedding is not null")
+    asked = vectors.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("q"), F.min("vec_id").alias("own"))
+    rows = vectors.join(asked, "label").where("vec_id <> own").select("label", "vec_id", F.round(retrieval.cosine_distance("embedding", "q"), 5).alias("distance"))
+    return rows.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("distance", "vec_id"))).where("r <= 5").drop("r")
+
+
+@query("o02_nearest_in_dates", f"SELECT e.vec_id, {COS} AS distance FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 1) q WHERE e.vec_id % 365 BETWEEN 30 AND 200 ORDER BY distance, e.vec_id LIMIT 10")
+def o02(spark, d):
+    vectors = read(spark, d, "embeddings")
+    target = F.broadcast(vectors.where("vec_id = 1").select(F.col("embedding").alias("q")).limit(1))  # one row
+    rows = vectors.where("vec_id % 365 between 30 and 200").crossJoin(target).select("vec_id", F.round(retrieval.cosine_distance("embedding", "q"), 5).alias("distance"))
+    return rows.orderBy(F.asc_nulls_last("distance"), "vec_id").limit(10)
+
+
+BUCKETS = [(0, 0, 365, 3), (1, 365, 1095, 2), (2, 1095, 100000, 1)]
+
+
+@query("o03_topics_and_buckets", f"WITH q AS (SELECT vec_id AS topic, embedding FROM embeddings WHERE vec_id IN (0, 1, 2)), b(bucket, lo, hi, k) AS (VALUES {', '.join(map(str, BUCKETS))}), n AS (SELECT q.topic, b.bucket, e.vec_id AS id, round(1 - list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS distance, b.k FROM embeddings e, q, b WHERE (e.vec_id * 7) % 2000 BETWEEN b.lo AND b.hi), t AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY topic, bucket ORDER BY distance, id) <= k) SELECT topic, bucket, id, distance FROM t QUALIFY row_number() OVER (PARTITION BY id ORDER BY topic, bucket) = 1")
+def o03(spark, d):
+    vectors = read(spark, d, "embeddings").where("embedding is not null")
+    topics = vectors.where("vec_id in (0, 1, 2)").select(F.col("vec_id").alias("topic"), F.col("embedding").alias("q")).limit(3)
+    return retrieval.by_topic_and_age(vectors.select(F.col("vec_id").alias("id"), ((F.col("vec_id") * 7) % 2000).alias("age"), "embedding"), topics, BUCKETS)
