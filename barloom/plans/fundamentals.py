@@ -1 +1,106 @@
+"""Queries of fundamentals and the screener (M, N)."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from barloom import functions as fn
+from barloom.operators import cross
+from barloom.operators import fundamentals as ops
+from barloom.operators.asof import as_of
+from barloom.plans.catalog import query
+from barloom.plans.market import DAY
+from barloom.plans.signals import cross_sql
+from barloom.sources import daily_bars, read, reports, stock_list
+
+ASOF = "1999-06-01"
+SLOTS = f"""
+known AS (SELECT *, month(report_date) = 12 AS annual, row_number() OVER (PARTITION BY symbol, month(report_date) = 12 ORDER BY report_date DESC) AS rn FROM facts WHERE report_date <= DATE '{ASOF}'),
+latest AS (SELECT symbol, max(report_date) AS report_date, arg_max(revenue, report_date) AS revenue, arg_max(profit, report_date) AS profit, arg_max(equity, report_date) AS equity,
+  arg_max(profit, report_date) FILTER (annual) AS annual_profit, count(*) FILTER (annual AND rn <= 3) AS annuals, count(*) FILTER (annual AND rn <= 3 AND profit > 1e-6) AS good FROM known GROUP BY 1),
+slots AS (SELECT l.*, b.revenue AS revenue_before, b.profit AS profit_before FROM latest l LEFT JOIN known b ON b.symbol = l.symbol AND year(b.report_date) = year(l.report_date) - 1 AND month(b.report_date) = month(l.report_date) AND day(b.report_date) = day(l.report_date))"""
+METRICS = f"""
+{SLOTS.strip()}, price AS (SELECT symbol, arg_max(close, date) AS close FROM bars WHERE date BETWEEN DATE '{ASOF}' - 7 AND DATE '{ASOF}' GROUP BY 1),
+j AS (SELECT s.*, p.close, CASE WHEN s.symbol % 6 <> 5 THEN (s.symbol + 1) * 1000.0::DOUBLE END AS total_shares FROM slots s LEFT JOIN price p USING (symbol)),
+k AS (SELECT *, total_shares * close AS cap, CASE WHEN abs(revenue_before) > 1e-9 THEN (revenue - revenue_before) / abs(revenue_before) END AS ry,
+  CASE WHEN abs(profit_before) > 1e-9 THEN (profit - profit_before) / abs(profit_before) WHEN profit > 1e-9 AND profit_before IS NOT NULL THEN 'inf'::DOUBLE END AS py FROM j),
+m AS (SELECT *, CASE WHEN annual_profit > 1e-6 THEN cap / annual_profit END AS pe, CASE WHEN equity > 0 THEN cap / equity WHEN equity = 0 AND cap > 0 THEN 'inf'::DOUBLE END AS pb FROM k),
+metrics AS (SELECT symbol, report_date, round(cap, 2) AS market_cap, round(pe, 4) AS pe, pe < 30 AS pe_lt_30, round(pb, 4) AS pb, round(ry, 4) AS revenue_growth_yoy, round(py, 4) AS profit_growth_yoy,
+  CASE WHEN py = 'inf'::DOUBLE THEN ry > 1e-6 WHEN ry IS NOT NULL AND py IS NOT NULL THEN ry > 1e-6 AND py > 1e-6 END AS growth_positive,
+  CASE WHEN py > 1e-6 AND py < 'inf'::DOUBLE THEN round(pe / (py * 100), 4) END AS peg_like_ratio, CASE WHEN py > 1e-6 AND py < 'inf'::DOUBLE THEN pe / (py * 100) < 1 END AS peg_like_lt_1,
+  CASE WHEN coalesce(profit, 0) <= 1e-6 THEN false WHEN annuals >= 3 THEN good = 3 END AS net_profit_positive_3y_latest,
+  array_to_string(list_sort(list_filter([CASE WHEN close IS NULL THEN 'Missing price' END, CASE WHEN total_shares IS NULL THEN 'Missing shares' END, CASE WHEN revenue_before IS NULL THEN 'Missing reports for YoY growth' END, CASE WHEN annual_profit IS NULL THEN 'Missing annual profit' END], lambda x: x IS NOT NULL)), '; ') AS error_reason FROM m)"""
+
+
+def shares(spark, d):
+    total = F.when(F.col("n_nationkey") % 6 != 5, (F.col("n_nationkey") + 1) * F.lit(1000.0))
+    return read(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("symbol"), total.alias("total_shares"))
+
+
+def price(spark, d):
+    wanted = read(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("symbol"), DAY(ASOF).alias("date"))
+    return as_of(wanted, daily_bars(spark, d), "symbol", "date", "close", 7).select("symbol", "close")
+
+
+def metrics(spark, d):
+    return ops.metrics(ops.slots(reports(spark, d), DAY(ASOF)), price(spark, d), shares(spark, d))
+
+
+def part(name, columns):
+    body = f"WITH {METRICS.strip()} SELECT {', '.join(columns)} FROM metrics"
+    query(name, body, "bars", "reports")(lambda spark, d: metrics(spark, d).select(*columns))
+
+
+part("m01_market_cap", ["symbol", "market_cap"])
+part("m02_pe", ["symbol", "pe", "pe_lt_30"])
+part("m03_pb", ["symbol", "pb"])
+part("m04_growth", ["symbol", "revenue_growth_yoy", "profit_growth_yoy"])
+part("m05_growth_positive", ["symbol", "growth_positive"])
+part("m06_peg", ["symbol", "peg_like_ratio", "peg_like_lt_1"])
+part("m07_three_years", ["symbol", "net_profit_positive_3y_latest"])
+part("m08_all_metrics", ["symbol", "report_date", "market_cap", "pe", "pe_lt_30", "pb", "revenue_growth_yoy", "profit_growth_yoy", "growth_positive", "peg_like_ratio", "peg_like_lt_1", "net_profit_positive_3y_latest", "error_reason"])
+
+
+@query("m01b_cap_from_turnover", "SELECT symbol, date, round(amount / (volume / 100), 4) AS cap FROM bars", "bars")
+def m01b(spark, d):
+    return daily_bars(spark, d).select("symbol", "date", F.round(F.try_divide(F.col("amount"), F.col("volume") / 100), 4).alias("cap"))
+
+
+@query("m09_report_slots", f"WITH {SLOTS.strip()} SELECT symbol, report_date, round(revenue, 2) AS revenue, round(annual_profit, 2) AS annual_profit, round(revenue_before, 2) AS revenue_before, annuals FROM slots", "reports")
+def m09(spark, d):
+    s = ops.slots(reports(spark, d), DAY(ASOF))
+    return s.select("symbol", "report_date", *[F.round(c, 2).alias(c) for c in ("revenue", "annual_profit", "revenue_before")], "annuals")
+
+
+SIGNALS = "sig AS (" + cross_sql("bars", "daily", "none", False).replace("m AS (", "SELECT * FROM (WITH m AS (", 1) + "))"
+
+
+@query("n01_screener", f"WITH {SIGNALS} SELECT symbol, date AS signal_date, 'MultiLevelCross' AS strategy_name, 'BUY' AS signal_type, 'Daily' AS timeframe FROM sig WHERE date = (SELECT max(date) FROM sig)", "bars")
+def n01(spark, d):
+    found = cross.multi_level_cross(daily_bars(spark, d), "daily", "none", None).select("symbol", "date")
+    last = F.broadcast(found.agg(F.max("date").alias("last")))  # one row
+    day = found.crossJoin(last).where("date = last")
+    return day.select("symbol", F.col("date").alias("signal_date"), F.lit("MultiLevelCross").alias("strategy_name"), F.lit("BUY").alias("signal_type"), F.lit("Daily").alias("timeframe"))
+
+
+@query("n02_signals_with_fundamentals", f"WITH {SIGNALS}, {METRICS.strip()} SELECT sig.symbol, sig.date AS signal_date, pe, pb, growth_positive FROM sig LEFT JOIN metrics USING (symbol) WHERE sig.date >= DATE '1999-05-01' AND sig.date <= DATE '1999-06-01'", "bars", "reports")
+def n02(spark, d):
+    found = cross.multi_level_cross(daily_bars(spark, d), "daily", "none", None).where("date between date'1999-05-01' and date'1999-06-01'").select("symbol", F.col("date").alias("signal_date"))
+    hit = reports(spark, d).join(found.select("symbol").distinct(), "symbol", "left_semi")
+    m = ops.metrics(ops.slots(hit, DAY(ASOF)), price(spark, d), shares(spark, d))
+    return found.join(m, "symbol", "left").select("symbol", "signal_date", "pe", "pb", "growth_positive")
+
+
+@query("n03_screener_report", f"WITH {SIGNALS}, {METRICS.strip()} SELECT CAST(sig.symbol AS VARCHAR) AS code, name, sig.date AS signal_date, 'MultiLevelCross' AS source, 'Daily' AS level, CASE WHEN pe IS NULL THEN '' ELSE printf('%.1f', round(pe, 1)) END AS pe, CASE WHEN growth_positive IS NULL THEN '不适用' WHEN growth_positive THEN '是' ELSE '否' END AS growth, coalesce(error_reason, '') AS notes FROM sig JOIN stocks ON code = sig.symbol LEFT JOIN metrics USING (symbol) WHERE sig.date >= DATE '1999-05-01' AND sig.date <= DATE '1999-06-01'", "bars", "reports", "stocks")
+def n03(spark, d):
+    found = cross.multi_level_cross(daily_bars(spark, d), "daily", "none", None).where("date between date'1999-05-01' and date'1999-06-01'").select("symbol", F.col("date").alias("signal_date"))
+    rows = found.join(stock_list(spark, d).withColumnRenamed("code", "symbol"), "symbol").join(metrics(spark, d), "symbol", "left")
+    pe = F.when(F.col("pe").isNull(), "").otherwise(F.format_string("%.1f", F.round("pe", 1)))
+    return rows.select(F.col("symbol").cast("string").alias("code"), "name", "signal_date", F.lit("MultiLevelCross").alias("source"), F.lit("Daily").alias("level"), pe.alias("pe"), fn.yes_no(F.col("growth_positive")).alias("growth"), F.coalesce("error_reason", F.lit("")).alias("notes"))
+
+
+@query("n05_report_context", "WITH p AS (SELECT symbol, round((arg_max(close, date) / arg_min(close, date) - 1) * 100, 4) AS change FROM bars GROUP BY 1), c AS (SELECT symbol, count(*) AS n_reports, round(max(revenue), 2) AS top FROM facts GROUP BY 1) SELECT symbol, change, n_reports, top FROM p JOIN c USING (symbol)", "bars", "reports")
+def n05(spark, d):
+    p = daily_bars(spark, d).groupBy("symbol").agg(F.round((F.try_divide(F.max_by("close", "date"), F.min_by("close", "date")) - 1) * 100, 4).alias("change"))
+    c = reports(spark, d).where("report_type = 'benefit'").groupBy("symbol").agg(F.count("*").alias("n_reports"), F.round(F.max(fn.lookup_number(F.col("data"), "营业总收入")), 2).alias("top"))
+    return p.join(c, "symbol").select("symbol", "change", "n_reports", "top")
