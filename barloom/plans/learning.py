@@ -1 +1,27 @@
+"""Queries of learning (S): logistic regression on two features, and its report."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from barloom.plans.catalog import query
+from barloom.sources import read
+
+
+@query("s01_logistic_report")
+def s01(spark, d):
+    """Precision, recall and F1 by class on the rows that a hash puts aside."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    docs = read(spark, d, "documents").select("doc_id", F.log1p("n_chars").alias("size"), (F.length(F.regexp_replace("text", "[^!%$#&*|]", "")) / F.greatest(F.lit(1), F.length("text"))).alias("odd"))
+    rows = docs.join(read(spark, d, "labels").where("quality is not null").select("doc_id", F.col("quality").cast("double").alias("label")), "doc_id").na.drop()
+    rows = VectorAssembler(inputCols=["size", "odd"], outputCol="features").transform(rows)
+    aside = F.pmod(F.xxhash64("doc_id", F.lit(42)), F.lit(5)) == 0
+    model = LogisticRegression(maxIter=30).fit(rows.where(~aside))
+    counts = model.transform(rows.where(aside)).groupBy("label", "prediction").agg(F.count("*").alias("n"))
+    hit = F.sum(F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0))
+    real = counts.groupBy(F.col("label").alias("class")).agg(hit.alias("hit"), F.sum("n").alias("support"))
+    said = counts.groupBy(F.col("prediction").alias("class")).agg(F.sum("n").alias("said"))
+    out = real.join(said, "class", "left").withColumns({"precision": F.coalesce(F.try_divide("hit", "said"), F.lit(0.0)), "recall": F.try_divide("hit", "support")})
+    return out.select("class", "support", "precision", "recall", F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0)).alias("f1"))

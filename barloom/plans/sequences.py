@@ -1 +1,140 @@
+"""Queries of sequence structures, their strategies and the backtest (K, L1, L2, L6-L9, P)."""
 
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from barloom.operators import bars as period
+from barloom.operators import chan, pullback
+from barloom.plans.catalog import query
+from barloom.sources import daily_bars
+
+
+def structure(name, kind, dialect, rule="pullback", reach=1):
+    def run(spark, d):
+        rows = chan.structures(daily_bars(spark, d), dialect, rule, reach).where(F.col("kind") == kind)
+        prices = ("start_price", "end_price", "high", "low", "value")
+        return rows.select("symbol", "seq", "type", "start_date", "end_date", *[F.round(c, 4).alias(c) for c in prices])
+
+    query(name)(run)
+
+
+structure("k01_p_merged_bars", "merged", "P")
+structure("k01_c_merged_bars", "merged", "C")
+structure("k03_p_fractals", "fractal", "P")
+structure("k03_p_fractals_reach_2", "fractal", "P", "breakout", 2)
+structure("k03_c_fractals", "fractal", "C")
+structure("k04_p1_strokes_pullback", "stroke", "P", "pullback")
+structure("k04_p2_strokes_breakout", "stroke", "P", "breakout")
+structure("k04_p3_strokes_weekly", "stroke", "P", "weekly")
+structure("k04_p3_strokes_monthly", "stroke", "P", "monthly")
+structure("k04_p4_strokes_backtest", "stroke", "P", "backtest")
+structure("k04_c_strokes", "stroke", "C")
+structure("k05_c_segments", "segment", "C")
+structure("k06_c_pivots", "pivot", "C")
+structure("k07_c_divergences", "divergence", "C")
+structure("k08_c_points", "point", "C")
+
+
+@query("k02_p_directions")
+def k02(spark, d):
+    rows = chan.structures(daily_bars(spark, d), "P").where("kind = 'merged'")
+    return rows.groupBy("symbol", "type").agg(F.count("*").alias("n"))
+
+
+@query("k09_c_pipeline")
+def k09(spark, d):
+    return chan.structures(daily_bars(spark, d), "C").groupBy("symbol", "kind").agg(F.count("*").alias("n"))
+
+
+@query("k10_completed_up_strokes")
+def k10(spark, d):
+    strokes = chan.structures(daily_bars(spark, d), "P", "breakout").where("kind = 'stroke'")
+    w = Window.partitionBy("symbol").orderBy("seq")
+    rows = strokes.withColumns({"next": F.lead("type").over(w), "next_start": F.lead("start_date").over(w)})
+    return rows.where("type = 'up' and next = 'down' and next_start = end_date").select("symbol", "seq", "end_date", F.round("end_price", 4).alias("end_price"))
+
+
+@query("e17_strength_of_strokes")
+def e17(spark, d):
+    return chan.structures(daily_bars(spark, d), "C").where("kind = 'stroke'").select("symbol", "seq", F.round("value", 4).alias("strength"))
+
+
+def signals(df):
+    return df.select("symbol", "signal_date", "strategy_name", "signal_type", "timeframe", F.round("score", 4).alias("score"), F.round("level", 4).alias("level"))
+
+
+@query("l01_pullback_daily")
+def l01(spark, d):
+    bars = daily_bars(spark, d)
+    return signals(pullback.pullback(bars, pullback.DAILY, period.weekly(bars)))
+
+
+@query("l02_breakout")
+def l02(spark, d):
+    return signals(pullback.breakout(daily_bars(spark, d)))
+
+
+@query("l06_pullback_weekly")
+def l06(spark, d):
+    bars = daily_bars(spark, d)
+    return signals(pullback.pullback(period.weekly(bars), pullback.WEEKLY, period.monthly(bars)))
+
+
+@query("l07_pullback_monthly")
+def l07(spark, d):
+    return signals(pullback.pullback(period.monthly(daily_bars(spark, d)), pullback.MONTHLY))
+
+
+@query("l08_enhanced_buy")
+def l08(spark, d):
+    return pullback.enhanced(daily_bars(spark, d)).where("buy is not null").select("symbol", "date")
+
+
+@query("l09_enhanced_sell")
+def l09(spark, d):
+    return pullback.enhanced(daily_bars(spark, d)).where("sell is not null").select("symbol", "date", "sell")
+
+
+@query("p01_backtest_trades")
+def p01(spark, d):
+    rows = pullback.backtest(daily_bars(spark, d))
+    return rows.select("symbol", "seq", "date", "action", "size", *[F.round(c, 2).alias(c) for c in ("price", "fee", "cash", "equity", "profit")])
+
+
+@query("p03_position_size", "SELECT symbol, date, floor(least(0.2 * 1000000, 1000000) / close / 100) * 100 AS size FROM bars", "bars")
+def p03(spark, d):
+    return daily_bars(spark, d).select("symbol", "date", (F.floor(F.least(F.lit(0.2 * 1000000), F.lit(1000000.0)) / F.col("close") / 100) * F.lit(100.0)).alias("size"))
+
+
+@query("p05_commission", "SELECT l_orderkey, l_linenumber, round(greatest(l_extendedprice * 0.0002, 5), 4) AS fee FROM lineitem")
+def p05(spark, d):
+    from barloom.sources import read
+
+    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(F.greatest(F.col("l_extendedprice") * 0.0002, F.lit(5.0)), 4).alias("fee"))
+
+
+@query("p06_trade_statistics")
+def p06(spark, d):
+    sells = pullback.backtest(daily_bars(spark, d)).where("action <> 'buy'")
+    w = Window.partitionBy("symbol").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    sells = sells.withColumn("fall", 1 - F.try_divide("equity", F.max("equity").over(w)))
+    win, loss = F.when(F.col("profit") > 0, F.col("profit")), F.when(F.col("profit") <= 0, F.col("profit"))
+    return sells.groupBy("symbol").agg(
+        F.count("*").alias("trades"), F.round(F.avg((F.col("profit") > 0).cast("int")), 4).alias("win_rate"), F.round(F.avg(win), 2).alias("mean_win"), F.round(F.avg(loss), 2).alias("mean_loss"),
+        F.round(F.try_divide(F.sum(win), -F.sum(loss)), 4).alias("profit_factor"), F.round(F.max("fall"), 6).alias("drawdown"),
+        F.round(F.try_divide(F.sqrt(F.count("*")) * F.avg("profit"), F.stddev_samp("profit")), 4).alias("sqn"),
+    )
+
+
+@query("p06_drawdown", "WITH e AS (SELECT symbol, date, close / max(close) OVER (PARTITION BY symbol ORDER BY date) - 1 AS fall FROM bars) SELECT symbol, round(min(fall), 6) AS drawdown FROM e GROUP BY 1", "bars")
+def p06b(spark, d):
+    w = Window.partitionBy("symbol").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    rows = daily_bars(spark, d).select("symbol", (F.try_divide(F.col("close"), F.max("close").over(w)) - 1).alias("fall"))
+    return rows.groupBy("symbol").agg(F.round(F.min("fall"), 6).alias("drawdown"))
+
+
+@query("p07_buy_and_hold", "SELECT symbol, round(arg_max(close, date) / arg_min(close, date) - 1, 6) AS ret FROM bars GROUP BY 1", "bars")
+def p07(spark, d):
+    return daily_bars(spark, d).groupBy("symbol").agg(F.round(F.try_divide(F.max_by("close", "date"), F.min_by("close", "date")) - 1, 6).alias("ret"))

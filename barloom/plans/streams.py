@@ -1 +1,45 @@
+"""Queries of streaming behaviour, run over the table as a batch (Q); tests compare them with streams."""
 
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from barloom.plans.catalog import query
+from barloom.sources import read
+from barloom.streaming import bars
+
+
+def sql(unit: str) -> str:
+    return f"SELECT event_type, date_trunc('{unit}', ts) AS start, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, count(*) AS n FROM events GROUP BY 1, 2"
+
+
+@query("q01_event_bars_daily", sql("day"))
+def q01(spark, d):
+    return bars.event_bars(read(spark, d, "events"), "1 day")
+
+
+@query("q01_event_bars_hourly", sql("hour"))
+def q01h(spark, d):
+    return bars.event_bars(read(spark, d, "events"), "1 hour")
+
+
+@query("q02_late_upsert", "SELECT event_type, date_trunc('day', ts) AS start, count(*) AS n FROM events GROUP BY 1, 2")
+def q02(spark, d):
+    from barloom.operators.bars import upsert
+
+    events = read(spark, d, "events")
+    whole = bars.event_bars(events).select("event_type", "start", "n")
+    first = bars.event_bars(events.where("event_id % 2 = 0")).select("event_type", "start", "n")
+    return upsert(first, whole, ["event_type", "start"])
+
+
+@query("q03_sessions", "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k")
+def q03(spark, d):
+    return bars.sessions(read(spark, d, "events")).select("user_id", "start", "n")
+
+
+@query("q04_running_state", "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 4) AS total FROM events")
+def q04(spark, d):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    return read(spark, d, "events").select("event_id", F.round(F.sum("value").over(w), 4).alias("total"))
