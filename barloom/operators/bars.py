@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from barloom import functions as fn
 
-BY_DATE = Window.partitionBy("symbol").orderBy("date")
+
+def by_date():
+    """Rows of a symbol in the order of dates: one exchange and sort serves all windows over it."""
+    return Window.partitionBy("symbol").orderBy("date")
 
 
 def resample(bars: DataFrame, period: Column, label: str = "date") -> DataFrame:
@@ -54,7 +57,7 @@ def spine(bars: DataFrame, unit: str) -> DataFrame:
 
 def change(bars: DataFrame) -> DataFrame:
     """Percent change of the close; the last of equal (symbol, date) rows counts."""
-    return bars.withColumn("pct_change", F.round(F.try_divide(F.col("close"), F.lag("close").over(BY_DATE)) * 100 - 100, 4))
+    return bars.withColumn("pct_change", F.round(F.try_divide(F.col("close"), F.lag("close").over(by_date())) * 100 - 100, 4))
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

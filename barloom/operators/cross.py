@@ -53,7 +53,7 @@ def bullish(bars: DataFrame) -> DataFrame:
 
 def turtle(bars: DataFrame, n: int = 20) -> DataFrame:
     """Close above the highest high of the n bars before."""
-    w = ind.BY_DATE.rowsBetween(-n, -1)
+    w = ind.by_date().rowsBetween(-n, -1)
     rows = bars.withColumn("top", F.when(F.count("high").over(w) == n, F.max("high").over(w)))
     return rows.where("close > top").select("symbol", "date")
 

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BY_DATE = Window.partitionBy("symbol").orderBy("date")
+
+def by_date():
+    """Rows of a symbol in the order of dates: one exchange and sort serves all windows over it."""
+    return Window.partitionBy("symbol").orderBy("date")
 
 
 def over(rows: int) -> Window:
     """The last ``rows`` rows with the current one."""
-    return BY_DATE.rowsBetween(-(rows - 1), 0)
+    return by_date().rowsBetween(-(rows - 1), 0)
 
 
 def mean(column: str, n: int, full: bool = False, places: int | None = None) -> Column:
@@ -21,7 +24,7 @@ def mean(column: str, n: int, full: bool = False, places: int | None = None) ->
 
 
 def lag(column: str | Column, n: int = 1) -> Column:
-    return F.lag(column, n).over(BY_DATE)
+    return F.lag(column, n).over(by_date())
 
 
 def slope(column: str, k: int) -> Column:
@@ -36,4 +39,4 @@ def below_run(column: str, level: str, n: int = 3) -> Column:
 
 
 def with_index(bars: DataFrame) -> DataFrame:
-    return bars.withColumn("bar_idx", F.row_number().over(BY_DATE) - 1)
+    return bars.withColumn("bar_idx", F.row_number().over(by_date()) - 1)

@@ -251,11 +251,11 @@ def enhanced(bars: DataFrame) -> DataFrame:
     from barloom.operators import indicators as ind
 
     rows = ind.with_index(bars).withColumns({"ma5": F.round(ind.mean("close", 5, True), 6), "ma30": F.round(ind.mean("close", 30, True), 6)})
-    centre = ind.BY_DATE.rowsBetween(-2, 2)
+    centre = ind.by_date().rowsBetween(-2, 2)
     top = (F.col("high") == F.max("high").over(centre)) & (F.col("high") >= 1.2 * F.col("ma30"))
     rows = rows.withColumns({"top": top, "slope": F.round(ind.slope("ma30", 5), 6)})
     # a centred high is known two bars later
-    seen = F.max(F.when(F.col("top"), F.col("bar_idx"))).over(ind.BY_DATE.rowsBetween(-(2**31) + 1, -2))
+    seen = F.max(F.when(F.col("top"), F.col("bar_idx"))).over(ind.by_date().rowsBetween(-(2**31) + 1, -2))
     rows = rows.withColumns({"seen": seen, "p5": ind.lag("ma5"), "p30": ind.lag("ma30"), "pvolume": ind.lag("volume")})
     gap = F.try_divide(F.col("close") - F.col("ma30"), F.col("ma30"))
     buy = F.col("seen").isNotNull() & (gap >= 0) & (gap <= 0.05) & (F.col("ma5") > F.col("ma30")) & (F.col("slope") >= -1e-6) & (F.col("bar_idx") >= 49)

@@ -43,7 +43,7 @@ def f04(spark, d):
 
 @query("f15_centred_extrema", "SELECT symbol, date, round(high, 6) = round(max(high) OVER c, 6) AS is_top, round(low, 6) = round(min(low) OVER c, 6) AS is_bottom FROM bars WINDOW c AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)", "bars")
 def f15(spark, d):
-    c = ind.BY_DATE.rowsBetween(-2, 2)
+    c = ind.by_date().rowsBetween(-2, 2)
     return daily_bars(spark, d).select("symbol", "date", (r("high") == r(F.max("high").over(c))).alias("is_top"), (r("low") == r(F.min("low").over(c))).alias("is_bottom"))
 
 
@@ -67,7 +67,7 @@ def f18(spark, d):
 @query("f19_later_breach", f"WITH m AS (SELECT symbol, date, round(close, 6) AS close, round(avg(close) {w(30)} * 0.97, 6) AS floor FROM bars) SELECT symbol, date, coalesce(max(CASE WHEN close < floor THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) = 1 AS broken FROM m", "bars")
 def f19(spark, d):
     rows = daily_bars(spark, d).select("symbol", "date", r("close").alias("close"), r(ind.mean("close", 30) * 0.97).alias("floor"))
-    later = ind.BY_DATE.rowsBetween(1, 2**31 - 1)
+    later = ind.by_date().rowsBetween(1, 2**31 - 1)
     return rows.select("symbol", "date", (F.coalesce(F.max(F.when(F.col("close") < F.col("floor"), 1).otherwise(0)).over(later), F.lit(0)) == 1).alias("broken"))
 
 
@@ -134,6 +134,6 @@ def f14(spark, d):
 @query("f22_top_divergence_warning")
 def f22(spark, d):
     rows = daily_bars(spark, d).join(folds(daily_bars(spark, d)).select("symbol", "date", "macd_hist"), ["symbol", "date"])
-    before = ind.BY_DATE.rowsBetween(-19, -1)
+    before = ind.by_date().rowsBetween(-19, -1)
     rows = rows.withColumns({"top": F.max("high").over(before), "peak": F.max("macd_hist").over(before)})
     return rows.where("high > top and macd_hist < 0.8 * peak").select("symbol", "date")

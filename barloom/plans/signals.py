@@ -117,7 +117,7 @@ def l11(spark, d):
 @query("l11_macd_divergence", EMA_SQL + f", q AS (SELECT symbol, date, round(close, 6) AS close, round(2 * (e12 - e26 - dea), 4) AS bar FROM e), p AS (SELECT *, min(close) OVER b AS low, min(bar) {w(5)} AS least, count(*) {w(5)} AS n FROM q WINDOW b AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING)) SELECT symbol, date FROM p WHERE n = 5 AND close < low AND bar > least", "bars")
 def l11b(spark, d):
     rows = folds(daily_bars(spark, d)).select("symbol", "date", F.round("close", 6).alias("close"), F.round("bar", 4).alias("bar"))
-    before = ind.BY_DATE.rowsBetween(-4, -1)
+    before = ind.by_date().rowsBetween(-4, -1)
     rows = rows.withColumns({"low": F.min("close").over(before), "least": F.min("bar").over(ind.over(5)), "n": F.count("*").over(ind.over(5))})
     return rows.where("n = 5 and close < low and bar > least").select("symbol", "date")
 

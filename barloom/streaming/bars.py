@@ -14,12 +14,14 @@ def event_bars(events: DataFrame, length: str = "1 day", late: str | None = "2 d
     In a stream the watermark bounds the state; in a batch it changes nothing.
     """
     rows = events.where("ts is not null and value is not null")
-    rows = rows.withWatermark("ts", late) if late and events.isStreaming else rows
+    kind = events.schema["ts"].dataType.simpleString()
+    if late and events.isStreaming:  # watermarks need a timestamp with time zone
+        rows = rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     at = F.struct("ts", "event_id")
     return (
         rows.groupBy("event_type", F.window("ts", length).alias("w"))
         .agg(F.min_by("value", at).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", at).alias("close"), F.count("*").alias("n"))
-        .select("event_type", F.col("w.start").alias("start"), "open", "high", "low", "close", "n")
+        .select("event_type", F.col("w.start").cast(kind).alias("start"), "open", "high", "low", "close", "n")
     )
 
 
