@@ -109,8 +109,8 @@ def _shingles(words: Column) -> Column:
 
 
 def _minima(shingles: Column, count: Column) -> Column:
-    """The ``count`` minima of a shingle array, each under its own permutation."""
-    return F.transform(F.sequence(F.lit(1), count), lambda b: F.array_min(F.transform(shingles, lambda s: F.xxhash64(s, b))))
+    """The keys of ``count`` bands: each a minimum of the shingles under the band's own permutation."""
+    return F.transform(F.sequence(F.lit(1), count), lambda b: F.xxhash64(b, F.array_min(F.transform(shingles, lambda s: F.xxhash64(s, b)))))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, miss: float = MISS) -> DataFrame:
@@ -123,7 +123,8 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
     spark = docs.sparkSession
     size_of = classes(templates)
     rows = [(name, size_of[name], words_of(text)) for name, text in templates.items()]
-    known = spark.createDataFrame(rows, "license string, class int, words array<string>")
+    lines = [F.struct(F.lit(n).alias("license"), F.lit(c).alias("class"), F.array(*[F.lit(x) for x in w]).alias("words")) for n, c, w in rows]
+    known = spark.range(1).select(F.inline(F.array(*lines)))
     known = known.select("license", "class", F.array_distinct(_shingles(F.col("words"))).alias("own"))
     widest = {c: max(bands(len(w), c, threshold, miss) for _, d, w in rows if d == c) for c in set(size_of.values())}
 
@@ -147,10 +148,12 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
     )))
     cut = texts.select("doc_id", "held", "size", F.explode(starts).alias("at"))
     cut = cut.select("doc_id", "at", "size.class", "size.bands", F.array_distinct(F.slice("held.shingles", F.col("at") + 1, F.col("size.wide"))).alias("window"))
-    probe = cut.select("doc_id", "at", "class", "window", F.posexplode(_minima(F.col("window"), F.col("bands"))).alias("band", "low"))
+    probe = cut.select("doc_id", "at", "class", "window", _minima(F.col("window"), F.col("bands")).alias("keys"))
     counts = F.create_map(*[x for c, n in sorted(widest.items()) for x in (F.lit(c), F.lit(n))])
-    own = known.select("license", "class", "own", F.posexplode(_minima(F.col("own"), F.element_at(counts, F.col("class")))).alias("band", "low"))
-    met = probe.join(F.broadcast(own), ["class", "band", "low"]).select("doc_id", "at", "license", (F.size(F.array_intersect("window", "own")) / F.size("own")).alias("containment"))
+    own = known.select("license", F.col("class").alias("own_class"), "own", _minima(F.col("own"), F.element_at(counts, F.col("class"))).alias("own_keys"))
+    # a window meets a template of its class once if any of their bands agree
+    met = probe.join(F.broadcast(own), (F.col("class") == F.col("own_class")) & F.arrays_overlap("keys", "own_keys"))
+    met = met.select("doc_id", "at", "license", (F.size(F.array_intersect("window", "own")) / F.size("own")).alias("containment"))
     best = met.groupBy("doc_id", "license").agg(F.max(F.struct("containment", (-F.col("at")).alias("at"))).alias("best"))
     best = best.where(F.col("best.containment") >= threshold)
     return best.select("doc_id", "license", F.col("best.containment").alias("containment"), (-F.col("best.at")).cast("long").alias("word"))
