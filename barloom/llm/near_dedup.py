@@ -25,6 +25,7 @@ from . import _text as t
 
 U64 = np.uint64
 GROUP = 256
+PIECE = 1 << 20  # bytes of text hashed at once
 SIGNED = "doc_id long, n_shingles long, s1 long, s2 long, a array<long>, b array<long>"
 SETS = "id long, n long, shingles binary"
 
@@ -68,7 +69,7 @@ def shingle_sets(column, size: int):
 def _sign(size: int, r: int, m: int):
     def run(batches):
         salts = t.stream(31, 2 * m * r)
-        for batch in batches:
+        for batch in (part for batch in batches for part in t.pieces(batch, limit=PIECE)):
             ids = batch.column("doc_id")
             for lo, keys, begins in shingle_sets(batch.column("text"), size):
                 n = np.diff(begins)
@@ -101,11 +102,10 @@ def _sets(size: int, allowed):
             rows = np.flatnonzero(may)
             if not len(rows):
                 continue
-            batch = batch.take(pa.array(rows))
-            for lo, keys, begins in shingle_sets(batch.column("text"), size):
+            for part, (lo, keys, begins) in ((part, x) for part in t.pieces(batch.take(pa.array(rows)), limit=PIECE) for x in shingle_sets(part.column("text"), size)):
                 six = keys.view(np.uint8).reshape(-1, 8)[:, 1:7]  # 48 of the 56 bits, in order of the 56
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("doc_id").slice(lo, len(begins) - 1), pa.array(np.diff(begins), pa.int64()),
+                    part.column("doc_id").slice(lo, len(begins) - 1), pa.array(np.diff(begins), pa.int64()),
                     pa.array([six[i:j].tobytes() for i, j in zip(begins[:-1], begins[1:])], pa.binary()),
                 ], ["id", "n", "shingles"])
 
