@@ -22,7 +22,7 @@ SAMPLE = 8000
 WORD_BITS = 16
 RANK = 8
 BINS = 24
-GROUP = 1024
+PIECE = 1 << 20  # bytes of text turned into features at once
 STEPS = 500  # few rows are gone over more often
 U64 = np.uint64
 
@@ -126,6 +126,7 @@ def _train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, size:
     rng = np.random.default_rng(5)
     model = Model(0.0, np.zeros(size, np.float32), (rng.standard_normal((size, RANK)) * 0.02).astype(np.float32))
     if not len(rows):
+        model.factors[:] = 0
         return model
     share = np.clip(labels.mean(), 0.01, 0.99)
     model.bias = float(np.log(share / (1 - share)))
@@ -196,8 +197,7 @@ def score(docs: DataFrame, model: Model, metadata: list[str] = (), threshold: fl
     def run(batches):
         model = Model(*shared.value)
         for batch in batches:
-            for lo in range(0, batch.num_rows, GROUP):
-                part = batch.slice(lo, GROUP)
+            for part in t.pieces(batch, limit=PIECE):
                 scores = model.score(*features(part.column("text"), _metadata_bins(part, names))).astype(float)
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], [*(f"k{k}" for k in range(len(keep))), "score", "predicted"])
 
