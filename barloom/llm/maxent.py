@@ -130,7 +130,7 @@ class Weights:
             (self.slots, b, [narrow[:, k] * CLASSES + c for k in range(narrow.shape[1])] + [(1 << NARROW_BITS) * CLASSES + c], seen[1]),
         ):
             for row in rows:
-                order = np.argsort(row, kind="stable")
+                order = np.argsort(row.astype(np.uint16), kind="stable")  # 16 bits: a radix sort
                 sorted_ = row[order]
                 begin = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]])
                 total = np.add.reduceat(gradient[order], begin, axis=0)
