@@ -47,10 +47,10 @@ def f15(spark, d):
     return daily_bars(spark, d).select("symbol", "date", (r("high") == r(F.max("high").over(c))).alias("is_top"), (r("low") == r(F.min("low").over(c))).alias("is_bottom"))
 
 
-@query("f16_ma_slope", f"WITH i AS (SELECT *, row_number() {O} - 1 AS bar_idx FROM bars), m AS (SELECT symbol, date, bar_idx, CASE WHEN count(close) {w(30)} = 30 THEN round(avg(close) {w(30)}, 2) END AS ma FROM i) SELECT symbol, date, CASE WHEN count(ma) {w(4)} = 4 THEN round(regr_slope(ma, bar_idx) {w(4)}, 4) END AS slope FROM m", "bars")
+@query("f16_ma_slope", f"WITH i AS (SELECT *, row_number() {O} - 1 AS bar_idx FROM bars), m AS (SELECT symbol, date, bar_idx, CASE WHEN count(close) {w(30)} = 30 THEN round(avg(close) {w(30)}, 2) END AS ma FROM i) SELECT symbol, date, CASE WHEN count(ma) {w(4)} = 4 THEN round(regr_slope(ma, bar_idx) {w(4)}, 4) + 0.0 END AS slope FROM m", "bars")
 def f16(spark, d):
     rows = ind.with_index(daily_bars(spark, d)).withColumn("ma", ind.mean("close", 30, True, 2))
-    return rows.select("symbol", "date", r(ind.slope("ma", 4), 4).alias("slope"))
+    return rows.select("symbol", "date", (r(ind.slope("ma", 4), 4) + F.lit(0.0)).alias("slope"))
 
 
 @query("f17_gain_ratio", f"SELECT symbol, date, round(max(high) {w(30)} / min(low) {w(30)}, 6) AS gain FROM bars", "bars")

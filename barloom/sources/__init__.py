@@ -59,7 +59,7 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     wan = F.format_string("%.4f万", F.col("revenue") / 10000)
     profit = F.format_string("%.2f", F.col("revenue") * (F.col("n") % 7 - 1) / 20)
     benefit = F.concat(F.lit('{"营业总收入":"'), wan, F.lit('","净利润":"'), profit, F.lit('"}'))
-    equity = F.concat(F.lit('{"所有者权益合计":"'), F.format_string("%.6f亿", F.col("revenue") * (F.col("n") % 5 - 1) / 1e8), F.lit('"}'))
+    equity = F.concat(F.lit('{"所有者权益合计":"'), F.format_string("%.8f亿", F.col("revenue") * (F.col("n") % 5 - 1) / 1e8), F.lit('"}'))
     kinds = F.array(F.struct(F.lit("benefit").alias("report_type"), benefit.alias("data")), F.struct(F.lit("debt").alias("report_type"), equity.alias("data")))
     return sums.select("symbol", "report_date", F.inline(kinds))
 
@@ -94,7 +94,7 @@ sums AS (
   SELECT symbol, CAST(report_date AS DATE) AS report_date, revenue, n FROM sums
 ), facts AS (
   SELECT symbol, report_date, round(revenue / 10000, 4) * 10000 AS revenue, round(revenue * (n % 7 - 1) / 20, 2) AS profit,
-         round(revenue * (n % 5 - 1) / 1e8, 6) * 1e8 AS equity
+         round(revenue * (n % 5 - 1) / 1e8, 8) * 1e8 AS equity
   FROM reports
 )""",
 }
