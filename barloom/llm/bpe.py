@@ -21,8 +21,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHED_PIECES = 600_000
-CACHED_PAIRS = 1_000_000
+CACHED_PIECES = 300_000
+CACHED_PAIRS = 400_000
 LONG = 64
 
 
