@@ -67,20 +67,22 @@ class ApproximationFile:
         out = []
         for q in range(len(queries)):
             mine = bounds[q]
-            take, read = min(len(mine), 4 * k), 0
+            left, grow = np.arange(len(mine)), 4 * k  # rows not read yet, each in one round only
             scores, ids = np.zeros(0), np.zeros(0, np.int64)
-            while read < len(mine):
-                order = np.argpartition(-mine, take - 1)[:take] if take < len(mine) else np.arange(len(mine))
-                order = order[np.argsort(-mine[order], kind="stable")]
-                more = order[read:]
+            while len(left):
+                if grow < len(left):
+                    parted = np.argpartition(-mine[left], grow)
+                    more, left = left[parted[:grow]], left[parted[grow:]]
+                else:
+                    more, left = left, left[:0]
                 more = more[self.ids[more] != own[q]]
                 scores = np.r_[scores, _dots(self.exact[more], queries[q])]
                 ids = np.r_[ids, self.ids[more]]
                 best = np.lexsort((ids, -scores))[:k]
-                read = take
-                if take >= len(mine) or len(best) == k and -np.partition(-mine, take)[take] < scores[best[-1]]:
+                # parted at grow: left[0] has the highest bound of those not read
+                if len(best) == k and len(left) and mine[left[0]] < scores[best[-1]]:
                     break
-                scores, ids, take = scores, ids, min(len(mine), 4 * take)
+                scores, ids, grow = scores[best], ids[best], 4 * grow
             best = np.lexsort((ids, -scores))[:k]
             out.append((np.full(len(best), q), ids[best], scores[best]))
         return [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 3

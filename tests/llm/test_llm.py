@@ -143,6 +143,19 @@ def test_vectors(spark):
     assert vector_search.top_k(df.limit(0), df, 10).count() == 0 and vector_search.top_k(df, df.limit(0), 10).count() == 0
 
 
+@pytest.mark.parametrize("copies", [50, 60, 300, 2700, 3000])
+def test_vectors_with_many_equal_ones(copies):
+    rng = np.random.default_rng(copies)
+    exact = np.floor(1024 * rng.standard_normal((4096, 32)))
+    exact[rng.permutation(4096)[:copies]] = exact[0]
+    ids = rng.permutation(4096)
+    queries = np.floor(exact[0] + 64 * rng.standard_normal((8, 32)))
+    q, found, scores = vector_search.ApproximationFile(ids, exact).search(queries, np.full(8, -1), 10)
+    for i, query in enumerate(queries):
+        whole = sorted(zip((-(exact @ query)).tolist(), ids.tolist()))[:10]
+        assert [(-s, v) for s, v in zip(scores[q == i].tolist(), found[q == i].tolist())] == whole
+
+
 def test_contamination(spark):
     rng = random.Random(7)
     item = "If Alice buys 3 apples for 12 dollars and then Bob buys 5 pears for 20 dollars how much money did they spend on fruit today"
