@@ -170,6 +170,26 @@ def test_contamination(spark):
     assert decontaminate.find(docs, items.limit(0)).count() == 0 and decontaminate.find(docs.limit(0), items).count() == 0
 
 
+def contaminated(spark, texts, items, fill):
+    docs = table(spark, [f"{fill} {x}. {fill}" for x in texts])
+    items = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = [{(r.doc_id, r.item_id): (r.covered, r.words) for r in decontaminate.find(docs, items, limit=limit).collect()} for limit in (decontaminate.WINDOW_LIMIT, 0)]
+    assert found[0] == found[1]
+    return found[0]
+
+
+def test_contamination_by_edited_copies(spark):
+    item = [f"q{i}" for i in range(40)]
+    slots = "a shop in New York sold 1,500 pears at 3.5 dollars each and sent them over 5km of road to the small harbour where Ann Lee waited for her ship"
+    other = slots.replace("New York", "Paris").replace("1,500", "900").replace("3.5", "7").replace("5km", "8 miles").replace("Ann Lee", "Bo")
+    texts = [
+        " ".join(item[:20] + ["new"] + item[20:]), " ".join(item[:20] + item[21:]), other, slots.replace("1,500", "12,000.5").replace("5km", "9kg"),
+        slots.replace("1,500", "1 700").replace("New York", "San, Jose"), " ".join(item[:9] + item[20:29]), "nothing of it",
+    ]
+    got = contaminated(spark, texts, [" ".join(item), slots], sentence(random.Random(17), 60))
+    assert sorted(got) == [(0, 0), (1, 0), (2, 1), (3, 1), (4, 1)] and got[0, 0] == (40, 40) and got[1, 0] == (39, 40)
+
+
 def luhn(d):
     return sum(sum(divmod(2 * int(c), 10)) if i % 2 else int(c) for i, c in enumerate(reversed(d))) % 10 == 0
 
