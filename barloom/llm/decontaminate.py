@@ -6,7 +6,7 @@ hashed and joined with the benchmark's; a second set of windows has one placehol
 every folded word, so changes of punctuation or case do not matter.  Hits of one document and item on one diagonal, and then on neighbouring ones (inserted or deleted
 words, placeholders of other lengths), are checked for slot consistency: a placeholder's benchmark value must
 always meet the same document value.  A pair is reported when consistent hits cover at least ``cover`` of the
-item's words.
+item's words, or when a whole window of folded words is the same in both, whatever its share of the item.
 
 The benchmark's windows are broadcast while they fit WINDOW_LIMIT; a larger benchmark is joined by hash.
 """
@@ -22,7 +22,7 @@ from . import _session
 from . import _text as t
 
 WINDOW = 10
-PLAIN = 4  # words of a template window that are no placeholders, at least
+PLAIN = 4  # words of a template window that are no placeholders (of a folded window: no numbers), at least
 COVER = 0.6
 STEADY = 0.7
 WINDOW_LIMIT = 1_000_000  # 16 bytes each
@@ -218,7 +218,7 @@ def _texts(table: DataFrame, key: str) -> DataFrame:
 
 
 def find(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, cover: float = COVER, steady: float = STEADY, limit: int = WINDOW_LIMIT) -> DataFrame:
-    """Pairs (doc_id, item_id, covered, words): documents that hold an item and how many of its words.
+    """Pairs (doc_id, item_id, covered, words): documents that hold an item or a whole window of it, and how many of its words.
 
     docs has doc_id and text, benchmark item_id and text.  Rows with a null in either column take no part,
     empty texts hold nothing, repeated rows report once, items without words are never found.  Other columns
@@ -236,13 +236,14 @@ def find(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, cover: float
     # one diagonal (document word minus item word) is one alignment
     pair = F.expr("filter(transform(sequence(0, size - 1), i -> struct(element_at(item_kinds, i + 1) as kind, element_at(item_folded, i + 1) as item, element_at(folded, i + 1) as doc)), x -> x.kind > 0)")
     run = F.expr("sequence(item_at, item_end - 1)")
+    verbatim = F.expr(f"stream = {FOLDED} and size >= {size} and size(filter(item_kinds, x -> x <> {KIND_NUMBER})) >= {PLAIN}")
     keys = ["id", "tie", "item_id", "item_tie", "words"]
-    met = met.withColumn("line", F.col("at") - F.col("item_at")).select(*keys, "line", (F.col("stream") == TOKENS).alias("tokens"), run.alias("run"), pair.alias("slots"))
+    met = met.withColumn("line", F.col("at") - F.col("item_at")).select(*keys, "line", (F.col("stream") == TOKENS).alias("tokens"), run.alias("run"), pair.alias("slots"), verbatim.alias("verbatim"))
     # an item's windows meet a line once or, beside placeholders, a few times, so these sets are bounded by the item
-    lines = met.groupBy(*keys, "line", "tokens").agg(F.array_distinct(F.flatten(F.collect_set("run"))).alias("run"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
+    lines = met.groupBy(*keys, "line", "tokens").agg(F.array_distinct(F.flatten(F.collect_set("run"))).alias("run"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"), F.max("verbatim").alias("verbatim"))
     # blocks of diagonals overlap by half: lines up to half an item apart share one
     near = lines.withColumn("block", F.expr("explode(transform(array(0, 1), x -> cast(floor(line / (words div 2 + 1)) as int) - x))"))
-    near = near.groupBy(*keys, "block").agg(F.collect_list(F.struct(F.size("run").alias("covered"), "line", "tokens", "run", "slots")).alias("lines"))
+    near = near.groupBy(*keys, "block").agg(F.collect_list(F.struct(F.size("run").alias("covered"), "line", "tokens", "run", "slots")).alias("lines"), F.max("verbatim").alias("verbatim"))
 
     def steady_slots(slots):
         return F.size(F.array_distinct(F.transform(slots, lambda x: x["item"]))) >= steady * F.size(slots)
@@ -254,7 +255,7 @@ def find(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, cover: float
     # the longest lines first; one that contradicts those before it is left out
     none = F.struct(F.expr("cast(array() as array<int>)").alias("run"), F.expr("cast(array() as array<struct<kind: tinyint, item: bigint, doc: bigint>>)").alias("slots"))
     near = near.withColumn("covered", F.aggregate(F.sort_array("lines", asc=False), none, add, lambda x: F.size(x["run"])))
-    good = near.where(F.col("covered") >= cover * F.col("words"))
+    good = near.where(F.col("verbatim") | (F.col("covered") >= cover * F.col("words")))
     return good.groupBy(F.col("id").alias("doc_id"), "item_id").agg(F.max("covered").alias("covered"), F.max_by("words", "covered").alias("words"))
 
 

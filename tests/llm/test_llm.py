@@ -190,6 +190,14 @@ def test_contamination_by_edited_copies(spark):
     assert sorted(got) == [(0, 0), (1, 0), (2, 1), (3, 1), (4, 1)] and got[0, 0] == (40, 40) and got[1, 0] == (39, 40)
 
 
+def test_contamination_by_passages(spark):
+    long = [f"r{i}" for i in range(59)]
+    numbers = "count 1 2 3 4 5 6 7 8 9 10 11 and then say what number it is that comes after the last of them here"
+    texts = [" ".join(long[12:47]), " ".join(long[30:]), " ".join(long[:12]), " ".join(long[:9] + long[20:29]), "1 2 3 4 5 6 7 8 9 10 11 12", "nothing of it"]
+    got = contaminated(spark, texts, [" ".join(long), numbers], sentence(random.Random(18), 60))
+    assert got == {(0, 0): (35, 59), (1, 0): (29, 59), (2, 0): (12, 59)}
+
+
 def luhn(d):
     return sum(sum(divmod(2 * int(c), 10)) if i % 2 else int(c) for i, c in enumerate(reversed(d))) % 10 == 0
 
