@@ -2,7 +2,8 @@
 
 One regular expression finds candidates; each is validated (Luhn, mod 97, calendar, number ranges) and
 replaced by a keyed permutation of its own format, so equal values get equal pseudonyms in every document
-and separators stay.  The permutation is a Feistel network over two number halves (or two halves of a
+and separators stay.  A card, phone or account that a candidate holds beside other groups is found by trying
+its parts between separators.  The permutation is a Feistel network over two number halves (or two halves of a
 string, character class by character class) with a keyed SHA-256 as round function:
 
     card    first digit kept, payload permuted, Luhn digit computed anew
@@ -27,7 +28,7 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}+@[A-Za-z0-9](?:[A-Za-z0-9\-]{0,62}\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])",
     "token": r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,128}+|[0-9A-F]{32,128}+)(?![A-Za-z0-9])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}+(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "date": r"(?<![\d\-/.])(?:(?:18|19|20|21)\d\d-\d\d-\d\d|\d\d/\d\d/(?:18|19|20|21)\d\d|\d\d\.\d\d\.(?:18|19|20|21)\d\d)(?![\d\-/])",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
@@ -146,23 +147,57 @@ def _mod97(text: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(text)), F.lit(0), add)
 
 
+def _within(m: Column, marks: str, rank, make) -> Column:
+    """m with its best part replaced by make(part); a part runs from one of the marks (or an end) to another.
+
+    rank gives a part's rank or null where it does not fit; of the smallest rank the longest part, then the first, is
+    taken.  Null if none fits.
+    """
+    at = F.filter(F.sequence(F.lit(1), F.length(m)), lambda i: m.substr(i, F.lit(1)).rlike(marks))
+    starts, ends = F.concat(F.array(F.lit(1)), F.transform(at, lambda i: i + 1)), F.concat(F.transform(at, lambda i: i - 1), F.array(F.length(m)))
+    pairs = F.flatten(F.transform(starts, lambda i: F.transform(F.filter(ends, lambda j: j >= i), lambda j: F.struct(i.alias("i"), (j - i + 1).alias("n")))))
+    ranked = F.transform(pairs, lambda x: F.struct(rank(m.substr(x["i"], x["n"])).alias("rank"), (-x["n"]).alias("less"), x["i"].alias("i"), x["n"].alias("n")))
+    best = F.array_min(F.filter(ranked, lambda x: x["rank"].isNotNull()))
+
+    def written(x: Column) -> Column:
+        return F.when(x.isNotNull(), F.concat(m.substr(F.lit(1), x["i"] - 1), make(m.substr(x["i"], x["n"])), m.substr(x["i"] + x["n"], F.length(m))))
+
+    return let(best, written)
+
+
 def _card(key: str, m: Column) -> Column:
+    """The card in m, which may hold other numbers before or after it: a card in one piece, else the longest part."""
+
+    def rank(part: Column) -> Column:
+        def of(d: Column) -> Column:
+            valid = F.when(F.length(d).between(13, 19), (luhn_sum(d, False) % 10 == 0) & ~d.rlike(r"^(\d)\1*$"))
+            return F.when(valid, F.when(F.length(d) == F.length(part), 0).otherwise(1))
+
+        return let(digits_of(part), of)
+
     def made(d: Column) -> Column:
         body = F.concat(d.substr(F.lit(1), F.lit(1)), permuted_digits(key, "card", d.substr(F.lit(2), F.length(d) - 2)))
-        new = let(body, lambda x: F.concat(x, ((10 - luhn_sum(x, True) % 10) % 10).cast("string")))
-        return F.when((luhn_sum(d, False) % 10 == 0) & ~d.rlike(r"^(\d)\1*$"), let(new, lambda x: _refill(m, x)))
+        return let(body, lambda x: F.concat(x, ((10 - luhn_sum(x, True) % 10) % 10).cast("string")))
 
-    return let(digits_of(m), made)
+    return _within(m, r"[ \-]", rank, lambda part: let(part, lambda p: let(let(digits_of(p), made), lambda x: _refill(p, x))))
 
 
 def _phone(key: str, m: Column) -> Column:
-    code = F.when(m.startswith("+"), F.greatest(F.lit(1), F.length(F.regexp_extract(m, r"^\+(\d{1,3})(?=[ .\-(])", 1)))).otherwise(0)
+    """The phone at the start of m, which may hold other numbers after it: ten digits behind +1, else the longest part."""
 
-    def made(d: Column) -> Column:
-        new = let(code, lambda c: F.concat(d.substr(F.lit(1), c), permuted_digits(key, "phone", d.substr(c + 1, F.length(d)))))
-        return F.when(F.length(d).between(7, 15), let(new, lambda x: _refill(m, x)))
+    def rank(part: Column) -> Column:
+        n = F.length(digits_of(part))
+        return F.when(n.between(7, 15) & part.rlike(rf"^(?:{PATTERNS['phone']})$"), F.when(part.rlike(r"^\+1[ .\-(]") & (n == 11), 0).otherwise(1))
 
-    return let(digits_of(m), made)
+    def make(part: Column) -> Column:
+        code = F.when(part.startswith("+"), F.greatest(F.lit(1), F.length(F.regexp_extract(part, r"^\+(\d{1,3})(?=[ .\-(])", 1)))).otherwise(0)
+
+        def made(d: Column) -> Column:
+            return let(code, lambda c: F.concat(d.substr(F.lit(1), c), permuted_digits(key, "phone", d.substr(c + 1, F.length(d)))))
+
+        return let(let(digits_of(part), made), lambda x: _refill(part, x))
+
+    return _within(m, r"[ .\-]", rank, lambda part: let(part, make))
 
 
 def _ssn(key: str, m: Column) -> Column:
@@ -212,17 +247,28 @@ def _date(key: str, m: Column) -> Column:
 
 
 def _iban(key: str, m: Column) -> Column:
-    def made(c: Column) -> Column:
-        country, bban = c.substr(F.lit(1), F.lit(2)), c.substr(F.lit(5), F.length(c))
-        valid = (_mod97(F.concat(bban, c.substr(F.lit(1), F.lit(4)))) == 1) & F.length(c).between(15, 34)
+    """The account in m, which may hold other words before or after it: the longest part that validates."""
+
+    def rank(part: Column) -> Column:
+        def of(c: Column) -> Column:
+            fits = c.rlike("^[A-Z]{2}[0-9]{2}") & F.length(c).between(15, 34)
+            return F.when(F.when(fits, _mod97(F.concat(c.substr(F.lit(5), F.length(c)), c.substr(F.lit(1), F.lit(4)))) == 1), 0)
+
+        return let(F.regexp_replace(part, " ", ""), of)
+
+    def make(part: Column) -> Column:
+        def made(c: Column) -> Column:
+            country = c.substr(F.lit(1), F.lit(2))
+
+            def written(new: Column) -> Column:
+                check = F.lpad((98 - _mod97(F.concat(new, country, F.lit("00")))).cast("string"), 2, "0")
+                return let(F.concat(country, check, new), lambda x: _refill(part, x, "[^A-Z0-9]"))
 
-        def written(new: Column) -> Column:
-            check = F.lpad((98 - _mod97(F.concat(new, country, F.lit("00")))).cast("string"), 2, "0")
-            return let(F.concat(country, check, new), lambda x: _refill(m, x, "[^A-Z0-9]"))
+            return let(permuted_text(key, "iban", c.substr(F.lit(5), F.length(c))), written)
 
-        return F.when(valid, let(permuted_text(key, "iban", bban), written))
+        return let(F.regexp_replace(part, " ", ""), made)
 
-    return let(F.regexp_replace(m, " ", ""), made)
+    return _within(m, " ", rank, lambda part: let(part, make))
 
 
 def _email(key: str, m: Column) -> Column:

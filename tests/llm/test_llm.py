@@ -219,6 +219,22 @@ def test_pseudonyms(spark):
     assert pseudonyms.pseudonymise(table(spark, []), "key").count() == 0
 
 
+def test_pseudonyms_beside_other_groups(spark):
+    card, iban, phone = "4465758382889437", "AT611904300234573201", "+1 (663) 555-6869"
+    cards = [f"{card} 100 euro", f"order 100 {card}", f"{card}-12 x", f"{card} {card}", f"in 2024 {card} 1"]
+    cards += [f"{card} {i}" for i in range(100, 120)]  # some of these pass Luhn as a whole
+    ibans = [f"{iban} BIC", f"{iban} BANK", f"to {iban} KONTOVERBINDUNGSNUMMER", f"AB12 {iban} X"]
+    phones = [f"{phone} 2024", f"{phone} 1234 5678 9012"]
+    texts = [card, iban, phone, "4111 1111 1111 1111 12/25", "4111 1111 1111 1111", "+49 (30) 1234 5678 9012 3456"] + cards + ibans + phones
+    rows = {r.doc_id: r for r in pseudonyms.pseudonymise(table(spark, texts), "key").collect()}
+    new = {x: rows[i].text for i, x in enumerate((card, iban, phone))}
+    assert all(a != b for a, b in new.items()) and rows[3].text == rows[4].text + " 12/25" and rows[3].text != texts[3]
+    for i in range(6, len(texts)):
+        assert rows[i].text == next(texts[i].replace(a, b) for a, b in new.items() if a in texts[i]), texts[i]
+    assert rows[5].text != texts[5] and rows[5].text.startswith("+49 (")
+    assert [rows[i].n_card for i in range(3, 11)] == [1, 1, 0, 1, 1, 1, 2, 1] and all(rows[i].n_iban for i in range(31, 35))
+
+
 def test_pseudonyms_are_permutations(spark):
     n = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("d"))
     made = n.select(pseudonyms.permuted_digits("k", "t", F.col("d")).alias("x"), pseudonyms.permuted_digits("other", "t", F.col("d")).alias("y")).collect()
