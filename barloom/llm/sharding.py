@@ -19,6 +19,7 @@ from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 MERGES_A_JOB = 48
 
@@ -32,6 +33,18 @@ class Shard:
     version: int
 
 
+def joined(held: StructType, more: StructType) -> StructType:
+    """held's columns, then those that only more has; names differ by more than case, as in Spark's default."""
+    known, out = {x.name.lower(): x for x in held}, list(held)
+    for x in more:
+        old = known.setdefault(x.name.lower(), x)
+        if old is x:
+            out.append(x)
+        elif old.dataType.simpleString() != x.dataType.simpleString():
+            raise ValueError(f"column {x.name} is {x.dataType.simpleString()}, in the store {old.dataType.simpleString()}")
+    return StructType(out)
+
+
 class Store:
     """A shard store in any folder that Spark's file systems reach."""
 
@@ -50,21 +63,26 @@ class Store:
 
     def manifest(self, version: int | None = None) -> tuple[int, list[Shard]]:
         """(version, shards) of the latest or of a given version; version 0 is the empty store."""
+        held = self._held(version)
+        return held["version"], [Shard(**x) for x in held["shards"]]
+
+    def _held(self, version: int | None = None) -> dict:
         known = self.versions()
         version = (known[-1] if known else 0) if version is None else version
         if not version:
-            return 0, []
+            return {"version": 0, "shards": []}
         stream = self._fs.open(self._path(f"manifests/{version:08d}.json"))
         try:
             text = self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
             stream.close()
-        return version, [Shard(**x) for x in json.loads(text)["shards"]]
+        return json.loads(text)
 
-    def commit(self, base: int, shards: list[Shard], what: str) -> int:
-        """Make version base + 1; fails if another writer has made it first."""
+    def commit(self, base: int, shards: list[Shard], what: str, schema: StructType | None = None) -> int:
+        """Make version base + 1; fails if another writer has made it first.  Without a schema that of base stays."""
         version = base + 1
-        text = json.dumps({"version": version, "what": what, "shards": [asdict(x) for x in shards]})
+        schema = self.schema(base) if schema is None else schema
+        text = json.dumps({"version": version, "what": what, "schema": schema.jsonValue(), "shards": [asdict(x) for x in shards]})
         draft, final = self._path(f"manifests/.draft-{uuid.uuid4().hex}"), self._path(f"manifests/{version:08d}.json")
         stream = self._fs.create(draft, False)
         try:
@@ -85,11 +103,16 @@ class Store:
         return [Shard(f"{folder}/{name}", size, version) for name, size in sorted(found) if name.endswith(".parquet")]
 
     def append(self, rows: DataFrame) -> int:
-        """Write an arrival as small shards and commit them; an empty arrival commits what it wrote, if anything."""
+        """Write an arrival as small shards and commit them; an empty arrival commits what it wrote, if anything.
+
+        Further columns join the store's, and rows without them have nulls there; a column of another type than
+        the store's is refused before anything is written.
+        """
         base, shards = self.manifest()
+        schema = joined(self.schema(base), rows.schema)
         folder = f"data/{base + 1:08d}-{uuid.uuid4().hex[:8]}"
         rows.write.parquet(f"{self.root}/{folder}")
-        return self.commit(base, shards + self._written(folder, base + 1), "append")
+        return self.commit(base, shards + self._written(folder, base + 1), "append", schema)
 
     def tier(self, shard: Shard) -> int:
         """0 for files of the target's size or more (over half of it), then 1, 2, ... for each factor of fanout below."""
@@ -125,31 +148,38 @@ class Store:
         runs = self.plan(shards)
         if not runs:
             return base
-        folders = []
+        folders, schema = [], self.schema(base)
         for lo in range(0, len(runs), MERGES_A_JOB):
             merged = None
             for run in runs[lo : lo + MERGES_A_JOB]:
-                part = self._read(run).coalesce(1)
+                part = self._read(run, schema).coalesce(1)
                 merged = part if merged is None else merged.union(part)
             folders.append(f"data/{base + 1:08d}-{uuid.uuid4().hex[:8]}")
             merged.write.parquet(f"{self.root}/{folders[-1]}")
         gone = {x.file for run in runs for x in run}
         new = [x for folder in folders for x in self._written(folder, base + 1)]
-        return self.commit(base, [x for x in shards if x.file not in gone] + new, "compact")
+        return self.commit(base, [x for x in shards if x.file not in gone] + new, "compact", schema)
 
-    def _read(self, shards: list[Shard]) -> DataFrame:
+    def _read(self, shards: list[Shard], schema: StructType) -> DataFrame:
         paths = [f"{self.root}/{x.file}" for x in shards]
-        return self.spark.read.schema(self.schema(shards)).parquet(*paths)
-
-    def schema(self, shards: list[Shard]):
-        return self.spark.read.parquet(f"{self.root}/{shards[0].file}").schema
+        return self.spark.read.schema(schema).parquet(*paths)
+
+    def schema(self, version: int | None = None) -> StructType:
+        """All columns of a version: its manifest's, or where that names none those of one shard a folder."""
+        held = self._held(version)
+        if "schema" in held:
+            return StructType.fromJson(held["schema"])
+        found = StructType()
+        for file in {x["file"].rsplit("/", 1)[0]: x["file"] for x in held["shards"]}.values():
+            found = joined(found, self.spark.read.parquet(f"{self.root}/{file}").schema)
+        return found
 
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of a version, with the shard each lies in (``shard``)."""
-        _, shards = self.manifest(version)
+        version, shards = self.manifest(version)
         if not shards:
             raise ValueError("the store is empty")
-        rows = self._read(shards)
+        rows = self._read(shards, self.schema(version))
         return rows.withColumn("shard", F.element_at(F.split(F.col("_metadata.file_path"), f"{self.root.rsplit('/', 1)[-1]}/"), -1))
 
     def vacuum(self) -> int:

@@ -332,6 +332,22 @@ def test_store(spark, tmp_path):
     assert all(b <= 2 * store.target for b in merged)
 
 
+def test_store_keeps_further_columns(spark, tmp_path):
+    store = sharding.Store(spark, str(tmp_path / "s"), target_bytes=1 << 20)
+    store.append(spark.createDataFrame([(1, "a")], "doc_id long, text string"))
+    first = store.append(spark.createDataFrame([(2, "b", 7)], "doc_id long, text string, extra int"))
+    store.append(spark.createDataFrame([("c",)], "text string"))
+    whole = [(None, "c", None), (1, "a", None), (2, "b", 7)]
+    rows = lambda: sorted(map(tuple, store.read().select("doc_id", "text", "extra").collect()), key=str)
+    assert rows() == sorted(whole, key=str)
+    with pytest.raises(ValueError):
+        store.append(spark.createDataFrame([("x",)], "extra string"))
+    store.compact()
+    store.vacuum()
+    assert len(store.manifest()[1]) == 1 and rows() == sorted(whole, key=str)
+    assert store.schema(first).names == ["doc_id", "text", "extra"]
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline as p
 
