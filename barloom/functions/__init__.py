@@ -14,8 +14,12 @@ def parse_number(text: Column) -> Column:
     t = F.trim(text)
     scale = F.when(t.contains("亿"), 1e8).when(t.contains("万"), 1e4).otherwise(1.0)
     value = F.regexp_replace(t, "[亿万, ]", "").try_cast("double")
-    value = F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value)
-    return F.when(~F.lower(t).isin(MISSING), value * scale)
+    return F.when(~F.lower(t).isin(MISSING), finite(value) * scale)
+
+
+def finite(x: Column) -> Column:
+    """x, or null where it is NaN or infinite."""
+    return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
 
 
 def lookup_number(data: Column, name: str) -> Column:
@@ -43,6 +47,13 @@ def mixed_date(text: Column) -> Column:
     return F.when(t.rlike(r"^\d{8}$"), compact.try_cast("date")).when(plain.rlike(r"^\d{4}-\d{1,2}-\d{1,2}( |$)"), F.split_part(plain, F.lit(" "), F.lit(1)).try_cast("date"))
 
 
+def document_url(page: Column, host: str) -> Column:
+    """host/date/id.PDF from a page address with announcementId and announcementTime; null without them or with a time that is no date."""
+    parameter = lambda name: F.nullif(F.parse_url(page, F.lit("QUERY"), F.lit(name)), F.lit(""))
+    day = F.split_part(F.regexp_replace(parameter("announcementTime"), "%20|[+]", " "), F.lit(" "), F.lit(1)).try_cast("date")
+    return F.concat(F.lit(host + "/"), F.date_format(day, "yyyy-MM-dd"), F.lit("/"), parameter("announcementId"), F.lit(".PDF"))
+
+
 def week_friday(date: Column) -> Column:
     """The Friday that closes a date's week from Saturday to Friday."""
     return F.next_day(F.date_sub(date, 1), "FR")

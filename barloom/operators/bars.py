@@ -46,18 +46,54 @@ def dynamic(bars: DataFrame, unit: str, processing: Column) -> DataFrame:
     return out.where("open is not null and close is not null").withColumn("date", processing)
 
 
-def spine(bars: DataFrame, unit: str) -> DataFrame:
-    """Weeks (Fridays) or months (month ends) of every symbol without gaps: empty periods have volume 0 and null prices."""
+def spine(bars: DataFrame, unit: str, least: int = 0) -> DataFrame:
+    """Weeks (Fridays) or months (month ends) of every symbol without gaps: empty periods have volume 0 and null prices.
+
+    Each bar brings the empty periods up to the next one, so the bars are aggregated once.  Symbols with fewer than
+    ``least`` daily rows have none.
+    """
     period = fn.week_friday(F.col("date")) if unit == "week" else F.last_day("date")
-    dense = resample(bars, period)
-    ends = dense.groupBy("symbol").agg(F.min("date").alias("a"), F.max("date").alias("z"))
-    steps = F.sequence("a", "z", F.expr("interval 7 days")) if unit == "week" else F.transform(F.sequence(F.trunc("a", "month"), F.trunc("z", "month"), F.expr("interval 1 month")), lambda d: F.last_day(d))
-    return ends.select("symbol", F.explode(steps).alias("date")).join(dense.drop("last"), ["symbol", "date"], "left").fillna(0.0, ["volume", "amount"])
+    rows = bars if not least else bars.withColumn("__n", F.count("*").over(Window.partitionBy("symbol"))).where(F.col("__n") >= least).drop("__n")
+    dense = resample(rows, period).drop("last").withColumn("next", F.lead("date").over(by_date()))
+    if unit == "week":
+        steps = F.sequence("date", F.date_sub("next", 7), F.expr("interval 7 days"))
+    else:
+        steps = F.transform(F.sequence(F.trunc("date", "month"), F.add_months(F.trunc("next", "month"), -1), F.expr("interval 1 month")), lambda x: F.last_day(x))
+    each = dense.select("*", F.explode(F.when(F.col("next").isNull(), F.array("date")).otherwise(steps)).alias("at"))
+    own = F.col("at") == F.col("date")
+    prices = [F.when(own, F.col(c)).alias(c) for c in ("open", "high", "low", "close")]
+    return each.select("symbol", F.col("at").alias("date"), *prices, *[F.when(own, F.col(c)).otherwise(0.0).alias(c) for c in ("volume", "amount")])
+
+
+def rebuilt(bars: DataFrame, unit: str, processing: str, since: str | None = None) -> DataFrame:
+    """All completed weeks or months before the day's period, and the unfinished one dated that day; since: of bars from then on."""
+    day = F.lit(str(processing)).cast("date")
+    some = bars.where(F.col("date") <= day) if since is None else bars.where(F.col("date").between(F.lit(str(since)).cast("date"), day))
+    done = (weekly if unit == "week" else monthly)(some, F.date_trunc(unit, day).cast("date")).drop("last")
+    return done.unionByName(dynamic(some, unit, day).select(done.columns))
+
+
+def refresh(table, bars: DataFrame, unit: str, processing: str, days: int = 90) -> None:
+    """Bring a table of periods up to date from the bars of the last ``days`` days: whole periods are made anew and replace the old ones."""
+    day = F.lit(str(processing)).cast("date")
+    first = F.date_trunc(unit, F.date_sub(day, days)).cast("date")
+    first = first if unit == "month" else F.date_sub(first, 2)  # completed weeks begin on Saturday
+    new = rebuilt(bars.where(F.col("date") >= first), unit, processing)
+    kept = table.read().where(F.col("date") < first)
+    table.reload(kept.unionByName(new.select(kept.columns)))
+
+
+def change(bars: DataFrame, order: str | None = None) -> DataFrame:
+    """Percent change of the close; of equal (symbol, date) rows the one that is last by ``order`` counts."""
+    if order is not None:
+        bars = keep_last(bars, ["symbol", "date"], order)
+    return bars.withColumn("pct_change", F.round(F.try_divide(F.col("close"), F.lag("close").over(by_date())) * 100 - 100, 4))
 
 
-def change(bars: DataFrame) -> DataFrame:
-    """Percent change of the close; the last of equal (symbol, date) rows counts."""
-    return bars.withColumn("pct_change", F.round(F.try_divide(F.col("close"), F.lag("close").over(by_date())) * 100 - 100, 4))
+def keep_last(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
+    """The whole last row by the order columns of every key."""
+    last = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
+    return rows.withColumn("__rank", F.row_number().over(last)).where(F.col("__rank") == 1).drop("__rank")
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

@@ -9,66 +9,90 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: fixed values: separators from the coarsest to the finest
-LADDER = ["\n\n", "\n", "。", "！", "？", ". ", "! ", "? ", " ", ""]
+LADDER = ["\n\n\n", "\n\n", "\n", "。\n", "。", "！", "？", "；", "，", " ", ""]
+#: fixed values: what ends a sentence
+ENDS = "[。！？\\n.?!]"
 
 
-def recursive_chunks(text: str, size: int = 2048, overlap: int = 100, ladder: list[str] = LADDER) -> list[str]:
-    """Chunks of at most ``size`` characters, cut at the coarsest separator that fits; separators stay with what they end.
+def _pieces(text: str, separator: str) -> list[str]:
+    """text cut before every occurrence of the separator, which stays with what follows it."""
+    cuts = [0, *(m.start() for m in re.finditer(re.escape(separator), text)), len(text)]
+    return [text[i:j] for i, j in zip(cuts, cuts[1:]) if i < j]
 
-    Neighbouring chunks share whole pieces of at most ``overlap`` characters.
-    """
-    separator = next((s for s in ladder if s and s in text), "")
-    rest = ladder[ladder.index(separator) + 1 :] if separator else []
-    if not separator:
-        step = max(1, size - overlap)
-        return [x for x in (text[i : i + size] for i in range(0, max(1, len(text) - overlap), step)) if x.strip()]
-    pieces = [x for x in re.split(f"(?<={re.escape(separator)})", text) if x]
+
+def _packed(pieces: list[str], size: int, overlap: int) -> list[str]:
+    """Pieces joined while they fit; the next pack begins with the last pieces of the one before, at most ``overlap`` characters."""
     out, held, length = [], [], 0
     for piece in pieces:
-        if held and length + len(piece) > size:
-            out.append("".join(held))
-            while held and (length > overlap or length + len(piece) > size):
-                length -= len(held.pop(0))
-        if len(piece) > size:
+        if length + len(piece) > size:
             if held:
-                held, length = [], 0
-            out += recursive_chunks(piece, size, overlap, rest or [""])
-            continue
+                out.append("".join(held))
+            while length > overlap or (length and length + len(piece) > size):
+                length -= len(held.pop(0))
         held.append(piece)
         length += len(piece)
-    if held:
-        out.append("".join(held))
-    return [x.strip() for x in out if x.strip()]
+    return [*out, "".join(held)] if held else out
+
+
+def recursive_chunks(text: str, size: int = 2048, overlap: int = 100, ladder: list[str] = LADDER) -> list[str]:
+    """Chunks of at most ``size`` characters, cut before the coarsest separator of the ladder that the text holds.
+
+    Pieces of ``size`` characters or more are cut by the separators after it, at last into characters.  Neighbouring
+    chunks share whole pieces of at most ``overlap`` characters; blanks at the ends of chunks go, and so do blank chunks.
+    """
+    at = next(i for i, s in enumerate(ladder) if s in text)
+    if not ladder[at]:
+        begins = range(0, max(1, len(text) - overlap), max(1, size - overlap))
+        found = [text[i : i + size] for i in begins]
+    else:
+        found, small = [], []
+        for piece in [*_pieces(text, ladder[at]), None]:
+            if piece is not None and len(piece) < size:
+                small.append(piece)
+                continue
+            found += _packed(small, size, overlap)
+            small = []
+            if piece is not None:
+                found += recursive_chunks(piece, size, overlap, ladder[at + 1 :])
+    return [x.strip() for x in found if x.strip()]
 
 
 def sentence_chunks(text: str, size: int = 450, overlap: int = 50) -> list[str]:
-    """Sentences packed up to ``size``; the next chunk begins with the tail of the last, from a sentence end inside the overlap."""
-    sentences = [x.strip() for x in re.split(r"(?<=[。！？\n.?!])", text) if x.strip()]
-    out, held = [], ""
-    for s in sentences:
-        if held and len(held) + 1 + len(s) > size:
+    """Sentences (a newline ends one too) packed up to ``size``, a blank between them.
+
+    The next chunk begins with the last ``overlap`` characters of the one before, or with what follows the first
+    sentence end in them.  Chunks of over 1.2 ``size`` are cut in strides of size - overlap.
+    """
+    out, held, length = [], "", 0
+    for s in filter(None, re.split(f"(?<={ENDS})\\s*", text)):
+        if held and length + len(s) > size:
             out.append(held)
-            tail = held[-overlap:]
-            end = re.search(r"[。！？.?!]\s*", tail)
-            held = tail[end.end() :] if end else ""
-        held = f"{held} {s}" if held else s
-    if held:
-        out.append(held)
+            tail = held[max(0, len(held) - overlap) :]
+            end = re.search(ENDS, tail)
+            # without an end in a chunk shorter than the overlap its last overlap - length characters
+            tail = (tail[end.end() :] if end else held[len(held) - overlap :]).lstrip()
+            held = f"{tail} {s}" if tail else s
+            length = len(held)
+        elif held:
+            held, length = f"{held} {s}", length + len(s) + 1
+        else:
+            held, length = s, len(s)
     cut = []
-    for x in out:
+    for x in [*out, held] if held else out:
         cut += [x] if len(x) <= 1.2 * size else [x[i : i + size] for i in range(0, len(x), size - overlap)]
     return cut
 
 
 def paragraph_packs(text: str, size: int = 10_000) -> list[str]:
-    """Paragraphs packed while they fit; a longer one stands alone."""
+    """Lines packed while a pack and the line have fewer than ``size`` characters, each after a newline; a longer one stands alone."""
     out, held = [], ""
-    for p in (x for x in text.split("\n") if x.strip()):
-        if held and len(held) + 1 + len(p) > size:
-            out.append(held)
-            held = ""
-        held = f"{held}\n{p}" if held else p
-    return out + [held] if held else out
+    for p in text.split("\n"):
+        if len(held) + len(p) + 1 > size:
+            out += [held] if held else []
+            held = p
+        else:
+            held = f"{held}\n{p}"
+    return [*out, held] if held else out
 
 
 SPLITTERS = {"recursive": recursive_chunks, "sentence": sentence_chunks, "paragraph": paragraph_packs}
@@ -79,8 +103,8 @@ def chunks(docs: DataFrame, splitter: str, key: str = "id", column: str = "raw_c
     split = SPLITTERS[splitter]
 
     def run(batches):
-        for batch in batches:
-            rows = [(k, i, c) for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for i, c in enumerate(split(x or "", **options))]
+        for part in (batch.slice(lo, 256) for batch in batches for lo in range(0, batch.num_rows, 256)):
+            rows = [(k, i, c) for k, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) for i, c in enumerate(split(x, **options) if x and x.strip() else ())]
             keys, order, text = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), pa.array(order, pa.int32()), pa.array(text, pa.string())], [key, "chunk_order", "chunk_text"])
 

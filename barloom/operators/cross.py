@@ -40,6 +40,28 @@ def multi_level_cross(bars: DataFrame, level: str, rising: str = "strict", volum
     return rows.where(_all(rules)).select("symbol", "date", "close")
 
 
+def older_cross(bars: DataFrame, level: str, flat: bool = False, volume: float | None = None, skip: int = 1, gate: float | None = None) -> DataFrame:
+    """The cross of the older strategies: rows without a close, a volume or an average go first, then neighbours are compared.
+
+    flat: the longest average must not fall.  The first ``skip`` rows left cannot signal.  gate: a symbol signals only if
+    its longest average's slope over the last four rows left is at least this; with fewer rows it is not asked for.
+    """
+    spans = AVERAGES[level]
+    top = f"ma{spans[-1]}"
+    rows = bars.withColumns({f"ma{n}": ind.mean("close", n, True, 2) for n in spans}).where(_all([F.col(c).isNotNull() for c in ("close", "volume", *(f"ma{n}" for n in spans))]))
+    rows = ind.with_index(rows).withColumns({f"p{n}": ind.lag(f"ma{n}") for n in spans}).withColumns({"pclose": ind.lag("close"), "pvolume": ind.lag("volume")})
+    rules = [F.col("bar_idx") >= skip] + [(F.col("close") > F.col(f"ma{n}")) & (F.col("pclose") <= F.col(f"p{n}")) for n in spans]
+    if flat:
+        rules.append(F.col(top) >= F.col(f"p{spans[-1]}"))
+    if volume is not None:
+        rules.append((F.col("pvolume") > 1e-6) & (F.col("volume") >= volume * F.col("pvolume")))
+    if gate is not None:
+        whole = ind.by_date().rowsBetween(-(2**31) + 1, 2**31 - 1)
+        rows = rows.withColumn("slope", ind.slope(top, 4)).withColumn("slope", F.last("slope").over(whole))
+        rules.append(F.col("slope").isNull() | (F.round("slope", 9) >= gate))
+    return rows.where(_all(rules)).select("symbol", "date", "close")
+
+
 def golden_cross(bars: DataFrame, fast: int = 5, slow: int = 20) -> DataFrame:
     """Full averages only: the first row with both has nothing to compare with."""
     rows = bars.withColumns({"f": F.round(ind.mean("close", fast, True), 6), "s": F.round(ind.mean("close", slow, True), 6)}).where("s is not null")

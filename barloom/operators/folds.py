@@ -1,4 +1,8 @@
-"""Recursive indicators: one pass over a symbol's bars in a grouped function."""
+"""Recursive indicators: vectorised exponential means in a grouped function that holds one symbol's bars.
+
+Only the wanted indicators are computed.  A null value leaves an exponential mean as it was, and the next one goes on
+from there.
+"""
 
 from __future__ import annotations
 
@@ -8,26 +12,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def ema(x: np.ndarray, alpha: float) -> np.ndarray:
+def ema(x, alpha: float) -> pd.Series:
     """y0 = x0, then (1 - alpha) * y + alpha * x."""
-    out = np.empty(len(x))
-    y = 0.0
-    for i, v in enumerate(x.tolist()):
-        y = v if i == 0 else (1 - alpha) * y + alpha * v
-        out[i] = y
-    return out
+    return pd.Series(x).ewm(alpha=alpha, adjust=False).mean()
 
 
-def seeded_ema(x: np.ndarray, n: int, begin: int) -> np.ndarray:
+def seeded_ema(x: np.ndarray, n: int, begin: int, alpha: float | None = None) -> np.ndarray:
     """EMA whose first value, at row begin, is the mean of the n rows up to it; null before."""
     out = np.full(len(x), np.nan)
-    if begin >= len(x):
-        return out
-    y = float(np.mean(x[begin - n + 1 : begin + 1]))
-    out[begin] = y
-    for i in range(begin + 1, len(x)):
-        y += (x[i] - y) * 2 / (n + 1)
-        out[i] = y
+    if begin < len(x):
+        out[begin:] = ema(np.r_[np.mean(x[begin - n + 1 : begin + 1]), x[begin + 1 :]], 2 / (n + 1) if alpha is None else alpha)
     return out
 
 
@@ -49,43 +43,56 @@ def true_range(high, low, close) -> np.ndarray:
 
 def atr(high, low, close, n: int = 14) -> np.ndarray:
     """Wilder's average of the true range: begins at row n with the mean of rows 1 to n."""
-    tr, out = true_range(high, low, close), np.full(len(close), np.nan)
-    if len(close) > n:
-        y = out[n] = float(np.mean(tr[1 : n + 1]))
-        for i in range(n + 1, len(close)):
-            y = out[i] = (y * (n - 1) + tr[i]) / n
-    return out
+    return seeded_ema(true_range(high, low, close), n, n, 1 / n)
 
 
 def adx(high, low, close, n: int = 14) -> np.ndarray:
     """Simplified ADX: clipped moves, range mean(n), adjusted exponential means of DI parts, DX mean(n)."""
     up, down = pd.Series(high).diff().clip(lower=0), (-pd.Series(low).diff()).clip(lower=0)
-    tr = pd.Series(true_range(high, low, close))
-    base = tr.rolling(n).mean()
+    base = pd.Series(true_range(high, low, close)).rolling(n).mean()
     plus = 100 * (up.ewm(alpha=1 / n).mean() / base)
     minus = 100 * (down.ewm(alpha=1 / n).mean() / base)
     total = (plus + minus).replace(0, np.nan)
     return (100 * (plus - minus).abs() / total).rolling(n).mean().to_numpy()
 
 
-FOLDED = "symbol long, date date, close double, ema12 double, ema26 double, diff double, dea double, bar double, rsi double, macd double, macd_signal double, macd_hist double, atr double, adx double"
+def rsi(close, n: int = 14) -> np.ndarray:
+    move = pd.Series(close).diff()
+    up, down = ema(move.clip(lower=0), 1 / n), ema((-move).clip(lower=0), 1 / n)
+    return (100 - 100 / (1 + up / down)).to_numpy()
+
 
+MACD = ("ema12", "ema26", "diff", "dea", "bar")
+SEEDED = ("macd", "macd_signal", "macd_hist")
+KINDS = (*MACD, "rsi", *SEEDED, "atr", "adx")
 
-def folds(bars: DataFrame) -> DataFrame:
-    """All recursive indicators of a symbol in one pass; a task holds one symbol's bars."""
+
+def computed(close: np.ndarray, high: np.ndarray, low: np.ndarray, wanted) -> dict[str, np.ndarray]:
+    """The wanted ones of KINDS for one symbol's bars in order."""
+    out = {}
+    if set(wanted) & set(MACD):
+        fast, slow = ema(close, 2 / 13), ema(close, 2 / 27)
+        dea = ema(fast - slow, 2 / 10)
+        out |= dict(zip(MACD, (fast, slow, fast - slow, dea, 2 * (fast - slow - dea))))
+    if "rsi" in wanted:
+        out["rsi"] = rsi(close)
+    if set(wanted) & set(SEEDED):
+        out |= dict(zip(SEEDED, macd_seeded(close)))
+    if "atr" in wanted:
+        out["atr"] = atr(high, low, close)
+    if "adx" in wanted:
+        out["adx"] = adx(high, low, close)
+    return {k: np.asarray(out[k]) for k in wanted}
+
+
+def folds(bars: DataFrame, wanted: list[str] = KINDS) -> DataFrame:
+    """symbol, date, high, low, close and the wanted ones of KINDS; missing values are null."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date", ignore_index=True)
         close, high, low = (pdf[c].to_numpy(float) for c in ("close", "high", "low"))
-        e12, e26 = ema(close, 2 / 13), ema(close, 2 / 27)
-        diff = e12 - e26
-        dea = ema(diff, 2 / 10)
-        move = np.diff(close)
-        up, down = ema(np.maximum(move, 0), 1 / 14), ema(np.maximum(-move, 0), 1 / 14)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            rsi = np.r_[np.nan, 100 - 100 / (1 + up / down)] if len(close) > 1 else np.full(len(close), np.nan)
-        line, sig, hist = macd_seeded(close)
-        return pd.DataFrame({"symbol": pdf["symbol"], "date": pdf["date"], "close": close, "ema12": e12, "ema26": e26, "diff": diff, "dea": dea, "bar": 2 * (diff - dea), "rsi": rsi, "macd": line, "macd_signal": sig, "macd_hist": hist, "atr": atr(high, low, close), "adx": adx(high, low, close)})
-
-    out = bars.select("symbol", "date", "high", "low", "close").groupBy("symbol").applyInPandas(run, FOLDED)
+        return pd.DataFrame({"symbol": pdf["symbol"], "date": pdf["date"], "high": high, "low": low, "close": close, **computed(close, high, low, wanted)})
+
+    types = ", ".join(f"{c} double" for c in ("high", "low", "close", *wanted))
+    out = bars.select("symbol", "date", "high", "low", "close").groupBy("symbol").applyInPandas(run, f"symbol {bars.schema['symbol'].dataType.simpleString()}, date date, {types}")
     return out.select("symbol", "date", *[F.nullif(F.col(c), F.lit(float("nan"))).alias(c) for c in out.columns[2:]])

@@ -1,4 +1,4 @@
-"""Point-in-time metrics of reports, for many symbols at once."""
+"""Point-in-time metrics of reports: each (symbol, signal_date) sees what was published up to its own date."""
 
 from __future__ import annotations
 
@@ -6,35 +6,47 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom import functions as fn
+from barloom.operators.asof import as_of
 
 TINY = 1e-6
+STATE = ("report_date", "revenue", "profit", "revenue_before", "profit_before", "annual_profit", "annuals", "good_annuals")
 
 
-def slots(reports: DataFrame, asof: Column) -> DataFrame:
-    """Per symbol: latest report, latest annual one, same quarter last year, and the last three annual profits.
+def states(reports: DataFrame) -> DataFrame:
+    """Per symbol and benefit report (symbol, at, state): what is known from that day on.
 
-    reports has symbol, report_type (benefit, debt), report_date and data; one shuffle by symbol serves all slots.
+    The state holds the report, the same quarter of the year before, the latest annual profit, how many of the last
+    three annual reports there are and how many of them made a profit.  One exchange by symbol serves all windows.
     """
-    known = reports.where(F.col("report_date") <= asof).select(
-        "symbol", "report_type", "report_date",
-        fn.lookup_number(F.col("data"), "营业总收入").alias("revenue"), fn.lookup_number(F.col("data"), "净利润").alias("profit"), fn.lookup_number(F.col("data"), "所有者权益合计").alias("equity"),
+    benefit = reports.where("report_type = 'benefit'").select(
+        "symbol", "report_date", fn.lookup_number(F.col("data"), "营业总收入").alias("revenue"), fn.lookup_number(F.col("data"), "净利润").alias("profit"),
+        ((F.month("report_date") == 12) & (F.dayofmonth("report_date") == 31)).alias("annual"),
     )
-    annual = (F.month("report_date") == 12) & (F.dayofmonth("report_date") == 31)
-    benefit = known.where("report_type = 'benefit'").withColumn("annual", annual)
-    by_annual = Window.partitionBy("symbol", "annual").orderBy(F.desc("report_date"))
-    benefit = benefit.withColumn("rn", F.row_number().over(by_annual))
-    latest = benefit.groupBy("symbol").agg(
-        F.max("report_date").alias("report_date"), F.max_by("revenue", "report_date").alias("revenue"), F.max_by("profit", "report_date").alias("profit"),
-        F.max_by("profit", F.when(F.col("annual"), F.col("report_date"))).alias("annual_profit"),
-        F.sum(F.when(F.col("annual") & (F.col("rn") <= 3), 1).otherwise(0)).alias("annuals"),
-        F.sum(F.when(F.col("annual") & (F.col("rn") <= 3) & (F.col("profit") > TINY), 1).otherwise(0)).alias("good_annuals"),
+    own = Window.partitionBy("symbol").orderBy("report_date")
+    annual = Window.partitionBy("symbol", "annual").orderBy("report_date").rowsBetween(-2, 0)
+    good = F.sum((F.coalesce("profit", F.lit(0.0)) > TINY).cast("int")).over(annual)
+    rows = benefit.withColumn("year", F.when(F.col("annual"), F.struct(F.col("profit").alias("p"), F.count("*").over(annual).alias("n"), good.alias("good"))))
+    rows = rows.withColumn("year", F.last("year", ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    day = F.dayofmonth("report_date")
+    before = benefit.select("symbol", F.add_months("report_date", 12).alias("report_date"), day.alias("dom"), F.col("revenue").alias("revenue_before"), F.col("profit").alias("profit_before"))
+    rows = rows.join(before.where(F.dayofmonth("report_date") == F.col("dom")).drop("dom"), ["symbol", "report_date"], "left")
+    state = F.struct(
+        "report_date", "revenue", "profit", "revenue_before", "profit_before", F.col("year.p").alias("annual_profit"),
+        F.coalesce("year.n", F.lit(0)).alias("annuals"), F.coalesce("year.good", F.lit(0)).alias("good_annuals"),
     )
-    before = benefit.select("symbol", F.add_months("report_date", 12).alias("report_date"), F.dayofmonth("report_date").alias("dom"), F.col("revenue").alias("revenue_before"), F.col("profit").alias("profit_before"))
-    joined = latest.join(before, ["symbol", "report_date"], "left")
-    same_day = F.col("dom") == F.dayofmonth("report_date")
-    joined = joined.withColumns({c: F.when(same_day, F.col(c)) for c in ("revenue_before", "profit_before")}).drop("dom")
-    debt = known.where("report_type = 'debt'").groupBy("symbol").agg(F.max_by("equity", "report_date").alias("equity"))
-    return joined.join(debt, "symbol", "left")
+    return rows.select("symbol", F.col("report_date").alias("at"), state.alias("state"))
+
+
+def slots(reports: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Per (symbol, signal_date) of wanted: the columns of STATE and equity as of that day; null where nothing was published.
+
+    reports has symbol, report_type (benefit, debt), report_date and data.  States change at reports only, so a
+    signal meets one of them in a window and no range join multiplies signals by reports.
+    """
+    debt = reports.where("report_type = 'debt'").select("symbol", F.col("report_date").alias("at"), F.struct(fn.lookup_number(F.col("data"), "所有者权益合计").alias("v")).alias("equity"))
+    rows = as_of(wanted.withColumn("at", F.col("signal_date")), states(reports), "symbol", "at", "state")
+    rows = as_of(rows, debt, "symbol", "at", "equity")
+    return rows.select(*wanted.columns, *[F.col(f"state.{c}").alias(c) for c in STATE], F.col("equity.v").alias("equity"))
 
 
 def growth(now: str, before: str, infinite: bool) -> Column:
@@ -43,9 +55,12 @@ def growth(now: str, before: str, infinite: bool) -> Column:
     return F.when(F.abs(before) > 1e-9, rate).when((F.col(now) > 1e-9) & F.col(before).isNotNull() & F.lit(infinite), F.lit(float("inf")))
 
 
-def metrics(slots_: DataFrame, price: DataFrame, shares: DataFrame) -> DataFrame:
-    """PE, PB, growth, PEG-like ratio and flags per symbol; price has (symbol, close), shares (symbol, total_shares)."""
-    rows = slots_.join(price, "symbol", "left").join(shares, "symbol", "left")
+def metrics(slots_: DataFrame, shares: DataFrame) -> DataFrame:
+    """PE, PB, growth, PEG-like ratio and flags per (symbol, signal_date).
+
+    slots_ comes from ``slots`` with the price of that day as ``close``; shares has (symbol, total_shares).
+    """
+    rows = slots_.join(shares, "symbol", "left")
     cap = F.when(F.col("total_shares") > 1e-9, F.col("total_shares") * F.col("close"))
     rows = rows.withColumn("cap", cap).withColumns({"revenue_yoy": growth("revenue", "revenue_before", False), "profit_yoy": growth("profit", "profit_before", True)})
     rows = rows.withColumns({
@@ -61,8 +76,16 @@ def metrics(slots_: DataFrame, price: DataFrame, shares: DataFrame) -> DataFrame
         F.when(F.col("revenue_before").isNull(), "Missing reports for YoY growth"), F.when(F.col("annual_profit").isNull(), "Missing annual profit"),
     ), lambda x: x.isNotNull())
     return rows.select(
-        "symbol", "report_date", F.round("cap", 2).alias("market_cap"), F.round("pe", 4).alias("pe"), (F.col("pe") < 30).alias("pe_lt_30"), F.round("pb", 4).alias("pb"),
+        "symbol", "signal_date", "report_date", F.round("cap", 2).alias("market_cap"), F.round("pe", 4).alias("pe"), (F.col("pe") < 30).alias("pe_lt_30"), F.round("pb", 4).alias("pb"),
         F.round("revenue_yoy", 4).alias("revenue_growth_yoy"), F.round("profit_yoy", 4).alias("profit_growth_yoy"), positive.alias("growth_positive"),
         F.round(peg, 4).alias("peg_like_ratio"), (peg < 1).alias("peg_like_lt_1"), three.alias("net_profit_positive_3y_latest"),
         F.array_join(F.array_sort(F.array_distinct(missing)), "; ").alias("error_reason"),
     )
+
+
+def analyse(signals: DataFrame, bars: DataFrame, reports: DataFrame, shares: DataFrame) -> DataFrame:
+    """Metrics of the distinct (symbol, signal_date) of signals: reports and prices of other symbols are not read further."""
+    wanted = signals.select("symbol", "signal_date").distinct()
+    some = wanted.select("symbol").distinct()
+    priced = as_of(wanted.withColumn("date", F.col("signal_date")), bars.join(some, "symbol", "left_semi"), "symbol", "date", "close", 7)
+    return metrics(slots(reports.join(some, "symbol", "left_semi"), priced.select("symbol", "signal_date", "close")), shares)

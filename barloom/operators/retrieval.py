@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+TOPICS = 1000
+
 
 def dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
@@ -24,8 +26,10 @@ def by_topic_and_age(chunks: DataFrame, topics: DataFrame, buckets: list[tuple[i
     """The nearest chunks of every topic in every age bucket (bucket, least age, greatest age, k).
 
     Ages on an edge belong to both buckets; a chunk then stays with its first topic and bucket only.
-    topics: (topic, q) of a stated, small set that is broadcast; chunks: (id, age, embedding).
+    topics: (topic, q) of a stated set of at most TOPICS rows, which is broadcast; chunks: (id, age, embedding).
     """
+    if topics.limit(TOPICS + 1).count() > TOPICS:
+        raise ValueError(f"more than {TOPICS} topics")
     spread = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("bucket", "lo", "hi", "k"), b)]) for b in buckets])
     aged = chunks.select("id", "age", "embedding", F.explode(F.filter(spread, lambda b: F.col("age").between(b["lo"], b["hi"]))).alias("b"))
     rows = aged.crossJoin(F.broadcast(topics)).select("topic", "id", F.col("b.bucket").alias("bucket"), F.col("b.k").alias("k"), F.round(cosine_distance("embedding", "q"), 6).alias("distance"))

@@ -44,41 +44,74 @@ def j03(spark, d):
     return read(spark, d, "documents").select("doc_id", fn.normalise_space(F.col("text")).alias("text"))
 
 
-@query("j04_section")
+STARTS, STOPS = ["^The and", "^Of", "^De"], ["The", "Of", "In", "Le", "Ein"]
+BODY = "CASE " + " ".join(f"WHEN regexp_matches(raw_content, '(?m){x}') THEN regexp_extract(raw_content, '(?ms){x}(.*)\\z', 1)" for x in STARTS) + " END"
+MARK = "|".join(STOPS)
+TRIM = r"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+#: SQL of the narrative rules; {x} is the text
+CLEAN = rf"nullif(regexp_replace(regexp_replace(regexp_replace({{x}}, '(?m)^[^\n]*\.{{{{3,}}}}\s*\d+\s*$', '', 'g'), '(?m)^\s*\d+\s*$', '', 'g'), '\n{{{{3,}}}}', chr(10) || chr(10), 'g'), '')"
+SECTION = f"b AS (SELECT id, {BODY} AS body FROM disc), c AS (SELECT id, CASE WHEN regexp_matches(body, '(?m)^\\s*(?:{MARK})') THEN regexp_extract(body, '(?s)^(.*?)(?m:^)\\s*(?:{MARK})', 1) ELSE body END AS body FROM b), sec AS (SELECT id, {CLEAN.format(x=TRIM.format(x='body'))} AS section FROM c)"
+HEAD = f"^([（(]\\s*[{text.NUMERALS}\\d]+\\s*[）)]|[①-⑩]|[{text.NUMERALS}\\d]+[.、．]|■|●|◆)"
+
+
+def prose_sql(x: str) -> str:
+    bare = TRIM.format(x="l")
+    wide = r"regexp_matches(l, '\s{3,}')"
+    keep = f"{bare} = '' OR {bare} LIKE '%。' OR regexp_matches({bare}, '{HEAD}')"
+    drop = f"({wide} AND length({bare}) < 15) OR regexp_matches({bare}, '[\\d,.](?:\\)?%?\\s*\\(?-?[\\d,.]){{2}}') OR ({wide} AND length(regexp_replace({bare}, '[^一-龥]', '', 'g')) < 10)"
+    return f"regexp_replace(array_to_string(list_filter(string_split({x}, chr(10)), lambda l: {keep} OR NOT ({drop})), chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g')"
+
+
+def paragraphs_sql(x: str) -> str:
+    bare = TRIM.format(x="l")
+    lines = f"string_split({x}, chr(10))"
+    return f"""array_to_string(list_transform({lines}, lambda l, i: CASE WHEN {bare} = '' THEN '' WHEN regexp_matches({bare}, '[。！？"：;)\\]\\d]$') OR i = len({lines}) THEN {bare} || chr(10) ELSE {bare} END), '')"""
+
+
+@query("j04_section", f"WITH {SECTION} SELECT id, section FROM sec", "disc")
 def j04(spark, d):
-    found = text.section(F.col("raw_content"), ["(?m)^The and", "(?m)^Of", "(?m)^De"], [r"\nThe", r"\nOf", r"\nIn", r"\nLe", r"\nEin"])
-    return disclosures(spark, d).select("id", found.alias("section"))
+    return disclosures(spark, d).select("id", text.section(F.col("raw_content"), STARTS, STOPS).alias("section"))
 
 
-@query("j05_without_tables")
+@query("j05_without_tables", f"SELECT id, {prose_sql('raw_content')} AS text FROM disc", "disc")
 def j05(spark, d):
     return disclosures(spark, d).select("id", text.without_tables(F.col("raw_content")).alias("text"))
 
 
-@query("j06_paragraphs")
+@query("j06_paragraphs", f"SELECT id, {paragraphs_sql('raw_content')} AS text FROM disc", "disc")
 def j06(spark, d):
     return disclosures(spark, d).select("id", text.paragraphs(F.col("raw_content")).alias("text"))
 
 
-@query("j07_narrative")
+@query("j07_narrative", f"WITH {SECTION}, t AS (SELECT id, {prose_sql('section')} AS t FROM sec) SELECT id, {paragraphs_sql('t')} AS text FROM t", "disc")
 def j07(spark, d):
-    cut = disclosures(spark, d).select("id", text.section(F.col("raw_content"), ["(?m)^The and", "(?m)^Of", "(?m)^De"], [r"\nThe", r"\nOf", r"\nIn"]).alias("t"))
+    cut = disclosures(spark, d).select("id", text.section(F.col("raw_content"), STARTS, STOPS).alias("t"))
     return cut.select("id", text.without_tables(F.col("t")).alias("t")).select("id", text.paragraphs(F.col("t")).alias("text"))
 
 
 QA = "SELECT conv_id, turn, text AS question, lead(text) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS answer, role, lead(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS next FROM conversations WHERE text IS NOT NULL"
 
 
-@query("j08_questions_and_answers", f"WITH q AS ({QA}) SELECT conv_id, turn, question, answer FROM q WHERE role = 'user' AND next = 'assistant'")
-def j08(spark, d):
+TRIMMED = f"WITH q AS ({QA}), p AS (SELECT conv_id, {TRIM.format(x='question')} AS question, {TRIM.format(x='answer')} AS answer FROM q WHERE role = 'user' AND next = 'assistant' AND NOT regexp_matches(question || answer, '[QA]:')) SELECT conv_id, question, answer FROM p WHERE question <> '' AND answer <> ''"
+
+
+def turns(spark, d):
     w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     rows = read(spark, d, "conversations").where("text is not null").withColumns({"answer": F.lead("text").over(w), "next": F.lead("role").over(w)})
     return rows.where("role = 'user' and next = 'assistant'").select("conv_id", "turn", F.col("text").alias("question"), "answer")
 
 
+@query("j08_questions_and_answers", TRIMMED)
+def j08(spark, d):
+    """Each conversation written as one text with Q: and A:, and parsed back."""
+    pairs = turns(spark, d).where("not (question || answer) rlike '[QA]:'")
+    whole = pairs.groupBy("conv_id").agg(F.concat_ws("\n", F.collect_list(F.concat(F.lit("Q: "), F.col("question"), F.lit("\nA: "), F.col("answer")))).alias("text"))
+    return whole.select("conv_id", F.explode(text.questions(F.concat(F.lit("minutes "), F.col("text")))).alias("p")).select("conv_id", "p.question", "p.answer")
+
+
 @query("j09_pairs_to_chunks", f"WITH q AS ({QA}) SELECT conv_id, '问题：' || question || chr(10) || '回答：' || answer AS chunk FROM q WHERE role = 'user' AND next = 'assistant'")
 def j09(spark, d):
-    pairs = j08(spark, d).groupBy("conv_id").agg(F.to_json(F.collect_list(F.struct("question", "answer"))).alias("data"))
+    pairs = turns(spark, d).groupBy("conv_id").agg(F.to_json(F.collect_list(F.struct("question", "answer"))).alias("data"))
     each = pairs.select("conv_id", F.explode(F.from_json("data", "array<struct<question:string,answer:string>>")).alias("p"))
     return each.select("conv_id", F.concat(F.lit("问题："), F.col("p.question"), F.lit("\n回答："), F.col("p.answer")).alias("chunk"))
 
@@ -126,12 +159,18 @@ def o01(spark, d):
     return rows.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("distance", "vec_id"))).where("r <= 5").drop("r")
 
 
-@query("o02_nearest_in_dates", f"SELECT e.vec_id, {COS} AS distance FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 1) q WHERE e.vec_id % 365 BETWEEN 30 AND 200 ORDER BY distance, e.vec_id LIMIT 10")
+DATED = "DATE '2020-01-01' + CAST(e.vec_id % 1826 AS INTEGER)"
+
+
+@query("o02_nearest_in_dates", f"SELECT e.vec_id, {DATED} AS ann_date, {COS.replace('e.embedding', 'CASE WHEN e.vec_id % 50 <> 7 THEN e.embedding END')} AS distance FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 1) q WHERE {DATED} BETWEEN DATE '2020-02-01' AND DATE '2020-03-31' ORDER BY distance NULLS LAST, e.vec_id LIMIT 70")
 def o02(spark, d):
-    vectors = read(spark, d, "embeddings")
+    """The nearest chunks of a range of dates; those without a vector come last."""
+    day = F.date_add(F.lit("2020-01-01").cast("date"), (F.col("vec_id") % 1826).cast("int"))
+    vectors = read(spark, d, "embeddings").withColumn("ann_date", day)
     target = F.broadcast(vectors.where("vec_id = 1").select(F.col("embedding").alias("q")).limit(1))  # one row
-    rows = vectors.where("vec_id % 365 between 30 and 200").crossJoin(target).select("vec_id", F.round(retrieval.cosine_distance("embedding", "q"), 5).alias("distance"))
-    return rows.orderBy(F.asc_nulls_last("distance"), "vec_id").limit(10)
+    some = vectors.where("ann_date between date'2020-02-01' and date'2020-03-31'").withColumn("embedding", F.when(F.col("vec_id") % 50 != 7, F.col("embedding")))
+    rows = some.crossJoin(target).select("vec_id", "ann_date", F.round(retrieval.cosine_distance("embedding", "q"), 5).alias("distance"))
+    return rows.orderBy(F.asc_nulls_last("distance"), "vec_id").limit(70)
 
 
 BUCKETS = [(0, 0, 365, 3), (1, 365, 1095, 2), (2, 1095, 100000, 1)]

@@ -1,31 +1,33 @@
-"""Queries of fundamentals and the screener (M, N)."""
+"""Queries of fundamentals and the screener (M, N): every signal sees what was known on its own date."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barloom import functions as fn
-from barloom.operators import cross
+from barloom.operators import cross, strategies
 from barloom.operators import fundamentals as ops
-from barloom.operators.asof import as_of
 from barloom.plans.catalog import query
-from barloom.plans.market import DAY
-from barloom.plans.signals import cross_sql
+from barloom.plans.indicators import O, w
+from barloom.plans.signals import cross_sql, full
 from barloom.sources import daily_bars, read, reports, stock_list
-
-ASOF = "1999-06-01"
-SLOTS = f"""
-known AS (SELECT *, month(report_date) = 12 AS annual, row_number() OVER (PARTITION BY symbol, month(report_date) = 12 ORDER BY report_date DESC) AS rn FROM facts WHERE report_date <= DATE '{ASOF}'),
-latest AS (SELECT symbol, max(report_date) AS report_date, arg_max(revenue, report_date) AS revenue, arg_max(profit, report_date) AS profit, arg_max(equity, report_date) AS equity,
-  arg_max(profit, report_date) FILTER (annual) AS annual_profit, count(*) FILTER (annual AND rn <= 3) AS annuals, count(*) FILTER (annual AND rn <= 3 AND profit > 1e-6) AS good FROM known GROUP BY 1),
-slots AS (SELECT l.*, b.revenue AS revenue_before, b.profit AS profit_before FROM latest l LEFT JOIN known b ON b.symbol = l.symbol AND year(b.report_date) = year(l.report_date) - 1 AND month(b.report_date) = month(l.report_date) AND day(b.report_date) = day(l.report_date))"""
+from barloom.sources.tables import scratch, write_report
+
+SIGNALS = "sig AS (" + cross_sql("bars", "daily", "none", False).replace("m AS (", "SELECT symbol, date AS signal_date FROM (WITH m AS (", 1) + "))"
+SLOTS = """
+known AS (SELECT s.signal_date, f.*, month(report_date) = 12 AS annual, row_number() OVER (PARTITION BY s.symbol, s.signal_date, month(report_date) = 12 ORDER BY report_date DESC) AS rn FROM sig s JOIN facts f ON f.symbol = s.symbol AND f.report_date <= s.signal_date),
+latest AS (SELECT symbol, signal_date, max(report_date) AS report_date, arg_max(revenue, report_date) AS revenue, arg_max(profit, report_date) AS profit, arg_max(equity, report_date) AS equity,
+  arg_max(profit, report_date) FILTER (annual) AS annual_profit, count(*) FILTER (annual AND rn <= 3) AS annuals, count(*) FILTER (annual AND rn <= 3 AND profit > 1e-6) AS good FROM known GROUP BY 1, 2),
+slots AS (SELECT s.symbol, s.signal_date, l.* EXCLUDE (symbol, signal_date), b.revenue AS revenue_before, b.profit AS profit_before FROM sig s LEFT JOIN latest l ON l.symbol = s.symbol AND l.signal_date = s.signal_date
+  LEFT JOIN facts b ON b.symbol = l.symbol AND year(b.report_date) = year(l.report_date) - 1 AND month(b.report_date) = month(l.report_date) AND day(b.report_date) = day(l.report_date))"""
 METRICS = f"""
-{SLOTS.strip()}, price AS (SELECT symbol, arg_max(close, date) AS close FROM bars WHERE date BETWEEN DATE '{ASOF}' - 7 AND DATE '{ASOF}' GROUP BY 1),
-j AS (SELECT s.*, p.close, CASE WHEN s.symbol % 6 <> 5 THEN (s.symbol + 1) * 1000.0::DOUBLE END AS total_shares FROM slots s LEFT JOIN price p USING (symbol)),
+{SLOTS.strip()}, price AS (SELECT s.symbol, s.signal_date, CASE WHEN s.signal_date - b.date <= 7 THEN b.close END AS close FROM sig s ASOF LEFT JOIN bars b ON b.symbol = s.symbol AND b.date <= s.signal_date),
+j AS (SELECT s.*, p.close, CASE WHEN s.symbol <= 24 AND s.symbol % 6 <> 5 THEN (s.symbol + 1) * 1000.0::DOUBLE END AS total_shares FROM slots s JOIN price p ON p.symbol = s.symbol AND p.signal_date = s.signal_date),
 k AS (SELECT *, total_shares * close AS cap, CASE WHEN abs(revenue_before) > 1e-9 THEN (revenue - revenue_before) / abs(revenue_before) END AS ry,
   CASE WHEN abs(profit_before) > 1e-9 THEN (profit - profit_before) / abs(profit_before) WHEN profit > 1e-9 AND profit_before IS NOT NULL THEN 'inf'::DOUBLE END AS py FROM j),
 m AS (SELECT *, CASE WHEN annual_profit > 1e-6 THEN cap / annual_profit END AS pe, CASE WHEN equity > 0 THEN cap / equity WHEN equity = 0 AND cap > 0 THEN 'inf'::DOUBLE END AS pb FROM k),
-metrics AS (SELECT symbol, report_date, round(cap, 2) AS market_cap, round(pe, 4) AS pe, pe < 30 AS pe_lt_30, round(pb, 4) AS pb, round(ry, 4) AS revenue_growth_yoy, round(py, 4) AS profit_growth_yoy,
+metrics AS (SELECT symbol, signal_date, report_date, round(cap, 2) AS market_cap, round(pe, 4) AS pe, pe < 30 AS pe_lt_30, round(pb, 4) AS pb, round(ry, 4) AS revenue_growth_yoy, round(py, 4) AS profit_growth_yoy,
   CASE WHEN py = 'inf'::DOUBLE THEN ry > 1e-6 WHEN ry IS NOT NULL AND py IS NOT NULL THEN ry > 1e-6 AND py > 1e-6 END AS growth_positive,
   CASE WHEN py > 1e-6 AND py < 'inf'::DOUBLE THEN round(pe / (py * 100), 4) END AS peg_like_ratio, CASE WHEN py > 1e-6 AND py < 'inf'::DOUBLE THEN pe / (py * 100) < 1 END AS peg_like_lt_1,
   CASE WHEN coalesce(profit, 0) <= 1e-6 THEN false WHEN annuals >= 3 THEN good = 3 END AS net_profit_positive_3y_latest,
@@ -37,28 +39,28 @@ def shares(spark, d):
     return read(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("symbol"), total.alias("total_shares"))
 
 
-def price(spark, d):
-    wanted = read(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("symbol"), DAY(ASOF).alias("date"))
-    return as_of(wanted, daily_bars(spark, d), "symbol", "date", "close", 7).select("symbol", "close")
+def signals(spark, d):
+    """(symbol, signal_date) of every bare daily cross."""
+    return cross.multi_level_cross(daily_bars(spark, d), "daily", "none", None).select("symbol", F.col("date").alias("signal_date"))
 
 
 def metrics(spark, d):
-    return ops.metrics(ops.slots(reports(spark, d), DAY(ASOF)), price(spark, d), shares(spark, d))
+    return ops.analyse(signals(spark, d), daily_bars(spark, d), reports(spark, d), shares(spark, d))
 
 
 def part(name, columns):
-    body = f"WITH {METRICS.strip()} SELECT {', '.join(columns)} FROM metrics"
+    body = f"WITH {SIGNALS}, {METRICS.strip()} SELECT {', '.join(columns)} FROM metrics"
     query(name, body, "bars", "reports")(lambda spark, d: metrics(spark, d).select(*columns))
 
 
-part("m01_market_cap", ["symbol", "market_cap"])
-part("m02_pe", ["symbol", "pe", "pe_lt_30"])
-part("m03_pb", ["symbol", "pb"])
-part("m04_growth", ["symbol", "revenue_growth_yoy", "profit_growth_yoy"])
-part("m05_growth_positive", ["symbol", "growth_positive"])
-part("m06_peg", ["symbol", "peg_like_ratio", "peg_like_lt_1"])
-part("m07_three_years", ["symbol", "net_profit_positive_3y_latest"])
-part("m08_all_metrics", ["symbol", "report_date", "market_cap", "pe", "pe_lt_30", "pb", "revenue_growth_yoy", "profit_growth_yoy", "growth_positive", "peg_like_ratio", "peg_like_lt_1", "net_profit_positive_3y_latest", "error_reason"])
+part("m01_market_cap", ["symbol", "signal_date", "market_cap"])
+part("m02_pe", ["symbol", "signal_date", "pe", "pe_lt_30"])
+part("m03_pb", ["symbol", "signal_date", "pb"])
+part("m04_growth", ["symbol", "signal_date", "revenue_growth_yoy", "profit_growth_yoy"])
+part("m05_growth_positive", ["symbol", "signal_date", "growth_positive"])
+part("m06_peg", ["symbol", "signal_date", "peg_like_ratio", "peg_like_lt_1"])
+part("m07_three_years", ["symbol", "signal_date", "net_profit_positive_3y_latest"])
+part("m08_all_metrics", ["symbol", "signal_date", "report_date", "market_cap", "pe", "pe_lt_30", "pb", "revenue_growth_yoy", "profit_growth_yoy", "growth_positive", "peg_like_ratio", "peg_like_lt_1", "net_profit_positive_3y_latest", "error_reason"])
 
 
 @query("m01b_cap_from_turnover", "SELECT symbol, date, round(amount / (volume / 100), 4) AS cap FROM bars", "bars")
@@ -66,41 +68,136 @@ def m01b(spark, d):
     return daily_bars(spark, d).select("symbol", "date", F.round(F.try_divide(F.col("amount"), F.col("volume") / 100), 4).alias("cap"))
 
 
-@query("m09_report_slots", f"WITH {SLOTS.strip()} SELECT symbol, report_date, round(revenue, 2) AS revenue, round(annual_profit, 2) AS annual_profit, round(revenue_before, 2) AS revenue_before, annuals FROM slots", "reports")
+@query("m09_report_slots", f"WITH {SIGNALS}, {SLOTS.strip()} SELECT symbol, signal_date, report_date, round(revenue, 2) AS revenue, round(annual_profit, 2) AS annual_profit, round(revenue_before, 2) AS revenue_before, annuals FROM slots WHERE report_date IS NOT NULL", "bars", "reports")
 def m09(spark, d):
-    s = ops.slots(reports(spark, d), DAY(ASOF))
-    return s.select("symbol", "report_date", *[F.round(c, 2).alias(c) for c in ("revenue", "annual_profit", "revenue_before")], "annuals")
+    s = ops.slots(reports(spark, d), signals(spark, d)).where("report_date is not null")
+    return s.select("symbol", "signal_date", "report_date", *[F.round(c, 2).alias(c) for c in ("revenue", "annual_profit", "revenue_before")], "annuals")
+
+
+#: the analysis day of the screener queries, a Friday; and the marks that windows express on it
+FRIDAY = "1999-05-28"
+MARKS = f"""
+mv AS (SELECT symbol, date, close, high, {full(5)} AS m5, {full(10)} AS m10, {full(20)} AS m20 FROM bars),
+gold AS (SELECT symbol, date FROM (SELECT *, lag(m5) {O} AS p5, lag(m20) {O} AS p20 FROM mv WHERE m20 IS NOT NULL) WHERE m5 > m20 AND p5 <= p20),
+turt AS (SELECT symbol, date FROM (SELECT symbol, date, close, CASE WHEN count(high) OVER p = 20 THEN max(high) OVER p END AS top FROM bars WINDOW p AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)) WHERE close > top),
+boll AS (SELECT symbol, date FROM (SELECT symbol, date, close, CASE WHEN count(close) {w(20)} = 20 THEN round(avg(close) {w(20)} + 2 * stddev_samp(close) {w(20)}, 6) END AS band FROM bars) WHERE round(close, 6) > band),
+marks AS (SELECT symbol, date, 'GoldenCross' AS s FROM gold UNION ALL SELECT symbol, date, 'BullishAlignment' FROM mv WHERE m5 > m10 AND m10 > m20 UNION ALL SELECT symbol, date, 'Turtle' FROM turt UNION ALL SELECT symbol, date, 'Bollinger' FROM boll
+  UNION ALL SELECT symbol, date, 'MultiLevelCross' FROM ({{cross}})),
+sig AS (SELECT symbol, date AS signal_date, s AS strategy_name FROM marks WHERE date = DATE '{FRIDAY}')"""
+CROSS = cross_sql("bars", "daily", "strict", True)
+MARKS = MARKS.replace("{cross}", "WITH " + CROSS)
+
 
+def marked():
+    """The strategies that windows express, by name; the cross on daily bars only."""
+    daily = strategies.from_marks("MultiLevelCross", lambda bars: cross.multi_level_cross(bars, "daily"))
+    return [*(strategies.REGISTRY[x] for x in ("GoldenCross", "BullishAlignment", "Turtle", "Bollinger")), daily]
 
-SIGNALS = "sig AS (" + cross_sql("bars", "daily", "none", False).replace("m AS (", "SELECT * FROM (WITH m AS (", 1) + "))"
 
+def found(spark, d):
+    return strategies.screen(daily_bars(spark, d), FRIDAY, marked())
 
-@query("n01_screener", f"WITH {SIGNALS} SELECT symbol, date AS signal_date, 'MultiLevelCross' AS strategy_name, 'BUY' AS signal_type, 'Daily' AS timeframe FROM sig WHERE date = (SELECT max(date) FROM sig)", "bars")
+
+SPAN = f"span AS (SELECT * FROM bars WHERE date BETWEEN DATE '{FRIDAY}' - 750 AND DATE '{FRIDAY}')"
+SCREEN = SPAN + ", " + MARKS.strip().replace("FROM bars", "FROM span")
+
+
+@query("n01_screener", f"WITH {SCREEN} SELECT symbol, signal_date, strategy_name, 'BUY' AS signal_type, 'Daily' AS timeframe FROM sig", "bars")
 def n01(spark, d):
-    found = cross.multi_level_cross(daily_bars(spark, d), "daily", "none", None).select("symbol", "date")
-    last = F.broadcast(found.agg(F.max("date").alias("last")))  # one row
-    day = found.crossJoin(last).where("date = last")
-    return day.select("symbol", F.col("date").alias("signal_date"), F.lit("MultiLevelCross").alias("strategy_name"), F.lit("BUY").alias("signal_type"), F.lit("Daily").alias("timeframe"))
+    return found(spark, d).select("symbol", "signal_date", "strategy_name", "signal_type", "timeframe")
+
 
+@query("n01_screener_all_strategies")
+def n01_all(spark, d):
+    """Every strategy of the registry on the last day of the bars."""
+    bars = daily_bars(spark, d)
+    last = bars.agg(F.max("date")).first()[0]  # one value
+    return strategies.screen(bars, last, list(strategies.REGISTRY.values())).select("symbol", "signal_date", "strategy_name", "signal_type", "timeframe", F.round("score", 4).alias("score"), F.round("level", 4).alias("level"), "notes")
 
-@query("n02_signals_with_fundamentals", f"WITH {SIGNALS}, {METRICS.strip()} SELECT sig.symbol, sig.date AS signal_date, pe, pb, growth_positive FROM sig LEFT JOIN metrics USING (symbol) WHERE sig.date >= DATE '1999-05-01' AND sig.date <= DATE '1999-06-01'", "bars", "reports")
+
+DISTINCT = "signals AS (SELECT * FROM sig), sig1 AS (SELECT DISTINCT symbol, signal_date FROM signals)"
+SCREENED = f"{SCREEN}, {DISTINCT}, {METRICS.strip().replace('sig s', 'sig1 s')}"
+
+
+@query("n02_signals_with_fundamentals", f"WITH {SCREENED} SELECT g.symbol, g.signal_date, strategy_name, pe, pb, growth_positive FROM signals g LEFT JOIN metrics m ON m.symbol = g.symbol AND m.signal_date = g.signal_date", "bars", "reports")
 def n02(spark, d):
-    found = cross.multi_level_cross(daily_bars(spark, d), "daily", "none", None).where("date between date'1999-05-01' and date'1999-06-01'").select("symbol", F.col("date").alias("signal_date"))
-    hit = reports(spark, d).join(found.select("symbol").distinct(), "symbol", "left_semi")
-    m = ops.metrics(ops.slots(hit, DAY(ASOF)), price(spark, d), shares(spark, d))
-    return found.join(m, "symbol", "left").select("symbol", "signal_date", "pe", "pb", "growth_positive")
+    rows = found(spark, d)
+    m = ops.analyse(rows, daily_bars(spark, d), reports(spark, d), shares(spark, d))
+    return rows.join(m, ["symbol", "signal_date"], "left").select("symbol", "signal_date", "strategy_name", "pe", "pb", "growth_positive")
+
+
+def _ratio(c: str) -> str:
+    return f"CASE WHEN {c} IS NULL THEN '' WHEN {c} = 'inf'::DOUBLE THEN 'Infinity' WHEN {c} = '-inf'::DOUBLE THEN '-Infinity' ELSE printf('%.2f', round({c}, 2)) END AS {c}"
+
+
+def _yes(c: str) -> str:
+    return f"CASE WHEN {c} IS NULL THEN '不适用' WHEN {c} THEN '是' ELSE '否' END AS {c}"
 
 
-@query("n03_screener_report", f"WITH {SIGNALS}, {METRICS.strip()} SELECT CAST(sig.symbol AS VARCHAR) AS code, name, sig.date AS signal_date, 'MultiLevelCross' AS source, 'Daily' AS level, CASE WHEN pe IS NULL THEN '' ELSE printf('%.1f', round(pe, 1)) END AS pe, CASE WHEN growth_positive IS NULL THEN '不适用' WHEN growth_positive THEN '是' ELSE '否' END AS growth, coalesce(error_reason, '') AS notes FROM sig JOIN stocks ON code = sig.symbol LEFT JOIN metrics USING (symbol) WHERE sig.date >= DATE '1999-05-01' AND sig.date <= DATE '1999-06-01'", "bars", "reports", "stocks")
+CAP = "CASE WHEN market_cap IS NULL THEN '' WHEN abs(market_cap) >= 1e8 THEN printf('%.2f亿', round(market_cap / 1e8, 2)) WHEN abs(market_cap) >= 1e4 THEN printf('%.2f万', round(market_cap / 1e4, 2)) ELSE printf('%.2f', round(market_cap, 2)) END AS market_cap_formatted"
+REPORT_SQL = f"""WITH {SCREENED} SELECT CAST(g.symbol AS VARCHAR) AS symbol, t.name AS stock_name, strftime(g.signal_date, '%Y-%m-%d') AS signal_date, strategy_name, 'Daily' AS signal_level, {CAP},
+  {', '.join(map(_ratio, ('pe', 'pb', 'revenue_growth_yoy', 'profit_growth_yoy', 'peg_like_ratio')))}, {', '.join(map(_yes, ('net_profit_positive_3y_latest', 'growth_positive', 'pe_lt_30', 'peg_like_lt_1')))},
+  CAST(NULL AS VARCHAR) AS tech_notes, nullif(error_reason, '') AS error_reason, market_cap
+FROM signals g JOIN stocks t ON t.code = g.symbol LEFT JOIN metrics m ON m.symbol = g.symbol AND m.signal_date = g.signal_date"""
+
+
+def screener_report(spark, d):
+    rows = found(spark, d)
+    names = stock_list(spark, d).select(F.col("code").alias("symbol"), F.col("name").alias("stock_name"))
+    return strategies.report(rows, names, ops.analyse(rows, daily_bars(spark, d), reports(spark, d), shares(spark, d)), raw_cap=True)
+
+
+@query("n03_screener_report", REPORT_SQL, "bars", "reports", "stocks")
 def n03(spark, d):
-    found = cross.multi_level_cross(daily_bars(spark, d), "daily", "none", None).where("date between date'1999-05-01' and date'1999-06-01'").select("symbol", F.col("date").alias("signal_date"))
-    rows = found.join(stock_list(spark, d).withColumnRenamed("code", "symbol"), "symbol").join(metrics(spark, d), "symbol", "left")
-    pe = F.when(F.col("pe").isNull(), "").otherwise(F.format_string("%.1f", F.round("pe", 1)))
-    return rows.select(F.col("symbol").cast("string").alias("code"), "name", "signal_date", F.lit("MultiLevelCross").alias("source"), F.lit("Daily").alias("level"), pe.alias("pe"), fn.yes_no(F.col("growth_positive")).alias("growth"), F.coalesce("error_reason", F.lit("")).alias("notes"))
+    return screener_report(spark, d)
+
+
+@query("b10_csv_report", REPORT_SQL, "bars", "reports", "stocks")
+def b10(spark, d):
+    """The report as it reads back from its CSV file."""
+    path = scratch(spark, "report")
+    write_report(screener_report(spark, d), path, [*strategies.REPORT, "market_cap"])
+    back = spark.read.csv(path, header=True, encoding="UTF-8", nullValue=None, emptyValue="")
+    back = back.toDF(*[c.lstrip("﻿") for c in back.columns])
+    blank = ["market_cap_formatted", "pe", "pb", "revenue_growth_yoy", "profit_growth_yoy", "peg_like_ratio"]
+    return back.withColumns({c: F.coalesce(c, F.lit("")) for c in blank} | {"market_cap": F.col("market_cap").cast("double")})
+
+
+OLD = f"WITH {SIGNALS}, {METRICS.strip()}"
+
+
+@query("n04_technical_report", f"WITH {CROSS} ".replace("SELECT symbol, date, round(close, 6) AS close FROM l", "SELECT symbol, date AS signal_date, 'MultiLevelCross' AS strategy, 'daily' AS timeframe FROM l"), "bars")
+def n04(spark, d):
+    rows = cross.multi_level_cross(daily_bars(spark, d), "daily")
+    return rows.select("symbol", F.col("date").alias("signal_date"), F.lit("MultiLevelCross").alias("strategy"), F.lit("daily").alias("timeframe"))
+
+
+@query("n04_fundamental_report", f"{OLD} SELECT symbol, signal_date, 'MultiLevelCross' AS strategy, 'daily' AS timeframe, net_profit_positive_3y_latest, pe, pe_lt_30, revenue_growth_yoy, profit_growth_yoy, growth_positive, peg_like_ratio, peg_like_lt_1, nullif(error_reason, '') AS error_reason FROM metrics", "bars", "reports")
+def n04b(spark, d):
+    m = metrics(spark, d).withColumns({"strategy": F.lit("MultiLevelCross"), "timeframe": F.lit("daily"), "error_reason": F.nullif(F.col("error_reason"), F.lit(""))})
+    return m.select("symbol", "signal_date", "strategy", "timeframe", "net_profit_positive_3y_latest", "pe", "pe_lt_30", "revenue_growth_yoy", "profit_growth_yoy", "growth_positive", "peg_like_ratio", "peg_like_lt_1", "error_reason")
+
+
+CONTEXT = """
+p AS (SELECT symbol, 'First close ' || printf('%.2f', round(arg_min(close, date), 2)) || ', last close ' || printf('%.2f', round(arg_max(close, date), 2)) || ', change ' || printf('%.2f', round((arg_max(close, date) / arg_min(close, date) - 1) * 100, 2)) || ' %, high ' || printf('%.2f', round(max(high), 2)) || ', low ' || printf('%.2f', round(min(low), 2)) AS price FROM (SELECT * FROM bars QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) <= 30) GROUP BY 1),
+a AS (SELECT symbol, report_date, revenue, row_number() OVER (PARTITION BY symbol ORDER BY report_date DESC) AS rn FROM facts),
+r AS (SELECT symbol, 'revenue: ' || string_agg(CAST(report_date AS VARCHAR) || ' ' || printf('%.2f', round(revenue, 2)), ' | ' ORDER BY report_date DESC) AS report FROM a WHERE rn <= 3 GROUP BY 1),
+c AS (SELECT label AS symbol, string_agg('[' || vec_id || ']', ' ' ORDER BY vec_id) AS chunks FROM (SELECT label, vec_id FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) <= 3) GROUP BY 1)"""
 
 
-@query("n05_report_context", "WITH p AS (SELECT symbol, round((arg_max(close, date) / arg_min(close, date) - 1) * 100, 4) AS change FROM bars GROUP BY 1), c AS (SELECT symbol, count(*) AS n_reports, round(max(revenue), 2) AS top FROM facts GROUP BY 1) SELECT symbol, change, n_reports, top FROM p JOIN c USING (symbol)", "bars", "reports")
+@query("n05_report_context", f"WITH {CONTEXT.strip()} SELECT p.symbol, price || chr(10) || report || chr(10) || coalesce(chunks, 'No chunks') AS context FROM p JOIN r USING (symbol) LEFT JOIN c USING (symbol)", "bars", "reports")
 def n05(spark, d):
-    p = daily_bars(spark, d).groupBy("symbol").agg(F.round((F.try_divide(F.max_by("close", "date"), F.min_by("close", "date")) - 1) * 100, 4).alias("change"))
-    c = reports(spark, d).where("report_type = 'benefit'").groupBy("symbol").agg(F.count("*").alias("n_reports"), F.round(F.max(fn.lookup_number(F.col("data"), "营业总收入")), 2).alias("top"))
-    return p.join(c, "symbol").select("symbol", "change", "n_reports", "top")
+    """Price summary of 30 bars, the last three reports as a row of a pivot, and the symbol's first chunks, as one text."""
+    two = lambda x: F.format_string("%.2f", F.round(x, 2))
+    last = Window.partitionBy("symbol").orderBy(F.desc("date"))
+    tail = daily_bars(spark, d).withColumn("rn", F.row_number().over(last)).where("rn <= 30")
+    first, now = F.min_by("close", "date"), F.max_by("close", "date")
+    price = F.concat(F.lit("First close "), two(first), F.lit(", last close "), two(now), F.lit(", change "), two((F.try_divide(now, first) - 1) * 100), F.lit(" %, high "), two(F.max("high")), F.lit(", low "), two(F.min("low")))
+    p = tail.groupBy("symbol").agg(price.alias("price"))
+    known = reports(spark, d).where("report_type = 'benefit'").withColumn("rn", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("report_date")))).where("rn <= 3")
+    cells = F.reverse(F.array_sort(F.collect_list(F.struct("report_date", fn.lookup_number(F.col("data"), "营业总收入").alias("v")))))
+    shown = F.array_join(F.transform(cells, lambda x: F.concat(x["report_date"].cast("string"), F.lit(" "), two(x["v"]))), " | ")
+    r = known.groupBy("symbol").agg(F.concat(F.lit("revenue: "), shown).alias("report"))
+    near = read(spark, d, "embeddings").select(F.col("label").cast("long").alias("symbol"), "vec_id").withColumn("rn", F.row_number().over(Window.partitionBy("symbol").orderBy("vec_id"))).where("rn <= 3")
+    c = near.groupBy("symbol").agg(F.array_join(F.transform(F.array_sort(F.collect_list("vec_id")), lambda x: F.concat(F.lit("["), x.cast("string"), F.lit("]"))), " ").alias("chunks"))
+    return p.join(r, "symbol").join(c, "symbol", "left").select("symbol", F.concat_ws("\n", "price", "report", F.coalesce("chunks", F.lit("No chunks"))).alias("context"))

@@ -99,22 +99,37 @@ WITH RECURSIVE i AS (SELECT symbol, date, close, high, low, row_number() OVER (P
 
 @query("f08_ema", EMA_SQL + "SELECT symbol, date, round(e12, 4) AS ema12, round(e26, 4) AS ema26 FROM e", "bars")
 def f08(spark, d):
-    return folds(daily_bars(spark, d)).select("symbol", "date", r("ema12", 4).alias("ema12"), r("ema26", 4).alias("ema26"))
+    return folds(daily_bars(spark, d), ["ema12", "ema26"]).select("symbol", "date", r("ema12", 4).alias("ema12"), r("ema26", 4).alias("ema26"))
 
 
 @query("f09_macd", EMA_SQL + "SELECT symbol, date, round(e12 - e26, 4) AS diff, round(dea, 4) AS dea, round(2 * (e12 - e26 - dea), 4) AS bar FROM e", "bars")
 def f09(spark, d):
-    return folds(daily_bars(spark, d)).select("symbol", "date", r("diff", 4).alias("diff"), r("dea", 4).alias("dea"), r("bar", 4).alias("bar"))
+    return folds(daily_bars(spark, d), ["diff", "dea", "bar"]).select("symbol", "date", r("diff", 4).alias("diff"), r("dea", 4).alias("dea"), r("bar", 4).alias("bar"))
 
 
 @query("f07_rsi", EMA_SQL + "SELECT symbol, date, CASE WHEN down > 0 THEN round(100 - 100 / (1 + up / down), 4) WHEN up > 0 THEN 100 END AS rsi FROM e", "bars")
 def f07(spark, d):
-    return folds(daily_bars(spark, d)).select("symbol", "date", r("rsi", 4).alias("rsi"))
+    return folds(daily_bars(spark, d), ["rsi"]).select("symbol", "date", r("rsi", 4).alias("rsi"))
 
 
-@query("f10_macd_seeded")
+SEEDED_SQL = """
+WITH RECURSIVE i AS (SELECT symbol, date, close, high, row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS k FROM bars),
+fast AS (
+  SELECT symbol, 25::BIGINT AS k, avg(close) AS y FROM i WHERE k BETWEEN 14 AND 25 GROUP BY symbol HAVING count(*) = 12
+  UNION ALL SELECT i.symbol, i.k, f.y + (i.close - f.y) * 2 / 13 FROM fast f JOIN i ON i.symbol = f.symbol AND i.k = f.k + 1
+), slow AS (
+  SELECT symbol, 25::BIGINT AS k, avg(close) AS y FROM i WHERE k BETWEEN 0 AND 25 GROUP BY symbol HAVING count(*) = 26
+  UNION ALL SELECT i.symbol, i.k, s.y + (i.close - s.y) * 2 / 27 FROM slow s JOIN i ON i.symbol = s.symbol AND i.k = s.k + 1
+), line AS (SELECT symbol, k, fast.y - slow.y AS v FROM fast JOIN slow USING (symbol, k)), sig AS (
+  SELECT symbol, 33::BIGINT AS k, avg(v) AS y FROM line WHERE k BETWEEN 25 AND 33 GROUP BY symbol HAVING count(*) = 9
+  UNION ALL SELECT l.symbol, l.k, s.y + (l.v - s.y) * 2 / 10 FROM sig s JOIN line l ON l.symbol = s.symbol AND l.k = s.k + 1
+), macd AS (SELECT i.symbol, i.date, i.high, round(line.v, 4) AS macd, round(sig.y, 4) AS macd_signal, round(line.v - sig.y, 4) AS macd_hist FROM i LEFT JOIN sig ON sig.symbol = i.symbol AND sig.k = i.k LEFT JOIN line ON line.symbol = i.symbol AND line.k = i.k AND i.k >= 33)
+"""
+
+
+@query("f10_macd_seeded", SEEDED_SQL + "SELECT symbol, date, macd, macd_signal, macd_hist FROM macd", "bars")
 def f10(spark, d):
-    return folds(daily_bars(spark, d)).select("symbol", "date", r("macd", 4).alias("macd"), r("macd_signal", 4).alias("macd_signal"), r("macd_hist", 4).alias("macd_hist"))
+    return folds(daily_bars(spark, d), ["macd", "macd_signal", "macd_hist"]).select("symbol", "date", r("macd", 4).alias("macd"), r("macd_signal", 4).alias("macd_signal"), r("macd_hist", 4).alias("macd_hist"))
 
 
 @query("f11_atr", """
@@ -123,17 +138,27 @@ WITH RECURSIVE i AS (SELECT symbol, date, greatest(high - low, abs(high - lag(cl
   UNION ALL SELECT i.symbol, i.k, (e.atr * 13 + i.tr) / 14 FROM e JOIN i ON i.symbol = e.symbol AND i.k = e.k + 1
 ) SELECT i.symbol, i.date, round(e.atr, 4) AS atr FROM i LEFT JOIN e ON e.symbol = i.symbol AND e.k = i.k""", "bars")
 def f11(spark, d):
-    return folds(daily_bars(spark, d)).select("symbol", "date", r("atr", 4).alias("atr"))
+    return folds(daily_bars(spark, d), ["atr"]).select("symbol", "date", r("atr", 4).alias("atr"))
+
+
+ADX_SQL = f"""
+WITH RECURSIVE i AS (SELECT symbol, date, greatest(high - lag(high) {O}, 0) AS up, greatest(lag(low) {O} - low, 0) AS down, greatest(high - low, abs(high - lag(close) {O}), abs(low - lag(close) {O})) AS tr, row_number() {O} - 1 AS k FROM bars), r AS (SELECT symbol, k, CASE WHEN count(tr) {w(14)} = 14 THEN avg(tr) {w(14)} END AS base FROM i), e AS (
+  SELECT symbol, k, up AS un, down AS dn, 1.0::DOUBLE AS wt FROM i WHERE k = 1
+  UNION ALL SELECT i.symbol, i.k, i.up + e.un * 13 / 14, i.down + e.dn * 13 / 14, 1 + e.wt * 13 / 14 FROM e JOIN i ON i.symbol = e.symbol AND i.k = e.k + 1
+), t AS (SELECT i.symbol, i.date, e.un / e.wt AS up, e.dn / e.wt AS down, r.base FROM i JOIN r ON r.symbol = i.symbol AND r.k = i.k LEFT JOIN e ON e.symbol = i.symbol AND e.k = i.k),
+x AS (SELECT symbol, date, CASE WHEN up / base + down / base <> 0 THEN 100 * abs(up / base - down / base) / (up / base + down / base) END AS dx FROM t),
+adx AS (SELECT symbol, date, CASE WHEN count(dx) {w(14)} = 14 THEN round(avg(dx) {w(14)}, 4) END AS adx FROM x)
+"""
 
 
-@query("f14_adx")
+@query("f14_adx", ADX_SQL + "SELECT symbol, date, adx FROM adx", "bars")
 def f14(spark, d):
-    return folds(daily_bars(spark, d)).select("symbol", "date", r("adx", 4).alias("adx"))
+    return folds(daily_bars(spark, d), ["adx"]).select("symbol", "date", r("adx", 4).alias("adx"))
 
 
-@query("f22_top_divergence_warning")
+@query("f22_top_divergence_warning", SEEDED_SQL + "SELECT symbol, date FROM (SELECT symbol, date, high, macd_hist, max(high) OVER p AS top, max(macd_hist) OVER p AS peak FROM macd WINDOW p AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 19 PRECEDING AND 1 PRECEDING)) WHERE high > top AND macd_hist < 0.8 * peak", "bars")
 def f22(spark, d):
-    rows = daily_bars(spark, d).join(folds(daily_bars(spark, d)).select("symbol", "date", "macd_hist"), ["symbol", "date"])
+    rows = folds(daily_bars(spark, d), ["macd_hist"]).withColumn("macd_hist", F.round("macd_hist", 4))
     before = ind.by_date().rowsBetween(-19, -1)
     rows = rows.withColumns({"top": F.max("high").over(before), "peak": F.max("macd_hist").over(before)})
     return rows.where("high > top and macd_hist < 0.8 * peak").select("symbol", "date")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from barloom import functions as fn
 from barloom.operators import bars as ops
 from barloom.plans.catalog import query
-from barloom.sources import daily_bars, disclosures, read, reports, stock_list
+from barloom.sources import daily_bars, disclosures, files, load_bars, read, reports, stock_list
+from barloom.sources.tables import Table, scratch
 
 DAY = lambda s: F.lit(s).cast("date")
 OHLC = ["open", "high", "low", "close", "volume", "amount"]
@@ -22,7 +23,8 @@ R = "round(open,6) AS open, round(high,6) AS high, round(low,6) AS low, round(cl
 WEEK = "CAST(date + CAST((12 - isodow(date)) % 7 AS INTEGER) AS DATE)"
 #: last business day of the month of d, as SQL
 BME = "CAST(last_day({d}) - CAST(greatest(0, isodow(last_day({d})) - 5) AS INTEGER) AS DATE)"
-MONTH = f"CASE WHEN date > {BME.format(d='date')} THEN {BME.format(d='CAST(date_trunc(chr(109)||chr(111)||chr(110)||chr(116)||chr(104), date) + INTERVAL 1 MONTH AS DATE)')} ELSE {BME.format(d='date')} END".replace("chr(109)||chr(111)||chr(110)||chr(116)||chr(104)", "'month'")
+NEXT = "CAST(date_trunc('month', date) + INTERVAL 1 MONTH AS DATE)"
+MONTH = f"CASE WHEN date > {BME.format(d='date')} THEN {BME.format(d=NEXT)} ELSE {BME.format(d='date')} END"
 
 
 def resampled(period: str, source: str = "bars") -> str:
@@ -32,13 +34,12 @@ def resampled(period: str, source: str = "bars") -> str:
 
 @query("a01_daily_range", f"SELECT symbol, date, {R} FROM bars WHERE symbol = 7 AND date BETWEEN DATE '1996-01-01' AND DATE '1996-12-31'", "bars")
 def a01(spark, d):
-    return rounded(daily_bars(spark, d).where("symbol = 7 and date between date'1996-01-01' and date'1996-12-31'").select("symbol", "date", *OHLC).orderBy("date"), OHLC)
+    return rounded(load_bars(daily_bars(spark, d), 7, "1996-01-01", "1996-12-31").select("symbol", "date", *OHLC), OHLC)
 
 
 @query("a02_daily_tail", f"SELECT symbol, date, {R} FROM bars QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) <= 30", "bars")
 def a02(spark, d):
-    w = Window.partitionBy("symbol").orderBy(F.desc("date"))
-    return rounded(daily_bars(spark, d).withColumn("rn", F.row_number().over(w)).where("rn <= 30").select("symbol", "date", *OHLC), OHLC)
+    return rounded(load_bars(daily_bars(spark, d), tail=30).select("symbol", "date", *OHLC), OHLC)
 
 
 @query("a04_weekly_tail", f"WITH w AS ({resampled(WEEK)}) SELECT symbol, period AS date, {R} FROM w QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY period DESC) <= 10", "bars")
@@ -87,10 +88,23 @@ def a10(spark, d):
     return kept.select("symbol", "report_date", F.round(fn.lookup_number(F.col("data"), "营业总收入"), 2).alias("revenue"))
 
 
-@query("a11_thousands_parse", "SELECT p_partkey, round(p_retailprice, 2) AS price FROM part")
+@query("a11_thousands_parse", "SELECT CAST(p_partkey AS VARCHAR) AS symbol, p_size AS size, round(p_retailprice * 1000, 2) AS price FROM part")
 def a11(spark, d):
-    text = F.format_number("p_retailprice", 2)
-    return read(spark, d, "part").select("p_partkey", F.round(F.regexp_replace(text, ",", "").try_cast("double"), 2).alias("price"))
+    """A CSV file with thousands separators, written here, and read with text symbols."""
+    path = scratch(spark, "csv")
+    grouped = F.format_number(F.col("p_retailprice") * 1000, 2)
+    read(spark, d, "part").select(F.col("p_partkey").cast("string").alias("symbol"), F.col("p_size").alias("size"), grouped.alias("price")).write.csv(path, header=True)
+    return files.read_csv(spark, path, {"symbol": "string", "size": "int", "price": "double"}).withColumn("price", F.round("price", 2))
+
+
+@query("a12_vendor_matrix", f"SELECT CAST(symbol AS VARCHAR) AS symbol, date, {R.replace('round(volume,6)', 'round(volume/100,6)').replace(', round(amount,6) AS amount', '')} FROM bars WHERE symbol IS NOT NULL", "bars")
+def a12m(spark, d):
+    """Each symbol's bars as a matrix of text, one row a field and one column a day, and back to rows."""
+    rows = daily_bars(spark, d).groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("date", *OHLC[:5]))).alias("r"))
+    values = lambda c: F.transform("r", lambda x: x[c].cast("string"))
+    matrix = F.array(*[values(c) for c in OHLC[:5]])
+    vendor = rows.select(F.concat(F.col("symbol").cast("string"), F.lit(".SZ")).alias("code"), F.array(*[F.lit(c.upper()) for c in OHLC[:5]]).alias("fields"), F.transform("r", lambda x: x["date"]).alias("times"), matrix.alias("data"))
+    return rounded(files.from_matrix(vendor, {c: c for c in OHLC[:5]}), OHLC[:5])
 
 
 @query("a12_wide_to_long", "SELECT split_part(l_suppkey || '.SZ', '.', 1) AS symbol, field, round(value, 4) AS value FROM (SELECT l_suppkey, sum(l_quantity) / 100 AS volume, max(l_tax) AS tax, sum(l_discount) AS discount FROM lineitem GROUP BY 1) UNPIVOT (value FOR field IN (volume, tax, discount))")
@@ -100,16 +114,23 @@ def a12(spark, d):
     return long.select(F.split_part("code", F.lit("."), F.lit(1)).alias("symbol"), "field", F.round("value", 4).alias("value"))
 
 
-@query("a13_rename_map", "SELECT c_custkey AS code, c_name AS name, c_mktsegment AS industry FROM customer")
+@query("a13_rename_map", f"SELECT CAST(symbol AS VARCHAR) AS symbol, date, {R}, CAST(NULL AS DOUBLE) AS amplitude, CAST(NULL AS DOUBLE) AS pct_change, CAST(NULL AS DOUBLE) AS price_change, CAST(NULL AS DOUBLE) AS turnover FROM bars", "bars")
 def a13(spark, d):
-    return read(spark, d, "customer").withColumnsRenamed({"c_custkey": "code", "c_name": "name", "c_mktsegment": "industry"}).select("code", "name", "industry")
+    """Bars under the localised headers of a vendor's table, mapped back; columns it lacks are null."""
+    localised = {v: k for k, v in files.HEADERS.items()}
+    vendor = daily_bars(spark, d).withColumnsRenamed(localised).withColumn("extra", F.lit(1))
+    return rounded(files.from_headers(vendor), OHLC)
 
 
-@query("a14_key_value_pivot", "SELECT l_orderkey AS symbol, max(CASE WHEN l_linenumber = 1 THEN CAST(l_quantity AS BIGINT) END) AS total_shares, max(CASE WHEN l_linenumber = 2 THEN CAST(l_quantity AS BIGINT) END) AS float_shares FROM (SELECT l_orderkey, l_linenumber, max(l_quantity) AS l_quantity FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1, 2) GROUP BY 1")
+@query("a14_key_value_pivot", "SELECT s_suppkey AS symbol, CASE WHEN s_suppkey % 4 <> 0 THEN s_suppkey * 1000 END AS total_shares, CASE WHEN s_suppkey % 3 <> 0 THEN round(s_acctbal, 2) END AS market_cap, CASE WHEN s_suppkey % 5 <> 0 THEN DATE '2000-01-01' + CAST(s_suppkey % 9000 AS INTEGER) END AS listing_date, CASE WHEN s_suppkey % 7 <> 0 THEN s_name END AS stock_name FROM supplier")
 def a14(spark, d):
-    item = F.when(F.col("l_linenumber") == 1, "total_shares").otherwise("float_shares")
-    sheet = read(spark, d, "lineitem").where("l_linenumber <= 2").select(F.col("l_orderkey").alias("symbol"), item.alias("item"), F.col("l_quantity").cast("long").cast("string").alias("value"))
-    return sheet.groupBy("symbol").pivot("item", ["total_shares", "float_shares"]).agg(F.max(F.col("value").try_cast("long")))
+    """Sheets of (item, value) texts with tokens for what is missing, as typed records."""
+    s = read(spark, d, "supplier")
+    day = F.date_add(F.lit("2000-01-01").cast("date"), (F.col("s_suppkey") % 9000).cast("int"))
+    tokens = [("总股本", 4, (F.col("s_suppkey") * 1000).cast("string"), "None"), ("总市值", 3, F.round("s_acctbal", 2).cast("string"), "-"), ("上市时间", 5, F.date_format(day, "yyyyMMdd"), "--"), ("股票简称", 7, F.col("s_name"), "nan")]
+    items = F.array(*[F.struct(F.lit(name).alias("item"), F.when(F.col("s_suppkey") % n != 0, value).otherwise(none).alias("value")) for name, n, value, none in tokens])
+    sheet = s.select(F.col("s_suppkey").alias("symbol"), F.inline(items))
+    return files.from_sheet(sheet, {"总股本": ("total_shares", "long"), "总市值": ("market_cap", "double"), "上市时间": ("listing_date", "date"), "股票简称": ("stock_name", "string")})
 
 
 @query("a15_fold_to_json", "SELECT s_suppkey AS symbol, round(s_acctbal, 2) AS acctbal, s_nationkey AS nation FROM supplier")
@@ -118,6 +139,41 @@ def a15(spark, d):
     return folded.select("symbol", F.round(F.get_json_object("data", "$.s_acctbal").cast("double"), 2).alias("acctbal"), F.get_json_object("data", "$.s_nationkey").cast("int").alias("nation"))
 
 
+@query("b01_append", "SELECT symbol, date, round(close, 6) AS close FROM bars", "bars")
+def b01(spark, d):
+    table, bars = Table(spark, scratch(spark, "append")), daily_bars(spark, d).select("symbol", "date", "close")
+    for k in range(3):
+        table.append(bars.where(F.pmod(F.col("symbol"), F.lit(3)) == k))
+    return rounded(table.read(), ["close"])
+
+
+@query("b03_upsert_returning", "SELECT o_orderkey, round(o_totalprice * 2, 2) AS o_totalprice FROM orders WHERE o_orderkey % 100 = 7")
+def b03(spark, d):
+    """The rows that an upsert wrote, as the table has them afterwards."""
+    orders, table = read(spark, d, "orders").select("o_orderkey", "o_totalprice"), Table(spark, scratch(spark, "upsert"))
+    table.append(orders.where("o_orderkey % 3 <> 1"))
+    new = orders.where("o_orderkey % 100 = 7").withColumn("o_totalprice", F.col("o_totalprice") * 2)
+    return rounded(table.upsert(new, ["o_orderkey"]), ["o_totalprice"], 2)
+
+
+@query("b04_truncate_and_reload", "SELECT code, name FROM stocks WHERE code % 2 = 0", "stocks")
+def b04(spark, d):
+    table, stocks = Table(spark, scratch(spark, "reload")), stock_list(spark, d).select("code", "name")
+    table.append(stocks)
+    table.reload(stocks.where("code % 2 = 0"))
+    return table.read()
+
+
+@query("b09_replace_chunks", "SELECT doc_id, CAST(i - 1 AS INTEGER) AS chunk_order, CASE WHEN doc_id % 4 = 1 THEN 'new ' || line ELSE line END AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE doc_id % 4 <> 1 OR i <= 2")
+def b09(spark, d):
+    """Documents whose chunks are made anew lose all old ones, also where they now have fewer."""
+    table = Table(spark, scratch(spark, "chunks"))
+    lines = read(spark, d, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("chunk_order", "line"))
+    table.append(lines)
+    table.replace(lines.where("doc_id % 4 = 1 and chunk_order < 2").withColumn("line", F.concat(F.lit("new "), "line")), ["doc_id"])
+    return table.read()
+
+
 @query("b02_upsert", """
 SELECT coalesce(n.o_orderkey, o.o_orderkey) AS o_orderkey, CASE WHEN n.o_orderkey IS NULL THEN round(o.o_totalprice, 2) ELSE round(n.o_totalprice, 2) END AS o_totalprice, CASE WHEN n.o_orderkey IS NULL THEN o.o_orderpriority END AS o_orderpriority
 FROM (SELECT * FROM orders WHERE o_orderkey % 3 <> 1) o FULL JOIN (SELECT o_orderkey, o_totalprice * 2 AS o_totalprice FROM orders WHERE o_orderkey % 2 = 0) n ON n.o_orderkey = o.o_orderkey""")
@@ -208,14 +264,40 @@ def e05(spark, d):
     return daily_bars(spark, d).groupBy("symbol", F.date_trunc("week", "date").cast("date").alias("week")).agg(F.round(F.max_by("close", "date"), 6).alias("close"))
 
 
-@query("e06_recent_update", f"WITH b AS (SELECT * FROM bars WHERE date >= DATE '2001-04-01'), w AS ({resampled(WEEK, 'b')}) SELECT symbol, period AS date, {R} FROM w", "bars")
+@query("e04_weekly_spine_full", f"""
+WITH k AS (SELECT symbol FROM bars GROUP BY 1 HAVING count(*) >= 520), b AS (SELECT * FROM bars SEMI JOIN k USING (symbol)), w AS ({resampled(WEEK, 'b')}), e AS (SELECT symbol, min(period) AS a, max(period) AS z FROM w GROUP BY 1), s AS (SELECT symbol, CAST(unnest(generate_series(a, z, INTERVAL 7 DAY)) AS DATE) AS date FROM e)
+SELECT s.symbol, s.date, round(close,6) AS close, round(coalesce(volume,0),6) AS volume FROM s LEFT JOIN w ON w.symbol = s.symbol AND w.period = s.date""", "bars")
+def e04f(spark, d):
+    """Symbols with fewer daily rows than a minimum (here 520) have no longer bars."""
+    return rounded(ops.spine(daily_bars(spark, d), "week", least=520).select("symbol", "date", "close", "volume"), ["close", "volume"])
+
+
+SINCE, NOW = "2001-04-01", "2001-07-18"
+REBUILT = f"""
+b AS (SELECT * FROM bars WHERE date <= DATE '{NOW}'), done AS (SELECT * FROM b WHERE date < DATE '2001-07-16'), part AS (SELECT * FROM b WHERE date >= DATE '2001-07-16'),
+w AS (SELECT * FROM ({resampled(WEEK, 'done')}) WHERE period < DATE '2001-07-16' UNION ALL SELECT symbol, DATE '{NOW}', arg_min(open, date), max(high), min(low), arg_max(close, date), sum(volume), sum(amount) FROM part GROUP BY 1)"""
+
+
+@query("e06_full_rebuild", f"WITH {REBUILT.strip()} SELECT symbol, period AS date, {R} FROM w", "bars")
 def e06(spark, d):
-    return rounded(ops.weekly(daily_bars(spark, d).where("date >= date'2001-04-01'")).select("symbol", "date", *OHLC), OHLC)
+    """Weeks of all bars up to a day, the last one unfinished and dated that day."""
+    return rounded(ops.rebuilt(daily_bars(spark, d), "week", NOW).select("symbol", "date", *OHLC), OHLC)
+
+
+@query("e06_recent_update", f"WITH {REBUILT.strip()} SELECT symbol, period AS date, {R} FROM w", "bars")
+def e06b(spark, d):
+    """A table of weeks that is some months old, brought up to date from the bars of the last 90 days only."""
+    bars, table = daily_bars(spark, d), Table(spark, scratch(spark, "weeks"))
+    table.append(ops.rebuilt(bars, "week", "2001-06-15").select("symbol", "date", *OHLC))
+    ops.refresh(table, bars, "week", NOW, days=90)
+    return rounded(table.read().select("symbol", "date", *OHLC), OHLC)
 
 
 @query("e07_percent_change", f"WITH w AS ({resampled(WEEK)}) SELECT symbol, period AS date, round(close / lag(close) OVER (PARTITION BY symbol ORDER BY period) * 100 - 100, 4) AS pct_change FROM w", "bars")
 def e07(spark, d):
-    return ops.change(ops.weekly(daily_bars(spark, d))).select("symbol", "date", "pct_change")
+    weeks = ops.weekly(daily_bars(spark, d)).withColumn("loaded", F.lit(2))
+    stale = weeks.where("pmod(symbol, 4) = 0").withColumns({"close": F.lit(0.0), "loaded": F.lit(1)})
+    return ops.change(weeks.union(stale), "loaded").select("symbol", "date", "pct_change")
 
 
 @query("e08_date_range_by_symbol", "SELECT symbol, min(date) AS first_date, max(date) AS last_date, count(*) AS n FROM bars GROUP BY 1", "bars")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from barloom import functions as fn
 from barloom.operators import bars as period
 from barloom.operators.asof import as_of
+from barloom.operators.strategies import ratio
 from barloom.plans.catalog import query
 from barloom.plans.market import DAY, MONTH, WEEK, resampled
 from barloom.sources import daily_bars, disclosures, read, reports, stock_list
@@ -177,9 +178,11 @@ def h01(spark, d):
     return both.groupBy("url").agg(F.min(F.struct("src", "id")).alias("m")).select("url", "m.id", "m.src")
 
 
-@query("h02_keep_last", "SELECT l_suppkey AS symbol, CAST(l_shipdate AS DATE) AS date, max(l_orderkey) AS last_order FROM lineitem GROUP BY 1, 2")
+@query("h02_keep_last", "SELECT l_suppkey AS symbol, CAST(l_shipdate AS DATE) AS date, l_orderkey, l_linenumber, l_quantity FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_suppkey, CAST(l_shipdate AS DATE) ORDER BY l_orderkey DESC, l_linenumber DESC, l_partkey DESC, l_extendedprice DESC) = 1")
 def h02(spark, d):
-    return read(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("symbol"), F.to_date("l_shipdate").alias("date")).agg(F.max("l_orderkey").alias("last_order"))
+    rows = read(spark, d, "lineitem").withColumns({"symbol": F.col("l_suppkey"), "date": F.to_date("l_shipdate")})
+    kept = period.keep_last(rows, ["symbol", "date"], "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+    return kept.select("symbol", "date", "l_orderkey", "l_linenumber", "l_quantity")
 
 
 @query("h03_unique_points", "SELECT DISTINCT CAST(l_shipdate AS DATE) AS date, l_discount AS level FROM lineitem")
@@ -219,6 +222,13 @@ def i04(spark, d):
     return read(spark, d, "labels").select("doc_id", fn.yes_no(F.col("toxic") == 1).alias("shown"))
 
 
+@query("i04_float_format", "SELECT l_orderkey, l_linenumber, l_suppkey, CASE WHEN l_discount > 1e-9 THEN printf('%.2f', round(l_tax / l_discount, 2)) WHEN l_tax > 0.05 THEN 'Infinity' WHEN l_tax > 0.02 THEN '-Infinity' ELSE '' END AS shown FROM lineitem")
+def i04f(spark, d):
+    """Two decimals, Infinity with its sign, or nothing."""
+    x = F.when(F.col("l_discount") > 1e-9, F.try_divide("l_tax", "l_discount")).when(F.col("l_tax") > 0.05, float("inf")).when(F.col("l_tax") > 0.02, float("-inf"))
+    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", ratio(x).alias("shown"))
+
+
 @query("i06_safe_divide", "SELECT l_orderkey, l_linenumber, CASE WHEN abs(l_discount) > 1e-9 THEN round(l_tax / l_discount, 6) END AS ratio, greatest(l_tax, l_discount) AS high, least(l_tax, l_discount) AS low FROM lineitem")
 def i06(spark, d):
     ratio = F.when(F.abs("l_discount") > 1e-9, F.round(F.try_divide("l_tax", "l_discount"), 6))
@@ -244,6 +254,15 @@ def i09(spark, d):
     return disclosures(spark, d).select("id", F.parse_url("url", F.lit("QUERY"), F.lit("id")).alias("key"), F.parse_url("url", F.lit("QUERY"), F.lit("t")).alias("lang"))
 
 
+@query("i09_document_url", "SELECT id, CASE WHEN id % 5 <> 0 AND id % 7 <> 0 THEN 'https://files.example/' || CAST(ann_date AS VARCHAR) || '/' || id || '.PDF' END AS file_url FROM disc", "disc")
+def i09b(spark, d):
+    """A file's address from the parameters of its page's; null where one is missing or the time is no date."""
+    day = F.date_format("ann_date", "yyyy-MM-dd")
+    time = F.when(F.col("id") % 7 == 0, F.lit("soon")).otherwise(F.concat(day, F.lit("%2000:00:00")))
+    page = F.concat(F.lit("https://pages.example/d?announcementId="), F.col("id").cast("string"), F.when(F.col("id") % 5 == 0, F.lit("")).otherwise(F.concat(F.lit("&announcementTime="), time)))
+    return disclosures(spark, d).select("id", fn.document_url(page, "https://files.example").alias("file_url"))
+
+
 @query("i10_numeral", "SELECT p_partkey, p_partkey % 10 + 1 AS n FROM part")
 def i10(spark, d):
     text = F.concat(F.lit("第"), F.element_at(F.split(F.lit("一,二,三,四,五,六,七,八,九,十"), ","), (F.col("p_partkey") % 10 + 1).cast("int")), F.lit("节"))

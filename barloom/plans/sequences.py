@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from barloom.operators import bars as period
-from barloom.operators import chan, pullback
+from barloom.operators import chan, pullback, strategies
 from barloom.plans.catalog import query
+from barloom.plans.indicators import O, w
+from barloom.plans.signals import full
 from barloom.sources import daily_bars
 
 
@@ -51,8 +52,8 @@ def k09(spark, d):
 @query("k10_completed_up_strokes")
 def k10(spark, d):
     strokes = chan.structures(daily_bars(spark, d), "P", "breakout").where("kind = 'stroke'")
-    w = Window.partitionBy("symbol").orderBy("seq")
-    rows = strokes.withColumns({"next": F.lead("type").over(w), "next_start": F.lead("start_date").over(w)})
+    turn = Window.partitionBy("symbol").orderBy("seq")
+    rows = strokes.withColumns({"next": F.lead("type").over(turn), "next_start": F.lead("start_date").over(turn)})
     return rows.where("type = 'up' and next = 'down' and next_start = end_date").select("symbol", "seq", "end_date", F.round("end_price", 4).alias("end_price"))
 
 
@@ -65,36 +66,45 @@ def signals(df):
     return df.select("symbol", "signal_date", "strategy_name", "signal_type", "timeframe", F.round("score", 4).alias("score"), F.round("level", 4).alias("level"))
 
 
-@query("l01_pullback_daily")
-def l01(spark, d):
-    bars = daily_bars(spark, d)
-    return signals(pullback.pullback(bars, pullback.DAILY, period.weekly(bars)))
+def screened(name):
+    """The strategy's signals of the last day of all bars: symbols whose last bar is older have none."""
 
+    def run(spark, d):
+        bars = daily_bars(spark, d)
+        last = bars.agg(F.max("date")).first()[0]  # one value
+        return signals(strategies.screen(bars, last, [strategies.REGISTRY[name]]))
 
-@query("l02_breakout")
-def l02(spark, d):
-    return signals(pullback.breakout(daily_bars(spark, d)))
+    return run
 
 
-@query("l06_pullback_weekly")
-def l06(spark, d):
-    bars = daily_bars(spark, d)
-    return signals(pullback.pullback(period.weekly(bars), pullback.WEEKLY, period.monthly(bars)))
+query("l01_pullback_daily")(screened("AdaptedMAPullback"))
+query("l02_breakout")(screened("ChanBreakout"))
+query("l06_pullback_weekly")(screened("WeeklyMAPullback"))
+query("l07_pullback_monthly")(screened("MonthlyMAPullback"))
 
 
-@query("l07_pullback_monthly")
-def l07(spark, d):
-    return signals(pullback.pullback(period.monthly(daily_bars(spark, d)), pullback.MONTHLY))
+ENHANCED_SQL = f"""
+WITH m AS (SELECT *, row_number() {O} - 1 AS k, {full(5, 2)} AS ma5, {full(30, 2)} AS ma30 FROM bars),
+c AS (SELECT *, regr_slope(ma30, k) {w(5)} AS slope, count(ma30) {w(5)} AS n, k >= 33 AND high >= 1.2 * ma30 AS tall,
+  high = max(high) OVER a AS top, high = max(high) OVER b AS near_top, low = min(low) OVER a AS dip, low = min(low) OVER b AS near_dip FROM m
+  WINDOW a AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), b AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING)),
+s AS (SELECT *, max(CASE WHEN top AND tall THEN k END) OVER u AS far_peak, CASE WHEN lag(near_top AND tall) {O} THEN k - 1 END AS near_peak, max(CASE WHEN dip THEN k END) OVER u AS far_low, CASE WHEN lag(near_dip) {O} THEN k - 1 END AS near_low FROM c
+  WINDOW u AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING)),
+t AS (SELECT *, coalesce(near_peak, far_peak) AS peak, coalesce(near_low, far_low) AS at FROM s),
+g AS (SELECT * FROM t WHERE k >= 78 AND peak IS NOT NULL AND n = 5 AND slope >= -1e-6 AND close > ma30 AND ma5 > ma30 AND (close - ma30) / ma30 <= 0.05),
+l AS (SELECT g.symbol, g.k, min(b.low) AS least FROM g JOIN m b ON b.symbol = g.symbol AND b.k > g.peak AND b.k <= g.k GROUP BY 1, 2)
+SELECT g.symbol, g.date, round(p.high, 4) AS peak, round(CASE WHEN g.k - g.peak < 5 THEN q.low WHEN g.at >= g.peak + 5 THEN r.low ELSE l.least END, 4) AS low
+FROM g JOIN m p ON p.symbol = g.symbol AND p.k = g.peak JOIN m q ON q.symbol = g.symbol AND q.k = g.k - 1 LEFT JOIN m r ON r.symbol = g.symbol AND r.k = g.at LEFT JOIN l ON l.symbol = g.symbol AND l.k = g.k"""
 
 
-@query("l08_enhanced_buy")
+@query("l08_enhanced_buy", ENHANCED_SQL, "bars")
 def l08(spark, d):
-    return pullback.enhanced(daily_bars(spark, d)).where("buy is not null").select("symbol", "date")
+    return pullback.enhanced(daily_bars(spark, d)).where("action = 'BUY'").select("symbol", "date", F.round("peak", 4).alias("peak"), F.round("low", 4).alias("low"))
 
 
 @query("l09_enhanced_sell")
 def l09(spark, d):
-    return pullback.enhanced(daily_bars(spark, d)).where("sell is not null").select("symbol", "date", "sell")
+    return pullback.enhanced(daily_bars(spark, d)).where("action <> 'BUY'").select("symbol", "date", F.col("action").alias("sell"), F.round("price", 4).alias("price"))
 
 
 @query("p01_backtest_trades")
@@ -117,15 +127,28 @@ def p05(spark, d):
 
 @query("p06_trade_statistics")
 def p06(spark, d):
-    sells = pullback.backtest(daily_bars(spark, d)).where("action <> 'buy'")
-    w = Window.partitionBy("symbol").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    sells = sells.withColumn("fall", 1 - F.try_divide("equity", F.max("equity").over(w)))
+    """Trades, win rate, means, profit factor and SQN from the sells; drawdown, annual return and Sharpe ratio from daily equity."""
+    bars = daily_bars(spark, d)
+    sells = pullback.backtest(bars).where("action <> 'buy'")
     win, loss = F.when(F.col("profit") > 0, F.col("profit")), F.when(F.col("profit") <= 0, F.col("profit"))
-    return sells.groupBy("symbol").agg(
+    trades = sells.groupBy("symbol").agg(
         F.count("*").alias("trades"), F.round(F.avg((F.col("profit") > 0).cast("int")), 4).alias("win_rate"), F.round(F.avg(win), 2).alias("mean_win"), F.round(F.avg(loss), 2).alias("mean_loss"),
-        F.round(F.try_divide(F.sum(win), -F.sum(loss)), 4).alias("profit_factor"), F.round(F.max("fall"), 6).alias("drawdown"),
+        F.round(F.try_divide(F.sum(win), -F.sum(loss)), 4).alias("profit_factor"),
         F.round(F.try_divide(F.sqrt(F.count("*")) * F.avg("profit"), F.stddev_samp("profit")), 4).alias("sqn"),
     )
+    return account_statistics(pullback.daily_equity(bars)).join(trades, "symbol", "left")
+
+
+def account_statistics(equity, start: float = 1_000_000.0, free: float = 0.01):
+    """Per symbol: greatest fall of equity (symbol, date, equity) from its peak so far, mean annual return, yearly Sharpe ratio."""
+    w = Window.partitionBy("symbol").orderBy("date")
+    fall = 1 - F.try_divide("equity", F.greatest(F.lit(start), F.max("equity").over(w.rowsBetween(Window.unboundedPreceding, 0))))
+    falls = equity.withColumn("fall", fall).groupBy("symbol", F.year("date").alias("year")).agg(F.max("fall").alias("fall"), F.max_by("equity", "date").alias("equity"))
+    years = falls.withColumn("ret", F.try_divide("equity", F.coalesce(F.lag("equity").over(Window.partitionBy("symbol").orderBy("year")), F.lit(start))) - 1)
+    return years.groupBy("symbol").agg(
+        F.round(F.max("fall"), 6).alias("drawdown"), F.round(F.avg("ret"), 6).alias("annual_return"),
+        F.round(F.try_divide(F.avg("ret") - free, F.nullif(F.round(F.stddev_pop("ret"), 12), F.lit(0.0))), 4).alias("sharpe"),
+    )
 
 
 @query("p06_drawdown", "WITH e AS (SELECT symbol, date, close / max(close) OVER (PARTITION BY symbol ORDER BY date) - 1 AS fall FROM bars) SELECT symbol, round(min(fall), 6) AS drawdown FROM e GROUP BY 1", "bars")

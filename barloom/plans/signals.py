@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barloom.operators import bars as period
-from barloom.operators import cross
-from barloom.operators import indicators as ind
+from barloom.operators import cross, strategies
 from barloom.operators.folds import folds
 from barloom.plans.catalog import query
-from barloom.plans.indicators import EMA_SQL, O, w
+from barloom.plans.indicators import ADX_SQL, EMA_SQL, O, w
 from barloom.plans.market import WEEK, resampled
 from barloom.sources import daily_bars
 
@@ -67,14 +66,49 @@ def l03_monthly(spark, d):
     return out(cross.multi_level_cross(period.resample(daily_bars(spark, d), F.last_day("date")), "monthly", "none", None))
 
 
-@query("l04_multi_level_cross_flat", "WITH " + cross_sql("bars", "daily", "flat", True), "bars")
+def older_sql(source: str, level: str, name: str, flat: bool, volume: bool, skip: int, gate: str) -> str:
+    spans = cross.AVERAGES[level]
+    mas = ", ".join(f"CASE WHEN count(close) {w(n)} = {n} THEN round(avg(close) {w(n)}, 2) END AS ma{n}" for n in spans)
+    lags = ", ".join(f"lag(ma{n}) {O} AS p{n}" for n in spans)
+    top = spans[-1]
+    rules = [f"k >= {skip}"] + [f"close > ma{n} AND pclose <= p{n}" for n in spans] + [f"ma{top} >= p{top}"] * flat + ["pvolume > 1e-6 AND volume >= 1.5 * pvolume"] * volume
+    rules += [f"(n < 4 OR round(final, 9) >= {gate})"] if gate else []
+    tail = "OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+    known = " AND ".join(f"{c} IS NOT NULL" for c in ("close", "volume", *(f"ma{n}" for n in spans)))
+    return f"""{name}1 AS (SELECT symbol, date, close, volume, {mas} FROM {source}), {name}2 AS (SELECT *, row_number() {O} - 1 AS k, lag(close) {O} AS pclose, lag(volume) {O} AS pvolume, {lags} FROM {name}1 WHERE {known}),
+{name}3 AS (SELECT *, regr_slope(ma{top}, k) {w(4)} AS sl, count(*) {tail} AS n FROM {name}2), {name}4 AS (SELECT *, last_value(sl) {tail} AS final FROM {name}3), {name} AS (SELECT symbol, date, '{level}' AS timeframe FROM {name}4 WHERE {' AND '.join(rules)})"""
+
+
+def months(spark, d):
+    return period.spine(daily_bars(spark, d), "month")
+
+
+MONTH_SPINE = f"""
+mw AS ({resampled('last_day(date)')}), me AS (SELECT symbol, date_trunc('month', min(period)) AS a, date_trunc('month', max(period)) AS z FROM mw GROUP BY 1), ms AS (SELECT symbol, last_day(CAST(unnest(generate_series(a, z, INTERVAL 1 MONTH)) AS DATE)) AS date FROM me),
+months AS (SELECT ms.symbol, ms.date, close, coalesce(volume, 0) AS volume FROM ms LEFT JOIN mw ON mw.symbol = ms.symbol AND mw.period = ms.date)"""
+LEVELS = f"WITH {SPINE.strip()}, {MONTH_SPINE.strip()}, "
+THREE = " SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c"
+
+
+def three(spark, d, *each):
+    found = [cross.older_cross(rows(spark, d), level, **options).select("symbol", "date", F.lit(level).alias("timeframe")) for rows, level, options in each]
+    return found[0].union(found[1]).union(found[2])
+
+
+@query("l04_multi_level_cross_flat", LEVELS + ", ".join([older_sql("bars", "daily", "a", True, True, 30, ""), older_sql("weeks", "weekly", "b", False, True, 30, "-1e-6"), older_sql("months", "monthly", "c", False, False, 12, "")]) + THREE, "bars")
 def l04(spark, d):
-    return out(cross.multi_level_cross(daily_bars(spark, d), "daily", "flat"))
+    return three(spark, d, (daily_bars, "daily", {"flat": True, "volume": 1.5, "skip": 30}), (weeks, "weekly", {"volume": 1.5, "skip": 30, "gate": -1e-6}), (months, "monthly", {"skip": 12}))
 
 
-@query("l05_multi_level_cross_last_only", f"WITH w AS ({resampled(WEEK)}), weeks AS (SELECT symbol, period AS date, close, volume FROM w), " + cross_sql("weeks", "weekly", "none", False), "bars")
+@query("l05_multi_level_cross_last_only", LEVELS + ", ".join([older_sql("bars", "daily", "a", True, True, 1, ""), older_sql("weeks", "weekly", "b", False, True, 1, "0"), older_sql("months", "monthly", "c", False, False, 1, "")]) + THREE, "bars")
 def l05(spark, d):
-    return out(cross.multi_level_cross(period.weekly(daily_bars(spark, d)), "weekly", "none", None))
+    return three(spark, d, (daily_bars, "daily", {"flat": True, "volume": 1.5}), (weeks, "weekly", {"volume": 1.5, "gate": 0.0}), (months, "monthly", {}))
+
+
+@query("l05_weekly_of_dense_weeks", f"WITH w AS ({resampled(WEEK)}), weeks AS (SELECT symbol, period AS date, close, volume FROM w), " + older_sql("weeks", "weekly", "b", False, True, 1, "0") + " SELECT * FROM b", "bars")
+def l05w(spark, d):
+    """The weekly rule where weeks without trades are left out, so that averages are full."""
+    return cross.older_cross(period.weekly(daily_bars(spark, d)), "weekly", volume=1.5, gate=0.0).select("symbol", "date", F.lit("weekly").alias("timeframe"))
 
 
 def full(n: int, places: int = 6) -> str:
@@ -110,21 +144,17 @@ def l10(spark, d):
 
 @query("l11_rsi_rebound", EMA_SQL + f", q AS (SELECT symbol, date, CASE WHEN down > 0 THEN round(100 - 100 / (1 + up / down), 4) WHEN up > 0 THEN 100 END AS rsi FROM e), p AS (SELECT *, lag(rsi) {O} AS prsi FROM q) SELECT symbol, date FROM p WHERE rsi < 30 AND prsi < 30 AND rsi > prsi", "bars")
 def l11(spark, d):
-    rows = folds(daily_bars(spark, d)).withColumn("rsi", F.round("rsi", 4)).withColumn("prsi", ind.lag("rsi"))
-    return rows.where("rsi < 30 and prsi < 30 and rsi > prsi").select("symbol", "date")
+    return strategies.rsi_rebound(daily_bars(spark, d)).select("symbol", "date")
 
 
 @query("l11_macd_divergence", EMA_SQL + f", q AS (SELECT symbol, date, round(close, 6) AS close, round(2 * (e12 - e26 - dea), 4) AS bar FROM e), p AS (SELECT *, min(close) OVER b AS low, min(bar) {w(5)} AS least, count(*) {w(5)} AS n FROM q WINDOW b AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING)) SELECT symbol, date FROM p WHERE n = 5 AND close < low AND bar > least", "bars")
 def l11b(spark, d):
-    rows = folds(daily_bars(spark, d)).select("symbol", "date", F.round("close", 6).alias("close"), F.round("bar", 4).alias("bar"))
-    before = ind.by_date().rowsBetween(-4, -1)
-    rows = rows.withColumns({"low": F.min("close").over(before), "least": F.min("bar").over(ind.over(5)), "n": F.count("*").over(ind.over(5))})
-    return rows.where("n = 5 and close < low and bar > least").select("symbol", "date")
+    return strategies.macd_divergence(daily_bars(spark, d)).select("symbol", "date")
 
 
-@query("l12_adx_trend")
+@query("l12_adx_trend", ADX_SQL + "SELECT symbol, date FROM adx WHERE adx > 25", "bars")
 def l12(spark, d):
-    return folds(daily_bars(spark, d)).where("adx > 25").select("symbol", "date")
+    return folds(daily_bars(spark, d), ["adx"]).where("round(adx, 4) > 25").select("symbol", "date")
 
 
 @query("l13_pattern_stubs", "SELECT symbol, date AS signal_date, '' AS strategy FROM bars WHERE false", "bars")
@@ -138,5 +168,3 @@ def l15(spark, d):
 
     kept = read(spark, d, "supplier").where("s_acctbal > 1000 and s_suppkey / 10.0 < 20").orderBy("s_suppkey").limit(200)
     return kept.select(F.col("s_suppkey").alias("symbol"), F.round("s_acctbal", 2).alias("profit"))
-
-

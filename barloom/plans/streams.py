@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barloom.plans.catalog import query
@@ -24,14 +23,30 @@ def q01h(spark, d):
     return bars.event_bars(read(spark, d, "events"), "1 hour")
 
 
-@query("q02_late_upsert", "SELECT event_type, date_trunc('day', ts) AS start, count(*) AS n FROM events GROUP BY 1, 2")
+EDGE = "TIMESTAMP '2024-01-20 00:00:00'"
+BARS = "SELECT event_type, date_trunc('day', ts) AS start, count(*) AS n, round(sum(value), 4) AS total FROM {t} GROUP BY 1, 2"
+
+
+def _days(events):
+    return events.groupBy("event_type", F.date_trunc("day", "ts").alias("start")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query("q02_late_upsert", f"WITH early AS (SELECT * FROM events WHERE ts < {EDGE} AND event_id % 10 <> 0), late AS (SELECT * FROM events WHERE ts >= {EDGE} - INTERVAL 2 DAY) SELECT * FROM ({BARS.format(t='early')}) o WHERE start < {EDGE} - INTERVAL 2 DAY UNION ALL {BARS.format(t='late')}")
 def q02(spark, d):
+    """Days loaded early, without a tenth of the events that came late; the last two of them and what follows are made anew."""
     from barloom.operators.bars import upsert
 
     events = read(spark, d, "events")
-    whole = bars.event_bars(events).select("event_type", "start", "n")
-    first = bars.event_bars(events.where("event_id % 2 = 0")).select("event_type", "start", "n")
-    return upsert(first, whole, ["event_type", "start"])
+    edge = F.lit("2024-01-20").cast("timestamp_ntz")
+    first = _days(events.where((F.col("ts") < edge) & (F.col("event_id") % 10 != 0)))
+    return upsert(first, _days(events.where(F.col("ts") >= edge - F.expr("interval 2 days"))), ["event_type", "start"])
+
+
+@query("q02_unique_events", "SELECT event_id, event_type, value FROM events")
+def q02b(spark, d):
+    """Every event_id once, of events of which a third come twice."""
+    events = read(spark, d, "events")
+    return bars.unique_events(events.union(events.where("event_id % 3 = 0"))).select("event_id", "event_type", "value")
 
 
 @query("q03_sessions", "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k")
@@ -41,5 +56,4 @@ def q03(spark, d):
 
 @query("q04_running_state", "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 4) AS total FROM events")
 def q04(spark, d):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return read(spark, d, "events").select("event_id", F.round(F.sum("value").over(w), 4).alias("total"))
+    return bars.running_state(read(spark, d, "events")).select("event_id", F.round("total", 4).alias("total"))

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-MICRO = 1e-9
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -27,6 +24,23 @@ def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def load_bars(bars: DataFrame, symbol=None, start: str | None = None, end: str | None = None, tail: int | None = None) -> DataFrame:
+    """Bars of a closed range of dates, or the last ``tail`` bars of each symbol, by date; of one symbol or of all.
+
+    One of the two has to be asked for, and not both: ValueError.
+    """
+    ranged = start is not None or end is not None
+    if ranged == (tail is not None):
+        raise ValueError("ask for a range of dates or for the last bars, and not for both")
+    rows = bars if symbol is None else bars.where(F.col("symbol") == symbol)
+    for given, bound in ((start, F.col("date") >= F.lit(start).cast("date")), (end, F.col("date") <= F.lit(end).cast("date"))):
+        rows = rows if given is None else rows.where(bound)
+    if tail is not None:
+        last = Window.partitionBy("symbol").orderBy(F.desc("date"))
+        rows = rows.withColumn("__rank", F.row_number().over(last)).where(F.col("__rank") <= tail).drop("__rank")
+    return rows.orderBy("symbol", "date")
+
+
 def stock_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """code, name, area, industry of every supplier."""
     supplier, nation, region = (read(spark, sf_dir, t) for t in ("supplier", "nation", "region"))

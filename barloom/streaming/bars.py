@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.operators.bars import upsert
@@ -26,8 +27,10 @@ def event_bars(events: DataFrame, length: str = "1 day", late: str | None = "2 d
 
 
 def unique_events(events: DataFrame, late: str = "1 day") -> DataFrame:
-    """Each event_id once, state bounded by the watermark."""
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+    """Each event_id once; in a stream repeats are known as long as the watermark holds them."""
+    if not events.isStreaming:
+        return events.dropDuplicates(["event_id"])
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
@@ -35,6 +38,30 @@ def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
     return rows.groupBy("user_id", F.session_window("ts", gap).alias("s")).agg(F.count("*").alias("n")).select("user_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n")
 
 
+RUNNING = "user_id long, event_id long, total double"
+
+
+def _running_rows(key, batches, state):
+    held = state.get[0] if state.exists else 0.0
+    rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+    sums = held + rows["value"].fillna(0.0).cumsum()
+    state.update((float(sums.iloc[-1]),))
+    yield pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"], "total": sums})
+
+
+def running_state(events: DataFrame) -> DataFrame:
+    """(user_id, event_id, total): the sum of a user's values so far, carried from trigger to trigger of a stream.
+
+    A user's events of one trigger are summed in the order of (ts, event_id); null values add nothing, rows without a
+    user are one group of their own.  Over a table it is one window.
+    """
+    rows = events.select("user_id", "event_id", "ts", "value")
+    if not events.isStreaming:
+        w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+        return rows.select("user_id", "event_id", F.sum(F.coalesce("value", F.lit(0.0))).over(w).alias("total"))
+    return rows.groupBy("user_id").applyInPandasWithState(_running_rows, RUNNING, "total double", "append", "NoTimeout")
+
+
 def upsert_batches(path: str, keys: list[str]):
     """A foreachBatch function that keeps a Parquet table current: a batch's rows replace those of equal keys.
 
