@@ -60,14 +60,17 @@ def merge_p(high, low, open_, close) -> Merged:
     return m
 
 
-def directions(m: Merged) -> list[int]:
-    """Direction against the bar before, else the bar after, else by colour."""
+def directions(m: Merged, backtest: bool = False) -> list[int]:
+    """Direction against the bar before, else the bar after, else by colour; in the backtest against the bar before alone (the first: after), else 0."""
     def against(i, j):
         return int(m.high[j] > m.high[i] and m.low[j] > m.low[i]) - int(m.high[j] < m.high[i] and m.low[j] < m.low[i])
 
     n, out = len(m.high), []
     for i in range(n):
         way = against(i - 1, i) if i else 0
+        if backtest:
+            out.append(way if i or n == 1 else against(0, 1))
+            continue
         way = way or (against(i, i + 1) if i + 1 < n else 0)
         out.append(way or (1 if m.close[i] >= m.open[i] else -1))
     return out
@@ -323,7 +326,7 @@ STRUCTURES = "symbol long, kind string, seq int, type string, start_date date, e
 
 def _rows_p(pdf: pd.DataFrame, rule: StrokeRule, reach: int):
     m = merge_p(*(pdf[c].tolist() for c in ("high", "low", "open", "close")))
-    way, day = directions(m), pdf["date"].tolist()
+    way, day = directions(m, rule.hold), pdf["date"].tolist()
     for i in range(len(m.high)):
         yield "merged", i, str(way[i]), day[m.at[i]], day[m.row[i]], m.open[i], m.close[i], m.high[i], m.low[i], float(m.trend[i])
     marks = fractals_p(m, reach)

@@ -38,10 +38,16 @@ structure("k07_c_divergences", "divergence", "C")
 structure("k08_c_points", "point", "C")
 
 
-@query("k02_p_directions")
-def k02(spark, d):
-    rows = chan.structures(daily_bars(spark, d), "P").where("kind = 'merged'")
-    return rows.groupBy("symbol", "type").agg(F.count("*").alias("n"))
+def directions(name, rule):
+    def run(spark, d):
+        rows = chan.structures(daily_bars(spark, d), "P", rule).where("kind = 'merged'")
+        return rows.select("symbol", "seq", F.col("end_date").alias("date"), F.col("type").cast("int").alias("direction"))
+
+    query(name)(run)
+
+
+directions("k02_p_directions", "pullback")
+directions("k02_p_directions_backtest", "backtest")
 
 
 @query("k09_c_pipeline")

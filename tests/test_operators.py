@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from barloom import functions as fn
 from barloom import sources
 from barloom.operators import asof, bars, chan, chunking, folds, fundamentals, pullback, strategies, text
-from barloom.plans import sequences
+from barloom.plans import learning, sequences
 from barloom.sources import tables
 from barloom.streaming import bars as streaming
 
@@ -91,6 +91,21 @@ def test_sequences_hold_invariants(seed, rule):
     assert all(b - a >= 2 and (b - a) % 2 == 0 for a, b in chan.segments(items))
 
 
+def test_directions_by_rule():
+    m = chan.merge_p([10, 11, 12, 11.5, 12.5], [8, 9, 8.5, 8.2, 9], [9, 10, 11, 11, 9], [10, 9, 10, 9, 12])
+    assert chan.directions(m)[0] == 1 and chan.directions(m, True)[0] == 1
+    lone = chan.merge_p([10], [8], [9], [8.5])
+    assert chan.directions(lone) == [-1] and chan.directions(lone, True) == [0]
+    wide = chan.Merged([10, 12], [8, 7], [9, 9], [9, 10], [0, 1], [0, 1], [0, 0])
+    assert chan.directions(wide) == [1, 1] and chan.directions(wide, True) == [0, 0]
+
+
+def test_report_by_hand(spark):
+    rows = spark.createDataFrame([(1.0, 1.0)] * 3 + [(1.0, 0.0)] + [(0.0, 0.0)] * 2 + [(0.0, 1.0)] * 2, "label double, prediction double")
+    got = {r["class"]: (r.support, r.precision, r.recall, r.f1) for r in learning.report(rows).collect()}
+    assert got == {1.0: (4, 0.6, 0.75, round(2 * 0.6 * 0.75 / 1.35, 9)), 0.0: (4, round(2 / 3, 9), 0.5, round(2 * 2 / 3 * 0.5 / (2 / 3 + 0.5), 9))}
+
+
 def test_strokes_by_rule():
     high, low = [5, 6, 9, 7, 6, 8, 10, 9, 8], [3, 4, 7, 5, 4, 6, 8, 7, 6]
     m = chan.merge_p(high, low, low, high)
