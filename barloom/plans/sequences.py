@@ -12,13 +12,82 @@ from barloom.plans.signals import full
 from barloom.sources import daily_bars
 
 
+#: dialect P bar by bar: the state of the last merged bar, pushed or joined at every row; mg has each merged bar's last state
+MERGED = f"""
+i AS (SELECT symbol, date, open, high, low, close, row_number() {O} - 1 AS k FROM bars), e AS (
+  SELECT symbol, k, 0::BIGINT AS seq, high, low, open, close, k AS spot, 0 AS trend FROM i WHERE k = 0
+  UNION ALL
+  SELECT symbol, k, seq + CAST(how = 0 AS INT), CASE WHEN how = 0 OR (trend > 0 AND h >= high) OR (trend = 0 AND how = 2) THEN h ELSE high END,
+    CASE WHEN how = 0 OR (trend = 0 AND how = 2) THEN lo WHEN trend < 0 THEN least(low, lo) ELSE low END, CASE WHEN how = 0 THEN o ELSE open END, c,
+    CASE WHEN how = 0 OR (trend > 0 AND h >= high) OR (trend = 0 AND how = 2) THEN k ELSE spot END,
+    CASE WHEN how = 0 THEN CAST(h > high AND lo > low AS INT) - CAST(h < high AND lo < low AS INT) ELSE trend END
+  FROM (SELECT i.symbol, i.k, e.seq, e.high, e.low, e.open, e.spot, e.trend, i.high AS h, i.low AS lo, i.open AS o, i.close AS c,
+      CASE WHEN i.high <= e.high AND i.low >= e.low THEN 1 WHEN i.high >= e.high AND i.low <= e.low THEN 2 ELSE 0 END AS how FROM e JOIN i ON i.symbol = e.symbol AND i.k = e.k + 1)
+), lasts AS (SELECT symbol, seq, max(k) AS rw, arg_max(high, k) AS high, arg_max(low, k) AS low, arg_max(open, k) AS open, arg_max(close, k) AS close, arg_max(spot, k) AS spot, arg_max(trend, k) AS trend FROM e GROUP BY 1, 2),
+mg AS (SELECT l.*, a.date AS at_date, r.date AS row_date FROM lasts l JOIN i a ON a.symbol = l.symbol AND a.k = l.spot JOIN i r ON r.symbol = l.symbol AND r.k = l.rw)"""
+MO = "OVER (PARTITION BY symbol ORDER BY seq)"
+
+
+def way_sql(before: str, after: str) -> str:
+    """1 where both ends rise from one bar to the other, -1 where both fall, else 0; names of their high and low."""
+    (h1, l1), (h2, l2) = before.split(), after.split()
+    return f"(CASE WHEN {h2} > {h1} AND {l2} > {l1} THEN 1 WHEN {h2} < {h1} AND {l2} < {l1} THEN -1 ELSE 0 END)"
+
+
+def directed(backtest: bool) -> str:
+    back, ahead = way_sql("ph pl", "high low"), way_sql("high low", "nh nl")
+    rule = f"CASE WHEN seq > 0 THEN {back} ELSE {ahead} END" if backtest else f"CASE WHEN seq > 0 AND {back} <> 0 THEN {back} WHEN {ahead} <> 0 THEN {ahead} WHEN close >= open THEN 1 ELSE -1 END"
+    return f"nb AS (SELECT *, lag(high) {MO} AS ph, lag(low) {MO} AS pl, lead(high) {MO} AS nh, lead(low) {MO} AS nl FROM mg), dr AS (SELECT *, {rule} AS way FROM nb)"
+
+
+def fractals_sql(reach: int) -> str:
+    side = lambda f, c, a, b: f"{f}({c}) OVER (PARTITION BY symbol ORDER BY seq ROWS BETWEEN {a} AND {b})"
+    before, after = (f"{reach} PRECEDING", "1 PRECEDING"), ("1 FOLLOWING", f"{reach} FOLLOWING")
+    whole = f"{side('count', '*', *before)} = {reach} AND {side('count', '*', *after)} = {reach}"
+    return f"""fx AS (SELECT *, {whole} AS whole, high > {side('max', 'high', *before)} AND high > {side('max', 'high', *after)} AS top, low < {side('min', 'low', *before)} AND low < {side('min', 'low', *after)} AS bottom FROM mg),
+fr AS (SELECT *, row_number() {MO} - 1 AS n, CASE WHEN top THEN 1 ELSE -1 END AS kind, CASE WHEN top THEN high ELSE low END AS price FROM fx WHERE whole AND top <> bottom)"""
+
+
+def strokes_sql(rule: chan.StrokeRule, reach: int) -> str:
+    if rule.collapse:
+        ends = f"""g1 AS (SELECT *, CASE WHEN kind = lag(kind) {MO} THEN 0 ELSE 1 END AS fresh FROM fr), g2 AS (SELECT *, sum(fresh) {MO} AS run FROM g1),
+fs AS (SELECT * EXCLUDE (n, best), row_number() {MO} - 1 AS n FROM (SELECT *, row_number() OVER (PARTITION BY symbol, run ORDER BY kind * price DESC, seq {'DESC' if rule.collapse == 'equal' else 'ASC'}) AS best FROM g2) WHERE best = 1)"""
+    else:
+        ends = "fs AS (SELECT * FROM fr)"
+    near = "(f.kind = 1 AND f.high > s.low OR f.kind = -1 AND f.low < s.high)"
+    far = "(f.kind = 1 AND f.high > s.high OR f.kind = -1 AND f.low < s.low)"
+    good = f"f.kind <> s.kind AND f.seq - s.seq - 1 >= {rule.gap} AND {far if rule.past == 'far' else near}"
+    stay = f"f.kind = s.kind AND f.kind * f.price <= s.kind * s.price" + (f" OR f.kind <> s.kind AND NOT ({good})" if rule.hold else "")
+    return f"""{fractals_sql(reach)}, {ends}, st AS (
+  SELECT symbol, n, seq, kind, high, low, price, NULL::BIGINT AS a, NULL::BIGINT AS b FROM fs WHERE n = 0
+  UNION ALL
+  SELECT f.symbol, f.n, CASE WHEN {stay} THEN s.seq ELSE f.seq END, CASE WHEN {stay} THEN s.kind ELSE f.kind END, CASE WHEN {stay} THEN s.high ELSE f.high END, CASE WHEN {stay} THEN s.low ELSE f.low END,
+    CASE WHEN {stay} THEN s.price ELSE f.price END, CASE WHEN {good} THEN s.seq END, CASE WHEN {good} THEN f.seq END
+  FROM st s JOIN fs f ON f.symbol = s.symbol AND f.n = s.n + 1
+), sk AS (SELECT x.symbol, row_number() OVER (PARTITION BY x.symbol ORDER BY x.n) - 1 AS seq, CASE WHEN e.kind = 1 THEN 'up' ELSE 'down' END AS type, s.row_date AS start_date, e.row_date AS end_date, s.price AS start_price, e.price AS end_price,
+  greatest(s.high, e.high) AS high, least(s.low, e.low) AS low, e.spot AS value FROM st x JOIN fs s ON s.symbol = x.symbol AND s.seq = x.a JOIN fs e ON e.symbol = x.symbol AND e.seq = x.b)"""
+
+
+SHOWN = "CAST(seq AS INTEGER) AS seq, {type} AS type, {start} AS start_date, {end} AS end_date, {sp} AS start_price, {ep} AS end_price, high, low, CAST({value} AS DOUBLE) AS value"
+
+
+def structure_sql(kind: str, rule: str, reach: int) -> str:
+    head = f"WITH RECURSIVE {MERGED.strip()}, "
+    if kind == "merged":
+        return head + directed(chan.RULES[rule].hold) + " SELECT symbol, " + SHOWN.format(type="CAST(way AS VARCHAR)", start="at_date", end="row_date", sp="open", ep="close", value="trend") + " FROM dr"
+    if kind == "fractal":
+        shown = SHOWN.replace("CAST(seq AS", "CAST(n AS").format(type="CASE WHEN top THEN 'top' ELSE 'bottom' END", start="row_date", end="row_date", sp="price", ep="price", value="seq")
+        return head + fractals_sql(reach) + f" SELECT symbol, {shown} FROM fr"
+    return head + strokes_sql(chan.RULES[rule], reach) + " SELECT symbol, " + SHOWN.format(type="type", start="start_date", end="end_date", sp="start_price", ep="end_price", value="value") + " FROM sk"
+
+
 def structure(name, kind, dialect, rule="pullback", reach=1):
     def run(spark, d):
         rows = chan.structures(daily_bars(spark, d), dialect, rule, reach).where(F.col("kind") == kind)
         prices = ("start_price", "end_price", "high", "low", "value")
-        return rows.select("symbol", "seq", "type", "start_date", "end_date", *[F.round(c, 4).alias(c) for c in prices])
+        return rows.select("symbol", "seq", "type", "start_date", "end_date", *[F.round(c, 4).alias(c) if dialect == "C" else c for c in prices])
 
-    query(name)(run)
+    query(name, *([structure_sql(kind, rule, reach), "bars"] if dialect == "P" else []))(run)
 
 
 structure("k01_p_merged_bars", "merged", "P")
@@ -43,7 +112,8 @@ def directions(name, rule):
         rows = chan.structures(daily_bars(spark, d), "P", rule).where("kind = 'merged'")
         return rows.select("symbol", "seq", F.col("end_date").alias("date"), F.col("type").cast("int").alias("direction"))
 
-    query(name)(run)
+    sql = f"WITH RECURSIVE {MERGED.strip()}, {directed(chan.RULES[rule].hold)} SELECT symbol, CAST(seq AS INTEGER) AS seq, row_date AS date, way AS direction FROM dr"
+    query(name, sql, "bars")(run)
 
 
 directions("k02_p_directions", "pullback")
@@ -55,12 +125,15 @@ def k09(spark, d):
     return chan.structures(daily_bars(spark, d), "C").groupBy("symbol", "kind").agg(F.count("*").alias("n"))
 
 
-@query("k10_completed_up_strokes")
+K10 = f"WITH RECURSIVE {MERGED.strip()}, {strokes_sql(chan.RULES['breakout'], 1)} SELECT symbol, CAST(seq AS INTEGER) AS seq, end_date, end_price FROM (SELECT *, lead(type) {MO} AS next, lead(start_date) {MO} AS next_start FROM sk) WHERE type = 'up' AND next = 'down' AND next_start = end_date"
+
+
+@query("k10_completed_up_strokes", K10, "bars")
 def k10(spark, d):
     strokes = chan.structures(daily_bars(spark, d), "P", "breakout").where("kind = 'stroke'")
     turn = Window.partitionBy("symbol").orderBy("seq")
     rows = strokes.withColumns({"next": F.lead("type").over(turn), "next_start": F.lead("start_date").over(turn)})
-    return rows.where("type = 'up' and next = 'down' and next_start = end_date").select("symbol", "seq", "end_date", F.round("end_price", 4).alias("end_price"))
+    return rows.where("type = 'up' and next = 'down' and next_start = end_date").select("symbol", "seq", "end_date", "end_price")
 
 
 @query("e17_strength_of_strokes")
