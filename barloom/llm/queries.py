@@ -47,7 +47,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of whole texts and the bytes that the ids decode to, as digests."""
     ranks = path("byte_bpe_50k.tiktoken")
-    out = bpe.decode(bpe.encode(_read(spark, sf_dir, "documents"), ranks, PATTERN), ranks, PATTERN)
+    out = bpe.encode(_read(spark, sf_dir, "documents"), ranks, PATTERN, decoded=True)
     return out.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
@@ -70,13 +70,15 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents appended in three arrivals, compacted to shards of 32 MB; the rows as the last manifest has them."""
+    """Documents appended in three arrivals and compacted to shards of 32 MB: the rows of the last version, and whether their shard is in its manifest."""
     docs = _read(spark, sf_dir, "documents")
     turn = F.pmod(F.xxhash64("doc_id"), F.lit(3))
-    store = sharding.ingest(docs, [turn == i for i in range(3)], scratch(spark, "shards"), target_bytes=32 << 20)
+    store = sharding.ingest(docs, [turn == 0, turn == 1, turn == 2], scratch(spark, "shards"), target_bytes=32 << 20)
     version, shards = store.manifest()
-    rows = store.read(version)
-    return rows.select("doc_id", F.crc32(F.col("text").cast("binary")).alias("text_crc32"), "lang", "source", "n_chars", "shard", F.lit(version).cast("long").alias("version"))
+    # the last version's shards: as many as the data have targets, and a few small ones a tier
+    named = F.broadcast(spark.createDataFrame([(x.file,) for x in shards], "file string"))
+    rows = store.read(version, shard="file").join(named.withColumn("in_manifest", F.lit(True)), "file", "left")
+    return rows.select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), "lang", "source", "n_chars", F.coalesce("in_manifest", F.lit(False)).alias("in_manifest"))
 
 
 QUERIES = {
@@ -119,6 +121,7 @@ FROM c WHERE containment >= 0.8 GROUP BY doc_id, license
 
 
 ORACLE_SQL = {
+    "op10_sharding": "SELECT doc_id, md5(text) AS text_md5, lang, source, n_chars, true AS in_manifest FROM documents",
     "op4_licenses": _license_sql(),
     "op3_vector_topk": """
 WITH v AS (

@@ -2,18 +2,22 @@
 
 A store is a folder with data files and ``manifests/<version>.json``.  Every change writes new files first
 and then commits the next manifest by renaming a finished temporary file to a name that must not exist
-yet; a reader uses the highest version, so it sees either the old set of shards or the new one.  Files
-that no manifest names are leftovers of lost tasks and are ignored; ``vacuum`` deletes them.
+yet; a reader uses the highest version, so it sees either the old set of shards or the new one.  A manifest
+holds what its version adds and removes, and every SNAPSHOT versions all shards, so a commit's size follows the
+change and not the store.  Files that no manifest names are leftovers of lost tasks or belong to a writer that has
+not committed yet; they are ignored, and ``vacuum`` deletes them once they are old.
 
 ``append`` writes an arrival as it lies, one small shard a task.  ``compact`` puts shards into tiers by
-size (powers of ``fanout`` below the target) and merges runs of similarly sized neighbours of a tier,
-each run in one task that reads and writes at most about the target size.  No step shuffles rows.
+size (powers of ``fanout`` below the target) and merges neighbours of one tier: runs that fill a target, and what
+is left of a tier once it has ``fanout`` shards.  Shards of other tiers are not touched, so each is rewritten once a
+tier.  A run is one task that reads and writes at most about the target size.  No step shuffles rows.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 from dataclasses import asdict, dataclass
 
@@ -22,6 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 MERGES_A_JOB = 48
+SNAPSHOT = 16  # versions from one whole manifest to the next
+GRACE = 86_400.0  # seconds for which vacuum spares folders that no kept version names
 
 
 @dataclass(frozen=True)
@@ -64,11 +70,21 @@ class Store:
     def manifest(self, version: int | None = None) -> tuple[int, list[Shard]]:
         """(version, shards) of the latest or of a given version; version 0 is the empty store."""
         held = self._held(version)
-        return held["version"], [Shard(**x) for x in held["shards"]]
+        changes, at = [], held
+        while "shards" not in at:
+            changes.append(at)
+            at = self._held(at["version"] - 1)
+        shards = {x["file"]: Shard(**x) for x in at["shards"]}
+        for change in reversed(changes):
+            for file in change["removed"]:
+                del shards[file]
+            shards |= {x["file"]: Shard(**x) for x in change["added"]}
+        return held["version"], list(shards.values())
 
     def _held(self, version: int | None = None) -> dict:
-        known = self.versions()
-        version = (known[-1] if known else 0) if version is None else version
+        if version is None:
+            known = self.versions()
+            version = known[-1] if known else 0
         if not version:
             return {"version": 0, "shards": []}
         stream = self._fs.open(self._path(f"manifests/{version:08d}.json"))
@@ -79,10 +95,16 @@ class Store:
         return json.loads(text)
 
     def commit(self, base: int, shards: list[Shard], what: str, schema: StructType | None = None) -> int:
-        """Make version base + 1; fails if another writer has made it first.  Without a schema that of base stays."""
+        """Make version base + 1 of these shards; fails if another writer has made it first.  Without a schema that of base stays."""
         version = base + 1
         schema = self.schema(base) if schema is None else schema
-        text = json.dumps({"version": version, "what": what, "schema": schema.jsonValue(), "shards": [asdict(x) for x in shards]})
+        entry = {"version": version, "what": what, "schema": schema.jsonValue()}
+        if version % SNAPSHOT == 1:
+            entry["shards"] = [asdict(x) for x in shards]
+        else:
+            old, new = {x.file for x in self.manifest(base)[1]}, {x.file for x in shards}
+            entry |= {"added": [asdict(x) for x in shards if x.file not in old], "removed": sorted(old - new)}
+        text = json.dumps(entry)
         draft, final = self._path(f"manifests/.draft-{uuid.uuid4().hex}"), self._path(f"manifests/{version:08d}.json")
         stream = self._fs.create(draft, False)
         try:
@@ -121,26 +143,27 @@ class Store:
         return 1 + max(0, math.ceil(math.log(self.target / 2 / max(1, shard.bytes), self.fanout)) - 1)
 
     def plan(self, shards: list[Shard]) -> list[list[Shard]]:
-        """Runs of shards to merge: neighbours of one tier up to the target size.
+        """Runs of neighbours (by version and name) of one tier to merge.
 
-        What a tier leaves over (less than fanout shards that do not reach the target) joins the next
-        larger tier's run, so the smallest files do not pile up.
+        A run that the next shard would carry over the target is merged; what is left of the tier is merged if it has
+        ``fanout`` shards or more and waits otherwise, at most fanout - 1 shards a tier.
         """
         tiers: dict[int, list[Shard]] = {}
         for x in shards:
             if level := self.tier(x):
                 tiers.setdefault(level, []).append(x)
-        runs, rest = [], []
+        runs = []
         for level in sorted(tiers, reverse=True):
-            run, size = rest, sum(x.bytes for x in rest)
+            run, size = [], 0
             for x in sorted(tiers[level], key=lambda x: (x.version, x.file)):
                 if run and size + x.bytes > self.target:
                     runs.append(run)
                     run, size = [], 0
-                run = [*run, x]
+                run.append(x)
                 size += x.bytes
-            rest = run
-        return [x for x in [*runs, rest] if len(x) > 1]
+            if len(run) >= self.fanout:
+                runs.append(run)
+        return [x for x in runs if len(x) > 1]
 
     def compact(self) -> int:
         """Merge every planned run and commit once; returns the version (unchanged if nothing is to merge)."""
@@ -165,45 +188,52 @@ class Store:
         return self.spark.read.schema(schema).parquet(*paths)
 
     def schema(self, version: int | None = None) -> StructType:
-        """All columns of a version: its manifest's, or where that names none those of one shard a folder."""
+        """All columns of a version."""
         held = self._held(version)
-        if "schema" in held:
-            return StructType.fromJson(held["schema"])
-        found = StructType()
-        for file in {x["file"].rsplit("/", 1)[0]: x["file"] for x in held["shards"]}.values():
-            found = joined(found, self.spark.read.parquet(f"{self.root}/{file}").schema)
-        return found
-
-    def read(self, version: int | None = None) -> DataFrame:
-        """The rows of a version, with the shard each lies in (``shard``)."""
+        return StructType.fromJson(held["schema"]) if held["version"] else StructType()
+
+    def read(self, version: int | None = None, shard: str | None = None) -> DataFrame:
+        """The rows of a version; with ``shard`` the path of the shard that each lies in, in a column of that name.
+
+        ValueError for a name that the store's rows have already.
+        """
         version, shards = self.manifest(version)
         if not shards:
             raise ValueError("the store is empty")
-        rows = self._read(shards, self.schema(version))
-        return rows.withColumn("shard", F.element_at(F.split(F.col("_metadata.file_path"), f"{self.root.rsplit('/', 1)[-1]}/"), -1))
-
-    def vacuum(self) -> int:
-        """Delete data folders that the latest manifest does not name; returns how many went."""
-        _, shards = self.manifest()
-        used = {x.file.split("/")[1] for x in shards}
-        gone = 0
-        data = self._path("data")
+        schema = self.schema(version)
+        if shard is not None and shard.lower() in {x.lower() for x in schema.names}:
+            raise ValueError(f"the store has a column {shard}")
+        rows = self._read(shards, schema)
+        return rows if shard is None else rows.withColumn(shard, F.element_at(F.split(F.col("_metadata.file_path"), f"{self.root.rsplit('/', 1)[-1]}/"), -1))
+
+    def vacuum(self, keep: int = 10, grace: float = GRACE) -> int:
+        """Delete data folders that none of the last ``keep`` versions names and that are older than ``grace`` seconds.
+
+        Older versions cannot be read any more.  A writer has ``grace`` seconds from its first file to its commit.
+        Returns how many folders went.
+        """
+        used = {x.file.split("/")[1] for version in self.versions()[-max(1, keep) :] for x in self.manifest(version)[1]}
+        gone, data = 0, self._path("data")
         for x in self._fs.listStatus(data) if self._fs.exists(data) else []:
-            if x.getPath().getName() not in used:
+            if x.getPath().getName() not in used and x.getModificationTime() / 1000 <= time.time() - grace:
                 self._fs.delete(x.getPath(), True)
                 gone += 1
         return gone
 
 
 def ingest(rows: DataFrame, arrivals: list, root: str, target_bytes: int, fanout: int = 4) -> Store:
-    """Append rows in arrivals (conditions that split them), then compact and delete what is replaced.
+    """Append rows in arrivals (conditions that split them), then compact; nothing is deleted.
 
-    Every row must satisfy one arrival condition; nulls, empty and very long texts, repeated rows and any
-    further columns are stored as they are.  Only columns that Parquet cannot hold fail, as in Spark.
+    Rows go with the first arrival whose condition holds, and those that no condition holds for, or only null ones, come
+    in an arrival of their own at the end, if there are any conditions: no row is left out or stored twice.  Nulls, empty
+    and very long texts, repeated rows and any further columns are stored as they are; empty arrivals and tables make
+    versions without rows.  Only columns that Parquet cannot hold fail, as in Spark.
     """
     store = Store(rows.sparkSession, root, target_bytes, fanout)
+    taken = F.lit(False)
     for condition in arrivals:
-        store.append(rows.where(condition))
+        store.append(rows.where(~taken & condition))
+        taken = taken | F.coalesce(condition, F.lit(False))
+    store.append(rows.where(~taken))
     store.compact()
-    store.vacuum()
     return store
