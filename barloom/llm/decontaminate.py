@@ -5,7 +5,7 @@ and units (5km is a number and a unit) become typed placeholders, one token each
 hashed and joined with the benchmark's; a second set of windows has one placeholder a word, and a third keeps
 every folded word, so changes of punctuation or case do not matter.  Hits of one document and item on one diagonal, and then on neighbouring ones (inserted or deleted
 words, placeholders of other lengths), are checked for slot consistency: a placeholder's benchmark value must
-always meet the same document value.  A pair is reported when consistent hits cover at least ``cover`` of the
+always meet the same document value and the other way round, so values may change but not fall together.  A pair is reported when consistent hits cover at least ``cover`` of the
 item's words, or when a whole window of folded words is the same in both, whatever its share of the item.
 
 The benchmark's windows are broadcast while they fit WINDOW_LIMIT; a larger benchmark is joined by hash.
@@ -25,10 +25,13 @@ WINDOW = 10
 PLAIN = 4  # words of a template window that are no placeholders (of a folded window: no numbers), at least
 COVER = 0.6
 STEADY = 0.7
-WINDOW_LIMIT = 1_000_000  # 16 bytes each
+WINDOW_LIMIT = 200_000  # rows of two arrays, about 200 bytes each: 40 MB
+PIECE = 1 << 20  # bytes of text searched at once
 U64 = np.uint64
 #: fixed values
-UNITS = ["mm", "cm", "m", "km", "in", "inch", "inches", "ft", "foot", "feet", "yd", "yard", "yards", "mile", "miles", "mg", "g", "kg", "gram", "grams", "ton", "tons", "lb", "lbs", "oz", "pound", "pounds", "ml", "l", "liter", "liters", "litre", "litres", "s", "sec", "second", "seconds", "min", "minute", "minutes", "h", "hr", "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years", "hz", "khz", "mhz", "w", "kw", "kwh", "v", "a", "j", "kj", "n", "pa", "bar", "k", "percent", "dollar", "dollars", "euro", "euros", "cent", "cents", "usd", "eur", "mph", "kmh", "degree", "degrees", "meter", "meters", "metre", "metres", "kilometer", "kilometers", "kilogram", "kilograms"]
+UNITS = ["mm", "cm", "m", "km", "in", "inch", "inches", "ft", "foot", "feet", "yd", "yard", "yards", "mile", "miles", "mg", "g", "kg", "gram", "grams", "ton", "tons", "lb", "lbs", "oz", "pound", "pounds", "ml", "l", "liter", "liters", "litre", "litres", "s", "sec", "second", "seconds", "min", "minute", "minutes", "h", "hr", "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years", "hz", "khz", "mhz", "w", "kw", "kwh", "v", "a", "j", "kj", "n", "pa", "bar", "k", "percent", "dollar", "dollars", "euro", "euros", "cent", "cents", "usd", "eur", "mph", "kmh", "degree", "degrees", "meter", "meters", "metre", "metres", "kilometer", "kilometers", "kilogram", "kilograms", "rupee", "rupees", "yen", "yuan", "peso", "pesos", "franc", "francs", "rouble", "roubles", "krona", "kronor"]
+#: fixed values
+NUMBERS = ["zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen", "twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety", "hundred", "thousand", "million"]
 
 _LETTER = np.zeros(256, bool)
 _LETTER[48:58] = _LETTER[65:91] = _LETTER[97:123] = True
@@ -52,15 +55,15 @@ def _runs(mask: np.ndarray, edge: np.ndarray):
     return np.flatnonzero(begins), np.flatnonzero(ends) + 1
 
 
-def _unit_hashes() -> np.ndarray:
-    raw = [x.encode() for x in UNITS]
+def _hashed(words: list[str]) -> np.ndarray:
+    raw = [x.encode() for x in words]
     cut = np.r_[0, np.cumsum([len(x) for x in raw])]
     return np.sort(t.hashes(np.frombuffer(b"".join(raw), np.uint8), cut[:-1], cut[1:], 51))
 
 
-def _is_unit(folded: np.ndarray) -> np.ndarray:
-    units = _unit_hashes()
-    return units[np.minimum(np.searchsorted(units, folded), len(units) - 1)] == folded
+def _among(folded: np.ndarray, words: list[str]) -> np.ndarray:
+    known = _hashed(words)
+    return known[np.minimum(np.searchsorted(known, folded), len(known) - 1)] == folded
 
 
 class Words:
@@ -69,7 +72,7 @@ class Words:
     Words: first (by document), folded (hashes), kinds.  Tokens: starts (by document), values (folded hashes),
     shapes (hashes, placeholders by kind), types (kinds), and the words lo to hi (past the last) that each stands for.
 
-    A number is a run of words of digits with one of . , : / in between; a name is a run of words that begin with a
+    A number is a run of words of digits with one of . , : / in between, or of NUMBERS with spaces or a hyphen; a name is a run of words that begin with a
     capital A-Z before a small letter, with spaces or a hyphen in between; units are those of UNITS straight after
     a number, in the same word or the next.
     """
@@ -94,16 +97,17 @@ class Words:
         kinds[_UPPER[data[start]] & (end - start > 1) & _SMALL[second]] = KIND_NAME
         many = digits[end] - digits[start]
         number = many == end - start
-        kinds[number] = KIND_NUMBER
+        spelled = _among(self.folded, NUMBERS)
+        kinds[number | spelled] = KIND_NUMBER
         # words of digits and a unit: all their digits come first
         both = np.flatnonzero((many > 0) & ~number & _DIGIT[data[start]])
         both = both[digits[start[both] + many[both]] - digits[start[both]] == many[both]]
-        both = both[_is_unit(t.hashes(lower, start[both] + many[both], end[both], 51))]
+        both = both[_among(t.hashes(lower, start[both] + many[both], end[both], 51), UNITS)]
         opens = np.zeros(n, bool)
         opens[first[:-1][first[:-1] < n]] = True
         after = np.zeros(n, bool)
-        after[1:] = number[:-1]
-        kinds[_is_unit(self.folded) & after & ~opens] = KIND_UNIT
+        after[1:] = (number | spelled)[:-1]
+        kinds[_among(self.folded, UNITS) & after & ~opens] = KIND_UNIT
         self.kinds = kinds
         parts = np.ones(n, np.int64)
         parts[both] = 2
@@ -118,7 +122,10 @@ class Words:
         solid = np.r_[0, np.cumsum(~t.SPACE[data], dtype=np.int64)]
         spaces = solid[begin[1:]] == solid[close[:-1]]
         same = (kind[1:] == kind[:-1]) & ~(opens[word[1:]] & (word[1:] != word[:-1]))
-        join[1:] = same & ((kind[1:] == KIND_NUMBER) & (gap == 1) & _POINT[mark] | (kind[1:] == KIND_NAME) & (spaces & (gap > 0) | (gap == 1) & (mark == 45)))
+        said = spelled[word]
+        figures = ~said[1:] & ~said[:-1] & (gap == 1) & _POINT[mark]
+        spoken = said[1:] & said[:-1] & (spaces & (gap > 0) | (gap == 1) & (mark == 45))
+        join[1:] = same & ((kind[1:] == KIND_NUMBER) & (figures | spoken) | (kind[1:] == KIND_NAME) & (spaces & (gap > 0) | (gap == 1) & (mark == 45)))
         heads = np.flatnonzero(~join)
         tails = np.r_[heads[1:], len(word)] - 1
         self.lo, self.hi, self.types = word[heads], word[tails] + 1, kind[heads]
@@ -190,7 +197,7 @@ def _probe(sizes: list[tuple[int, int]], shared):
         table, known = shared.value
         low = U64(len(table) - 1)
         for batch in batches:
-            for part in t.pieces(batch):
+            for part in t.pieces(batch, limit=PIECE):
                 words = Words(part.column("text"))
                 for stream, n in sizes:
                     h, at = words.windows(stream, n)
@@ -200,7 +207,7 @@ def _probe(sizes: list[tuple[int, int]], shared):
                     if len(good):
                         yield _rows(part, words, h[good], at[good], stream, n)
 
-    return run
+    return t.trimmed(run)
 
 
 def _filter(hashes: DataFrame, log2: int = 24) -> np.ndarray:
@@ -221,8 +228,8 @@ def find(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, cover: float
     """Pairs (doc_id, item_id, covered, words): documents that hold an item or a whole window of it, and how many of its words.
 
     docs has doc_id and text, benchmark item_id and text.  Rows with a null in either column take no part,
-    empty texts hold nothing, repeated rows report once, items without words are never found.  Other columns
-    are ignored.  Empty tables give no pairs.
+    empty texts hold nothing, very long ones are searched whole, repeated rows report once, items without words are
+    never found.  Other columns are ignored.  Empty tables give no pairs.
     """
     spark = docs.sparkSession
     items = _session.cut(_texts(benchmark, "item_id").mapInArrow(_index(size), WINDOWS).withColumnsRenamed({"id": "item_id", "folded": "item_folded", "kinds": "item_kinds", "at": "item_at", "end": "item_end"}))
@@ -246,7 +253,8 @@ def find(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, cover: float
     near = near.groupBy(*keys, "block").agg(F.collect_list(F.struct(F.size("run").alias("covered"), "line", "tokens", "run", "slots")).alias("lines"), F.max("verbatim").alias("verbatim"))
 
     def steady_slots(slots):
-        return F.size(F.array_distinct(F.transform(slots, lambda x: x["item"]))) >= steady * F.size(slots)
+        values = lambda side: F.size(F.array_distinct(F.transform(slots, lambda x: x[side])))
+        return F.least(values("item"), values("doc")) >= steady * F.size(slots)
 
     def add(held, line):
         both = F.struct(F.array_union(held["run"], line["run"]).alias("run"), F.array_union(held["slots"], line["slots"]).alias("slots"))
@@ -260,6 +268,9 @@ def find(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, cover: float
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs without the documents that hold a benchmark item; rows with a null doc_id or text stay."""
+    """docs, with all their columns, without the documents that hold a benchmark item; rows with a null doc_id or text stay.
+
+    Of rows that share a doc_id all go if one of them holds an item.
+    """
     bad = find(docs, benchmark, **options).select("doc_id").distinct()
-    return docs.join(bad.withColumnRenamed("doc_id", "__bad"), F.col("doc_id") == F.col("__bad"), "left_anti")
+    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
