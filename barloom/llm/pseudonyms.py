@@ -9,11 +9,11 @@ string, character class by character class) with a keyed SHA-256 as round functi
     card    first digit kept, payload permuted, Luhn digit computed anew
     phone   country code kept, other digits permuted
     ssn     permuted among valid numbers
-    ip      permuted among all IPv4 addresses
+    ip      permuted among all IPv4 addresses; of IPv6 addresses the digits and letters of the groups
     date    permuted among the days of 1800-2199 (146097 = 189 * 773 days), written as before
     iban    country kept, letters and digits of the account permuted by class, check digits computed anew
-    email   local part permuted by character class, domain kept
-    token   hexadecimal secrets of 32 digits or more, permuted by class
+    email   local part permuted by character class whatever its case, domain kept
+    token   hexadecimal secrets of 32 digits or more, and keys behind a known prefix, permuted by class
 """
 
 from __future__ import annotations
@@ -23,14 +23,17 @@ from pyspark.sql import functions as F
 
 ROUNDS = 8
 KINDS = ("email", "token", "iban", "ip", "date", "ssn", "phone", "card")
+_MONTHS = "January February March April May June July August September October November December".split()
+_HEX = "[0-9A-Fa-f]{1,4}"
+_KEY = r"AKIA(?=[0-9A-Z]{16}(?![0-9A-Za-z]))|sk-(?=[A-Za-z0-9_\-]{20,64}(?![A-Za-z0-9_\-]))|gh[pousr]_(?=[A-Za-z0-9]{36}(?![A-Za-z0-9]))"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: fixed values: each kind's pattern, tried in this order at a place
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}+@[A-Za-z0-9](?:[A-Za-z0-9\-]{0,62}\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])",
-    "token": r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,128}+|[0-9A-F]{32,128}+)(?![A-Za-z0-9])",
+    "token": rf"(?<![A-Za-z0-9])(?:(?:{_KEY})[A-Za-z0-9_\-]+|(?:[0-9a-f]{{32,128}}+|[0-9A-F]{{32,128}}+)(?![A-Za-z0-9]))",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
-    "date": r"(?<![\d\-/.])(?:(?:18|19|20|21)\d\d-\d\d-\d\d|\d\d/\d\d/(?:18|19|20|21)\d\d|\d\d\.\d\d\.(?:18|19|20|21)\d\d)(?![\d\-/])",
+    "ip": rf"(?<![\d.])(?<![Vv]ersion )(?<![Vv])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)|(?<![0-9A-Za-z:])(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}})(?![0-9A-Za-z:])",
+    "date": rf"(?<![A-Za-z])(?:{'|'.join(f'{x[:3]}(?:{x[3:]})?' if x[3:] else x for x in _MONTHS)})\.? \d{{1,2}}, (?:18|19|20|21)\d\d(?!\d)|(?<![\d\-/.])(?:(?:18|19|20|21)\d\d-\d\d-\d\d|\d\d/\d\d/(?:18|19|20|21)\d\d|\d\d\.\d\d\.(?:18|19|20|21)\d\d)(?![\d\-/])",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
     "phone": r"(?<![\d+])(?:\+\d{1,3}[ .\-]?\(?\d{2,4}\)?(?:[ .\-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4})(?!\d)",
     "card": r"(?<![\d.\-])\d(?:[ \-]?\d){12,18}(?!\d)",
@@ -221,7 +224,31 @@ def _ip(key: str, m: Column) -> Column:
         out = feistel(key, "ip", o[0] * 256 + o[1], o[2] * 256 + o[3], F.lit(65536), F.lit(65536))
         return let(out, lambda x: F.concat_ws(".", *[y.cast("string") for y in (F.floor(x["l"] / 256), x["l"] % 256, F.floor(x["r"] / 256), x["r"] % 256)]))
 
-    return let(F.transform(F.split(m, r"\."), lambda x: x.cast("long")), made)
+    return F.when(m.contains(":"), permuted_text(key, "ip", m, 6)).otherwise(let(F.transform(F.split(m, r"\."), lambda x: x.try_cast("long")), made))
+
+
+def _written_date(key: str, m: Column) -> Column:
+    """A date with its month's name, written out or in three letters, a point after it or not."""
+    name = F.regexp_extract(m, r"^([A-Za-z]+)\.? (\d{1,2}), (\d{4})$", 1)
+    names, short = F.array(*[F.lit(x) for x in _MONTHS]), F.array(*[F.lit(x[:3]) for x in _MONTHS])
+    month = F.array_position(short, F.substring(name, 1, 3)).cast("int")
+    day = F.regexp_extract(m, r" (\d{1,2}),", 1)
+    origin = F.to_date(F.lit("1800-01-01"))
+    value = F.concat_ws("-", F.substring(m, -4, 4), F.lpad(month.cast("string"), 2, "0"), F.lpad(day, 2, "0")).try_cast("date")
+
+    def made(v: Column) -> Column:
+        days = F.datediff(v, origin)
+        out = feistel(key, "date", F.floor(days / 773), days % 773, F.lit(189), F.lit(773))
+
+        def written(d: Column) -> Column:
+            at = F.month(d)
+            long = F.element_at(names, at)
+            new = F.when(F.length(name) == 3, F.element_at(short, at)).otherwise(long)
+            return F.concat(new, F.when(m.contains("."), ".").otherwise(""), F.lit(" "), F.dayofmonth(d).cast("string"), F.lit(", "), F.date_format(d, "yyyy"))
+
+        return F.when(v.isNotNull(), let(let(out, lambda o: F.date_add(origin, (o["l"] * 773 + o["r"]).cast("int"))), written))
+
+    return let(value, made)
 
 
 def _date(key: str, m: Column) -> Column:
@@ -243,7 +270,7 @@ def _date(key: str, m: Column) -> Column:
 
         return F.when(days >= 0, let(let(out, lambda o: F.date_add(origin, (o["l"] * 773 + o["r"]).cast("int")).cast("string")), written))
 
-    return let(F.struct(usual.alias("usual"), other.alias("other")), made)
+    return F.when(m.rlike("^[A-Z]"), _written_date(key, m)).otherwise(let(F.struct(usual.alias("usual"), other.alias("other")), made))
 
 
 def _iban(key: str, m: Column) -> Column:
@@ -273,11 +300,18 @@ def _iban(key: str, m: Column) -> Column:
 
 def _email(key: str, m: Column) -> Column:
     local = F.substring_index(m, "@", 1)
-    return F.concat(permuted_text(key, "email", local), F.lit("@"), F.substring_index(m, "@", -1))
+
+    def cased(new: Column) -> Column:
+        own = lambda i: local.substr(i, F.lit(1))
+        return F.array_join(F.transform(F.sequence(F.lit(1), F.length(local)), lambda i: F.when(own(i).rlike("[A-Z]"), F.upper(new.substr(i, F.lit(1)))).otherwise(new.substr(i, F.lit(1)))), "")
+
+    return F.concat(let(permuted_text(key, "email", F.lower(local)), cased), F.lit("@"), F.substring_index(m, "@", -1))
 
 
 def _token(key: str, m: Column) -> Column:
-    return F.when(m.rlike("[0-9]") & m.rlike("[A-Fa-f]"), permuted_text(key, "token", m, 6))
+    prefix = F.regexp_extract(m, rf"^(?:{_KEY})", 0)
+    rest = F.substring(m, F.length(prefix) + 1, F.length(m))
+    return F.when(prefix != "", F.concat(prefix, permuted_text(key, "token", rest))).when(m.rlike("[0-9]") & m.rlike("[A-Fa-f]"), permuted_text(key, "token", m, 6))
 
 
 _MAKERS = {"email": _email, "token": _token, "iban": _iban, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card}
@@ -293,15 +327,18 @@ def _replacement(key: str, m: Column) -> Column:
 def pseudonymise(docs: DataFrame, key: str, column: str = "text", counts: bool = True) -> DataFrame:
     """docs with the personal data of ``column`` replaced; with counts, n_<kind> for every kind.
 
-    All other columns stay as they are (n_<kind> columns of the input are replaced).  Null texts stay null
-    with counts of 0; candidates that fail validation stay as they are; equal rows give equal results; an
-    empty table gives an empty one.
+    All other columns stay as they are (n_<kind> columns of the input are replaced), whatever their names.  Null texts
+    stay null with counts of 0; very long texts are searched whole; candidates that fail validation stay as they are;
+    equal rows give equal results; an empty table gives an empty one.
     """
-    text = F.col(column)
+    text, held_ = F.col(f"`{column}`"), "found"
+    while held_ in {x.lower() for x in docs.columns}:
+        held_ += "_"
     found = F.when(text.rlike("[0-9@]") & text.rlike(PATTERN), F.transform(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), lambda m: F.struct(m.alias("old"), _replacement(key, m).alias("got"))))
-    held = docs.withColumn("__found", found)
-    parts = F.zip_with(F.split(text, PATTERN, -1), F.col("__found"), lambda s, x: F.concat(s, F.coalesce(x["got"]["new"], x["old"], F.lit(""))))
-    out = held.withColumn(column, F.when(F.col("__found").isNull(), text).otherwise(F.array_join(parts, "")))
+    held = docs.withColumn(held_, found)
+    parts = F.zip_with(F.split(text, PATTERN, -1), F.col(held_), lambda s, x: F.concat(s, F.coalesce(x["got"]["new"], x["old"], F.lit(""))))
+    out = held.withColumn(column, F.when(F.col(held_).isNull(), text).otherwise(F.array_join(parts, "")))
     if counts:
-        out = out.withColumns({f"n_{k}": F.coalesce(F.size(F.expr(f"filter(__found, x -> x.got.kind = '{k}')")), F.lit(0)).cast("int") for k in KINDS})
-    return out.drop("__found")
+        count = lambda k: F.coalesce(F.size(F.filter(held_, lambda x: x["got"]["kind"] == k)), F.lit(0)).cast("int")
+        out = out.withColumns({f"n_{k}": count(k) for k in KINDS})
+    return out.drop(held_)
