@@ -1,18 +1,24 @@
 """Vectorised text kernels over Arrow string buffers.
 
-Words are maximal runs of bytes other than space and \\x09-\\x0D.  Hashes are polynomial sums modulo
-2**64 taken with one cumulative sum per chunk of bytes, then mixed; they depend on the bytes alone,
-so every task and every retry sees the same values.
+Words are maximal runs of bytes other than space and \\x09-\\x0D.  Hashes of words up to LONG_WORD bytes are
+polynomial sums modulo 2**64 taken with one cumulative sum per chunk of bytes, then mixed; longer words, for
+which such sums have known collisions, are hashed one by one with xxh3.  Hashes depend on the bytes alone, so
+every task and every retry sees the same values.
 """
 
 from __future__ import annotations
 
+import ctypes
+import sys
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import xxhash
 
 U64 = np.uint64
-CHUNK = 1 << 20
+CHUNK = 1 << 18
+LONG_WORD = 32
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -36,25 +42,15 @@ def stream(seed: int, n: int) -> np.ndarray:
 
 
 class _Powers:
-    """Powers of an odd base and of its inverse, grown on demand."""
+    """Powers of an odd base and of its inverse for one chunk, and a random value for each byte."""
 
     def __init__(self, seed: int):
         self.table = stream(seed, 256)
         base = int(stream(seed + 77, 1)[0]) | 5
-        self.base, self.inverse = U64(base), U64(pow(base, -1, 1 << 64))
-        self.n = 0
-
-    def upto(self, n: int):
-        if n > self.n:
-            m = max(n, CHUNK + 4096)
-            up, down = np.full(m, self.base, U64), np.full(m, self.inverse, U64)
-            up[0] = down[0] = 1
-            with np.errstate(over="ignore"):
-                up, down = np.cumprod(up), np.cumprod(down)
-            if m > 4 * CHUNK:  # one huge word: do not keep its tables
-                return up, down
-            self.up, self.down, self.n = up, down, m
-        return self.up, self.down
+        up, down = np.full(CHUNK + 1, base, U64), np.full(CHUNK + 1, pow(base, -1, 1 << 64), U64)
+        up[0] = down[0] = 1
+        with np.errstate(over="ignore"):
+            self.up, self.down = np.cumprod(up), np.cumprod(down)
 
 
 _POWERS: dict[int, _Powers] = {}
@@ -97,23 +93,49 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
     """A 64-bit hash of each byte range; ranges are in order and do not overlap."""
-    p = _POWERS.setdefault(seed, _Powers(seed)) if seed in _POWERS else _POWERS.setdefault(seed, _Powers(seed))
-    out = np.empty(len(start), U64)
+    if seed not in _POWERS:
+        _POWERS[seed] = _Powers(seed)
+    p, out = _POWERS[seed], np.empty(len(start), U64)
+    size = end - start
+    for k in np.flatnonzero(size > LONG_WORD):
+        out[k] = xxhash.xxh3_64_intdigest(data[start[k] : end[k]].tobytes(), seed)
+    short = np.flatnonzero(size <= LONG_WORD) if len(size) and size.max() > LONG_WORD else slice(None)
+    first, last = start[short], end[short]
+    found = np.empty(len(first), U64)
     i = 0
-    while i < len(start):
-        lo = start[i]
-        j = max(i + 1, int(np.searchsorted(end, lo + CHUNK, "right")))
-        hi = end[j - 1]
-        up, down = p.upto(int(hi - lo) + 1)
+    while i < len(first):
+        lo = first[i]
+        j = int(np.searchsorted(last, lo + CHUNK, "right"))
+        hi = last[j - 1]
         total = np.zeros(hi - lo + 1, U64)
         with np.errstate(over="ignore"):
-            np.cumsum(p.table[data[lo:hi]] * up[: hi - lo], out=total[1:])
-            s, e = start[i:j] - lo, end[i:j] - lo
-            out[i:j] = mix((total[e] - total[s]) * down[s] + (e - s).astype(U64) * U64(0x9E3779B97F4A7C15))
+            np.cumsum(p.table[data[lo:hi]] * p.up[: hi - lo], out=total[1:])
+            s, e = first[i:j] - lo, last[i:j] - lo
+            found[i:j] = mix((total[e] - total[s]) * p.down[s] + (e - s).astype(U64) * U64(0x9E3779B97F4A7C15))
         i = j
+    out[short] = found
     return out
 
 
+def trimmed(run):
+    """run, a function over batches, after which the worker gives freed memory back: other tasks use the worker again."""
+
+    def go(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return go
+
+
+def trim() -> None:
+    """Give freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def windows(hashed: np.ndarray, first: np.ndarray, size: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash, index of its first word) of each run of ``size`` words within one document."""
     n = len(hashed) - size + 1

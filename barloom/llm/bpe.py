@@ -21,9 +21,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHED_PIECES = 300_000
-CACHED_PAIRS = 400_000
+from . import _text as t
+
+CACHED_PIECES = 200_000
+CACHED_PAIRS = 300_000
 LONG = 64
+PIECE = 1 << 20  # bytes of text turned into ids at once
 
 
 class Vocabulary:
@@ -43,6 +46,7 @@ class Vocabulary:
         self.halves = [self._halves(raw) for raw in self.bytes]
         self._pairs: dict[int, bool] = {}
         self._pieces: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
 
     def _halves(self, raw: bytes) -> tuple[int, int] | None:
         """The two tokens of a token's last merge; None for single bytes and tokens that merging never makes."""
@@ -66,7 +70,7 @@ class Vocabulary:
         known = self._pairs.get(key)
         if known is None:
             if len(self._pairs) >= CACHED_PAIRS:
-                self._pairs.clear()
+                self._pairs = {}
             known = self._pairs[key] = self._apart(before, token)
         return known
 
@@ -92,23 +96,28 @@ class Vocabulary:
                 bound, right = right + 1, b[0]  # made on the right: an equal rank at the border is further left
 
     def piece(self, text: str) -> bytes:
-        """The piece's ids as little-endian unsigned 32-bit integers; short pieces are remembered."""
-        raw = text.encode()
-        whole = self.ranks.get(raw)
-        ids = np.array([whole] if whole is not None else Prefixes(self, raw).tokens(), "<u4").tobytes()
+        """The piece's ids as little-endian unsigned 32-bit integers; short pieces are remembered, the latest longest."""
+        ids = self._older.get(text)
+        if ids is None:
+            raw = text.encode()
+            whole = self.ranks.get(raw)
+            ids = np.array([whole] if whole is not None else Prefixes(self, raw).tokens(), "<u4").tobytes()
         if len(text) <= LONG:
-            if len(self._pieces) >= CACHED_PIECES:
-                self._pieces.clear()
+            if len(self._pieces) >= CACHED_PIECES // 2:
+                self._pieces, self._older = {}, self._pieces
             self._pieces[text] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
-        get, make = self._pieces.get, self.piece
-        return b"".join([get(x) or make(x) for x in self.split(text)])
+        make = self.piece
+        return b"".join([self._pieces.get(x) or make(x) for x in self.split(text)])
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
+    def forget(self) -> None:
+        self._pieces, self._older, self._pairs = {}, {}, {}
+
 
 class Prefixes:
     """The last token of every prefix of one piece."""
@@ -157,7 +166,6 @@ class Prefixes:
         self.raw = self.raw[:start] + new + self.raw[end:]
         del self.last[start:]
         longest, run = self.vocabulary.longest, 0
-        tail = self.raw[shift:]
 
         def settled(i: int) -> bool:
             nonlocal run
@@ -169,7 +177,7 @@ class Prefixes:
         done = self._extend(start, settled)
         if done + 1 < len(self.raw):
             self.last[done + 1 :] = old_tail[done + 1 - shift :]
-        assert len(self.last) == len(self.raw) and len(tail) >= 0
+        assert len(self.last) == len(self.raw)
         return done + 1 - start
 
     def tokens(self) -> list[int]:
@@ -200,28 +208,42 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
     return Vocabulary(path, pattern)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, column: str = "text") -> DataFrame:
+def _coded(path: str, pattern: str, both: bool):
+    def run(batches):
+        v = vocabulary(path, pattern)
+        try:
+            for batch in batches:
+                for part in t.pieces(batch, limit=PIECE):
+                    ids = [v.encode(x) if x else b"" for x in part.column("text").to_pylist()]
+                    columns = [part.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
+                    if both:
+                        columns.append(pa.array([v.decode(x) for x in ids], pa.binary()))
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "token_ids", "decoded"][: len(columns)])
+        finally:
+            v.forget()
+
+    return t.trimmed(run)
+
+
+def encode(docs: DataFrame, path: str, pattern: str, column: str = "text", decoded: bool = False) -> DataFrame:
     """Per row of docs: doc_id, n_tokens, token_ids (binary, little-endian unsigned 32-bit).
 
-    Null and empty texts have no tokens.  A worker remembers at most CACHED_PIECES pieces.  Other columns
-    are ignored, repeated rows give repeated results, an empty table an empty one.
+    With ``decoded`` also the bytes that the ids decode to, made where the ids are, so that they do not travel to a
+    second worker.  Null and empty texts have no tokens; very long texts are encoded whole, piece by piece of the
+    pattern.  A worker remembers at most CACHED_PIECES pieces, and none after its task.  Other columns are ignored,
+    repeated rows give repeated results, an empty table an empty one.
     """
-
-    def run(batches):
-        encode = vocabulary(path, pattern).encode
-        for batch in batches:
-            ids = [encode(x) if x else b"" for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "token_ids"])
-
-    return docs.select("doc_id", F.col(column).cast("string").alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, token_ids binary")
+    types = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, token_ids binary" + ", decoded binary" * decoded
+    return docs.select("doc_id", F.col(column).cast("string").alias("text")).mapInArrow(_coded(path, pattern, decoded), types)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """encoded (with token_ids) and its decoded bytes in ``decoded``."""
+    """encoded (with token_ids) and its decoded bytes in ``decoded``; null ids decode to no bytes."""
 
     def run(batches):
         decode = vocabulary(path, pattern).decode
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([decode(x) for x in batch.column("token_ids").to_pylist()], pa.binary())], [*batch.schema.names, "decoded"])
+            for part in t.pieces(batch, "token_ids", PIECE):
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([decode(x or b"") for x in part.column("token_ids").to_pylist()], pa.binary())], [*part.schema.names, "decoded"])
 
-    return encoded.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema) + ", decoded binary")
+    return encoded.mapInArrow(t.trimmed(run), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema) + ", decoded binary")

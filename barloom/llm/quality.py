@@ -173,34 +173,52 @@ def fit(docs: DataFrame, labels: DataFrame, metadata: list[str] = (), sample: in
     names = [f"m{k}" for k in range(len(metadata))]
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for batch in batches for part in t.pieces(batch, limit=PIECE)):
             begins, places, values = features(batch.column("text"), _metadata_bins(batch, names))
             cut = pa.array(begins, pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.ListArray.from_arrays(cut, pa.array(places, pa.int32())), pa.ListArray.from_arrays(cut, pa.array(values, pa.float32()))], ["doc_id", "label", "places", "values"])
 
-    got = texts.mapInArrow(run, "doc_id long, label int, places array<int>, values array<float>").toArrow().sort_by("doc_id")
-    rows = [(np.asarray(p.values, np.int64), np.asarray(v.values, np.float32)) for p, v in zip(got["places"], got["values"])]
-    return _train(rows, np.asarray(got["label"], float), (1 << WORD_BITS) + (_STATS + len(metadata)) * BINS, epochs, rate, decay)
+    got = texts.mapInArrow(t.trimmed(run), "doc_id long, label int, places array<int>, values array<float>").toArrow().sort_by("doc_id")
+    rows = [(np.asarray(p.values, np.int32), np.asarray(v.values, np.float32)) for p, v in zip(got["places"], got["values"])]
+    model = _train(rows, np.asarray(got["label"], float), (1 << WORD_BITS) + (_STATS + len(metadata)) * BINS, epochs, rate, decay)
+    del got, rows
+    t.trim()
+    return model
 
 
-def score(docs: DataFrame, model: Model, metadata: list[str] = (), threshold: float = 0.3, keep: list[str] = ("doc_id",)) -> DataFrame:
-    """Per row of docs the columns ``keep``, score (0 to 1) and predicted (1 if score >= threshold, else 0).
-
-    Null and empty texts are scored by their structure alone; rows repeat as in docs; columns not named
-    are ignored; an empty table gives an empty result.
-    """
+def _scored(docs: DataFrame, model: Model, metadata: list[str], threshold: float, keep: list[str], only: bool) -> DataFrame:
+    """The columns ``keep`` as k0, k1, ..., score and predicted; with ``only`` rows below the threshold stay in the worker."""
     shared = docs.sparkSession.sparkContext.broadcast((model.bias, model.weights, model.factors))
     names = [f"m{k}" for k in range(len(metadata))]
-    kept = [docs[c].alias(f"k{k}") for k, c in enumerate(keep)]
+    string = [c for c in keep if c == "text" and docs.schema[c].dataType.simpleString() == "string"]  # goes along once
+    kept = [docs[c].alias(f"k{k}") for k, c in enumerate(keep) if c not in string]
     inner = docs.select(*kept, docs["text"].cast("string").alias("text"), *[docs[c].alias(n) for c, n in zip(metadata, names)])
+    wanted = ["text" if c in string else f"k{k}" for k, c in enumerate(keep)]
+    out = [f"k{k}" for k in range(len(keep))]
 
     def run(batches):
         model = Model(*shared.value)
         for batch in batches:
             for part in t.pieces(batch, limit=PIECE):
                 scores = model.score(*features(part.column("text"), _metadata_bins(part, names))).astype(float)
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], [*(f"k{k}" for k in range(len(keep))), "score", "predicted"])
+                good = scores >= threshold
+                made = pa.RecordBatch.from_arrays([*(part.column(c) for c in wanted), pa.array(scores), pa.array(good.astype(np.int32))], [*out, "score", "predicted"])
+                yield made.filter(pa.array(good)) if only else made
 
     types = ", ".join(f"k{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(keep))
-    out = inner.mapInArrow(run, f"{types}, score double, predicted int")
-    return out.withColumnsRenamed({f"k{k}": c for k, c in enumerate(keep)})
+    return inner.mapInArrow(t.trimmed(run), f"{types}, score double, predicted int")
+
+
+def score(docs: DataFrame, model: Model, metadata: list[str] = (), threshold: float = 0.3, keep: list[str] = ("doc_id",)) -> DataFrame:
+    """Per row of docs the columns ``keep``, score (0 to 1) and predicted (1 if score >= threshold, else 0).
+
+    Null and empty texts are scored by their structure alone, very long texts whole; rows repeat as in docs;
+    columns not named are ignored, whatever their names; an empty table gives an empty result.
+    """
+    return _scored(docs, model, metadata, threshold, keep, False).withColumnsRenamed({f"k{k}": c for k, c in enumerate(keep)})
+
+
+def accepted(docs: DataFrame, model: Model, metadata: list[str] = (), threshold: float = 0.3) -> DataFrame:
+    """The rows of docs, with all their columns, whose score is at least the threshold; see ``score``."""
+    rows = _scored(docs, model, metadata, threshold, docs.columns, True)
+    return rows.drop("score", "predicted").toDF(*docs.columns)
