@@ -7,10 +7,16 @@ the word before, the pair before (n-grams), and the words two and three before (
 comes from counts over the whole training corpus, (c + 1) / (N_b + V_b + 1) within a class and slot, so
 every context's probabilities of all known words and one unknown word a bucket sum to one.
 
-Training: in each of ROUNDS rounds every partition takes gradient steps (AdaGrad by feature row) over its
-share of the training documents, beginning with the broadcast weights (4 MB), and the token-weighted mean of
-the partitions' changes is added.  Counts: each group of documents asks for its distinct words once, packed by
-hash range (64-bit hashes), and scoring joins the answers, so the text moves once.
+Training: the documents are dealt to shards of about SHARD bytes by a hash of the row, so that the model follows
+from the rows alone, not from partitions or cores.  In each of ROUNDS rounds every shard takes gradient steps
+(AdaGrad) over its share, beginning with the broadcast weights, and the token-weighted mean of the shards'
+changes, summed up in a tree, is added.  The gradient of a softmax is the features of the true outcome less their
+expectation; the expectation is estimated by one outcome drawn from the model for each token (Gumbel noise on
+the scores), so a step only touches two cells a feature.  Scores are the full softmax.
+
+The feature tables grow with the training text: one row of the class table for each 16 KB, 2**14 to 2**17 rows
+(the weights, at most 21 MB, are broadcast).  Counts: each group of documents asks for its distinct words once,
+packed by hash range (64-bit hashes), and scoring joins the answers, so the text moves once.
 """
 
 from __future__ import annotations
@@ -26,11 +32,16 @@ from . import _text as t
 from .substring_dedup import _cuts, _packed
 
 CLASSES = SLOTS = 32
-WIDE_BITS = 14
-NARROW_BITS = 9
-BATCH = 8192
+BATCH = 1 << 16
+STEPS = 16  # mini-batches of a piece, at least
+SCORED = 8192  # tokens scored at once
+PIECE = 4 << 20  # bytes of text whose mini-batches are mixed
 ROUNDS = (0.125, 0.875)
 RATE = 0.15
+SHARD = 32 << 20
+SHARDS = 8192  # above this number shards grow instead
+BRANCH = 16
+NARROWER = 5  # the slot table has 2**NARROWER times fewer rows, each for all classes
 PARTS = 16
 U64 = np.uint64
 _END, _START = t.stream(61, 2)
@@ -64,8 +75,8 @@ class Tokens:
             bucket[body] = classes * SLOTS + slots
         self.bucket = bucket
 
-    def contexts(self) -> tuple[np.ndarray, np.ndarray]:
-        """(rows of the class weights, rows of the slot weights), one column a feature."""
+    def contexts(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """(rows of the class weights, rows of the slot weights), one column a feature; see Weights."""
         n = len(self.word)
         before = []
         for back in (1, 2, 3):
@@ -79,122 +90,183 @@ class Tokens:
         one, two, three = before
         with np.errstate(over="ignore"):
             keys = [t.mix(one + U64(1)), t.mix(one * U64(3) + t.mix(two)), t.mix(two + U64(2)), t.mix(three + U64(3))]
-        wide = np.stack([(k >> U64(64 - WIDE_BITS)).astype(np.int32) for k in keys], 1)
-        narrow = np.stack([(keys[i] >> U64(64 - NARROW_BITS)).astype(np.int32) for i in (0, 2)], 1)
+        wide = np.stack([(k >> U64(64 - bits)).astype(np.int32) for k in keys], 1)
+        narrow = np.stack([(keys[i] >> U64(64 - bits + NARROWER)).astype(np.int32) for i in (0, 2)], 1)
         return wide, narrow
 
 
 class Weights:
-    """Class weights (row, class) and slot weights (row * class, slot), each with a last row for the bias."""
+    """Class weights (row, class) and slot weights (row * class, slot), each with a last row for the bias.
 
-    shapes = (((1 << WIDE_BITS) + 1, CLASSES), (((1 << NARROW_BITS) + 1) * CLASSES, SLOTS))
+    ``bits``: the class table has 2**bits rows, the slot table 2**(bits - NARROWER) for each class.
+    """
+
+    def __init__(self, bits: int, parts=None):
+        self.bits = bits
+        self.classes, self.slots = parts or [np.zeros(s, np.float32) for s in self.shapes(bits)]
 
-    def __init__(self, parts=None):
-        self.classes, self.slots = parts or [np.zeros(s, np.float32) for s in self.shapes]
+    @staticmethod
+    def shapes(bits: int):
+        return ((1 << bits) + 1, CLASSES), (((1 << (bits - NARROWER)) + 1) * CLASSES, SLOTS)
 
-    def log_softmax(self, wide, narrow, bucket):
-        """Log probabilities of all classes, and of all slots of the token's class."""
-        a = self.classes[-1] + self.classes[wide[:, 0]]
-        for k in range(1, wide.shape[1]):
-            a += self.classes[wide[:, k]]
+    def rows(self, wide, narrow, bucket):
+        """Per level: (table, rows of each feature and of the bias, true outcomes)."""
         c = bucket // SLOTS
-        b = self.slots[(1 << NARROW_BITS) * CLASSES + c] + self.slots[narrow[:, 0] * CLASSES + c]
-        for k in range(1, narrow.shape[1]):
-            b += self.slots[narrow[:, k] * CLASSES + c]
-        for x in (a, b):
-            x -= x.max(1, keepdims=True)
-            x -= np.log(np.exp(x).sum(1, keepdims=True))
-        return a, b
+        bias = np.full(len(bucket), len(self.classes) - 1)
+        yield self.classes, [*wide.T, bias], c
+        yield self.slots, [*(x * CLASSES + c for x in narrow.T), (len(self.slots) - CLASSES) + c], bucket % SLOTS
+
+    @staticmethod
+    def sums(table, rows) -> np.ndarray:
+        """The outcomes' scores: a sum of the features' rows."""
+        out = table[rows[0]]
+        for r in rows[1:]:
+            out += table[r]
+        return out
 
     def log10(self, wide, narrow, bucket) -> np.ndarray:
         """Per token log10 P(class | context) + log10 P(slot | class, context)."""
         out = np.empty(len(bucket))
-        for lo in range(0, len(bucket), BATCH):
-            part = slice(lo, lo + BATCH)
-            a, b = self.log_softmax(wide[part], narrow[part], bucket[part])
-            i = np.arange(len(a))
-            out[part] = a[i, bucket[part] // SLOTS] + b[i, bucket[part] % SLOTS]
+        for lo in range(0, len(bucket), SCORED):
+            part = slice(lo, lo + SCORED)
+            out[part] = 0
+            for table, rows, true in self.rows(wide[part], narrow[part], bucket[part]):
+                x = self.sums(table, rows)
+                x -= x.max(1, keepdims=True)
+                out[part] += x[np.arange(len(x)), true] - np.log(np.exp(x).sum(1))
         return out / np.log(10)
 
-    def step(self, wide, narrow, bucket, seen) -> None:
-        """One gradient step; seen holds the mean squared gradients by row."""
-        a, b = self.log_softmax(wide, narrow, bucket)
-        i, c, s = np.arange(len(bucket)), bucket // SLOTS, bucket % SLOTS
-        a, b = np.exp(a), np.exp(b)
-        a[i, c] -= 1
-        b[i, s] -= 1
-        n = len(bucket)
-        bias = np.full(n, len(self.classes) - 1)
-        for table, gradient, rows, g in (
-            (self.classes, a, [wide[:, k] for k in range(wide.shape[1])] + [bias], seen[0]),
-            (self.slots, b, [narrow[:, k] * CLASSES + c for k in range(narrow.shape[1])] + [(1 << NARROW_BITS) * CLASSES + c], seen[1]),
-        ):
-            for row in rows:
-                order = np.argsort(row.astype(np.uint16), kind="stable")  # 16 bits: a radix sort
-                sorted_ = row[order]
-                begin = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]])
-                total = np.add.reduceat(gradient[order], begin, axis=0)
-                kinds = sorted_[begin]
-                g[kinds] += (total * total).mean(1)
-                table[kinds] -= (RATE / np.sqrt(g[kinds]))[:, None] * total
-
-
-def _parts(batch, column="text"):
-    for part in t.pieces(batch, column):
-        yield part, Tokens(part.column(column))
-
-
-def _learn(shared, shards: int):
+    def step(self, wide, narrow, bucket, seen, draw) -> None:
+        """One gradient step; seen holds the sums of squared gradients, draw gives Gumbel noise for n tokens."""
+        for (table, rows, true), g in zip(self.rows(wide, narrow, bucket), seen):
+            drawn = (self.sums(table, rows) + draw(len(bucket))).argmax(1)
+            width = table.shape[1]
+            ups = np.concatenate([r * width + true for r in rows])
+            downs = np.concatenate([r * width + drawn for r in rows])
+            change = (np.bincount(ups, minlength=table.size) - np.bincount(downs, minlength=table.size)).astype(np.float32).reshape(table.shape)
+            g += change * change
+            table += RATE * change / np.sqrt(g)
+
+
+def table_bits(size: int) -> int:
+    """The feature table's bits for ``size`` bytes of training text: a row for each 16 KB."""
+    return min(17, max(14, (size >> 14).bit_length()))
+
+
+class _Learner:
+    """The weights of one shard on the way: starts from the shared ones, ends in a row of changes a slice."""
+
+    def __init__(self, shard: int, start, bits: int):
+        self.shard, self.bits, self.start, self.count = shard, bits, start, 0
+        self.weights = Weights(bits, [x.copy() for x in start])
+        self.seen = [np.ones(x.shape, np.float32) for x in start]
+        self.rng = np.random.default_rng([71, shard])
+        self.noise = -np.log(self.rng.exponential(size=(BATCH + 4096, max(CLASSES, SLOTS)))).astype(np.float32)
+        self.held, self.size = [], 0
+
+    def draw(self, n: int) -> np.ndarray:
+        at = int(self.rng.integers(0, 4096))
+        return self.noise[at : at + n]
+
+    def add(self, texts: pa.Array) -> None:
+        """Take texts in order; pieces end where the texts so far reach PIECE bytes, however they come in."""
+        sizes = np.asarray(pc.fill_null(pc.binary_length(texts.cast(pa.large_binary())), 0), np.int64)
+        lo = 0
+        while lo < len(texts):
+            total = self.size + np.cumsum(sizes[lo:])
+            hi = lo + int(np.searchsorted(total, PIECE)) + 1
+            self.held.append(texts.slice(lo, hi - lo))
+            self.size = int(total[min(hi, len(texts)) - lo - 1])
+            if self.size >= PIECE:
+                self.learn()
+            lo = hi
+
+    def learn(self) -> None:
+        if not self.held:
+            return
+        tokens = Tokens(pa.chunked_array(self.held, pa.large_string()))
+        self.held, self.size = [], 0
+        wide, narrow = tokens.contexts(self.bits)
+        n = len(wide)
+        steps = max(-(-n // BATCH), min(STEPS, 1 + n // 64))
+        for k in range(steps * max(1, min(20, BATCH // n))):  # mini-batches mix the piece's documents; few tokens are gone over more often
+            pick = slice(k % steps, n, steps)
+            self.weights.step(wide[pick], narrow[pick], tokens.bucket[pick], self.seen, self.draw)
+        self.count += n
+
+    def change(self, slices: int) -> pa.RecordBatch:
+        self.learn()
+        whole = np.concatenate([(x - y).ravel() for x, y in zip((self.weights.classes, self.weights.slots), self.start)])
+        cut = np.array_split(whole.astype(np.float16), slices)
+        return pa.RecordBatch.from_arrays([pa.array([self.shard] * slices, pa.int32()), pa.array(range(slices), pa.int32()), pa.array([self.count] * slices, pa.int64()), pa.array([x.tobytes() for x in cut], pa.binary())], ["shard", "slice", "tokens", "change"])
+
+
+def _learn(shared, bits: int, slices: int):
+    """Rows come sorted by shard and hash, so what a shard learns doesn't depend on batches or partitions."""
+
     def run(batches):
-        start = [x.astype(np.float32) for x in shared.value]
-        weights = Weights([x.copy() for x in start])
-        seen = [np.full(len(x), 1e-3, np.float32) for x in start]
-        count = 0
+        learner = None
         for batch in batches:
-            for _, tokens in _parts(batch):
-                wide, narrow = tokens.contexts()
-                # mini-batches mix the piece's documents
-                n = len(wide)
-                steps = -(-n // BATCH)
-                for k in range(steps):
-                    pick = slice(k, n, steps)
-                    weights.step(wide[pick], narrow[pick], tokens.bucket[pick], seen)
-                count += n
-        if count:
-            change = np.concatenate([(x - y).ravel() for x, y in zip((weights.classes, weights.slots), start)]).astype(np.float16)
-            cut = np.array_split(change, shards)
-            yield pa.RecordBatch.from_arrays([pa.array(range(shards), pa.int32()), pa.array([count] * shards, pa.int64()), pa.array([x.tobytes() for x in cut], pa.binary())], ["shard", "tokens", "change"])
+            shards = np.asarray(batch.column("shard"))
+            texts = batch.column("text").cast(pa.large_string())
+            cuts = np.r_[0, np.flatnonzero(shards[1:] != shards[:-1]) + 1, len(shards)]
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                if hi == lo:
+                    continue
+                if learner is None or learner.shard != shards[lo]:
+                    if learner is not None:
+                        yield learner.change(slices)
+                    learner = _Learner(int(shards[lo]), shared.value, bits)
+                learner.add(texts.slice(lo, hi - lo))
+        if learner is not None:
+            yield learner.change(slices)
 
-    return run
+    return t.trimmed(run)
+
+
+CHANGE = "shard int, slice int, tokens long, change binary"
 
 
 def _mean(key, table):
+    """The token-weighted mean of one slice of up to BRANCH shards or means, in their order."""
+    table = table.sort_by("shard")
     total, weight = None, 0
     for n, raw in zip(table["tokens"].to_pylist(), table["change"]):
         x = np.frombuffer(raw.as_buffer(), np.float16).astype(np.float64) * n
         total = x if total is None else total + x
         weight += n
-    return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "change": pa.array([(total / weight).astype(np.float32).tobytes()], pa.binary())})
+    mean = (total / max(1, weight)).astype(np.float16)
+    return pa.table({"shard": pa.array([table["shard"][0].as_py() // BRANCH], pa.int32()), "slice": pa.array([table["slice"][0].as_py()], pa.int32()), "tokens": pa.array([weight], pa.int64()), "change": pa.array([mean.tobytes()], pa.binary())})
 
 
-def train(docs: DataFrame, shards: int = 16) -> list[np.ndarray]:
-    """Weights after one pass over all of docs (text), in rounds that share the documents out by hash."""
+def train(docs: DataFrame, size: int | None = None, slices: int = 16) -> Weights:
+    """Weights after one pass over all of docs (doc_id, text), in rounds that share the documents out by hash."""
     spark = docs.sparkSession
-    weights = [np.zeros(s, np.float32) for s in Weights.shapes]
-    share = F.pmod(F.xxhash64("text"), F.lit(1000))
+    size = _session.text_bytes(docs) if size is None else size
+    bits = table_bits(size)
+    weights = [np.zeros(s, np.float32) for s in Weights.shapes(bits)]
+    share = F.pmod(F.xxhash64("text", "doc_id"), F.lit(1000))
     low = 0.0
     for part in ROUNDS:
-        mine = docs.where((share >= 1000 * low) & (share < 1000 * (low + part))).select("text")
+        shards = max(1, min(SHARDS, round(size * part / SHARD)))
+        mine = docs.where((share >= 1000 * low) & (share < 1000 * (low + part)))
+        mine = mine.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int").alias("shard"), F.xxhash64("text").alias("tie"), "text")
         low += part
         shared = spark.sparkContext.broadcast(weights)
-        changes = mine.mapInArrow(_learn(shared, shards), "shard int, tokens long, change binary")
-        got = changes.groupBy("shard").applyInArrow(_mean, "shard int, change binary").toArrow().sort_by("shard")
+        dealt = mine.repartition(min(shards, int(spark.conf.get("spark.sql.shuffle.partitions"))), "shard").sortWithinPartitions("shard", "tie").select("shard", "text")
+        changes = dealt.mapInArrow(_learn(shared, bits, slices), CHANGE)
+        while True:
+            changes = changes.groupBy("slice", F.floor(F.col("shard") / BRANCH).alias("branch")).applyInArrow(_mean, CHANGE)
+            if shards <= BRANCH:
+                break
+            shards = -(-shards // BRANCH)
+        got = changes.toArrow().sort_by("slice")
         if len(got):
-            flat = np.concatenate([np.frombuffer(x, np.float32) for x in got["change"].to_pylist()])
+            flat = np.concatenate([np.frombuffer(x, np.float16) for x in got["change"].to_pylist()]).astype(np.float32)
             sizes = np.cumsum([x.size for x in weights])[:-1]
             weights = [w + x.reshape(w.shape) for w, x in zip(weights, np.split(flat, sizes))]
         shared.unpersist()
-    return weights
+    return Weights(bits, weights)
 
 
 class _Corpus:
@@ -218,6 +290,8 @@ class _Corpus:
 def _ask(buckets: int):
     def run(key, table):
         corpus = _Corpus(table)
+        if len(corpus.back) >= 1 << 32:
+            raise ValueError("a group of documents has too many tokens for its counts")
         counts, place = corpus.counts.astype(np.uint32), corpus.bucket.astype(np.uint16)
         return _packed(key[0].as_py(), corpus.kinds, buckets, lambda i, j: corpus.kinds[i:j].tobytes() + counts[i:j].tobytes() + place[i:j].tobytes())
 
@@ -258,7 +332,7 @@ OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens
 
 def _score(shared, buckets: int):
     def run(key, left, right):
-        corpus, weights = _Corpus(left), Weights(list(shared.value))
+        corpus, weights = _Corpus(left), shared.value
         totals = np.zeros((2, CLASSES * SLOTS), np.int64)
         counts = np.zeros(len(corpus.kinds), np.int64)
         cuts = _cuts(corpus.kinds, buckets)
@@ -276,7 +350,7 @@ def _score(shared, buckets: int):
             back = corpus.back[at : at + len(tokens.word)]
             at += len(back)
             begin = tokens.begin[:-1]
-            model = weights.log10(*tokens.contexts(), tokens.bucket) + within[back]
+            model = weights.log10(*tokens.contexts(weights.bits), tokens.bucket) + within[back]
             rows.append([np.diff(tokens.begin), np.add.reduceat(known[back].astype(np.int64), begin), np.add.reduceat(base[back], begin), np.add.reduceat(model, begin)])
         size, known, base, model = (np.concatenate(x) for x in zip(*rows))
         return pa.table({
@@ -287,16 +361,18 @@ def _score(shared, buckets: int):
     return run
 
 
-def score(docs: DataFrame, held_out, weights: list[np.ndarray] | None = None) -> DataFrame:
+def score(docs: DataFrame, held_out, weights: Weights | None = None) -> DataFrame:
     """Per row of docs (doc_id, text): the columns of OUT; held_out is a condition, other rows are learned from.
 
-    Null texts are empty: one token, the end.  Rows with a null condition are learned from; rows repeat as in
-    docs and count each.  Other columns are ignored; an empty table gives an empty result.
+    Null texts are empty: one token, the end; very long ones are scored whole.  Rows with a null condition are
+    learned from; rows repeat as in docs and count each, rows with a null doc_id too.  Other columns are ignored;
+    an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    groups = _session.fan(spark)
+    size = _session.text_bytes(docs)
+    groups = _session.fan(spark, size)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    weights = train(rows.where("not held_out")) if weights is None else weights
+    weights = train(rows.where("not held_out"), size) if weights is None else weights
     shared = spark.sparkContext.broadcast(weights)
     rows = rows.withColumn("tie", F.xxhash64("text")).withColumn("pid", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(groups)).cast("int"))
     asked = rows.groupBy("pid").applyInArrow(_ask(groups), "pid int, bucket int, payload binary")

@@ -136,9 +136,8 @@ def _ask_windows(size: int, block: int, buckets: int):
         hashes, _ = group.anchors()
         hit = _unpacked(right, hashes, buckets)
         a, b, low, _, _ = group.candidates(hit, hashes, size)
-        top = (b >> U64(32)).astype(np.uint32)
         pid = key[0].as_py()
-        asked = _packed(pid, a, buckets, lambda i, j: a[i:j].tobytes() + low[i:j].tobytes() + top[i:j].tobytes())
+        asked = _packed(pid, a, buckets, lambda i, j: a[i:j].tobytes() + low[i:j].tobytes() + b[i:j].tobytes())
         # the group's own anchors go along under a bucket of their own, so that they are not looked up twice
         own = pa.table({"pid": pa.array([pid], pa.int32()), "bucket": pa.array([-1 - pid], pa.int32()), "payload": pa.array([np.packbits(hit).tobytes()], pa.binary())})
         return pa.concat_tables([asked, own])
@@ -150,10 +149,10 @@ def _answer_windows(key, table):
     if key[0].as_py() < 0:
         return pa.table({"pid": table["pid"], "bucket": pa.array([-1] * len(table), pa.int32()), "bits": table["payload"]})
     raws, pids = table["payload"].to_pylist(), table["pid"].to_pylist()
-    sizes = [len(x) // 20 for x in raws]
+    sizes = [len(x) // 24 for x in raws]
     a = np.concatenate([np.frombuffer(x, U64, n) for x, n in zip(raws, sizes)])
     low = np.concatenate([np.frombuffer(x, np.int64, n, 8 * n) for x, n in zip(raws, sizes)])
-    b = np.concatenate([np.frombuffer(x, np.uint32, n, 16 * n) for x, n in zip(raws, sizes)])
+    b = np.concatenate([np.frombuffer(x, U64, n, 16 * n) for x, n in zip(raws, sizes)])
     order = np.lexsort((b, a))
     begin = np.flatnonzero(np.r_[True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])])
     least = np.minimum.reduceat(low[order], begin)
@@ -210,7 +209,7 @@ def remove_repeats(docs: DataFrame, size: int = 13) -> DataFrame:
     Other columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    groups, block = _session.fan(spark), (size + 1) // 2
+    groups, block = _session.fan(spark, _session.text_bytes(docs)), (size + 1) // 2
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text")).withColumn("pid", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(groups)).cast("int"))
     buckets = groups
