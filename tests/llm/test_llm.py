@@ -13,6 +13,7 @@ import tiktoken
 from public_tokenizers import PATTERN, path
 from pyspark.sql import functions as F
 
+from barloom.llm import _text as text_kernels
 from barloom.llm import bpe, decontaminate, licenses, maxent, near_dedup, pseudonyms, quality, queries, sharding, substring_dedup, vector_search
 from tests.oracle import rows_of, rows_of_sql
 
@@ -127,33 +128,62 @@ def test_bpe(spark):
     assert bpe.encode(table(spark, []), RANKS, PATTERN).count() == 0
 
 
+def slow_top_k(vectors, k, every):
+    """(query, rank) to (id, score) for {id: whole numbers}, and lists of ids where rows share one."""
+    expected = {}
+    for q in (i for i in vectors if i % every == 0):
+        scores = ((max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(vectors[q], v)))), i) for i, v in vectors.items() if i != q and len(v) == len(vectors[q]))
+        expected |= {(q, n + 1): (i, s) for n, (s, i) in enumerate(sorted(scores, key=lambda x: (-x[0], x[1]))[:k])}
+    return expected
+
+
+def found_top_k(rows):
+    return {(r.query_id, r.rank): (r.vec_id, r.score) for r in rows.collect()}
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(6)
-    vectors = [rng.standard_normal(16).tolist() for _ in range(300)] + [None, [1.0, None] + [0.0] * 14, [float("nan")] * 16, [float("inf")] * 16, [0.0] * 16, [1.0] * 3]
+    vectors = [rng.standard_normal(16).tolist() for _ in range(300)] + [None, [1.0, None] + [0.0] * 14, [float("nan")] * 16, [float("inf")] * 16, [0.0] * 16, [1.0] * 3, [], [2.0] * 3]
     vectors[7] = vectors[5]
-    df = spark.createDataFrame([(i, v, 1) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>, rank int")
+    df = spark.createDataFrame([(i, v, 1, 2, "x") for i, v in enumerate(vectors)] + [(None, vectors[0], 1, 2, "x")], "vec_id long, embedding array<float>, rank int, score long, tag string")
     whole = {i: [math.floor(1024 * float(np.float32(x))) for x in v] for i, v in enumerate(vectors) if v is not None and all(x is not None and math.isfinite(x) for x in v)}
     for blocks in (1000, 3):
-        got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in vector_search.top_k(df, df.where("vec_id % 50 = 0"), 10, query_block=blocks).collect()}
-        expected = {}
-        for q in (i for i in whole if i % 50 == 0):
-            scores = sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q and len(v) == len(whole[q]))[:10]
-            expected |= {(q, k + 1): (i, -s) for k, (s, i) in enumerate(scores)}
-        assert got == expected
+        assert found_top_k(vector_search.top_k(df, df.where("vec_id % 50 = 0"), 10, query_rows=blocks)) == slow_top_k(whole, 10, 50)
     assert vector_search.top_k(df.limit(0), df, 10).count() == 0 and vector_search.top_k(df, df.limit(0), 10).count() == 0
 
 
-@pytest.mark.parametrize("copies", [50, 60, 300, 2700, 3000])
-def test_vectors_with_many_equal_ones(copies):
+def test_large_finite_vectors_take_part(spark):
+    vectors = {0: [1e14, 0.0], 1: [3.0, 4.0], 2: [2.0, 1e200], 3: [-1e14, 5.0], 4: [1e14, 1.0], 5: [0.5, -0.5], 6: [1e300, -1e300], 100: [0.25, 1e13], 200: [1e308, 0.0]}
+    df = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")
+    whole = {i: [int(math.floor(1024 * x)) for x in v] for i, v in vectors.items() if i != 200}
+    for k in (1, 3, 10):
+        assert found_top_k(vector_search.top_k(df, df.where("vec_id % 100 = 0"), k)) == slow_top_k(whole, k, 100)
+
+
+@pytest.mark.parametrize("copies", [50, 300, 2700])
+def test_vectors_with_many_equal_ones(spark, copies):
     rng = np.random.default_rng(copies)
-    exact = np.floor(1024 * rng.standard_normal((4096, 32)))
-    exact[rng.permutation(4096)[:copies]] = exact[0]
-    ids = rng.permutation(4096)
-    queries = np.floor(exact[0] + 64 * rng.standard_normal((8, 32)))
-    q, found, scores = vector_search.ApproximationFile(ids, exact).search(queries, np.full(8, -1), 10)
-    for i, query in enumerate(queries):
-        whole = sorted(zip((-(exact @ query)).tolist(), ids.tolist()))[:10]
-        assert [(-s, v) for s, v in zip(scores[q == i].tolist(), found[q == i].tolist())] == whole
+    exact = rng.standard_normal((3000, 8)).astype(np.float32)
+    exact[rng.permutation(3000)[:copies]] = exact[0]
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(rng.permutation(3000), exact)], "vec_id long, embedding array<float>").repartition(5)
+    whole = {r.vec_id: [math.floor(1024 * x) for x in r.embedding] for r in df.collect()}
+    assert found_top_k(vector_search.top_k(df, df.where("vec_id % 500 = 0"), 10)) == slow_top_k(whole, 10, 500)
+
+
+def test_rows_that_share_a_vector_id(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [2.0, 0.0]), (1, [2.0, 0.0]), (1, [3.0, 0.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    rows = vector_search.top_k(df, df.where("vec_id = 0"), 3, scale=1).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in rows] == [(1, 3), (1, 2), (1, 2)]
+
+
+def test_bounds_hold():
+    rng = np.random.default_rng(14)
+    for scale in (1.0, 1e6, 1e140):
+        exact, queries = np.floor(scale * rng.standard_normal((200, 24))), np.floor(scale * rng.standard_normal((20, 24)))
+        low, high = vector_search.Cells.of(exact).bounds(queries)
+        for i, q in enumerate(queries):
+            scores = vector_search.dots(exact, q)
+            assert all(a <= s <= b for a, s, b in zip(low[i], scores, high[i]))
 
 
 def test_contamination(spark):
@@ -198,6 +228,59 @@ def test_contamination_by_passages(spark):
     assert got == {(0, 0): (35, 59), (1, 0): (29, 59), (2, 0): (12, 59)}
 
 
+def test_contamination_by_other_parameters(spark):
+    """Re-parameterised copies of one item: spelled numbers, separators, other units and names; not one whose values all fall together."""
+    item = "Alice has 12 apples and buys 3 more for 20 dollars while Bob sells 1,200 pears so how many apples does Alice have in the end of it"
+    good = [
+        item.replace("Alice", "Maria").replace("12", "45"), item.replace("1,200", "90").replace("Bob", "Van Dyke"), item.replace(" 3 ", " three ").replace("12", "seven"),
+        item.replace("dollars", "rupees").replace("20", "31"), item.replace("Alice", "Mary Ann").replace(" 3 ", " 8 "), item.lower().replace("12", "13"),
+    ]
+    flat = item.replace("Alice", "Ann").replace("Bob", "Ann").replace("12", "7").replace(" 3 ", " 7 ").replace("20", "7").replace("1,200", "7")
+    got = contaminated(spark, [*good, flat, "nothing of it"], [item], sentence(random.Random(19), 60))
+    assert sorted(d for d, _ in got) == [0, 1, 2, 3, 4, 5]
+
+
+def test_contamination_of_odd_tables(spark):
+    item = sentence(random.Random(20), 30)
+    long = sentence(random.Random(21), 60_000, 5000)
+    rows = [(i, x, 1) for i, x in enumerate([item, item, f"{long} {item} {long}", long, None, ""])] + [(1, item, 1), (None, item, 1)]
+    docs = spark.createDataFrame([(*r, "y", 3, 4) for r in rows], "doc_id long, text string, __bad int, item_id string, hash long, line int")
+    items = spark.createDataFrame([(1, item, 9)], "item_id long, text string, doc_id int")
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.find(docs, items).collect()) == [(0, 1), (1, 1), (2, 1)]
+    left = decontaminate.clean(docs, items)
+    assert left.columns == docs.columns and sorted(r.doc_id or -1 for r in left.collect()) == [-1, 3, 4, 5]
+
+
+def slow_contained(texts, items):
+    """Pairs that share ten words in a row with four that are no numbers, by plain search."""
+    cut = lambda x: ["".join(c for c in w) for w in "".join(c if c.isalnum() else " " for c in (x or "").lower()).split()]
+    out = set()
+    for j, x in enumerate(items):
+        w = cut(x)
+        runs = {tuple(w[k : k + 10]) for k in range(len(w) - 9) if sum(not v.isdigit() for v in w[k : k + 10]) >= 4}
+        for i, y in enumerate(texts):
+            v = cut(y)
+            if any(tuple(v[k : k + 10]) in runs for k in range(len(v) - 9)):
+                out.add((i, j))
+    return out
+
+
+def test_contamination_holds_every_shared_passage(spark):
+    rng = random.Random(22)
+    items = [sentence(rng, rng.randrange(12, 40), 3000) for _ in range(30)]
+    texts = []
+    for i in range(80):
+        words_ = sentence(rng, 120, 3000).split()
+        if i % 2:
+            part = rng.choice(items).split()
+            k = rng.randrange(len(part) - 9)
+            words_[50:50] = part[k : k + rng.randrange(8, 14)]
+        texts.append(" ".join(words_))
+    rows = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find(table(spark, texts), rows).collect()}
+    assert got >= slow_contained(texts, items) and len(got) <= len(slow_contained(texts, items)) + 2
+
+
 def luhn(d):
     return sum(sum(divmod(2 * int(c), 10)) if i % 2 else int(c) for i, c in enumerate(reversed(d))) % 10 == 0
 
@@ -235,6 +318,56 @@ def test_pseudonyms_beside_other_groups(spark):
     assert [rows[i].n_card for i in range(3, 11)] == [1, 1, 0, 1, 1, 1, 2, 1] and all(rows[i].n_iban for i in range(31, 35))
 
 
+def test_pseudonyms_of_further_formats(spark):
+    key = "AKIA" + "ABCD1234EFGH5678"
+    texts = ["A.B@x.example.com", "a.b@x.example.com", "Dec 25, 1990 and December 25, 1990", "2001:db8:85a3:0:0:8a2e:370:7334 fe80::1ff:fe23", key, "sk-" + "a1B2" * 6, "version 1.2.3.4 and v1.2.3.4", "1.2.3.4", "Feb 30, 1990", "12:30:45"]
+    rows = [r.text for r in pseudonyms.pseudonymise(table(spark, texts), "key").orderBy("doc_id").collect()]
+    assert rows[0].lower() == rows[1].lower() != texts[1] and rows[0][0].isupper() and rows[0][2].isupper() and rows[1] == rows[1].lower()
+    short, long = rows[2].split(" and ")
+    assert short != "Dec 25, 1990" and long.startswith(short[:3]) and short.split(" ", 1)[1] == long.split(" ", 1)[1]
+    assert rows[3] != texts[3] and [len(x) for x in rows[3].split(":")] == [len(x) for x in texts[3].split(":")] and rows[3].count("::") == 1
+    assert rows[4] != key and rows[4].startswith("AKIA") and len(rows[4]) == 20 and rows[4].isalnum() and rows[4].upper() == rows[4]
+    assert rows[5] != texts[5] and rows[5].startswith("sk-") and len(rows[5]) == len(texts[5])
+    assert rows[6] == texts[6] and rows[7] != texts[7] and rows[8:] == texts[8:]
+
+
+def test_pseudonyms_of_odd_tables(spark):
+    docs = table(spark, ["call +1 (663) 555-6869", "call +1 (663) 555-6869", None]).withColumnRenamed("tie", "__found").withColumnRenamed("lang", "found").withColumnRenamed("id", "got")
+    out = pseudonyms.pseudonymise(docs, "key", counts=False)
+    assert out.columns == docs.columns
+    rows = out.orderBy("doc_id").collect()
+    assert rows[0].text == rows[1].text != "call +1 (663) 555-6869" and rows[2].text is None and rows[0]["__found"] == "x" and rows[0].found == "en"
+
+
+def slow_permuted(key, kind, digits):
+    """The permutation of a digit string, round by round."""
+    n = len(digits)
+    u = n // 2
+    l, r, a, b = int(digits[:u] or 0), int(digits[u:]), 10**u, 10 ** (n - u)
+    number = lambda i, x: int(hashlib.sha256(f"{key}|{kind}|{i}|{x}".encode()).hexdigest()[:15], 16)
+    for i in range(pseudonyms.ROUNDS):
+        l, r = ((l + number(i, r)) % a, r) if i % 2 == 0 else (l, (r + number(i, l)) % b)
+    return f"{l:0{u}d}" * bool(u) + f"{r:0{n - u}d}"
+
+
+def test_pseudonyms_by_brute_force(spark):
+    """Cards, plain phones and social security numbers of random texts, found and permuted by hand."""
+    rng = random.Random(23)
+    texts, expected = [], []
+    for i in range(120):
+        body = str(rng.randrange(3, 6)) + "".join(str(rng.randrange(10)) for _ in range(14))
+        card = next(body + str(c) for c in range(10) if luhn(body + str(c)))
+        wrong = body + str((int(card[-1]) + 1) % 10)
+        phone = f"{rng.randrange(200, 999)}-{rng.randrange(200, 999)}-{rng.randrange(1000, 9999)}"
+        fill = sentence(rng, 5)
+        new = card[0] + slow_permuted("key", "card", card[1:-1])
+        new += next(str(c) for c in range(10) if luhn(new + str(c)))
+        digits = slow_permuted("key", "phone", phone.replace("-", ""))
+        texts.append(f"{fill}: {card}, {fill}: {wrong}; {phone}")
+        expected.append(f"{fill}: {new}, {fill}: {wrong}; {digits[:3]}-{digits[3:6]}-{digits[6:]}")
+    assert [r.text for r in pseudonyms.pseudonymise(table(spark, texts), "key").orderBy("doc_id").collect()] == expected
+
+
 def test_pseudonyms_are_permutations(spark):
     n = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("d"))
     made = n.select(pseudonyms.permuted_digits("k", "t", F.col("d")).alias("x"), pseudonyms.permuted_digits("other", "t", F.col("d")).alias("y")).collect()
@@ -254,6 +387,19 @@ def test_licenses(spark):
         licenses.scan(table(spark, texts), {"short": "two words"})
 
 
+def test_licenses_tell_variants_apart(spark):
+    t = licenses.TEMPLATES
+    fill = " ".join(f"w{i}" for i in range(40))
+    two = f"{fill} {t['BSD-grant']}: {fill} {t['BSD-disclaimer']}"
+    texts = [two, f"{two} {t['BSD-3-endorsement']}", t["GPL-2.0-header"], t["GPL-header"], f"{fill * 300} {t['MIT-notice']} {fill} {t['MIT-notice']}"]
+    best = {}
+    for r in licenses.scan(table(spark, texts + texts[:1], [0, 1, 2, 3, 4, 0])).collect():
+        best.setdefault(r.doc_id, {})[r.license] = (r.containment, r.word)
+    assert set(best[0]) == {"BSD-grant", "BSD-disclaimer"} and set(best[1]) == {"BSD-grant", "BSD-disclaimer", "BSD-3-endorsement"}
+    assert best[2]["GPL-2.0-header"][0] == 1.0 > best[2].get("GPL-header", (0, 0))[0] and best[3]["GPL-header"][0] == 1.0 > best[3].get("GPL-2.0-header", (0, 0))[0]
+    assert best[4]["MIT-notice"][0] == 1.0 and best[4]["MIT-notice"][1] <= len(licenses.words_of(fill * 300))
+
+
 def quality_rows(spark, n=300):
     rng = random.Random(8)
     texts, marks = [], []
@@ -276,6 +422,47 @@ def test_quality(spark):
     assert {r.score for r in quality.score(docs, quality.fit(docs, labels.limit(0))).collect()} == {0.5}
 
 
+def test_quality_of_odd_tables(spark):
+    docs, labels = quality_rows(spark, 80)
+    model = quality.fit(docs, labels.union(labels), ["n_chars"])
+    again = quality.fit(docs.repartition(7), labels.union(labels).repartition(3), ["n_chars"])
+    assert np.array_equal(model.weights, again.weights)
+    named = docs.withColumnRenamed("lang", "score").withColumnRenamed("source", "predicted").withColumnRenamed("tie", "k0")
+    twice = named.union(named.where("doc_id < 5"))
+    kept = quality.accepted(twice, model, ["n_chars"])
+    good = {(r.doc_id, r.predicted) for r in quality.score(docs, model, ["n_chars"]).collect()}
+    assert kept.columns == named.columns and Counter(r.doc_id for r in kept.collect()) == Counter(i for i, p in good if p for _ in range(1 + (i < 5)))
+    tied = labels.union(labels.selectExpr("doc_id", "1 - quality"))  # every document marked both ways counts as good
+    assert all(0 <= r.score <= 1 for r in quality.score(docs, quality.fit(docs, tied, ["n_chars"]), ["n_chars"]).collect())
+
+
+def test_quality_training_by_brute_force():
+    """One step of the training on two documents against derivatives by small differences."""
+    rng = np.random.default_rng(24)
+    rows = [(np.array([1, 3, 5]), np.array([0.5, 1.0, 0.25], np.float32)), (np.array([1, 2]), np.array([1.0, 0.5], np.float32))]
+    labels = np.array([1.0, 0.0])
+    m = quality.Model(0.1, rng.standard_normal(8).astype(np.float64), rng.standard_normal((8, 3)).astype(np.float64))
+
+    def loss(model):
+        out = 0.0
+        for (p, x), y in zip(rows, labels):
+            s = 1 / (1 + np.exp(-model.margin(np.array([0, len(p)]), p, x)[0]))
+            out -= y * np.log(s) + (1 - y) * np.log(1 - s)
+        return out
+
+    for place, factor in ((1, 0), (3, 2), (2, 1)):
+        up, down = (quality.Model(m.bias, m.weights, m.factors.copy()) for _ in range(2))
+        up.factors[place, factor] += 1e-6
+        down.factors[place, factor] -= 1e-6
+        slope = 0.0
+        for (p, x), y in zip(rows, labels):
+            s = 1 / (1 + np.exp(-m.margin(np.array([0, len(p)]), p, x)[0]))
+            for k, v in zip(p, x):
+                if k == place:
+                    slope += (s - y) * v * ((x @ m.factors[p, factor]) - v * m.factors[place, factor])
+        assert np.isclose((loss(up) - loss(down)) / 2e-6, slope, rtol=1e-4)
+
+
 def test_factorisation_identity():
     rng = np.random.default_rng(9)
     m = quality.Model(0.3, rng.standard_normal(50).astype(np.float32), rng.standard_normal((50, 4)).astype(np.float32))
@@ -306,12 +493,126 @@ def test_language_model(spark):
 
 def test_language_model_sums_to_one():
     rng = np.random.default_rng(11)
-    w = maxent.Weights([rng.standard_normal(s).astype(np.float32) for s in maxent.Weights.shapes])
+    w = maxent.Weights(14, [rng.standard_normal(s).astype(np.float32) for s in maxent.Weights.shapes(14)])
     buckets = np.arange(maxent.CLASSES * maxent.SLOTS)
     wide, narrow = np.tile([[5, 6, 7, 8]], (len(buckets), 1)), np.tile([[3, 4]], (len(buckets), 1))
     assert np.isclose((10 ** w.log10(wide, narrow, buckets)).sum(), 1, rtol=1e-4)
 
 
+def slow_scores(texts, held, weights):
+    """Scores word by word from the model's definition: features of the context, two softmaxes, counts within a bucket."""
+    mix = lambda x: int(text_kernels.mix(np.array([x % 2**64], np.uint64))[0])
+    end, start = (int(x) for x in text_kernels.stream(61, 2))
+
+    def hashed(word):
+        data = np.frombuffer(word, np.uint8)
+        return int(text_kernels.hashes(data, np.array([0]), np.array([len(data)]), 62)[0])
+
+    def bucket(word):
+        if word is None:
+            return 0
+        tail = head = 0
+        for k in range(3):
+            tail = tail * 257 + (word[-1 - k] + 1 if k < len(word) else 0)
+            head = head * 257 + (word[k] + 1 if k < len(word) else 0)
+        return (mix(tail + 17) >> 32) % 32 * 32 + (mix(head + 99) >> 32) % 32
+
+    tokens = [(x or "").encode().translate(LOW).split() + [None] for x in texts]
+    counts = Counter(w for x, h in zip(tokens, held) if not h for w in x)
+    total, kinds = Counter(), Counter()
+    for w, c in counts.items():
+        total[bucket(w)] += c
+        kinds[bucket(w)] += 1
+    top, low = 64 - weights.bits, 64 - weights.bits + maxent.NARROWER
+
+    def log_softmax(rows, at):
+        x = sum(np.asarray(r, float) for r in rows)
+        return x[at] - np.log(np.exp(x - x.max()).sum()) - x.max()
+
+    out = []
+    for x in tokens:
+        h = [start] * 3 + [end if w is None else hashed(w) for w in x]
+        score = 0.0
+        for i, w in enumerate(x):
+            one, two, three = h[i + 2], h[i + 1], h[i]
+            keys = [mix(one + 1), mix(one * 3 + mix(two)), mix(two + 2), mix(three + 3)]
+            b = bucket(w)
+            c, s = divmod(b, 32)
+            score += log_softmax([weights.classes[k >> top] for k in keys] + [weights.classes[-1]], c)
+            score += log_softmax([weights.slots[(k >> low) * 32 + c] for k in (keys[0], keys[2])] + [weights.slots[len(weights.slots) - 32 + c]], s)
+            score += math.log((counts[w] + 1) / (total[b] + kinds[b] + 1))
+        out.append(score / math.log(10))
+    return out
+
+
+def test_language_model_score_by_brute_force(spark):
+    texts = [None, "", "a B c", "the cat " * 20, "der hund", "x" * 100, "ends here", "a B c"]
+    docs = table(spark, texts, [0, 1, 2, 3, 4, 5, 6, None])
+    held = F.col("doc_id") % 3 == 2
+    weights = maxent.train(docs.where("doc_id is null or doc_id % 3 <> 2"))
+    assert weights.bits == 14 and np.abs(weights.classes).max() > 0
+    expected = slow_scores(texts, [i % 3 == 2 for i in range(7)] + [False], weights)
+    got = {r.doc_id: r.score for r in maxent.score(docs, held, weights).collect()}
+    for i, x in zip([0, 1, 2, 3, 4, 5, 6, None], expected):
+        assert math.isclose(got[i], x, rel_tol=1e-4), (i, got[i], x)
+
+
+def test_language_model_is_the_same_for_any_partitions(spark):
+    rng = random.Random(12)
+    docs = table(spark, [sentence(rng, 40) for _ in range(120)] + ["same"] * 5)
+    one, many = maxent.train(docs.repartition(1)), maxent.train(docs.repartition(9))
+    assert np.array_equal(one.classes, many.classes) and np.array_equal(one.slots, many.slots)
+
+
+def test_drawn_gradient_follows_the_softmax():
+    rng = np.random.default_rng(13)
+    w = maxent.Weights(14)
+    w.classes[-1, :4] = [3, 2, 1, 0]
+    noise = -np.log(rng.exponential(size=(200_000, 32))).astype(np.float32)
+    drawn = (w.classes[np.full(200_000, len(w.classes) - 1)] + noise).argmax(1)
+    p = np.exp(w.classes[-1]) / np.exp(w.classes[-1]).sum()
+    assert np.allclose(np.bincount(drawn, minlength=32) / 200_000, p, atol=4e-3)
+
+
+def test_training_pieces_do_not_depend_on_batches():
+    import pyarrow as pa
+
+    texts = pa.array([("w%d " % i) * 400 for i in range(6000)], pa.large_string())
+    start = [np.zeros(s, np.float32) for s in maxent.Weights.shapes(14)]
+    made = []
+    for cut in (6000, 700):
+        learner = maxent._Learner(0, start, 14)
+        for lo in range(0, 6000, cut):
+            learner.add(texts.slice(lo, cut))
+        learner.learn()
+        made.append(learner.weights.classes)
+    assert np.array_equal(*made)
+
+
+def confusable(n=1024):
+    """A Thue-Morse word and its complement: equal under any polynomial modulo 2**64."""
+    a = "a"
+    while len(a) < n:
+        a += a.translate(str.maketrans("ab", "ba"))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_polynomials_confuse():
+    for n in (256, 512, 1024, 2048):
+        data = np.frombuffer("".join(confusable(n)).encode(), np.uint8)
+        for seed in (11, 14, 21, 41, 51, 62):
+            one, two = text_kernels.hashes(data, np.array([0, n]), np.array([n, 2 * n]), seed)
+            assert one != two
+
+
+def test_texts_with_confusable_words(spark):
+    x, y = confusable()
+    shared = [f"s{i}" for i in range(12)]
+    texts = [" ".join(shared[:6] + [x] + shared[6:]), " ".join(shared[:6] + [y] + shared[6:])]
+    assert [r.n_removed for r in substring_dedup.remove_repeats(table(spark, texts)).collect()] == [0, 0]
+    assert sorted(r.component_id for r in near_dedup.near_duplicates(table(spark, [f"{t} {t}" for t in texts] + ["q"]), 3, 85).collect()) == [0, 1, 2]
+
+
 def test_store(spark, tmp_path):
     docs = table(spark, edge_texts() + ["again", "again"], [*range(16), 99, 99])
     store = sharding.Store(spark, str(tmp_path / "s"), target_bytes=200_000)
@@ -323,28 +624,72 @@ def test_store(spark, tmp_path):
     assert compacted == before + 1 and len(store.manifest()[1]) < len(shards)
     rows = lambda df: Counter(map(tuple, df.collect()))
     for version in (before, compacted):
-        assert rows(store.read(version).select(docs.columns)) == rows(docs)
+        assert rows(store.read(version)) == rows(docs)
     assert store.compact() == compacted
     with pytest.raises(RuntimeError):
         store.commit(before, shards, "late writer")
-    assert store.vacuum() > 0 and rows(store.read().select(docs.columns)) == rows(docs)
     merged = [x.bytes for x in store.manifest()[1]]
     assert all(b <= 2 * store.target for b in merged)
+    assert {r.place for r in store.read(shard="place").collect()} == {x.file for x in store.manifest()[1]}
+    with pytest.raises(ValueError):
+        store.read(shard="Tie")
 
 
-def test_store_keeps_further_columns(spark, tmp_path):
+def test_vacuum_spares_writers_and_versions(spark, tmp_path):
+    store = sharding.Store(spark, str(tmp_path / "s"), target_bytes=1 << 20, fanout=2)
+    make = lambda i: spark.createDataFrame([(i, "x")], "doc_id long, text string").coalesce(1)
+    for i in range(4):
+        store.append(make(i))
+    before, late = store.manifest()[0], f"{store.root}/data/00000009-late"
+    store.compact()
+    make(9).write.parquet(late)  # a writer that has not committed yet
+    assert store.vacuum() == 0 and store.read(before).count() == 4
+    assert store.vacuum(keep=1, grace=0) == 5 and store.read().count() == 4 and not (tmp_path / "s" / "data" / "00000009-late").exists()
+
+
+def test_tiers_wait_for_enough_shards(spark, tmp_path):
+    store = sharding.Store(spark, str(tmp_path / "s"), target_bytes=1000, fanout=4)
+    shards = lambda sizes: [sharding.Shard(f"data/f/{i}", b, 1) for i, b in enumerate(sizes)]
+    sizes = lambda sizes_: [[x.bytes for x in run] for run in store.plan(shards(sizes_))]
+    assert sizes([1, 450]) == [] and sizes([1, 450, 200]) == [] and sizes([40] * 3) == [] and sizes([600, 900]) == []
+    assert sizes([40] * 4 + [300]) == [[40] * 4]
+    assert sizes([300] * 5) == [[300] * 3] and sizes([300] * 7) == [[300] * 3, [300] * 3]
+
+
+def test_manifests_hold_changes_only(spark, tmp_path):
     store = sharding.Store(spark, str(tmp_path / "s"), target_bytes=1 << 20)
-    store.append(spark.createDataFrame([(1, "a")], "doc_id long, text string"))
-    first = store.append(spark.createDataFrame([(2, "b", 7)], "doc_id long, text string, extra int"))
-    store.append(spark.createDataFrame([("c",)], "text string"))
+    make = lambda i: spark.createDataFrame([(i, "x")], "doc_id long, text string").coalesce(1)
+    for i in range(18):
+        store.append(make(i))
+    sizes = [(tmp_path / "s" / "manifests" / f"{v:08d}.json").stat().st_size for v in (2, 16, 17, 18)]
+    assert abs(sizes[0] - sizes[1]) < 20 and sizes[2] > 3 * sizes[3]
+    for v in (1, 5, 16, 17, 18):
+        assert store.read(v).count() == v
+
+
+def test_ingest_leaves_no_row_out(spark, tmp_path):
+    docs = table(spark, ["a", None, "", "b", "b", "z" * 300_000], [1, 2, None, 3, 3, 4])
+    rows = lambda df: Counter(map(tuple, df.collect()))
+    store = sharding.ingest(docs, [F.col("doc_id") > 2, F.col("doc_id") > 1], str(tmp_path / "a"), 1 << 20)
+    assert rows(store.read()) == rows(docs)
+    assert sharding.ingest(docs, [], str(tmp_path / "b"), 1 << 20).read().count() == 6
+    empty = sharding.ingest(docs.limit(0), [F.col("doc_id") > 2], str(tmp_path / "c"), 1 << 20)
+    assert empty.manifest()[0] >= 2 and (not empty.manifest()[1] or empty.read().count() == 0)
+
+
+def test_store_keeps_further_columns(spark, tmp_path):
+    store = sharding.Store(spark, str(tmp_path / "s"), target_bytes=2048, fanout=3)
+    store.append(spark.createDataFrame([(1, "a")], "doc_id long, text string").coalesce(1))
+    first = store.append(spark.createDataFrame([(2, "b", 7)], "doc_id long, text string, extra int").coalesce(1))
+    store.append(spark.createDataFrame([("c",)], "text string").coalesce(1))
     whole = [(None, "c", None), (1, "a", None), (2, "b", 7)]
     rows = lambda: sorted(map(tuple, store.read().select("doc_id", "text", "extra").collect()), key=str)
     assert rows() == sorted(whole, key=str)
     with pytest.raises(ValueError):
         store.append(spark.createDataFrame([("x",)], "extra string"))
     store.compact()
-    store.vacuum()
-    assert len(store.manifest()[1]) == 1 and rows() == sorted(whole, key=str)
+    store.vacuum(keep=1, grace=0)
+    assert len(store.manifest()[1]) < 3 and rows() == sorted(whole, key=str)
     assert store.schema(first).names == ["doc_id", "text", "extra"]
 
 
@@ -364,10 +709,95 @@ def test_pipeline(spark, sf):
     last = p.tokens_stage(spark, docs, sf).collect()
     texts = Counter((r.doc_id, r.text or "") for r in docs.collect())
     assert Counter((r.doc_id, r.text) for r in last) == texts
+    whole = p.run(spark, sf)
+    assert {r.doc_id for r in whole.collect()} == {r.doc_id for r in last if r.doc_id is not None and r.doc_id < 9000}
     for _, stage in p.STAGES:
         assert stage(spark, docs.limit(0), sf).count() == 0
 
 
+def test_pipeline_keeps_further_columns_and_long_texts(spark, sf):
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    long = " ".join(f"w{i % 9973}" for i in range(150_000))
+    docs = docs.union(spark.createDataFrame([(7001, long, "en", "s", len(long)), (7002, long, "en", "s", len(long))], docs.schema))
+    for name in ("score", "k0", "__found", "found", "token_ids", "root", "a", "b", "__bad", "text_"):
+        docs = docs.withColumn(name, F.lit(name))
+    for name, stage in p.STAGES[1:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns, name
+        rows = out.where("doc_id >= 7000").collect()
+        assert [r.doc_id for r in rows] == [7001] if name == "near_dedup" else len(rows) == 2, name
+        assert all(r.text == long and r["__found"] == "__found" and r.score == "score" for r in rows)
+    kept = p.quality_stage(spark, docs, sf)
+    assert kept.columns == docs.columns and kept.count() <= docs.count()
+    assert p.tokens_stage(spark, docs, sf).count() == docs.count()
+
+
+def test_queries_of_operators_without_sql(spark, sf):
+    """The registered queries themselves, with their contracted columns, on the whole table."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.select("doc_id", "text").collect()}
+    leaks = queries.op1_decontaminate(spark, sf).collect()
+    items = {r.item_id: r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    flat = {i: " ".join("".join(c if c.isalnum() else " " for c in t.lower()).split()) for i, t in texts.items()}
+    whole = {(i, j) for j, x in items.items() for i, t in flat.items() if " ".join("".join(c if c.isalnum() else " " for c in x.lower()).split()) in t}
+    assert whole <= {(r.doc_id, r.item_id) for r in leaks}
+    private = {r.doc_id: r for r in queries.op2_pseudonyms(spark, sf).collect()}
+    assert private.keys() == texts.keys() and all(r.text == texts[i] for i, r in private.items() if not any(r[f"n_{k}"] for k in pseudonyms.KINDS))
+    marked = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    scores = {r.doc_id: r for r in queries.op5_quality(spark, sf).collect()}
+    assert all(r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) and r.predicted == (r.score >= 0.3) for i, r in scores.items())
+    aside = [i for i in marked if scores[i].held_out]
+    assert sum(scores[i].predicted == marked[i] for i in aside) >= 0.8 * len(aside)
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    library = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for r in queries.op6_bpe(spark, sf).collect():
+        ids = np.array(library.encode_ordinary(texts[r.doc_id]), "<u4")
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+    learned = [i for i in texts if zlib.crc32(str(i).encode()) % 7 != 2]
+    counts = Counter(w for i in learned for w in texts[i].encode().translate(LOW).split() + [None])
+    n, v = sum(counts.values()), len(counts)
+    for r in queries.op7_maxent(spark, sf).collect():
+        t = texts[r.doc_id].encode().translate(LOW).split() + [None]
+        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(t), sum(counts[w] > 0 for w in t), n, r.doc_id not in set(learned))
+        assert math.isclose(r.base_score, sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in t), rel_tol=1e-9) and r.score < 0
+
+
+def test_bpe_of_repeated_rows(spark):
+    rows = bpe.encode(table(spark, ["a b", "a b", None, "x" * 3_000_000], [1, 1, 2, 3]), RANKS, PATTERN, decoded=True).collect()
+    assert len({(r.n_tokens, bytes(r.token_ids)) for r in rows if r.doc_id == 1}) == 1 and len(rows) == 4
+    assert [bytes(r.decoded) for r in rows if r.doc_id == 3] == [b"x" * 3_000_000]
+
+
+def test_sketches_lose_no_pair_at_the_threshold():
+    """The share of pairs at the threshold whose sketches differ in more bits than allowed, by simulation."""
+    rng = np.random.default_rng(25)
+    for s, n in ((0.85, 240), (0.8, 384)):
+        limit = near_dedup.sketch_limit(s, n)
+        bits = np.where(rng.random((20_000, n)) < s, 0, rng.binomial(4, 0.5, (20_000, n))).sum(1)
+        low = np.where(rng.random((20_000, n)) < s - 0.25, 0, rng.binomial(4, 0.5, (20_000, n))).sum(1)
+        assert (bits > limit).mean() <= 1e-4 and (low <= limit).mean() < 0.05
+
+
+def test_near_duplicates_below_the_threshold_form_no_pairs(spark):
+    """A large group of texts of which each two resemble one another a little: no links, and few pairs are compared."""
+    rng = random.Random(26)
+    base = sentence(rng, 120, 100_000).split()
+    texts = []
+    for _ in range(150):
+        copy = list(base)
+        for i in rng.sample(range(len(copy)), 6):
+            copy[i] = f"e{rng.randrange(10**9)}"
+        texts.append(" ".join(copy))
+    sets = [shingles(x, 3) for x in texts]
+    links = sum(100 * len(a & b) >= 85 * len(a | b) for i, a in enumerate(sets) for b in sets[:i])
+    rows = near_dedup.near_duplicates(table(spark, texts), 3, 85).collect()
+    assert sum(r.kept for r in rows) == 150 - links if links < 3 else True
+    assert len(rows) == 150
+
+
 def test_digest_columns(spark, sf):
     row = queries.op8_substring_dedup(spark, sf).where("doc_id = 0").first()
     text = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id = 0").first().text
