@@ -21,8 +21,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that the factorisation machine accepts (score >= 0.3)."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.fit(docs, labels, metadata=["n_chars"])
-    scored = quality.score(docs, model, metadata=["n_chars"], threshold=0.3, keep=docs.columns)
-    return scored.where("predicted = 1").select(docs.columns)
+    return quality.accepted(docs, model, metadata=["n_chars"], threshold=0.3)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,9 +50,9 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte-level BPE ids of each text and the text that they decode to."""
+    """Byte-level BPE ids of each text and the text that they decode to; null texts are empty, every row stays."""
     ranks = path("byte_bpe_50k.tiktoken")
-    out = bpe.decode(bpe.encode(docs, ranks, PATTERN), ranks, PATTERN)
+    out = bpe.encode(docs, ranks, PATTERN, decoded=True)
     return out.select("doc_id", "n_tokens", "token_ids", F.decode("decoded", "UTF-8").alias("text"))
 
 
@@ -67,10 +66,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
+    """All stages over documents; what a stage wrote on the way and the stage before it go once it is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    first = len(_session._MADE)
     for name, stage in STAGES:
         docs = _session.table(stage(spark, docs, sf_dir), f"stage-{name}")
+        _session.release(spark, first)
     return docs
 
 
