@@ -106,6 +106,6 @@ def chunks(docs: DataFrame, splitter: str, key: str = "id", column: str = "raw_c
         for part in (batch.slice(lo, 256) for batch in batches for lo in range(0, batch.num_rows, 256)):
             rows = [(k, i, c) for k, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) for i, c in enumerate(split(x, **options) if x and x.strip() else ())]
             keys, order, text = zip(*rows) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), pa.array(order, pa.int32()), pa.array(text, pa.string())], [key, "chunk_order", "chunk_text"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, part.schema.field(0).type), pa.array(order, pa.int32()), pa.array(text, pa.string())], [key, "chunk_order", "chunk_text"])
 
     return docs.select(key, F.col(column).cast("string").alias("text")).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, chunk_order int, chunk_text string")
