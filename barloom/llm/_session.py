@@ -52,6 +52,13 @@ def release(spark: SparkSession, first: int = 0) -> int:
     return len(_MADE)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete one scratch folder that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _MADE.remove(path)
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
     """df as a compressed table in the shared folder, for what is read more than once."""
     path = scratch(df.sparkSession, name)

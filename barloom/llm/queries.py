@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from public_tokenizers import PATTERN, path
 
-from . import bpe, decontaminate, licenses, maxent, near_dedup, pseudonyms, quality, sharding, substring_dedup, vector_search
+from . import bpe, decontaminate, elkan, licenses, maxent, near_dedup, pseudonyms, quality, sharding, substring_dedup, vector_codes, vector_search
 from ._session import scratch
 
 
@@ -81,6 +81,19 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), "lang", "source", "n_chars", F.coalesce("in_manifest", F.lit(False)).alias("in_manifest"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of 16 parts of every vector, their errors, the errors of each label and the digest of the codebooks."""
+    coded, books = vector_codes.compress(_read(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2, scale=256)
+    out = vector_codes.with_sum(coded, "label", "error", "label_error")
+    return out.select("vec_id", "code", "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
+def op12_elkan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest of 8 centroids of every vector after 10 rounds, with distances and inertias."""
+    assigned, found = elkan.cluster(_read(spark, sf_dir, "embeddings"), k=8, rounds=10, dims=64, scale=1024, seed="3")
+    return elkan.with_inertia(assigned, found)
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_pseudonyms": op2_pseudonyms,
@@ -92,8 +105,11 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_near_dedup": op9_near_dedup,
     "op10_sharding": op10_sharding,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_elkan": op12_elkan,
 }
 
+
 def _license_sql() -> str:
     """Containment of every template in every window of its class, without MinHash."""
     size_of = licenses.classes(licenses.TEMPLATES)
@@ -120,7 +136,68 @@ FROM c WHERE containment >= 0.8 GROUP BY doc_id, license
 """
 
 
+_VECTORS = """v AS MATERIALIZED (
+  SELECT vec_id, {keep}, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+)"""
+_SQUARED = "CAST(list_sum(list_transform(list_zip({a}, {b}), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT)"
+_FLOOR = "CAST((s - ((s % n) + n) % n) // n AS BIGINT)"
+
+
+def _codes_sql(rounds: int = 2) -> str:
+    """Product codes by plain assignments of every part to all entries, one CTE a round."""
+    text = f"""
+WITH {_VECTORS.format(keep="label", scale=256)}, p AS MATERIALIZED (
+  SELECT vec_id, label, part, e[part * (len(e) // 16) + 1:(part + 1) * (len(e) // 16)] AS x FROM v, (SELECT unnest(generate_series(0, 15)) AS part)
+), b0 AS MATERIALIZED (
+  SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x AS c
+  FROM p WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT 64)
+)"""
+    for r in range(rounds + 1):
+        text += f""", a{r} AS MATERIALIZED (
+  SELECT vec_id, label, part, x, arg_min(entry, d * 64 + entry) AS entry, min(d) AS d
+  FROM (SELECT p.*, entry, {_SQUARED.format(a="x", b="c")} AS d FROM p JOIN b{r} USING (part)) GROUP BY ALL
+)"""
+        if r < rounds:
+            text += f""", m{r} AS MATERIALIZED (
+  SELECT part, entry, list({_FLOOR} ORDER BY pos) AS c FROM (
+    SELECT part, entry, pos, sum(x[pos]) AS s, count(*) AS n FROM (SELECT *, unnest(generate_series(1, len(x))) AS pos FROM a{r}) GROUP BY ALL
+  ) GROUP BY ALL
+), b{r + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m{r}.c, b{r}.c) AS c FROM b{r} LEFT JOIN m{r} USING (part, entry))"""
+    return text + f""", o AS (
+  SELECT vec_id, label, string_agg(format('{{:02x}}', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY ALL
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) FROM b{rounds}) AS codebooks_sha256 FROM o
+"""
+
+
+def _clusters_sql(rounds: int = 10) -> str:
+    """Plain rounds without bounds, one CTE a round."""
+    text = f"""
+WITH {_VECTORS.format(keep="len(embedding) AS dims", scale=1024)}, p AS MATERIALIZED (SELECT vec_id, e AS x FROM v WHERE dims = 64), b0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS cluster, x AS c FROM p ORDER BY sha256('3:' || vec_id) LIMIT 8
+)"""
+    for r in range(rounds + 1):
+        text += f""", a{r} AS MATERIALIZED (
+  SELECT vec_id, x, arg_min(cluster, d * 8 + cluster) AS cluster, min(d) AS distance FROM (SELECT p.*, cluster, {_SQUARED.format(a="x", b="c")} AS d FROM p, b{r}) GROUP BY ALL
+)"""
+        if r < rounds:
+            text += f""", m{r} AS MATERIALIZED (
+  SELECT cluster, list({_FLOOR} ORDER BY pos) AS c FROM (
+    SELECT cluster, pos, sum(x[pos]) AS s, count(*) AS n FROM (SELECT *, unnest(generate_series(1, 64)) AS pos FROM a{r}) GROUP BY ALL
+  ) GROUP BY ALL
+), b{r + 1} AS MATERIALIZED (SELECT cluster, coalesce(m{r}.c, b{r}.c) AS c FROM b{r} LEFT JOIN m{r} USING (cluster))"""
+    return text + f"""
+SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+       CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN b{rounds} USING (cluster)
+"""
+
+
 ORACLE_SQL = {
+    "op11_vector_codes": _codes_sql(),
+    "op12_elkan": _clusters_sql(),
     "op10_sharding": "SELECT doc_id, md5(text) AS text_md5, lang, source, n_chars, true AS in_manifest FROM documents",
     "op4_licenses": _license_sql(),
     "op3_vector_topk": """

@@ -14,7 +14,7 @@ from public_tokenizers import PATTERN, path
 from pyspark.sql import functions as F
 
 from barloom.llm import _text as text_kernels
-from barloom.llm import bpe, decontaminate, licenses, maxent, near_dedup, pseudonyms, quality, queries, sharding, substring_dedup, vector_search
+from barloom.llm import bpe, decontaminate, elkan, licenses, maxent, near_dedup, pseudonyms, quality, queries, sharding, substring_dedup, vector_codes, vector_search
 from tests.oracle import rows_of, rows_of_sql
 
 LOW = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -802,3 +802,115 @@ def test_digest_columns(spark, sf):
     row = queries.op8_substring_dedup(spark, sf).where("doc_id = 0").first()
     text = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id = 0").first().text
     assert row.n_removed or row.kept_sha256 == hashlib.sha256(b" ".join(words(text))).hexdigest()
+
+
+def embeddings(spark, vectors, ids=None, labels=None):
+    """Vectors with further columns whose names clash with those of the operators."""
+    n = len(vectors)
+    rows = zip(range(n) if ids is None else ids, vectors, [0] * n if labels is None else labels, ["x"] * n, [7] * n, [1.5] * n, ["c"] * n)
+    return spark.createDataFrame(list(rows), "vec_id long, embedding array<double>, label int, v string, cluster int, upper double, code string")
+
+
+def odd_vectors(dims, n, seed=5, scale=1.0):
+    """Vectors with copies, ties, and rows that take no part: nulls, null and non-finite components, other lengths, huge values."""
+    rng = random.Random(seed)
+    out = [[rng.choice([rng.gauss(0, scale), rng.randrange(-2, 3) / 4]) for _ in range(dims)] for _ in range(n)]
+    for i in range(0, n, 7):
+        out[i] = list(out[0])
+    bad = [None, [None] * dims, [math.nan] + [0.0] * (dims - 1), [math.inf] * dims, [-math.inf] + [1.0] * (dims - 1)]
+    return out + bad
+
+
+def plain_codes(rows, parts, entries, rounds, scale):
+    kept = [(i, [math.floor(scale * x) for x in v], label) for i, v, label in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    kept.sort(key=lambda r: r[0])
+    width = len(kept[0][1]) // parts
+    cut = lambda v, p: v[p * width : (p + 1) * width]
+    books = [[cut(v, p) for _, v, _ in kept[:entries]] for p in range(parts)]
+    near = lambda x, book: min((sum((a - b) ** 2 for a, b in zip(x, c)), j) for j, c in enumerate(book))
+    for _ in range(rounds):
+        for p in range(parts):
+            groups = {}
+            for _, v, _ in kept:
+                groups.setdefault(near(cut(v, p), books[p])[1], []).append(cut(v, p))
+            for j, own in groups.items():
+                books[p][j] = [sum(x) // len(own) for x in zip(*own)]
+    out = []
+    for i, v, label in kept:
+        found = [near(cut(v, p), books[p]) for p in range(parts)]
+        out.append((i, "".join(f"{j:02x}" for _, j in found), sum(d for d, _ in found), label))
+    digest = hashlib.sha256(",".join(str(x) for book in books for c in book for x in c).encode()).hexdigest()
+    return out, digest
+
+
+def test_vector_codes(spark):
+    vectors = odd_vectors(8, 150)
+    labels = [None if i % 5 == 0 else i % 3 for i in range(len(vectors))]
+    ids = [10 * (i * 37 % 157) for i in range(len(vectors))]
+    for parts, entries in ((4, 16), (8, 3), (2, 64)):
+        want, digest = plain_codes(list(zip(ids, vectors, labels)), parts, entries, 2, 256)
+        for slices in (1, 5):
+            coded, books = vector_codes.compress(embeddings(spark, vectors, ids, labels).repartition(slices), parts, entries, 2, 256)
+            assert sorted((r.vec_id, r.code, r.error, r.label) for r in coded.collect()) == sorted(want, key=lambda r: r[0])
+            assert books.sha256() == digest
+        sums = Counter()
+        for _, _, error, label in want:
+            sums[label] += error
+        got = vector_codes.with_sum(coded, "label", "error", "label_error").collect()
+        assert len(got) == len(want) and all(r.label_error == sums[r.label] for r in got)
+
+
+def test_vector_codes_on_odd_tables(spark, monkeypatch):
+    empty, books = vector_codes.compress(embeddings(spark, []))
+    assert empty.count() == 0 and vector_codes.with_sum(empty, "label", "error", "s").count() == 0 and not books.books.size
+    assert vector_codes.compress(embeddings(spark, [None, [math.nan]]))[0].count() == 0
+    mixed = [[0.5] * 32, [0.5] * 32, [1.0] * 3, [1e30] * 32, [], [0.25] * 64]
+    got = sorted(vector_codes.compress(embeddings(spark, mixed, [4, None, 1, 2, 3, 9]))[0].collect(), key=lambda r: (r.vec_id is None, r.vec_id))
+    assert [(r.vec_id, r.code, r.error) for r in got] == [(1, None, None), (2, None, None), (3, None, None), (4, "00" * 16, 0), (9, None, None), (None, "00" * 16, 0)]
+    rng = random.Random(1)
+    keyed = [(i, rng.choice([None, 1, rng.randrange(50)]), rng.randrange(9)) for i in range(300)]
+    want = Counter()
+    for _, k, x in keyed:
+        want[k] += x
+    monkeypatch.setattr(vector_codes, "HOT", 8)  # more keys than that: the frequent ones by broadcast, the rest by a shuffled join
+    rows = vector_codes.with_sum(spark.createDataFrame(keyed, "id int, k int, x int"), "k", "x", "total").collect()
+    assert sorted(r.id for r in rows) == list(range(300)) and all(r.total == want[r.k] for r in rows)
+
+
+def plain_clusters(rows, k, rounds, dims, scale, seed):
+    kept = [(i, [math.floor(scale * x) for x in v]) for i, v in rows if v is not None and len(v) == dims and all(x is not None and math.isfinite(x) for x in v)]
+    centres = [v for _, _, v in sorted((hashlib.sha256(f"{seed}:{i}".encode()).hexdigest(), i, v) for i, v in kept)][:k]
+    near = lambda v: min((sum((a - b) ** 2 for a, b in zip(v, c)), j) for j, c in enumerate(centres))
+    for _ in range(rounds):
+        groups = {}
+        for _, v in kept:
+            groups.setdefault(near(v)[1], []).append(v)
+        centres = [[sum(x) // len(groups[j]) for x in zip(*groups[j])] if j in groups else c for j, c in enumerate(centres)]
+    return sorted((i, near(v)[1], near(v)[0]) for i, v in kept), centres
+
+
+@pytest.mark.parametrize("k, rounds, dims, scale", [(8, 10, 6, 1024), (3, 2, 4, 4), (200, 3, 2, 8), (1, 3, 6, 1024), (5, 0, 6, 16)])
+def test_clusters(spark, k, rounds, dims, scale):
+    vectors = odd_vectors(dims, 160, seed=dims + k) + [[0.0] * (dims + 1), []]
+    want, centres = plain_clusters(list(enumerate(vectors)), k, rounds, dims, scale, "3")
+    out, found = elkan.cluster(embeddings(spark, vectors).repartition(3), k, rounds, dims, scale)
+    assert sorted((r.vec_id, r.cluster, r.distance) for r in out.collect()) == want
+    assert found.centroids.tolist() == centres
+    sums = Counter()
+    for _, j, d in want:
+        sums[j] += d
+    for r in elkan.with_inertia(out, found).collect():
+        digest = hashlib.sha256(",".join(map(str, centres[r.cluster])).encode()).hexdigest()
+        assert (r.cluster_inertia, r.inertia, r.centroid_sha256) == (sums[r.cluster], sum(sums.values()), digest)
+    if rounds == 10:  # bounds rule most distances out
+        assert sum(found.tried) < 0.6 * len(want) * k * len(found.tried)
+
+
+def test_clusters_on_odd_tables(spark):
+    out, found = elkan.cluster(embeddings(spark, []))
+    assert elkan.with_inertia(out, found).count() == 0
+    out, found = elkan.cluster(embeddings(spark, [[1e30, 0.0], [0.5, 0.5], [0.5, 0.5], [2.0, 2.0], None], [1, 2, None, 2, 5]), 2, 3, 2, 4)
+    got = sorted((str(r.vec_id), r.cluster, r.distance, r.inertia) for r in elkan.with_inertia(out, found).collect())
+    assert [g[0] for g in got] == ["1", "2", "2", "None"] and got[0][1:] == (None, None, 0) and all(g[2] == 0 for g in got[1:])
+    alone, found = elkan.cluster(embeddings(spark, [[1e30, 0.0]]), 2, 3, 2, 4)
+    assert [(r.cluster, r.inertia) for r in elkan.with_inertia(alone, found).collect()] == [(None, 0)]
