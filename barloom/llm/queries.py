@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from public_tokenizers import PATTERN, path
 
-from . import bpe, decontaminate, elkan, licenses, maxent, near_dedup, pseudonyms, quality, sharding, substring_dedup, vector_codes, vector_search
+from . import bpe, decontaminate, elkan, licenses, maxent, near_dedup, pseudonyms, quality, sharding, substring_dedup, token_files, vector_codes, vector_search
 from ._session import scratch
 
 
@@ -94,6 +94,15 @@ def op12_elkan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return elkan.with_inertia(assigned, found)
 
 
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of whole texts written in coded blocks in doc_id order: where each document lies, and its checksum, from the files."""
+    with open(path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        tokenizer = f.read()
+    at = scratch(spark, "token-files")
+    token_files.write(_read(spark, sf_dir, "documents"), tokenizer, at, end=0)
+    return token_files.documents(spark, at)
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_pseudonyms": op2_pseudonyms,
@@ -107,6 +116,7 @@ QUERIES = {
     "op10_sharding": op10_sharding,
     "op11_vector_codes": op11_vector_codes,
     "op12_elkan": op12_elkan,
+    "op13_token_files": op13_token_files,
 }
 
 
