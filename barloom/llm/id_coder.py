@@ -125,7 +125,7 @@ def _by_lanes(run, items: list, lengths: np.ndarray, *more) -> list:
     """run over at most LANES items at once, the longest ones first."""
     out: list = [None] * len(items)
     order = np.argsort(-lengths, kind="stable")
-    for some in np.array_split(order, max(1, -(-len(items) // LANES))):
+    for some in np.array_split(order, -(-len(items) // LANES)) if items else ():
         for i, made in zip(some, run([items[i] for i in some], lengths[some], *more)):
             out[i] = made
     return out
@@ -146,8 +146,9 @@ def _modelled(model: _Model, ids: np.ndarray, lo: int, hi: int, prior: Prior, pl
     m, some = len(ids), ids[:, lo:hi]
     one, two = np.zeros(some.shape, np.int64), np.zeros(some.shape, np.int64)
     for back, x in ((1, one), (2, two)):
-        skip = max(0, back - lo)
-        x[:, skip:] = ids[:, lo + skip - back : hi - back]
+        begin = max(lo, back)
+        if begin < hi:
+            x[:, begin - lo :] = ids[:, begin - back : hi - back]
     first, second = (table.take(at) for table, at in zip(model.after, model.slots(one, two, model.row[:m, None])))
     sure1, sure2, id1, id2 = first & 3, second & 3, first >> 2, second >> 2
     context = (sure2 << 3) + (sure1 << 1) + (id1 == id2)

@@ -8,13 +8,15 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
+import tokenizers
 from public_tokenizers import PATTERN, path
 from pyspark.sql import functions as F
 
 from barloom.llm import _text as text_kernels
-from barloom.llm import bpe, decontaminate, elkan, licenses, maxent, near_dedup, pseudonyms, quality, queries, sharding, substring_dedup, vector_codes, vector_search
+from barloom.llm import bpe, decontaminate, elkan, id_coder, licenses, maxent, near_dedup, pseudonyms, quality, queries, sharding, substring_dedup, token_files, vector_codes, vector_search
 from tests.oracle import rows_of, rows_of_sql
 
 LOW = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -914,3 +916,103 @@ def test_clusters_on_odd_tables(spark):
     assert [g[0] for g in got] == ["1", "2", "2", "None"] and got[0][1:] == (None, None, 0) and all(g[2] == 0 for g in got[1:])
     alone, found = elkan.cluster(embeddings(spark, [[1e30, 0.0]]), 2, 3, 2, 4)
     assert [(r.cluster, r.inertia) for r in elkan.with_inertia(alone, found).collect()] == [(None, 0)]
+
+
+TOKENIZER = path("byte_bpe_50k.json")
+
+
+def id_blocks(rng):
+    """Blocks of every kind: one id, repeats, all different, learnt and unlearnt lengths, the longest."""
+    ids = rng.zipf(1.3, 30_000) % 50_257
+    blocks = [ids[i : i + n] for i, n in ((0, 1), (1, 2), (5, 127), (9, 128), (9, 129), (50, 256), (77, 1000), (0, 8192), (300, 5000))]
+    return [*blocks, np.zeros(8192, int), np.arange(8192), np.arange(8192)[::-1] * 6, np.full(3, 50_256), np.tile(np.arange(700), 11)]
+
+
+@pytest.mark.parametrize("lanes", [3, 1024])
+def test_id_coder_round_trip(monkeypatch, lanes):
+    monkeypatch.setattr(id_coder, "LANES", lanes)
+    prior, blocks = id_coder.Prior(50_257), id_blocks(np.random.default_rng(2))
+    codes = id_coder.encode(blocks, prior)
+    assert codes == [id_coder.encode([b], prior)[0] for b in blocks]  # each block stands alone
+    for got, want in zip(id_coder.decode(codes, list(map(len, blocks)), prior), blocks):
+        assert got.tolist() == want.tolist()
+    assert len(codes[9]) < 8192 / 24 and len(codes[13]) < 0.5 * 2 * 7700  # what repeats costs little against two bytes an id
+    wide = id_coder.Prior(1 << 20)
+    far = [np.array([(1 << 20) - 1, 0, 5] * 400), np.arange(1 << 19, (1 << 19) + 3000)]
+    assert [x.tolist() for x in id_coder.decode(id_coder.encode(far, wide), [1200, 3000], wide)] == [x.tolist() for x in far]
+    assert id_coder.encode([], prior) == [] and id_coder.decode([], [], prior) == []
+
+
+def test_carries_reach_the_words_before():
+    rng, prior = np.random.default_rng(7), id_coder.Prior(3)
+    for n in (400, 2000):
+        blocks = [rng.choice(3, n, p=p) for p in ([0.98, 0.01, 0.01], [0.01, 0.01, 0.98], [0.4, 0.3, 0.3]) for _ in range(100)]
+        assert all((a == b).all() for a, b in zip(id_coder.decode(id_coder.encode(blocks, prior), [n] * 300, prior), blocks))
+
+
+def token_texts():
+    rng = random.Random(8)
+    odd = ["", " ", "\n\n \t x", "a  b   c \n d", "  　 x   y  ", "it's we'll  1234 5", "中文 文字。 。", "é \u0085 z\x1c \x1d q", "<|endoftext|> <|endoftext|>x", "é é  é   é", "x" * 30_000, "     a  b  c  d  e"]
+    made = ["".join(rng.choice([" ", "  ", "\n", " ", "　", "ab", "Ü", "語", "'s", "9", "!", "\x85", "\x1f"]) for _ in range(60)) for _ in range(40)]
+    return [*odd, *made, sentence(rng, 20_000), None]
+
+
+def test_encoder_equals_whole_texts():
+    with open(TOKENIZER, encoding="utf-8") as f:
+        made = token_files.Encoder(f.read())
+    assert made.cut
+    plain = tokenizers.Tokenizer.from_file(TOKENIZER)
+    texts = token_texts()
+    for own in (texts, texts[:1], [None], ["a"], []):
+        ids, sizes = made.encode(pa.array(own, pa.string()))
+        want = [plain.encode(x or "", add_special_tokens=False).ids for x in own]
+        assert sizes.tolist() == list(map(len, want)) and ids.tolist() == [i for x in want for i in x]
+    for changed in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}, {"pre_tokenizer": None}):
+        assert not token_files.cuts_are_safe({"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False}} | changed)
+
+
+@pytest.mark.parametrize("block, part_bytes", [(64, 20_000), (8192, 48 << 20), (1, 1 << 20)])
+def test_token_files(spark, block, part_bytes, tmp_path):
+    texts = token_texts() if block > 1 else token_texts()[:9]
+    ids = [None if i == 3 else 7 if i in (4, 5) else 1000 - 3 * i for i in range(len(texts))]
+    with open(TOKENIZER, encoding="utf-8") as f:
+        tokenizer = f.read()
+    token_files.write(table(spark, texts, ids).repartition(5), tokenizer, str(tmp_path / "f"), end=0, block=block, part_bytes=part_bytes)
+    plain = tokenizers.Tokenizer.from_file(TOKENIZER)
+    coded = {i: np.array([*plain.encode(x or "", add_special_tokens=False).ids, 0], "<u4").tobytes() for i, x in enumerate(texts)}
+    got = sorted(token_files.documents(spark, str(tmp_path / "f")).collect(), key=lambda r: r.start)
+    assert len(got) == len(texts) and [r.doc_id for r in got] == sorted(ids, key=lambda x: (x is not None, x))
+    assert got[0].start == 0 and all(b.start == a.start + a.n_tokens for a, b in zip(got, got[1:]))
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == Counter((ids[i], len(x) // 4, zlib.crc32(x)) for i, x in coded.items())
+    if block == 64:
+        whole = {}
+        for r in sorted(token_files.pieces(spark, str(tmp_path / "f"), with_ids=True).collect(), key=lambda r: (r.part, r.at)):
+            whole[(r.part, r.doc)] = (r.doc_id, whole.get((r.part, r.doc), (0, b""))[1] + bytes(r.ids))
+        assert Counter(whole.values()) == Counter((ids[i], x) for i, x in coded.items())
+        damaged = spark.read.parquet(str(tmp_path / "f")).withColumn("crc", F.col("crc") + 1)
+        damaged.write.parquet(str(tmp_path / "g"))
+        with pytest.raises(Exception, match="damaged"):
+            token_files.pieces(spark, str(tmp_path / "g")).count()
+
+
+def test_token_files_of_nothing(spark, tmp_path):
+    with open(TOKENIZER, encoding="utf-8") as f:
+        token_files.write(table(spark, []), f.read(), str(tmp_path / "f"))
+    assert token_files.documents(spark, str(tmp_path / "f")).count() == 0
+
+
+def test_joined_crc():
+    rng = random.Random(3)
+    for n in (0, 1, 5, 4096, 100_003):
+        a, b = rng.randbytes(rng.randrange(50)), rng.randbytes(n)
+        assert token_files.joined_crc(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
+
+
+def test_op13_equals_the_library(spark, sf):
+    plain, at, want = tokenizers.Tokenizer.from_file(TOKENIZER), 0, []
+    for r in sorted(spark.read.parquet(f"{sf}/documents.parquet").collect(), key=lambda r: r.doc_id):
+        ids = np.array([*plain.encode(r.text or "", add_special_tokens=False).ids, 0], "<u4")
+        want.append((r.doc_id, at, len(ids), zlib.crc32(ids.tobytes())))
+        at += len(ids)
+    got = queries.QUERIES["op13_token_files"](spark, sf)
+    assert got.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and sorted(map(tuple, got.collect())) == want
