@@ -15,7 +15,7 @@ import numpy as np
 
 FIRST = 128
 STEP = 512  # tokens of a lane that are modelled at once
-LANES = 1024
+ENCODED, DECODED = 512, 2048  # lanes: decoding needs more array operations a step
 EVENTS, CONTEXTS = 4, 32
 OLD, NEW = 2, 3
 EVENT_BITS, COUNT_BITS = 11, 12
@@ -121,11 +121,11 @@ def _starts(lengths: np.ndarray, size: int):
         at = end
 
 
-def _by_lanes(run, items: list, lengths: np.ndarray, *more) -> list:
-    """run over at most LANES items at once, the longest ones first."""
+def _by_lanes(run, lanes: int, items: list, lengths: np.ndarray, *more) -> list:
+    """run over at most ``lanes`` items at once, the longest ones first."""
     out: list = [None] * len(items)
     order = np.argsort(-lengths, kind="stable")
-    for some in np.array_split(order, -(-len(items) // LANES)) if items else ():
+    for some in np.array_split(order, -(-len(items) // lanes)) if items else ():
         for i, made in zip(some, run([items[i] for i in some], lengths[some], *more)):
             out[i] = made
     return out
@@ -133,12 +133,12 @@ def _by_lanes(run, items: list, lengths: np.ndarray, *more) -> list:
 
 def encode(blocks: list[np.ndarray], prior: Prior) -> list[bytes]:
     """The code of each block of 1 to LONGEST ids below the prior's size."""
-    return _by_lanes(_encode, blocks, np.array([len(b) for b in blocks], np.int64), prior)
+    return _by_lanes(_encode, ENCODED, blocks, np.array([len(b) for b in blocks], np.int64), prior)
 
 
 def decode(codes: list[bytes], lengths, prior: Prior) -> list[np.ndarray]:
     """The ids of each block, given how many they are."""
-    return _by_lanes(_decode, codes, np.asarray(lengths, np.int64), prior)
+    return _by_lanes(_decode, DECODED, codes, np.asarray(lengths, np.int64), prior)
 
 
 def _modelled(model: _Model, ids: np.ndarray, lo: int, hi: int, prior: Prior, places: np.ndarray):
@@ -184,7 +184,7 @@ def _encode(blocks: list[np.ndarray], lengths: np.ndarray, prior: Prior) -> list
         ids[i, : len(block)] = block
     model, places = _Model(n), np.zeros(len(prior.share), np.int64)
     cap = longest * 3 // 2 + 16
-    words = np.zeros(n * cap, np.int64)
+    words = np.zeros(n * cap, np.int32)
     pos, low, span = np.arange(n) * cap, np.zeros(n, np.int64), np.full(n, 1 << 2 * WORD, np.int64)
 
     def emit(rows):
@@ -226,13 +226,13 @@ def _encode(blocks: list[np.ndarray], lengths: np.ndarray, prior: Prior) -> list
 def _decode(codes: list[bytes], lengths: np.ndarray, prior: Prior) -> list[np.ndarray]:
     n, longest = len(codes), int(lengths[0])
     cap = max(map(len, codes)) // 3 + 4
-    words = np.zeros((n, cap), np.int64)
+    words = np.zeros((n, cap), np.int32)
     for i, code in enumerate(codes):
-        w = np.frombuffer(code, np.uint8).reshape(-1, 3).astype(np.int64)
+        w = np.frombuffer(code, np.uint8).reshape(-1, 3).astype(np.int32)
         words[i, : len(w)] = w[:, 0] << 16 | w[:, 1] << 8 | w[:, 2]
     words = words.ravel()
     pos = np.arange(n) * cap
-    value, span = words[pos] << WORD | words[pos + 1], np.full(n, 1 << 2 * WORD, np.int64)
+    value, span = words[pos].astype(np.int64) << WORD | words[pos + 1], np.full(n, 1 << 2 * WORD, np.int64)
     pos += 2
     model, ids = _Model(n), np.zeros((longest, n), np.int32)
     one, two = np.zeros(n, np.int64), np.zeros(n, np.int64)

@@ -6,7 +6,9 @@ of, and the code (see id_coder).  Every block can be read alone, so a read split
 pieces of a document by their lengths and checksums, without its ids.
 
 Texts are encoded by the tokenizers library.  Where a tokenizer's pre-tokens never run over white space that follows a
-character (byte-level BPE), texts are cut before such white space and each distinct piece of a batch is encoded once.
+character (byte-level BPE), texts are cut before such white space, and
+where ASCII letters, digits and marks meet; each distinct piece is encoded once
+and remembered.
 """
 
 from __future__ import annotations
@@ -14,21 +16,30 @@ from __future__ import annotations
 import json
 import os
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _session, id_coder
 from . import _text as t
 
-BLOCK = 8192
-PART = 48 << 20  # bytes of text in a part
+BLOCK = 4096
+PART = 32 << 20  # bytes of text in a part
 BATCH = 16 << 20  # bytes of text encoded at once
+KNOWN = 1 << 21  # pieces whose ids are remembered
 #: last bytes of the UTF-8 forms of white space beyond ASCII, and what else counts as white space somewhere
 _NOT_BEFORE = np.zeros(256, bool)
 _NOT_BEFORE[[*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, *range(0x80, 0x8B), 0xA8, 0xA9, 0xAF, 0x9F]] = True
+#: ASCII letters, digits and marks but for the apostrophe, which may go with what follows it
+_KIND = np.zeros(256, np.uint8)
+_KIND[33:127] = 3
+_KIND[[*range(65, 91), *range(97, 123)]] = 1
+_KIND[48:58] = 2
+_KIND[39] = 0
 
 
 def cuts_are_safe(spec: dict) -> bool:
@@ -46,36 +57,53 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cut = Tokenizer.from_str(tokenizer), cuts_are_safe(json.loads(tokenizer))
-
-    def _distinct(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts one after the other, how many each has)."""
-        made = [e.ids for e in self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in texts.to_pylist()], add_special_tokens=False)]
-        sizes = np.fromiter(map(len, made), np.int64, len(made))
-        return np.fromiter((i for ids in made for i in ids), np.int32, int(sizes.sum())), sizes
+        spec = json.loads(tokenizer)
+        self.tokenizer, self.cut = Tokenizer.from_str(tokenizer), cuts_are_safe(spec)
+        self.added = [a["content"].encode() for a in spec.get("added_tokens", [])]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known, self.ids, self.ends = pa.array([], pa.large_binary()), np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def _learn(self, pieces: pa.Array) -> None:
+        made = [e.ids for e in self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in pieces.to_pylist()], add_special_tokens=False)]
+        ends = np.cumsum(np.fromiter(map(len, made), np.int64, len(made)))
+        self.ids = np.r_[self.ids, np.fromiter(chain.from_iterable(made), np.int32, int(ends[-1]))]
+        self.known, self.ends = pa.concat_arrays([self.known, pieces]), np.r_[self.ends, self.ends[-1] + ends]
+
+    def _places(self, pieces: pa.Array) -> np.ndarray:
+        """Where each of distinct pieces is among the known ones; new ones are encoded."""
+        if len(self.known) > KNOWN:
+            self._forget()
+        new = pieces.filter(pc.invert(pc.is_in(pieces, self.known)))
+        if len(new):
+            self._learn(new)
+        return np.asarray(pc.index_in(pieces, self.known))
+
+    def _begins(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Where the pieces of the texts begin."""
+        at = np.zeros(len(data), bool)
+        at[offsets[:-1][np.diff(offsets) > 0]] = True
+        if self.cut:
+            at[1:] |= t.SPACE[data[1:]] & ~_NOT_BEFORE[data[:-1]]
+            raw = data.tobytes() if self.added else b""
+            if not any(x in raw for x in self.added):  # else an added token might be cut in two
+                kind = _KIND[data]
+                at[1:] |= (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)
+        return np.flatnonzero(at)
 
     def encode(self, column) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all documents one after the other, how many each has); null is the empty text."""
         data, offsets = t.buffers(column)
-        n = len(offsets) - 1
-        begins = offsets[:-1][np.diff(offsets) > 0]
-        if self.cut and len(data):
-            at = t.SPACE[data]
-            at[0] = False
-            at[1:] &= ~_NOT_BEFORE[data[:-1]]
-            at[begins] = True
-            begins = np.flatnonzero(at)
-        ends = pa.py_buffer(np.r_[begins, len(data)].astype(np.int64))
-        pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begins), [None, ends, pa.py_buffer(data)])
-        coded = pieces.dictionary_encode()
-        ids, sizes = self._distinct(coded.dictionary)
-        which = np.asarray(coded.indices)
-        many = sizes[which]
+        begins = self._begins(data, offsets)
+        cuts = pa.py_buffer(np.r_[begins, len(data)].astype(np.int64))
+        coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begins), [None, cuts, pa.py_buffer(data)]).dictionary_encode()
+        which = self._places(coded.dictionary)[np.asarray(coded.indices)]
+        many = np.diff(self.ends)[which]
         total = np.r_[0, np.cumsum(many)]
-        first = (np.cumsum(sizes) - sizes)[which] - total[:-1]
-        out = ids[np.repeat(first, many) + np.arange(total[-1])]
-        of_doc = total[np.searchsorted(begins, offsets)]
-        return out, np.diff(of_doc) if n else np.zeros(0, np.int64)
+        at = np.repeat((self.ends[which] - total[:-1]).astype(np.int32), many)
+        at += np.arange(len(at), dtype=np.int32)
+        return self.ids[at], np.diff(total[np.searchsorted(begins, offsets)])
 
 
 _ENCODERS: dict[int, Encoder] = {}
@@ -105,8 +133,8 @@ class _Stream:
         """Rows of the full blocks at hand, or of all that is left."""
         n = -(-len(self.ids) // block) if last else len(self.ids) // block
         cuts = np.minimum(np.arange(n + 1) * block, len(self.ids))
-        for lo in range(0, n, id_coder.LANES):
-            some = cuts[lo : lo + id_coder.LANES + 1]
+        for lo in range(0, n, id_coder.ENCODED):
+            some = cuts[lo : lo + id_coder.ENCODED + 1]
             yield self._rows(part, [self.ids[i:j] for i, j in zip(some, some[1:])], self.used + some, prior)
             self.done += len(some) - 1
         self.used += int(cuts[-1])
@@ -145,7 +173,7 @@ def _written(shared, end: int, size: int, block: int):
                     stream, part, prior, encoder = _Stream(piece.column("doc_id").type), piece.column("part")[0].as_py(), id_coder.Prior(size), _encoder(shared)
                 ids, sizes = encoder.encode(piece.column("text"))
                 stream.add(piece.column("doc_id"), np.insert(ids, np.cumsum(sizes), end), sizes + 1)
-                if len(stream.ids) >= id_coder.LANES * block:
+                if len(stream.ids) >= id_coder.ENCODED * block:
                     yield from stream.blocks(part, prior, block)
         if stream is not None:
             yield from stream.blocks(part, prior, block, last=True)
@@ -176,8 +204,8 @@ def write(docs: DataFrame, tokenizer: str, path: str, end: int = 0, block: int =
 def _decoded(batches, wanted):
     """(row, ids) of each block, whose checksum is right."""
     for batch in batches:
-        for lo in range(0, batch.num_rows, id_coder.LANES):
-            some = batch.slice(lo, id_coder.LANES)
+        for lo in range(0, batch.num_rows, id_coder.DECODED):
+            some = batch.slice(lo, id_coder.DECODED)
             if not some.num_rows:
                 continue
             prior = id_coder.Prior(some.column("vocabulary")[0].as_py())

@@ -930,7 +930,8 @@ def id_blocks(rng):
 
 @pytest.mark.parametrize("lanes", [3, 1024])
 def test_id_coder_round_trip(monkeypatch, lanes):
-    monkeypatch.setattr(id_coder, "LANES", lanes)
+    monkeypatch.setattr(id_coder, "ENCODED", lanes)
+    monkeypatch.setattr(id_coder, "DECODED", 2 * lanes)
     prior, blocks = id_coder.Prior(50_257), id_blocks(np.random.default_rng(2))
     codes = id_coder.encode(blocks, prior)
     assert codes == [id_coder.encode([b], prior)[0] for b in blocks]  # each block stands alone
