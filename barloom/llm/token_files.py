@@ -16,6 +16,7 @@ from __future__ import annotations
 import json
 import os
 import zlib
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -75,10 +76,12 @@ class Encoder:
         """Where each of distinct pieces is among the known ones; new ones are encoded."""
         if len(self.known) > KNOWN:
             self._forget()
-        new = pieces.filter(pc.invert(pc.is_in(pieces, self.known)))
-        if len(new):
-            self._learn(new)
-        return np.asarray(pc.index_in(pieces, self.known))
+        found = pc.index_in(pieces, self.known)
+        at, new = np.asarray(found.fill_null(0)), np.asarray(found.is_null())
+        if new.any():
+            at = np.where(new, len(self.known) + np.cumsum(new) - 1, at)
+            self._learn(pieces.filter(pa.array(new)))
+        return at
 
     def _begins(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Where the pieces of the texts begin."""
@@ -271,14 +274,20 @@ def _times(a: int, b: int) -> int:
     return out
 
 
-def joined_crc(crc: int, more: int, length: int) -> int:
-    """CRC-32 of two byte strings one after the other; ``length``: bytes of the second one."""
-    power, square, bits = 0x80000000, 0x40000000, 8 * length
+@lru_cache(1 << 14)
+def _power(length: int) -> int:
+    """x to the 8 * length."""
+    power, square, bits = 0x80000000, 0x00800000, length
     while bits:
         if bits & 1:
             power = _times(power, square)
         square, bits = _times(square, square), bits >> 1
-    return _times(power, crc) ^ more
+    return power
+
+
+def joined_crc(crc: int, more: int, length: int) -> int:
+    """CRC-32 of two byte strings one after the other; ``length``: bytes of the second one."""
+    return _times(_power(length), crc) ^ more
 
 
 def _joined(batches):
