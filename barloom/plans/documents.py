@@ -6,9 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barloom import functions as fn
-from barloom.operators import chunking, retrieval, text
+from barloom.operators import ann, chunking, retrieval, text
 from barloom.plans.catalog import query
 from barloom.sources import disclosures, read
+from barloom.sources.tables import scratch
 
 COUNTED = """
 l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line FROM documents), r AS (SELECT doc_id, trim(line) AS line, count(*) AS n FROM l WHERE trim(line) <> '' GROUP BY 1, 2)"""
@@ -181,3 +182,25 @@ def o03(spark, d):
     vectors = read(spark, d, "embeddings").where("embedding is not null")
     topics = vectors.where("vec_id in (0, 1, 2)").select(F.col("vec_id").alias("topic"), F.col("embedding").alias("q")).limit(3)
     return retrieval.by_topic_and_age(vectors.select(F.col("vec_id").alias("id"), ((F.col("vec_id") * 7) % 2000).alias("age"), "embedding"), topics, BUCKETS)
+
+
+def _asked(vectors):
+    return vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+
+
+@query("o05_index_search")
+def o05(spark, d):
+    """About the 10 nearest vectors of every one whose id is divisible by 100, from an index over all of them."""
+    vectors = read(spark, d, "embeddings")
+    index = ann.Index.build(vectors, scratch(spark, "index"))
+    return index.search(_asked(vectors), vectors)
+
+
+@query("o05_index_recall", "SELECT vec_id AS query_id, least(10, (SELECT count(*) FROM embeddings) - 1) AS wanted, true AS reached FROM embeddings WHERE vec_id % 100 = 0")
+def o05_recall(spark, d):
+    """For each of those queries how many neighbours it has, and whether the index found 0.9 of all of them; the truth by brute force."""
+    vectors = read(spark, d, "embeddings")
+    index = ann.Index.build(vectors, scratch(spark, "index"))
+    rows = ann.recall(index.search(_asked(vectors), vectors), ann.exact(vectors, _asked(vectors)))
+    total = rows.agg((F.sum("hit") >= 0.9 * F.sum("wanted")).alias("reached"))  # one row
+    return rows.select("query_id", "wanted").crossJoin(F.broadcast(total))
