@@ -95,6 +95,7 @@ def paragraph_packs(text: str, size: int = 10_000) -> list[str]:
     return [*out, held] if held else out
 
 
+HELD = 4 << 20  # characters whose chunks are held before they are passed on
 SPLITTERS = {"recursive": recursive_chunks, "sentence": sentence_chunks, "paragraph": paragraph_packs}
 
 
@@ -103,9 +104,22 @@ def chunks(docs: DataFrame, splitter: str, key: str = "id", column: str = "raw_c
     split = SPLITTERS[splitter]
 
     def run(batches):
-        for part in (batch.slice(lo, 256) for batch in batches for lo in range(0, batch.num_rows, 256)):
-            rows = [(k, i, c) for k, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) for i, c in enumerate(split(x, **options) if x and x.strip() else ())]
-            keys, order, text = zip(*rows) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, part.schema.field(0).type), pa.array(order, pa.int32()), pa.array(text, pa.string())], [key, "chunk_order", "chunk_text"])
+        for batch in batches:
+            kind, rows, size = batch.schema.field(0).type, [], 0
+
+            def made():
+                keys, order, text = zip(*rows)
+                return pa.RecordBatch.from_arrays([pa.array(keys, kind), pa.array(order, pa.int32()), pa.array(text, pa.string())], [key, "chunk_order", "chunk_text"])
+
+            for k, x in zip(batch.column(0), batch.column(1)):
+                text = x.as_py()
+                if text and text.strip():
+                    rows += [(k.as_py(), i, c) for i, c in enumerate(split(text, **options))]
+                    size += len(text)
+                if size > HELD:
+                    yield made()
+                    rows, size = [], 0
+            if rows:
+                yield made()
 
     return docs.select(key, F.col(column).cast("string").alias("text")).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, chunk_order int, chunk_text string")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barloom import functions as fn
+from barloom.functions import tables
 from barloom.operators import ann, chunking, retrieval, text
 from barloom.plans.catalog import query
 from barloom.sources import disclosures, read
@@ -122,22 +123,87 @@ def j10(spark, d):
     return chunking.chunks(disclosures(spark, d), "recursive")
 
 
-@query("j11_sentence_chunks")
+#: sentences are folded one by one: what is held, and the chunk that a sentence closes; long chunks are cut in strides
+SENTENCES = """
+RECURSIVE s AS (SELECT id, regexp_extract(p, '^[^。！？\\n.?!]*[。！？\\n.?!]?') AS x, row_number() OVER (PARTITION BY id ORDER BY k) AS i FROM (
+  SELECT id, CASE WHEN k > 1 THEN ltrim(p, E' \\t\\n\\r\\f\\v') ELSE p END AS p, k FROM (SELECT id, unnest(a) AS p, generate_subscripts(a, 1) AS k FROM (SELECT id, regexp_extract_all(raw_content, '[^。！？\\n.?!]*[。！？\\n.?!]\\s*|[^。！？\\n.?!]+') AS a FROM disc WHERE trim(raw_content, E' \\t\\n\\r\\f\\v') <> ''))) WHERE p <> ''),
+f(id, i, held, length, out) AS (SELECT id, i, x, length(x), CAST(NULL AS VARCHAR) FROM s WHERE i = 1 UNION ALL
+  SELECT s.id, s.i, CASE WHEN full_ THEN CASE WHEN tail <> '' THEN tail || ' ' || x ELSE x END ELSE held || ' ' || x END,
+    CASE WHEN full_ THEN CASE WHEN tail <> '' THEN length(tail) + 1 + length(x) ELSE length(x) END ELSE length + length(x) + 1 END, CASE WHEN full_ THEN held END
+  FROM (SELECT s.id, s.i, s.x, f.held, f.length, f.length + length(s.x) > 450 AS full_,
+    ltrim(CASE WHEN regexp_matches(right(f.held, 50), '[。！？\\n.?!]') THEN regexp_replace(right(f.held, 50), '^[^。！？\\n.?!]*[。！？\\n.?!]', '') ELSE right(f.held, 50) END, E' \\t\\n\\r\\f\\v') AS tail FROM f JOIN s ON s.id = f.id AND s.i = f.i + 1) s),
+c AS (SELECT id, i, out AS x FROM f WHERE out IS NOT NULL UNION ALL SELECT id, i + 1, held FROM (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY id ORDER BY i DESC) = 1))
+SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY i, o) - 1 AS INTEGER) AS chunk_order, CASE WHEN length(x) <= 540 THEN x ELSE substr(x, CAST(o + 1 AS BIGINT), 450) END AS chunk_text
+FROM (SELECT id, i, x, unnest(CASE WHEN length(x) <= 540 THEN [0] ELSE generate_series(0, length(x) - 1, 400) END) AS o FROM c)"""
+
+
+@query("j11_sentence_chunks", "WITH " + SENTENCES.strip(), "disc")
 def j11(spark, d):
     return chunking.chunks(disclosures(spark, d), "sentence")
 
 
-@query("j12_paragraph_packs")
+#: lines are folded one by one: the pack and its length
+PACKED = """
+RECURSIVE l AS (SELECT id, unnest(string_split(raw_content, chr(10))) AS x, generate_subscripts(string_split(raw_content, chr(10)), 1) AS i FROM disc WHERE trim(raw_content, E' \\t\\n\\r\\f\\v') <> ''),
+f(id, i, x, pack, length) AS (SELECT id, i, CASE WHEN length(x) + 1 > 10000 THEN x ELSE chr(10) || x END, 0, CASE WHEN length(x) + 1 > 10000 THEN length(x) ELSE length(x) + 1 END FROM l WHERE i = 1 UNION ALL
+  SELECT l.id, l.i, CASE WHEN f.length + length(l.x) + 1 > 10000 THEN l.x ELSE chr(10) || l.x END, CASE WHEN f.length + length(l.x) + 1 > 10000 THEN f.pack + 1 ELSE f.pack END,
+    CASE WHEN f.length + length(l.x) + 1 > 10000 THEN length(l.x) ELSE f.length + length(l.x) + 1 END FROM f JOIN l ON l.id = f.id AND l.i = f.i + 1)
+SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY pack) - 1 AS INTEGER) AS chunk_order, x AS chunk_text FROM (SELECT id, pack, string_agg(x, '' ORDER BY i) AS x FROM f GROUP BY 1, 2) WHERE x <> ''"""
+
+
+@query("j12_paragraph_packs", "WITH " + PACKED.strip(), "disc")
 def j12(spark, d):
     return chunking.chunks(disclosures(spark, d), "paragraph")
 
 
-@query("j13_stride_chunks", "SELECT doc_id, CAST(i / 400 AS INTEGER) AS chunk_order, substr(text, CAST(i + 1 AS BIGINT), 450) AS chunk_text FROM (SELECT doc_id, text, unnest(generate_series(0, greatest(0, length(text) - 1), 400)) AS i FROM documents WHERE text <> '')")
+STRIDES = "SELECT doc_id, CAST(i / 400 AS INTEGER) AS chunk_order, substr(text, CAST(i + 1 AS BIGINT), 450) AS chunk_text FROM (SELECT doc_id, text, unnest(generate_series(0, greatest(0, length(text) - 1), 400)) AS i FROM documents WHERE text <> '')"
+
+
+@query("j13_stride_chunks", STRIDES)
 def j13(spark, d):
     at = F.posexplode(F.sequence(F.lit(0), F.length("text") - 1, F.lit(400))).alias("chunk_order", "i")
     return read(spark, d, "documents").where("text <> ''").select("doc_id", "text", at).select("doc_id", "chunk_order", F.substring("text", F.col("i") + 1, F.lit(450)).alias("chunk_text"))
 
 
+def _by_table_function(spark, d, splitter):
+    """The chunks of j10 to j12 by a lateral join with the table function."""
+    tables.register(spark)
+    docs = disclosures(spark, d).select("id", "raw_content")
+    return spark.sql("SELECT d.id, c.* FROM {docs} d, LATERAL split_text(d.raw_content, '" + splitter + "') c", docs=docs)
+
+
+@query("r05_recursive_chunks")
+def r05_recursive(spark, d):
+    return _by_table_function(spark, d, "recursive")
+
+
+@query("r05_sentence_chunks", "WITH " + SENTENCES.strip(), "disc")
+def r05_sentence(spark, d):
+    return _by_table_function(spark, d, "sentence")
+
+
+@query("r05_paragraph_packs", "WITH " + PACKED.strip(), "disc")
+def r05_paragraph(spark, d):
+    return _by_table_function(spark, d, "paragraph")
+
+
+@query("r05_stride_chunks", STRIDES)
+def r05_stride(spark, d):
+    tables.register(spark)
+    return spark.sql("SELECT d.doc_id, c.* FROM {docs} d, LATERAL stride_text(d.text, 450, 50) c", docs=read(spark, d, "documents"))
+
+
+@query("r05_packed_lines", """WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+f(doc_id, i, x, pack, length) AS (SELECT doc_id, i, x, 0, length(x) FROM l WHERE i = 1 UNION ALL
+  SELECT l.doc_id, l.i, l.x, CASE WHEN f.length + length(l.x) + 1 > 300 THEN f.pack + 1 ELSE f.pack END, CASE WHEN f.length + length(l.x) + 1 > 300 THEN length(l.x) ELSE f.length + length(l.x) + 1 END FROM f JOIN l ON l.doc_id = f.doc_id AND l.i = f.i + 1)
+SELECT doc_id, CAST(pack AS INTEGER) AS chunk_order, string_agg(x, chr(10) ORDER BY i) AS chunk_text FROM f GROUP BY 1, pack""")
+def r05_packed(spark, d):
+    """Lines of documents packed in order by a table function over partitions of a table."""
+    tables.register(spark)
+    lines = read(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return spark.sql("SELECT * FROM pack_rows(TABLE(SELECT * FROM {lines}) PARTITION BY doc_id ORDER BY (line_no), 'line', 300)", lines=lines)
+
+
 @query("j14_number_chunks", "SELECT doc_id, CAST(i - 1 AS INTEGER) AS chunk_order, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE trim(line) <> ''")
 def j14(spark, d):
     return read(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("chunk_order", "line")).where("trim(line) <> ''")
