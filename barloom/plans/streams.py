@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from barloom.plans.catalog import query
 from barloom.sources import read
-from barloom.streaming import bars
+from barloom.streaming import bars, state
 
 
 def sql(unit: str) -> str:
@@ -57,3 +57,13 @@ def q03(spark, d):
 @query("q04_running_state", "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 4) AS total FROM events")
 def q04(spark, d):
     return bars.running_state(read(spark, d, "events")).select("event_id", F.round("total", 4).alias("total"))
+
+
+WEEKS = "(PARTITION BY user_id, date_trunc('week', ts) ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)"
+
+
+@query("q04_settled_state", f"SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 4) AS total, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS 4 PRECEDING), 6) AS mean, CAST(date_trunc('week', ts) AS DATE) AS week, first(value) OVER {WEEKS} AS open, max(value) OVER {WEEKS} AS high, min(value) OVER {WEEKS} AS low, count(*) OVER {WEEKS} AS n FROM events")
+def q04_settled(spark, d):
+    """Each event with its user's running total, the mean of the last five values and the bar of its week so far."""
+    rows = state.settled(read(spark, d, "events"), width=5)
+    return rows.select("event_id", F.round("total", 4).alias("total"), F.round("mean", 6).alias("mean"), "week", "open", "high", "low", "n")
