@@ -1,15 +1,9 @@
-"""Recursive indicators: vectorised exponential means in a grouped function that holds one symbol's bars.
-
-Only the wanted indicators are computed.  A null value leaves an exponential mean as it was, and the next one goes on
-from there.
-"""
+"""Exponential means over arrays, for the grouped functions that walk through one symbol's bars; scans has them as windows."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 
 def ema(x, alpha: float) -> pd.Series:
@@ -44,55 +38,3 @@ def true_range(high, low, close) -> np.ndarray:
 def atr(high, low, close, n: int = 14) -> np.ndarray:
     """Wilder's average of the true range: begins at row n with the mean of rows 1 to n."""
     return seeded_ema(true_range(high, low, close), n, n, 1 / n)
-
-
-def adx(high, low, close, n: int = 14) -> np.ndarray:
-    """Simplified ADX: clipped moves, range mean(n), adjusted exponential means of DI parts, DX mean(n)."""
-    up, down = pd.Series(high).diff().clip(lower=0), (-pd.Series(low).diff()).clip(lower=0)
-    base = pd.Series(true_range(high, low, close)).rolling(n).mean()
-    plus = 100 * (up.ewm(alpha=1 / n).mean() / base)
-    minus = 100 * (down.ewm(alpha=1 / n).mean() / base)
-    total = (plus + minus).replace(0, np.nan)
-    return (100 * (plus - minus).abs() / total).rolling(n).mean().to_numpy()
-
-
-def rsi(close, n: int = 14) -> np.ndarray:
-    move = pd.Series(close).diff()
-    up, down = ema(move.clip(lower=0), 1 / n), ema((-move).clip(lower=0), 1 / n)
-    return (100 - 100 / (1 + up / down)).to_numpy()
-
-
-MACD = ("ema12", "ema26", "diff", "dea", "bar")
-SEEDED = ("macd", "macd_signal", "macd_hist")
-KINDS = (*MACD, "rsi", *SEEDED, "atr", "adx")
-
-
-def computed(close: np.ndarray, high: np.ndarray, low: np.ndarray, wanted) -> dict[str, np.ndarray]:
-    """The wanted ones of KINDS for one symbol's bars in order."""
-    out = {}
-    if set(wanted) & set(MACD):
-        fast, slow = ema(close, 2 / 13), ema(close, 2 / 27)
-        dea = ema(fast - slow, 2 / 10)
-        out |= dict(zip(MACD, (fast, slow, fast - slow, dea, 2 * (fast - slow - dea))))
-    if "rsi" in wanted:
-        out["rsi"] = rsi(close)
-    if set(wanted) & set(SEEDED):
-        out |= dict(zip(SEEDED, macd_seeded(close)))
-    if "atr" in wanted:
-        out["atr"] = atr(high, low, close)
-    if "adx" in wanted:
-        out["adx"] = adx(high, low, close)
-    return {k: np.asarray(out[k]) for k in wanted}
-
-
-def folds(bars: DataFrame, wanted: list[str] = KINDS) -> DataFrame:
-    """symbol, date, high, low, close and the wanted ones of KINDS; missing values are null."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date", ignore_index=True)
-        close, high, low = (pdf[c].to_numpy(float) for c in ("close", "high", "low"))
-        return pd.DataFrame({"symbol": pdf["symbol"], "date": pdf["date"], "high": high, "low": low, "close": close, **computed(close, high, low, wanted)})
-
-    types = ", ".join(f"{c} double" for c in ("high", "low", "close", *wanted))
-    out = bars.select("symbol", "date", "high", "low", "close").groupBy("symbol").applyInPandas(run, f"symbol {bars.schema['symbol'].dataType.simpleString()}, date date, {types}")
-    return out.select("symbol", "date", *[F.nullif(F.col(c), F.lit(float("nan"))).alias(c) for c in out.columns[2:]])

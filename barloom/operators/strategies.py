@@ -19,7 +19,7 @@ from barloom import functions as fn
 from barloom.operators import bars as period
 from barloom.operators import cross, pullback
 from barloom.operators import indicators as ind
-from barloom.operators.folds import folds
+from barloom.operators.scans import indicators as folds
 
 Frames = dict[str, DataFrame]
 

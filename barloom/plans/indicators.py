@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barloom.operators import indicators as ind
-from barloom.operators.folds import folds
+from barloom.operators.scans import indicators as folds
 from barloom.plans.catalog import query
 from barloom.sources import daily_bars
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from barloom.operators import bars as period
 from barloom.operators import cross, strategies
-from barloom.operators.folds import folds
+from barloom.operators.scans import indicators as folds
 from barloom.plans.catalog import query
 from barloom.plans.indicators import ADX_SQL, EMA_SQL, O, w
 from barloom.plans.market import WEEK, resampled

@@ -432,12 +432,6 @@ def test_report_file(spark, tmp_path):
     tables.write_report(rows.limit(0), str(tmp_path / "e"), ["symbol"])
 
 
-def test_folds_go_on_after_a_null(spark):
-    rows = series(spark, walk(40, 6)[3]).withColumn("close", F.when(F.col("date") != F.lit("2024-01-06").cast("date"), F.col("close")))
-    got = folds.folds(rows, ["ema12", "rsi", "bar"]).orderBy("date").collect()
-    assert all(r.ema12 is not None and r.bar is not None for r in got) and all(r.rsi is not None for r in got[8:])
-
-
 def test_point_in_time_metrics(spark):
     """A signal sees no report and no price after its date."""
     data = lambda revenue, profit: f'{{"营业总收入":"{revenue}","净利润":"{profit}"}}'
