@@ -30,8 +30,8 @@ from . import _text as t
 
 BLOCK = 4096
 PART = 32 << 20  # bytes of text in a part
-BATCH = 16 << 20  # bytes of text encoded at once
-KNOWN = 1 << 21  # pieces whose ids are remembered
+BATCH = 6 << 20  # bytes of text encoded at once
+KNOWN = 1 << 20  # pieces whose ids are remembered
 #: last bytes of the UTF-8 forms of white space beyond ASCII, and what else counts as white space somewhere
 _NOT_BEFORE = np.zeros(256, bool)
 _NOT_BEFORE[[*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, *range(0x80, 0x8B), 0xA8, 0xA9, 0xAF, 0x9F]] = True
