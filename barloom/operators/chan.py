@@ -38,16 +38,19 @@ def _inside(h1, l1, h2, l2) -> int:
     return 2 if h2 >= h1 and l2 <= l1 else 0
 
 
-def merge_p(high, low, open_, close) -> Merged:
-    """Dialect P: the trend of the last push decides how contained bars join; rows move to the later bar."""
-    m = Merged([], [], [], [], [], [], [])
-    trend = 0
-    for i, (h, lo) in enumerate(zip(high, low)):
+def merge_p(high, low, open_, close, start: Merged | None = None, first: int = 0) -> Merged:
+    """Dialect P: the trend of the last push decides how contained bars join; rows move to the later bar.
+
+    start: what the bars before row ``first`` have left; the bars go on from there.
+    """
+    m = start or Merged([], [], [], [], [], [], [])
+    trend = m.trend[-1] if m.trend else 0
+    for i, (h, lo, o, c) in enumerate(zip(high, low, open_, close), first):
         how = _inside(m.high[-1], m.low[-1], h, lo) if m.high else 0
         if not how:
             if m.high:
                 trend = int(h > m.high[-1] and lo > m.low[-1]) - int(h < m.high[-1] and lo < m.low[-1])
-            for column, value in zip((m.high, m.low, m.open, m.close, m.row, m.at, m.trend), (h, lo, open_[i], close[i], i, i, trend)):
+            for column, value in zip((m.high, m.low, m.open, m.close, m.row, m.at, m.trend), (h, lo, o, c, i, i, trend)):
                 column.append(value)
             continue
         if trend > 0 and h >= m.high[-1]:
@@ -56,7 +59,7 @@ def merge_p(high, low, open_, close) -> Merged:
             m.low[-1] = min(m.low[-1], lo)
         elif trend == 0 and how == 2:
             m.high[-1], m.low[-1], m.at[-1] = h, lo, i
-        m.close[-1], m.row[-1] = close[i], i
+        m.close[-1], m.row[-1] = c, i
     return m
 
 
@@ -100,37 +103,54 @@ class StrokeRule:
 RULES = {"pullback": StrokeRule(), "breakout": StrokeRule("equal", 1, "far"), "weekly": StrokeRule("strict", 1), "monthly": StrokeRule("strict", 0), "backtest": StrokeRule("", 2, "near", True)}
 
 
-def _better(m: Merged, new, old, equal: bool) -> bool:
-    a, b = (m.high[new[0]], m.high[old[0]]) if new[1] == TOP else (-m.low[new[0]], -m.low[old[0]])
-    return a >= b if equal else a > b
+class StrokeFold:
+    """Strokes from fractals (row, kind, high, low, ...) in order; ``run``: the best of the last run of one kind, ``at``: where a stroke may begin."""
 
+    def __init__(self, rule: StrokeRule, run: tuple | None = None, at: tuple | None = None):
+        self.rule, self.run, self.at = rule, run, at
 
-def strokes_p(m: Merged, fractals: list[tuple[int, int]], rule: StrokeRule) -> list[tuple[tuple[int, int], tuple[int, int]]]:
-    """(start fractal, end fractal) of every stroke."""
-    if rule.collapse:
-        runs: list[tuple[int, int]] = []
-        for f in fractals:
-            if runs and runs[-1][1] == f[1]:
-                runs[-1] = f if _better(m, f, runs[-1], rule.collapse == "equal") else runs[-1]
-            else:
-                runs.append(f)
-        fractals = runs
-    out, at = [], None
-    for f in fractals:
+    def _better(self, new: tuple, old: tuple, equal: bool) -> bool:
+        a, b = (new[2], old[2]) if new[1] == TOP else (-new[3], -old[3])
+        return a >= b if equal else a > b
+
+    def push(self, f: tuple) -> list[tuple[tuple, tuple]]:
+        """The strokes that the next fractal completes."""
+        if not self.rule.collapse:
+            return self._next(f)
+        done = []
+        if self.run is None or self.run[1] != f[1]:
+            done, self.run = self.close(), f
+        elif self._better(f, self.run, self.rule.collapse == "equal"):
+            self.run = f
+        return done
+
+    def close(self) -> list[tuple[tuple, tuple]]:
+        """The strokes that the last run completes."""
+        last, self.run = self.run, None
+        return self._next(last) if last is not None else []
+
+    def _next(self, f: tuple) -> list[tuple[tuple, tuple]]:
+        at, rule = self.at, self.rule
         if at is None:
-            at = f
+            self.at = f
         elif f[1] == at[1]:
-            at = f if _better(m, f, at, False) else at
+            self.at = f if self._better(f, at, False) else at
         elif f[0] - at[0] - 1 < rule.gap:
-            at = at if rule.hold else f
+            self.at = at if rule.hold else f
         else:
             up = f[1] == TOP
-            edge = (m.high if (rule.past == "far") == up else m.low)[at[0]]
-            good = m.high[f[0]] > edge if up else m.low[f[0]] < edge
-            if good:
-                out.append((at, f))
-            at = f if good or not rule.hold else at
-    return out
+            edge = at[2] if (rule.past == "far") == up else at[3]
+            good = f[2] > edge if up else f[3] < edge
+            self.at = f if good or not rule.hold else at
+            return [(at, f)] if good else []
+        return []
+
+
+def strokes_p(m: Merged, fractals: list[tuple[int, int]], rule: StrokeRule) -> list[tuple[tuple[int, int], tuple[int, int]]]:
+    """(start fractal, end fractal) of every stroke."""
+    fold = StrokeFold(rule)
+    found = [x for f in fractals for x in fold.push((*f, m.high[f[0]], m.low[f[0]]))] + fold.close()
+    return [(a[:2], b[:2]) for a, b in found]
 
 
 def merge_c(high, low, open_, close) -> Merged:

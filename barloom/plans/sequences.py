@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from barloom.operators import chan, pullback, strategies
+from barloom.operators import chan, chan_blocks, pullback, strategies
 from barloom.plans.catalog import query
 from barloom.plans.indicators import O, w
 from barloom.plans.signals import full
@@ -120,6 +120,33 @@ directions("k02_p_directions", "pullback")
 directions("k02_p_directions_backtest", "backtest")
 
 
+CUT = 64  # bars of a block, so that the driver's symbols fall into several
+
+
+def cut(name, kind, rule="pullback", reach=1):
+    """The same structures where a symbol's history is cut into blocks."""
+
+    def run(spark, d):
+        bars = chan_blocks.merged(daily_bars(spark, d), CUT)[0]
+        if kind == "merged":
+            rows = chan_blocks.directed(bars, chan.RULES[rule].hold)
+            return rows.select("symbol", F.col("seq").cast("int"), F.col("way").cast("string").alias("type"), F.col("at_date").alias("start_date"), F.col("row_date").alias("end_date"), F.col("open").alias("start_price"), F.col("close").alias("end_price"), "high", "low", F.col("trend").cast("double").alias("value"))
+        marks = chan_blocks.fractals(bars, reach)
+        if kind == "fractal":
+            return marks.select("symbol", F.col("n").cast("int").alias("seq"), F.when(F.col("kind") == 1, "top").otherwise("bottom").alias("type"), F.col("row_date").alias("start_date"), F.col("row_date").alias("end_date"), F.col("price").alias("start_price"), F.col("price").alias("end_price"), "high", "low", F.col("seq").cast("double").alias("value"))
+        return chan_blocks.strokes(marks, rule, CUT)[0].select("symbol", F.col("seq").cast("int"), "type", "start_date", "end_date", "start_price", "end_price", "high", "low", "value")
+
+    query(name, structure_sql(kind, rule, reach), "bars")(run)
+
+
+cut("k01_p_merged_bars_in_blocks", "merged")
+cut("k03_p_fractals_in_blocks", "fractal", "breakout", 2)
+cut("k04_p1_strokes_in_blocks", "stroke", "pullback")
+cut("k04_p2_strokes_breakout_in_blocks", "stroke", "breakout")
+cut("k04_p3_strokes_weekly_in_blocks", "stroke", "weekly")
+cut("k04_p4_strokes_backtest_in_blocks", "stroke", "backtest")
+
+
 @query("k09_c_pipeline")
 def k09(spark, d):
     return chan.structures(daily_bars(spark, d), "C").groupBy("symbol", "kind").agg(F.count("*").alias("n"))
