@@ -483,20 +483,37 @@ def period_series(spark, closes, days, start=D(2010, 1, 1)):
     return spark.createDataFrame(rows, "symbol long, date date, open double, high double, low double, close double, volume double, amount double")
 
 
-@pytest.mark.parametrize("rule, days, name", [(pullback.WEEKLY, 7, "WeeklyMAPullback"), (pullback.MONTHLY, 30, "MonthlyMAPullback")])
-def test_weekly_and_monthly_pullbacks_fire(spark, rule, days, name):
-    head = [10 * 1.004**i for i in range(60)] + [12.5, 12.3, 12.0, 11.8, 12.0, 12.3, 12.6]
-    up = [head[-1] * 1.09**i for i in range(1, 7)]
+HEAD = [10 * 1.004**i for i in range(60)] + [12.5, 12.3, 12.0, 11.8, 12.0, 12.3, 12.6]
+
+
+def drift(climb, bars_, fall, hold):
+    """A ramp, a steep climb, and a slow fall to ``fall`` of the peak that ends in a small rise."""
+    up = [HEAD[-1] * climb**i for i in range(1, bars_ + 1)]
+    down = np.linspace(up[-1] * 0.98, up[-1] * fall, hold).tolist()
+    return HEAD + up + down + [down[-1] * 1.01]
+
+
+def steep(fall):
+    up = [HEAD[-1] * 1.09**i for i in range(1, 7)]
+    return HEAD + up + [up[-1] * x for x in (0.98, 0.96, 0.97)] + [up[-1] * fall] * 2
+
+
+@pytest.mark.parametrize("rule, days, paths", [
+    (pullback.WEEKLY, 7, [drift(1.05, 4, fall, hold) for fall in (0.82, 0.84) for hold in (3, 5)]), (pullback.MONTHLY, 30, [steep(fall) for fall in np.arange(0.70, 0.95, 0.01)]),
+])
+def test_weekly_and_monthly_pullbacks_fire(spark, rule, days, paths):
     hits = []
-    for fall in np.arange(0.70, 0.95, 0.01):
-        path = head + up + [up[-1] * x for x in (0.98, 0.96, 0.97)] + [up[-1] * fall] * 2
-        closes = np.array(path)
-        average = pd.Series(closes).rolling(rule.average, min_periods=1).mean().iloc[-1]
-        if rule.low * average <= closes[-1] * 0.996 <= rule.high * average:
+    for path in paths:
+        average = pd.Series(path).rolling(rule.average, min_periods=1).mean().iloc[-1]
+        if rule.low * average <= path[-1] * 0.996 <= rule.high * average:
             bars_ = period_series(spark, path, days)
             above = period_series(spark, [5 + 0.05 * i for i in range(60)], 30, D(2006, 1, 1))
-            hits += [r.strategy_name for r in pullback.pullback(bars_, rule, above).collect()]
-    assert hits and set(hits) == {name}
+            found = pullback.pullback(bars_, rule, above).collect()
+            hits += [r.strategy_name for r in found]
+            if found and rule.timeframe == "Weekly":  # under the mean of the months, or without one, nothing is bought
+                assert pullback.pullback(bars_, rule, period_series(spark, [99 - 0.01 * i for i in range(60)], 30, D(2006, 1, 1))).count() == 0
+                assert pullback.pullback(bars_, rule, above.limit(20)).count() == 0
+    assert hits and set(hits) == {rule.name}
 
 
 def test_sections_keep_what_follows(spark):
