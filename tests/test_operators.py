@@ -316,7 +316,7 @@ def test_sentence_chunks_by_hand():
     assert split("甲。乙。丙。", 5, 2) == ["甲。 乙。", "丙。"]
     assert split("line one\nline two", 9, 4) == ["line one\n", "line two"]  # a newline ends a sentence and a search of the overlap
     assert split("abcdefgh. ijklmnop. q.", 12, 6) == ["abcdefgh.", "ijklmnop. q."]
-    assert split("abcdefgh ijklmnop", 10, 2) == ["abcdefgh i", " ijklmnop"]
+    assert split("abcdefgh ijklmnop", 10, 2) == ["abcdefgh i", " ijklmnop", "p"]
     assert split("", 10, 2) == []
 
 
