@@ -103,16 +103,22 @@ class StrokeRule:
 RULES = {"pullback": StrokeRule(), "breakout": StrokeRule("equal", 1, "far"), "weekly": StrokeRule("strict", 1), "monthly": StrokeRule("strict", 0), "backtest": StrokeRule("", 2, "near", True)}
 
 
+def _better(new: tuple, old: tuple, equal: bool) -> bool:
+    """Whether a fractal (row, kind, high, low, ...) is more extreme than one of its kind."""
+    a, b = (new[2], old[2]) if new[1] == TOP else (-new[3], -old[3])
+    return a >= b if equal else a > b
+
+
+def _passes(m: Merged, new: tuple[int, int], old: tuple[int, int]) -> bool:
+    return _better((*new, m.high[new[0]], m.low[new[0]]), (*old, m.high[old[0]], m.low[old[0]]), False)
+
+
 class StrokeFold:
     """Strokes from fractals (row, kind, high, low, ...) in order; ``run``: the best of the last run of one kind, ``at``: where a stroke may begin."""
 
     def __init__(self, rule: StrokeRule, run: tuple | None = None, at: tuple | None = None):
         self.rule, self.run, self.at = rule, run, at
 
-    def _better(self, new: tuple, old: tuple, equal: bool) -> bool:
-        a, b = (new[2], old[2]) if new[1] == TOP else (-new[3], -old[3])
-        return a >= b if equal else a > b
-
     def push(self, f: tuple) -> list[tuple[tuple, tuple]]:
         """The strokes that the next fractal completes."""
         if not self.rule.collapse:
@@ -120,7 +126,7 @@ class StrokeFold:
         done = []
         if self.run is None or self.run[1] != f[1]:
             done, self.run = self.close(), f
-        elif self._better(f, self.run, self.rule.collapse == "equal"):
+        elif _better(f, self.run, self.rule.collapse == "equal"):
             self.run = f
         return done
 
@@ -134,7 +140,7 @@ class StrokeFold:
         if at is None:
             self.at = f
         elif f[1] == at[1]:
-            self.at = f if self._better(f, at, False) else at
+            self.at = f if _better(f, at, False) else at
         elif f[0] - at[0] - 1 < rule.gap:
             self.at = at if rule.hold else f
         else:
@@ -193,7 +199,7 @@ def fractals_c(m: Merged) -> list[tuple[int, int]]:
             if min(min(x) for x in lead) < 0 or not any(a > 0 or (a == 0 and b > 0) for a, b in lead):
                 continue
             if out and out[-1][1] == kind and i - out[-1][0] < 3:
-                out[-1] = (i, kind) if _better(m, (i, kind), out[-1], False) else out[-1]
+                out[-1] = (i, kind) if _passes(m, (i, kind), out[-1]) else out[-1]
             else:
                 out.append((i, kind))
     return out
@@ -212,13 +218,13 @@ def strokes_c(m: Merged, fractals: list[tuple[int, int]]) -> list[tuple[tuple[in
         if at is None:
             at = f
         elif f[1] == at[1]:
-            at = f if _better(m, f, at, False) else at
+            at = f if _passes(m, f, at) else at
         elif abs(f[0] - at[0]) < 3 or f[1] * (price(m, f) - price(m, at)) <= 0:
             at = f
         elif not out or (at[0] == out[-1][1][0] and f[1] != out[-1][1][1]):
             out.append((at, f))
             at = f
-        elif f[1] == out[-1][1][1] and _better(m, f, out[-1][1], False):
+        elif f[1] == out[-1][1][1] and _passes(m, f, out[-1][1]):
             at = out.pop()[0]
             i -= 1
             continue

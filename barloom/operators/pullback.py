@@ -80,6 +80,32 @@ def _flat_or_up(x: np.ndarray) -> bool:
     return len(x) > 1 and round(x[-1], 2) >= round(x[-2], 2)
 
 
+NAMES = [c.split()[0] for c in SIGNALS.split(", ")]
+PRICED = ["symbol", "date", "open", "high", "low", "close", "volume"]
+
+
+def pullback_signal(pdf: pd.DataFrame, above: pd.DataFrame, p: Pullback) -> tuple | None:
+    """The SIGNALS row at one symbol's last bar, if any; see pullback."""
+    pdf = pdf.dropna(subset=["open", "high", "low", "close"]).sort_values("date", ignore_index=True)
+    if len(pdf) < p.bars:
+        return None
+    x, day = _columns(pdf), pd.to_datetime(pdf["date"])
+    average, fast = rolling_mean(x["close"], p.average), rolling_mean(x["close"], 5)
+    begin = int((day >= day.iloc[-1] - pd.Timedelta(days=p.days)).argmax()) if p.days else 0
+    peak = qualified_peak(x, average, _peaks(x, begin, p), p)
+    if peak is None:
+        return None
+    now = len(pdf) - 1
+    good = x["close"][now] < x["high"][peak] and p.low * average[now] <= x["low"][now] <= p.high * average[now] and fast[now] > average[now] and _flat_or_up(average)
+    if good and p.timeframe != "Monthly":
+        above = above[pd.to_datetime(above["date"]) <= day.iloc[-1]].sort_values("date")
+        long = rolling_mean(above["close"].to_numpy(float), 30)
+        good = len(long) >= (30 if p.timeframe == "Weekly" else 1) and x["close"][now] > long[-1] and (p.timeframe != "Weekly" or _flat_or_up(long))
+    if not good:
+        return None
+    return pdf["symbol"].iloc[0], pdf["date"].iloc[-1], p.name, "BUY", p.timeframe, x["close"][now] / average[now], x["high"][peak], None
+
+
 def pullback(bars: DataFrame, p: Pullback, context: DataFrame | None = None) -> DataFrame:
     """Signals at each symbol's last bar.
 
@@ -88,46 +114,58 @@ def pullback(bars: DataFrame, p: Pullback, context: DataFrame | None = None) ->
     """
 
     def run(pdf: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame(columns=[c.split()[0] for c in SIGNALS.split(", ")])
-        pdf = pdf.dropna(subset=["open", "high", "low", "close"]).sort_values("date", ignore_index=True)
-        if len(pdf) < p.bars:
-            return none
-        x, day = _columns(pdf), pd.to_datetime(pdf["date"])
-        average, fast = rolling_mean(x["close"], p.average), rolling_mean(x["close"], 5)
-        begin = int((day >= day.iloc[-1] - pd.Timedelta(days=p.days)).argmax()) if p.days else 0
-        peak = qualified_peak(x, average, _peaks(x, begin, p), p)
-        if peak is None:
-            return none
-        now = len(pdf) - 1
-        good = x["close"][now] < x["high"][peak] and p.low * average[now] <= x["low"][now] <= p.high * average[now] and fast[now] > average[now] and _flat_or_up(average)
-        if good and p.timeframe != "Monthly":
-            above = above[pd.to_datetime(above["date"]) <= day.iloc[-1]].sort_values("date")
-            long = rolling_mean(above["close"].to_numpy(float), 30)
-            good = len(long) >= (30 if p.timeframe == "Weekly" else 1) and x["close"][now] > long[-1] and (p.timeframe != "Weekly" or _flat_or_up(long))
-        if not good:
-            return none
-        return pd.DataFrame([(pdf["symbol"].iloc[0], pdf["date"].iloc[-1], p.name, "BUY", p.timeframe, x["close"][now] / average[now], x["high"][peak], None)], columns=none.columns)
-
-    columns = ["symbol", "date", "open", "high", "low", "close", "volume"]
+        row = pullback_signal(pdf, above, p)
+        return pd.DataFrame([row] if row else [], columns=NAMES)
+
     above = (context if context is not None else bars.limit(0)).select("symbol", "date", "close")
-    return bars.select(columns).groupBy("symbol").cogroup(above.groupBy("symbol")).applyInPandas(_isolated(run, p.name, p.timeframe), SIGNALS)
+    return bars.select(PRICED).groupBy("symbol").cogroup(above.groupBy("symbol")).applyInPandas(_isolated(run, p.name, p.timeframe), SIGNALS)
+
+
+def _failed(pdf: pd.DataFrame, name: str, timeframe: str, error: Exception) -> tuple:
+    return pdf["symbol"].iloc[0], pdf["date"].max(), name, "ERROR", timeframe, None, None, f"{type(error).__name__}: {error}"[:500]
 
 
 def _isolated(run, name: str, timeframe: str):
     """run for one symbol: no bars give no rows, and a failure gives one row of type ERROR instead of ending the job."""
-    columns = [c.split()[0] for c in SIGNALS.split(", ")]
 
     def guarded(pdf: pd.DataFrame, *above: pd.DataFrame) -> pd.DataFrame:
         if not len(pdf):
-            return pd.DataFrame(columns=columns)
+            return pd.DataFrame(columns=NAMES)
         try:
             return run(pdf, *above)
         except Exception as error:
-            return pd.DataFrame([(pdf["symbol"].iloc[0], pdf["date"].max(), name, "ERROR", timeframe, None, None, f"{type(error).__name__}: {error}"[:500])], columns=columns)
+            return pd.DataFrame([_failed(pdf, name, timeframe, error)], columns=NAMES)
 
     return (lambda pdf, above: guarded(pdf, above)) if run.__code__.co_argcount == 2 else (lambda pdf: guarded(pdf))
 
 
+def breakout_signal(pdf: pd.DataFrame, rows: int = 505, days: int = 730, low_days: int = 750, reach: int = 1) -> tuple | None:
+    """The SIGNALS row at one symbol's last bar, if any; see breakout."""
+    pdf = pdf.dropna(subset=["open", "high", "low", "close"]).sort_values("date", ignore_index=True)
+    full, pdf = pdf, pdf.tail(rows).reset_index(drop=True)
+    if len(pdf) < 60:
+        return None
+    x, day = _columns(pdf), pd.to_datetime(pdf["date"])
+    m = chan.merge_p(*(x[c].tolist() for c in ("high", "low", "open", "close")))
+    found = chan.strokes_p(m, chan.fractals_p(m, reach), chan.RULES["breakout"])
+    done = [m.at[b[0]] for (_, b), (c, _) in zip(found, found[1:]) if b[1] == chan.TOP and c == b]
+    done = [i for i in done if day[i] >= day.iloc[-1] - pd.Timedelta(days=days)][::-1]
+    ladder: list[int] = []
+    for i in done:
+        if len(ladder) < 3 and (not ladder or x["high"][i] > x["high"][ladder[-1]]):
+            ladder.append(i)
+    if len(ladder) < 3:
+        return None
+    now = len(pdf) - 1
+    recent = full[pd.to_datetime(full["date"]) >= day.iloc[-1] - pd.Timedelta(days=low_days)]["low"].min()
+    for i in ladder[::-1]:
+        level = x["high"][i]
+        since = x["low"][i + 1 : now]
+        if len(since) and since.min() <= 0.8 * level and level <= 2 * recent and x["high"][now - 1] < level < x["high"][now] and x["volume"][now] > 2 * rolling_mean(x["volume"], 60)[now]:
+            return pdf["symbol"].iloc[0], pdf["date"].iloc[-1], "ChanBreakout", "BUY", "Daily", x["high"][now] / level, level, None
+    return None
+
+
 def breakout(bars: DataFrame, rows: int = 505, days: int = 730, low_days: int = 750, reach: int = 1) -> DataFrame:
     """Signals at each symbol's last bar, where it passes one of three rising earlier peaks on double volume.
 
@@ -136,32 +174,40 @@ def breakout(bars: DataFrame, rows: int = 505, days: int = 730, low_days: int =
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame(columns=[c.split()[0] for c in SIGNALS.split(", ")])
-        pdf = pdf.dropna(subset=["open", "high", "low", "close"]).sort_values("date", ignore_index=True)
-        full, pdf = pdf, pdf.tail(rows).reset_index(drop=True)
-        if len(pdf) < 60:
-            return none
-        x, day = _columns(pdf), pd.to_datetime(pdf["date"])
-        m = chan.merge_p(*(x[c].tolist() for c in ("high", "low", "open", "close")))
-        found = chan.strokes_p(m, chan.fractals_p(m, reach), chan.RULES["breakout"])
-        done = [m.at[b[0]] for (_, b), (c, _) in zip(found, found[1:]) if b[1] == chan.TOP and c == b]
-        done = [i for i in done if day[i] >= day.iloc[-1] - pd.Timedelta(days=days)][::-1]
-        ladder: list[int] = []
-        for i in done:
-            if len(ladder) < 3 and (not ladder or x["high"][i] > x["high"][ladder[-1]]):
-                ladder.append(i)
-        if len(ladder) < 3:
-            return none
-        now = len(pdf) - 1
-        recent = full[pd.to_datetime(full["date"]) >= day.iloc[-1] - pd.Timedelta(days=low_days)]["low"].min()
-        for i in ladder[::-1]:
-            level = x["high"][i]
-            since = x["low"][i + 1 : now]
-            if len(since) and since.min() <= 0.8 * level and level <= 2 * recent and x["high"][now - 1] < level < x["high"][now] and x["volume"][now] > 2 * rolling_mean(x["volume"], 60)[now]:
-                return pd.DataFrame([(pdf["symbol"].iloc[0], pdf["date"].iloc[-1], "ChanBreakout", "BUY", "Daily", x["high"][now] / level, level, None)], columns=none.columns)
-        return none
-
-    return bars.select("symbol", "date", "open", "high", "low", "close", "volume").groupBy("symbol").applyInPandas(_isolated(run, "ChanBreakout", "Daily"), SIGNALS)
+        row = breakout_signal(pdf, rows, days, low_days, reach)
+        return pd.DataFrame([row] if row else [], columns=NAMES)
+
+    return bars.select(PRICED).groupBy("symbol").applyInPandas(_isolated(run, "ChanBreakout", "Daily"), SIGNALS)
+
+
+#: what one grouped pass evaluates: name, time frame, and the signal from (frames by name, options)
+PASSES = {
+    DAILY.name: ("Daily", lambda f, **o: pullback_signal(f["daily"], f["weekly"], DAILY)),
+    "ChanBreakout": ("Daily", lambda f, **o: breakout_signal(f["daily"], **o)),
+    WEEKLY.name: ("Weekly", lambda f, **o: pullback_signal(f["weekly"], f["monthly"], WEEKLY)),
+    MONTHLY.name: ("Monthly", lambda f, **o: pullback_signal(f["monthly"], f["monthly"], MONTHLY)),
+}
+
+
+def one_pass(tagged: DataFrame, wanted: dict[str, dict]) -> DataFrame:
+    """SIGNALS rows of the wanted ones of PASSES (name: options), all from one grouped pass over PRICED bars with their ``frame``.
+
+    A strategy that fails on a symbol leaves an ERROR row there, and the others go on.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        given, out = {name: pdf[pdf["frame"] == name] for name in ("daily", "weekly", "monthly")}, []
+        for name, options in wanted.items():
+            timeframe, signal = PASSES[name]
+            own = given[timeframe.lower()]
+            try:
+                row = signal(given, **options) if len(own) else None
+            except Exception as error:
+                row = _failed(own, name, timeframe, error)
+            out += [row] if row else []
+        return pd.DataFrame(out, columns=NAMES)
+
+    return tagged.select("frame", *PRICED).groupBy("symbol").applyInPandas(run, SIGNALS)
 
 
 @dataclass(frozen=True)

@@ -20,6 +20,7 @@ from barloom.operators import bars as period
 from barloom.operators import cross, pullback
 from barloom.operators import indicators as ind
 from barloom.operators.scans import indicators as folds
+from barloom.sources.tables import laid_out, written
 
 Frames = dict[str, DataFrame]
 
@@ -33,14 +34,18 @@ class Strategy:
     params: dict = field(default_factory=dict)
 
 
-def frames(bars: DataFrame, day: str | dt.date, lookback: int = 750) -> Frames:
-    """Daily bars of the last ``lookback`` days up to day; weeks and months of them, the unfinished ones dated day."""
+def frames(bars: DataFrame, day: str | dt.date, lookback: int = 750, longer: int = 1500) -> Frames:
+    """Daily bars of the last ``lookback`` days up to day; weeks and months of the last ``longer`` days, the unfinished ones dated day.
+
+    The bars are read once, laid out by symbol; whatever works by symbol on any frame needs no further exchange.
+    """
     at = F.lit(str(day)).cast("date")
-    daily = bars.where(F.col("date").between(F.date_sub(at, lookback), at))
-    out = {"daily": daily}
+    kept = laid_out(bars.where(F.col("date").between(F.date_sub(at, max(lookback, longer)), at)), "symbol", "date")
+    out = {"daily": kept.where(F.col("date") >= F.date_sub(at, lookback))}
+    long = kept.where(F.col("date") >= F.date_sub(at, longer))
     for name, unit, completed in (("weekly", "week", period.weekly), ("monthly", "month", period.monthly)):
-        done = completed(daily, F.date_trunc(unit, at).cast("date")).drop("last")
-        out[name] = done.unionByName(period.dynamic(daily, unit, at).select(done.columns))
+        done = completed(long, F.date_trunc(unit, at).cast("date")).drop("last")
+        out[name] = done.unionByName(period.dynamic(long, unit, at).select(done.columns))
     return out
 
 
@@ -87,7 +92,7 @@ def _nothing(bars: DataFrame) -> DataFrame:
     return bars.where(F.lit(False))
 
 
-#: what the screener runs
+#: what the screener runs; those of pullback.PASSES share one grouped pass
 SCREENED = [
     Strategy("AdaptedMAPullback", lambda given, day: pullback.pullback(given["daily"], pullback.DAILY, given["weekly"])),
     Strategy("MultiLevelCross", multi_level_cross),
@@ -105,26 +110,32 @@ REGISTRY = {x.name: x for x in [*SCREENED, *MARKS]}
 
 
 def screen(bars: DataFrame, day: str | dt.date, strategies: list[Strategy] = SCREENED, params: dict[str, dict] | None = None, lookback: int = 750) -> DataFrame:
-    """All strategies' signals of the analysis day, without NO_SIGNAL; failures as rows of signal_type ERROR.
+    """The signals of screened()."""
+    return screened(bars, day, strategies, params, lookback)[0]
+
+
+def screened(bars: DataFrame, day: str | dt.date, strategies: list[Strategy] = SCREENED, params: dict[str, dict] | None = None, lookback: int = 750) -> tuple[DataFrame, Frames]:
+    """(all strategies' signals of the analysis day, without NO_SIGNAL, as a written table; the frames they were found in).  Failures are rows of signal_type ERROR.
 
     A symbol without bars on the day has no signal: what its last bar says belongs to an earlier day.
     """
     given, spark = frames(bars, day, lookback), bars.sparkSession
-    at, found = F.lit(str(day)).cast("date"), []
+    at, found, options = F.lit(str(day)).cast("date"), [], {x.name: {**x.params, **(params or {}).get(x.name, {})} for x in strategies}
+    together = [x.name for x in strategies if x.name in pullback.PASSES and x in SCREENED]
+    if together:
+        tagged = reduce(DataFrame.unionByName, [given[name].select(F.lit(name).alias("frame"), *pullback.PRICED) for name in ("daily", "weekly", "monthly")])
+        found.append(pullback.one_pass(tagged, {name: options[name] for name in together}))
     for x in strategies:
+        if x.name in together:
+            continue
         try:
-            rows = x.run(given, day, **{**x.params, **(params or {}).get(x.name, {})})
-            rows = rows.where((F.col("signal_date") == at) & (F.col("signal_type") != "NO_SIGNAL"))
-            found.append(rows.select([c.split()[0] for c in pullback.SIGNALS.split(", ")]))
+            rows = x.run(given, day, **options[x.name])
+            found.append(rows.select(pullback.NAMES))
         except Exception as error:  # one strategy must not stop the others
             row = (None, dt.date.fromisoformat(str(day)), x.name, "ERROR", None, None, None, str(error).splitlines()[0][:500])
             found.append(spark.createDataFrame([row], pullback.SIGNALS))
-    return reduce(DataFrame.unionByName, found)
-
-
-def level(name: Column) -> Column:
-    """Weekly and Monthly for the strategies on those bars, else Daily."""
-    return F.when(name == "WeeklyMAPullback", "Weekly").when(name == "MonthlyMAPullback", "Monthly").otherwise("Daily")
+    rows = reduce(DataFrame.unionByName, found)
+    return written(rows.where((F.col("signal_date") == at) & (F.col("signal_type") != "NO_SIGNAL")), "signals"), given
 
 
 def ratio(x: Column) -> Column:
@@ -146,7 +157,7 @@ def report(signals: DataFrame, names: DataFrame, metrics: DataFrame, raw_cap: bo
     """
     rows = signals.join(names, "symbol").join(metrics, ["symbol", "signal_date"], "left")
     shown = {
-        "symbol": F.col("symbol").cast("string"), "signal_date": F.date_format("signal_date", "yyyy-MM-dd"), "signal_level": level(F.col("strategy_name")),
+        "symbol": F.col("symbol").cast("string"), "signal_date": F.date_format("signal_date", "yyyy-MM-dd"), "signal_level": F.col("timeframe"),
         "market_cap_formatted": fn.large_number(F.col("market_cap")), "tech_notes": F.col("notes"), "error_reason": F.nullif(F.col("error_reason"), F.lit("")),
     }
     shown |= {c: ratio(F.col(c)) for c in ("pe", "pb", "revenue_growth_yoy", "profit_growth_yoy", "peg_like_ratio")}

@@ -10,9 +10,9 @@ from barloom.operators import cross, strategies
 from barloom.operators import fundamentals as ops
 from barloom.plans.catalog import query
 from barloom.plans.indicators import O, w
-from barloom.plans.signals import cross_sql, full
+from barloom.plans.signals import MONTH_SPINE, SPINE, cross_sql, full
 from barloom.sources import daily_bars, read, reports, stock_list
-from barloom.sources.tables import scratch, write_report
+from barloom.sources.tables import laid_out, scratch, write_report
 
 SIGNALS = "sig AS (" + cross_sql("bars", "daily", "none", False).replace("m AS (", "SELECT symbol, date AS signal_date FROM (WITH m AS (", 1) + "))"
 SLOTS = """
@@ -45,7 +45,10 @@ def signals(spark, d):
 
 
 def metrics(spark, d):
-    return ops.analyse(signals(spark, d), daily_bars(spark, d), reports(spark, d), shares(spark, d))
+    """Bars and reports are read once; what works by symbol on them needs no further exchange."""
+    bars = laid_out(daily_bars(spark, d), "symbol", "date")
+    marks = cross.multi_level_cross(bars, "daily", "none", None).select("symbol", F.col("date").alias("signal_date"))
+    return ops.analyse(marks, bars, laid_out(reports(spark, d), "symbol", "report_date"), shares(spark, d))
 
 
 def part(name, columns):
@@ -74,35 +77,35 @@ def m09(spark, d):
     return s.select("symbol", "signal_date", "report_date", *[F.round(c, 2).alias(c) for c in ("revenue", "annual_profit", "revenue_before")], "annuals")
 
 
-#: the analysis day of the screener queries, a Friday; and the marks that windows express on it
-FRIDAY = "1999-05-28"
+#: the analysis day of the screener queries, a Friday and the end of a month; and the marks that windows express on it
+FRIDAY = "2000-03-31"
 MARKS = f"""
 mv AS (SELECT symbol, date, close, high, {full(5)} AS m5, {full(10)} AS m10, {full(20)} AS m20 FROM bars),
 gold AS (SELECT symbol, date FROM (SELECT *, lag(m5) {O} AS p5, lag(m20) {O} AS p20 FROM mv WHERE m20 IS NOT NULL) WHERE m5 > m20 AND p5 <= p20),
 turt AS (SELECT symbol, date FROM (SELECT symbol, date, close, CASE WHEN count(high) OVER p = 20 THEN max(high) OVER p END AS top FROM bars WINDOW p AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)) WHERE close > top),
 boll AS (SELECT symbol, date FROM (SELECT symbol, date, close, CASE WHEN count(close) {w(20)} = 20 THEN round(avg(close) {w(20)} + 2 * stddev_samp(close) {w(20)}, 6) END AS band FROM bars) WHERE round(close, 6) > band),
-marks AS (SELECT symbol, date, 'GoldenCross' AS s FROM gold UNION ALL SELECT symbol, date, 'BullishAlignment' FROM mv WHERE m5 > m10 AND m10 > m20 UNION ALL SELECT symbol, date, 'Turtle' FROM turt UNION ALL SELECT symbol, date, 'Bollinger' FROM boll
-  UNION ALL SELECT symbol, date, 'MultiLevelCross' FROM ({{cross}})),
-sig AS (SELECT symbol, date AS signal_date, s AS strategy_name FROM marks WHERE date = DATE '{FRIDAY}')"""
+marks AS (SELECT symbol, date, 'GoldenCross' AS s, 'Daily' AS tf FROM gold UNION ALL SELECT symbol, date, 'BullishAlignment', 'Daily' FROM mv WHERE m5 > m10 AND m10 > m20 UNION ALL SELECT symbol, date, 'Turtle', 'Daily' FROM turt UNION ALL SELECT symbol, date, 'Bollinger', 'Daily' FROM boll
+  UNION ALL SELECT symbol, date, 'MultiLevelCross', 'Daily' FROM ({{cross}}) UNION ALL SELECT symbol, date, 'MultiLevelCross', 'Weekly' FROM ({{weekly}}) UNION ALL SELECT symbol, date, 'MultiLevelCross', 'Monthly' FROM ({{monthly}})),
+sig AS (SELECT symbol, date AS signal_date, s AS strategy_name, tf AS timeframe FROM marks WHERE date = DATE '{FRIDAY}')"""
 CROSS = cross_sql("bars", "daily", "strict", True)
-MARKS = MARKS.replace("{cross}", "WITH " + CROSS)
+for _name, _text in (("cross", CROSS), ("weekly", f"{SPINE.strip()}, " + cross_sql("weeks", "weekly", "slope", True)), ("monthly", f"{MONTH_SPINE.strip()}, " + cross_sql("months", "monthly", "none", False))):
+    MARKS = MARKS.replace("{" + _name + "}", "WITH " + _text)
 
 
-def marked():
-    """The strategies that windows express, by name; the cross on daily bars only."""
-    daily = strategies.from_marks("MultiLevelCross", lambda bars: cross.multi_level_cross(bars, "daily"))
-    return [*(strategies.REGISTRY[x] for x in ("GoldenCross", "BullishAlignment", "Turtle", "Bollinger")), daily]
+#: the five screened strategies and the marks that windows express.  The SQL of the queries below knows all but the pullbacks and
+#: the breakout, which find nothing on the driver's bars of that day; tests/test_screener.py has bars on which they do
+RUN = [*strategies.SCREENED, *(strategies.REGISTRY[x] for x in ("GoldenCross", "BullishAlignment", "Turtle", "Bollinger"))]
 
 
 def found(spark, d):
-    return strategies.screen(daily_bars(spark, d), FRIDAY, marked())
+    return strategies.screen(daily_bars(spark, d), FRIDAY, RUN)
 
 
 SPAN = f"span AS (SELECT * FROM bars WHERE date BETWEEN DATE '{FRIDAY}' - 750 AND DATE '{FRIDAY}')"
 SCREEN = SPAN + ", " + MARKS.strip().replace("FROM bars", "FROM span")
 
 
-@query("n01_screener", f"WITH {SCREEN} SELECT symbol, signal_date, strategy_name, 'BUY' AS signal_type, 'Daily' AS timeframe FROM sig", "bars")
+@query("n01_screener", f"WITH {SCREEN} SELECT symbol, signal_date, strategy_name, 'BUY' AS signal_type, timeframe FROM sig", "bars")
 def n01(spark, d):
     return found(spark, d).select("symbol", "signal_date", "strategy_name", "signal_type", "timeframe")
 
@@ -115,14 +118,19 @@ def n01_all(spark, d):
     return strategies.screen(bars, last, list(strategies.REGISTRY.values())).select("symbol", "signal_date", "strategy_name", "signal_type", "timeframe", F.round("score", 4).alias("score"), F.round("level", 4).alias("level"), "notes")
 
 
+def screened(spark, d):
+    """(signals, their metrics): bars and reports are read once, and laid out by symbol for all that follows."""
+    rows, frames = strategies.screened(daily_bars(spark, d), FRIDAY, RUN)
+    return rows, ops.analyse(rows, frames["daily"], laid_out(reports(spark, d), "symbol", "report_date"), shares(spark, d))
+
+
 DISTINCT = "signals AS (SELECT * FROM sig), sig1 AS (SELECT DISTINCT symbol, signal_date FROM signals)"
 SCREENED = f"{SCREEN}, {DISTINCT}, {METRICS.strip().replace('sig s', 'sig1 s')}"
 
 
 @query("n02_signals_with_fundamentals", f"WITH {SCREENED} SELECT g.symbol, g.signal_date, strategy_name, pe, pb, growth_positive FROM signals g LEFT JOIN metrics m ON m.symbol = g.symbol AND m.signal_date = g.signal_date", "bars", "reports")
 def n02(spark, d):
-    rows = found(spark, d)
-    m = ops.analyse(rows, daily_bars(spark, d), reports(spark, d), shares(spark, d))
+    rows, m = screened(spark, d)
     return rows.join(m, ["symbol", "signal_date"], "left").select("symbol", "signal_date", "strategy_name", "pe", "pb", "growth_positive")
 
 
@@ -135,16 +143,16 @@ def _yes(c: str) -> str:
 
 
 CAP = "CASE WHEN market_cap IS NULL THEN '' WHEN abs(market_cap) >= 1e8 THEN printf('%.2f亿', round(market_cap / 1e8, 2)) WHEN abs(market_cap) >= 1e4 THEN printf('%.2f万', round(market_cap / 1e4, 2)) ELSE printf('%.2f', round(market_cap, 2)) END AS market_cap_formatted"
-REPORT_SQL = f"""WITH {SCREENED} SELECT CAST(g.symbol AS VARCHAR) AS symbol, t.name AS stock_name, strftime(g.signal_date, '%Y-%m-%d') AS signal_date, strategy_name, 'Daily' AS signal_level, {CAP},
+REPORT_SQL = f"""WITH {SCREENED} SELECT CAST(g.symbol AS VARCHAR) AS symbol, t.name AS stock_name, strftime(g.signal_date, '%Y-%m-%d') AS signal_date, strategy_name, timeframe AS signal_level, {CAP},
   {', '.join(map(_ratio, ('pe', 'pb', 'revenue_growth_yoy', 'profit_growth_yoy', 'peg_like_ratio')))}, {', '.join(map(_yes, ('net_profit_positive_3y_latest', 'growth_positive', 'pe_lt_30', 'peg_like_lt_1')))},
   CAST(NULL AS VARCHAR) AS tech_notes, nullif(error_reason, '') AS error_reason, market_cap
 FROM signals g JOIN stocks t ON t.code = g.symbol LEFT JOIN metrics m ON m.symbol = g.symbol AND m.signal_date = g.signal_date"""
 
 
 def screener_report(spark, d):
-    rows = found(spark, d)
+    rows, m = screened(spark, d)
     names = stock_list(spark, d).select(F.col("code").alias("symbol"), F.col("name").alias("stock_name"))
-    return strategies.report(rows, names, ops.analyse(rows, daily_bars(spark, d), reports(spark, d), shares(spark, d)), raw_cap=True)
+    return strategies.report(rows, names, m, raw_cap=True)
 
 
 @query("n03_screener_report", REPORT_SQL, "bars", "reports", "stocks")

@@ -29,6 +29,26 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+def laid_out(rows: DataFrame, *order: str) -> DataFrame:
+    """rows dealt by the first column, sorted by all, and checkpointed in the shared folder: windows and groups by that column need no exchange."""
+    spark = rows.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(scratch(spark, "checkpoints"))
+    parts, adaptive = int(spark.conf.get("spark.sql.shuffle.partitions")), spark.conf.get("spark.sql.adaptive.enabled")
+    try:  # a checkpoint of an adaptive plan does not know how it is dealt and sorted
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        return rows.repartition(parts, order[0]).sortWithinPartitions(*order).checkpoint(eager=True)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """rows as a table in the shared folder, for what is read more than once."""
+    path = scratch(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 class Table:
     """A table of Parquet folders at a path; rows of all its folders are the current version."""
 
