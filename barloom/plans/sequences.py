@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from barloom.operators import chan, chan_blocks, pullback, strategies
+from barloom.operators import chan, chan_blocks, enhanced, pullback, strategies
 from barloom.plans.catalog import query
 from barloom.plans.indicators import O, w
 from barloom.plans.signals import full
@@ -197,15 +197,15 @@ c AS (SELECT *, regr_slope(ma30, k) {w(5)} AS slope, count(ma30) {w(5)} AS n, k
 s AS (SELECT *, max(CASE WHEN top AND tall THEN k END) OVER u AS far_peak, CASE WHEN lag(near_top AND tall) {O} THEN k - 1 END AS near_peak, max(CASE WHEN dip THEN k END) OVER u AS far_low, CASE WHEN lag(near_dip) {O} THEN k - 1 END AS near_low FROM c
   WINDOW u AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING)),
 t AS (SELECT *, coalesce(near_peak, far_peak) AS peak, coalesce(near_low, far_low) AS at FROM s),
-g AS (SELECT * FROM t WHERE k >= 78 AND peak IS NOT NULL AND n = 5 AND slope >= -1e-6 AND close > ma30 AND ma5 > ma30 AND (close - ma30) / ma30 <= 0.05),
-l AS (SELECT g.symbol, g.k, min(b.low) AS least FROM g JOIN m b ON b.symbol = g.symbol AND b.k > g.peak AND b.k <= g.k GROUP BY 1, 2)
-SELECT g.symbol, g.date, round(p.high, 4) AS peak, round(CASE WHEN g.k - g.peak < 5 THEN q.low WHEN g.at >= g.peak + 5 THEN r.low ELSE l.least END, 4) AS low
-FROM g JOIN m p ON p.symbol = g.symbol AND p.k = g.peak JOIN m q ON q.symbol = g.symbol AND q.k = g.k - 1 LEFT JOIN m r ON r.symbol = g.symbol AND r.k = g.at LEFT JOIN l ON l.symbol = g.symbol AND l.k = g.k"""
+v AS (SELECT *, min(low) OVER (PARTITION BY symbol ORDER BY k ROWS BETWEEN coalesce(k - peak - 1, 0) PRECEDING AND CURRENT ROW) AS least FROM t),
+g AS (SELECT * FROM v WHERE k >= 78 AND peak IS NOT NULL AND n = 5 AND slope >= -1e-6 AND close > ma30 AND ma5 > ma30 AND (close - ma30) / ma30 <= 0.05)
+SELECT g.symbol, g.date, p.high AS peak, CASE WHEN g.k - g.peak < 5 THEN q.low WHEN g.at >= g.peak + 5 THEN r.low ELSE g.least END AS low
+FROM g JOIN m p ON p.symbol = g.symbol AND p.k = g.peak JOIN m q ON q.symbol = g.symbol AND q.k = g.k - 1 LEFT JOIN m r ON r.symbol = g.symbol AND r.k = g.at"""
 
 
 @query("l08_enhanced_buy", ENHANCED_SQL, "bars")
 def l08(spark, d):
-    return pullback.enhanced(daily_bars(spark, d)).where("action = 'BUY'").select("symbol", "date", F.round("peak", 4).alias("peak"), F.round("low", 4).alias("low"))
+    return enhanced.buys(daily_bars(spark, d))
 
 
 @query("l09_enhanced_sell")

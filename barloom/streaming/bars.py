@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barloom.operators.bars import upsert
+from barloom.operators.bars import keep_last
+from barloom.sources.tables import written
 
 
 def event_bars(events: DataFrame, length: str = "1 day", late: str | None = "2 days") -> DataFrame:
@@ -62,17 +63,56 @@ def running_state(events: DataFrame) -> DataFrame:
     return rows.groupBy("user_id").applyInPandasWithState(_running_rows, RUNNING, "total double", "append", "NoTimeout")
 
 
-def upsert_batches(path: str, keys: list[str]):
+class UpsertSink:
     """A foreachBatch function that keeps a Parquet table current: a batch's rows replace those of equal keys.
 
-    Versions are written beside each other and the newest name is current, so a batch that is retried
-    writes the same version again.
+    The table is partitioned by a hash of the keys.  A batch is merged with the partitions that its keys fall into, and only
+    these are overwritten; then (query, epoch) is recorded.  A batch whose epoch the record has is left out, and one that
+    failed before it was recorded merges to the same rows again, so replays change nothing.  Epochs may be missing, and a
+    query with a new checkpoint counts anew on the same table.  One writer at a time; no older versions are kept.
+
+    Of rows of one batch with equal keys the last by ``order`` counts, or an arbitrary one; null keys are equal.  Columns
+    that only some batches have are null elsewhere.
     """
 
-    def apply(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        old = f"{path}/v{epoch - 1}"
-        rows = batch if epoch == 0 else upsert(spark.read.parquet(old), batch, keys)
-        rows.write.mode("overwrite").parquet(f"{path}/v{epoch}")
+    def __init__(self, path: str, keys: list[str], order: list[str] | None = None, partitions: int = 64, query: str | None = None):
+        self.path, self.keys, self.order, self.partitions, self.query = path.rstrip("/"), keys, order or [], partitions, query
+
+    def _fs(self, spark: SparkSession, below: str):
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{below}")
+        return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def applied(self, spark: SparkSession, query: str) -> int:
+        """The last recorded epoch of a query, -1 where there is none."""
+        at, fs = self._fs(spark, f"applied/{query}")
+        names = [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
+        return max((int(x) for x in names if x.isdigit()), default=-1)
 
-    return apply
+    def _record(self, spark: SparkSession, query: str, epoch: int) -> None:
+        last = self.applied(spark, query)
+        at, fs = self._fs(spark, f"applied/{query}/{epoch}")
+        fs.create(at, True).close()
+        if last >= 0:
+            fs.delete(self._fs(spark, f"applied/{query}/{last}")[0], False)
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        return spark.read.option("mergeSchema", "true").parquet(f"{self.path}/data").drop("__part")
+
+    def __call__(self, batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        query = self.query or spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "batch"
+        if epoch <= self.applied(spark, query):
+            return
+        dealt = F.pmod(F.xxhash64(*self.keys), F.lit(self.partitions)).cast("int")
+        new = written(keep_last(batch, self.keys, *(self.order or self.keys)).withColumn("__part", dealt), "batch")
+        touched = [r[0] for r in new.select("__part").distinct().collect()]  # at most ``partitions``
+        if touched:
+            at, fs = self._fs(spark, "data")
+            merged = new
+            if fs.exists(at):
+                old = spark.read.option("mergeSchema", "true").parquet(f"{self.path}/data").where(F.col("__part").isin(touched))
+                same = [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in self.keys]
+                rest = old.alias("o").join(new.select(self.keys).alias("n"), same, "left_anti").select("o.*")
+                merged = written(rest.unionByName(new, allowMissingColumns=True), "merged")  # a table is not read while it is overwritten
+            merged.repartition("__part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("__part").parquet(f"{self.path}/data")
+        self._record(spark, query, epoch)

@@ -519,10 +519,3 @@ def test_weekly_and_monthly_pullbacks_fire(spark, rule, days, paths):
 def test_sections_keep_what_follows(spark):
     cut = lambda t: text.section(t, ["^Of"], ["The", "In"])
     assert cleaned(spark, cut, "x Of y\nOf here\nmore\n  In the end") == "here\nmore"
-
-
-def test_upsert_batches(spark, tmp_path):
-    apply = streaming.upsert_batches(str(tmp_path), ["k"])
-    for epoch, rows in enumerate([[(1, "a"), (2, "b")], [(2, "c")], [(3, "d")]]):
-        apply(spark.createDataFrame(rows, "k int, v string"), epoch)
-    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/v2").collect())) == [(1, "a"), (2, "c"), (3, "d")]

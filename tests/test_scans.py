@@ -5,7 +5,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from barloom.operators import folds, scans
+from barloom.operators import enhanced, folds, pullback, scans
 
 SCHEMA = "symbol long, date date, high double, low double, close double, ema12 double, block int"
 
@@ -75,3 +75,17 @@ def test_plans_hold_no_python_and_one_exchange_by_symbol(spark):
     plan = scans.indicators(bars(spark, 5))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan and "hashpartitioning" in plan
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_buys_as_windows_equal_the_walk(spark):
+    """Swings around rising and falling averages, so that near, far and missing lows all decide."""
+    rows = []
+    for s in range(12):
+        rng, p = random.Random(s), 10.0
+        for i in range(600):
+            p = max(2.0, p * (1 + rng.gauss(0.002 if (i // 40) % 3 else -0.003, 0.05)))
+            rows.append((s, dt.date(2000, 1, 1) + dt.timedelta(days=i), p * (1 + rng.random() / 20), p * (1 - rng.random() / 20), p, None if rng.random() < 0.01 else 1000.0))
+    frame = spark.createDataFrame(rows, "symbol long, date date, high double, low double, close double, volume double")
+    walked = {(r.symbol, r.date, r.peak, r.low) for r in pullback.enhanced(frame).where("action = 'BUY'").collect()}
+    assert len(walked) > 50 and {tuple(r) for r in enhanced.buys(frame).collect()} == walked
+    assert enhanced.buys(frame.limit(0)).count() == 0
