@@ -6,9 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barloom import functions as fn
-from barloom.operators import cross, strategies
+from barloom.operators import cross, retrieval, strategies
 from barloom.operators import fundamentals as ops
 from barloom.plans.catalog import query
+from barloom.plans.documents import BUCKETS
 from barloom.plans.indicators import O, w
 from barloom.plans.signals import MONTH_SPINE, SPINE, cross_sql, full
 from barloom.sources import daily_bars, read, reports, stock_list
@@ -190,12 +191,15 @@ CONTEXT = """
 p AS (SELECT symbol, 'First close ' || printf('%.2f', round(arg_min(close, date), 2)) || ', last close ' || printf('%.2f', round(arg_max(close, date), 2)) || ', change ' || printf('%.2f', round((arg_max(close, date) / arg_min(close, date) - 1) * 100, 2)) || ' %, high ' || printf('%.2f', round(max(high), 2)) || ', low ' || printf('%.2f', round(min(low), 2)) AS price FROM (SELECT * FROM bars QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) <= 30) GROUP BY 1),
 a AS (SELECT symbol, report_date, revenue, row_number() OVER (PARTITION BY symbol ORDER BY report_date DESC) AS rn FROM facts),
 r AS (SELECT symbol, 'revenue: ' || string_agg(CAST(report_date AS VARCHAR) || ' ' || printf('%.2f', round(revenue, 2)), ' | ' ORDER BY report_date DESC) AS report FROM a WHERE rn <= 3 GROUP BY 1),
-c AS (SELECT label AS symbol, string_agg('[' || vec_id || ']', ' ' ORDER BY vec_id) AS chunks FROM (SELECT label, vec_id FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) <= 3) GROUP BY 1)"""
+tq AS (SELECT vec_id AS topic, embedding FROM embeddings WHERE vec_id IN (0, 1, 2)), tb(bucket, lo, hi, k) AS (VALUES {buckets}),
+tn AS (SELECT e.label, tq.topic, tb.bucket, e.vec_id AS id, round(1 - list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(tq.embedding AS DOUBLE[])), 6) AS distance, tb.k FROM embeddings e, tq, tb WHERE (e.vec_id * 7) % 2000 BETWEEN tb.lo AND tb.hi),
+tt AS (SELECT * FROM (SELECT * FROM tn QUALIFY row_number() OVER (PARTITION BY label, topic, bucket ORDER BY distance, id) <= k) QUALIFY row_number() OVER (PARTITION BY label, id ORDER BY topic, bucket) = 1),
+c AS (SELECT label AS symbol, string_agg(line, chr(10) ORDER BY topic, bucket) AS chunks FROM (SELECT label, topic, bucket, 'topic ' || topic || ', age ' || bucket || ': ' || string_agg('[' || id || ']', ' ' ORDER BY distance, id) AS line FROM tt GROUP BY 1, 2, 3) GROUP BY 1)""".replace("{buckets}", ", ".join(map(str, BUCKETS)))
 
 
 @query("n05_report_context", f"WITH {CONTEXT.strip()} SELECT p.symbol, price || chr(10) || report || chr(10) || coalesce(chunks, 'No chunks') AS context FROM p JOIN r USING (symbol) LEFT JOIN c USING (symbol)", "bars", "reports")
 def n05(spark, d):
-    """Price summary of 30 bars, the last three reports as a row of a pivot, and the symbol's first chunks, as one text."""
+    """Price summary of 30 bars, the last three reports as a row of a pivot, and the symbol's chunks retrieved by topic and age, as one text."""
     two = lambda x: F.format_string("%.2f", F.round(x, 2))
     last = Window.partitionBy("symbol").orderBy(F.desc("date"))
     tail = daily_bars(spark, d).withColumn("rn", F.row_number().over(last)).where("rn <= 30")
@@ -206,6 +210,12 @@ def n05(spark, d):
     cells = F.reverse(F.array_sort(F.collect_list(F.struct("report_date", fn.lookup_number(F.col("data"), "营业总收入").alias("v")))))
     shown = F.array_join(F.transform(cells, lambda x: F.concat(x["report_date"].cast("string"), F.lit(" "), two(x["v"]))), " | ")
     r = known.groupBy("symbol").agg(F.concat(F.lit("revenue: "), shown).alias("report"))
-    near = read(spark, d, "embeddings").select(F.col("label").cast("long").alias("symbol"), "vec_id").withColumn("rn", F.row_number().over(Window.partitionBy("symbol").orderBy("vec_id"))).where("rn <= 3")
-    c = near.groupBy("symbol").agg(F.array_join(F.transform(F.array_sort(F.collect_list("vec_id")), lambda x: F.concat(F.lit("["), x.cast("string"), F.lit("]"))), " ").alias("chunks"))
+    vectors = read(spark, d, "embeddings").where("embedding is not null")
+    topics = vectors.where("vec_id in (0, 1, 2)").select(F.col("vec_id").alias("topic"), F.col("embedding").alias("q")).limit(3)
+    chunks = vectors.select(F.col("label").cast("long").alias("symbol"), F.col("vec_id").alias("id"), ((F.col("vec_id") * 7) % 2000).alias("age"), "embedding")
+    near = retrieval.by_topic_and_age(chunks, topics, BUCKETS, ("symbol",)).groupBy("symbol", "topic", "bucket").agg(F.array_sort(F.collect_list(F.struct("distance", "id"))).alias("ids"))
+    ids = F.array_join(F.transform("ids", lambda x: F.concat(F.lit("["), x["id"].cast("string"), F.lit("]"))), " ")
+    line = F.concat(F.lit("topic "), F.col("topic").cast("string"), F.lit(", age "), F.col("bucket").cast("string"), F.lit(": "), ids)
+    lines = near.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("topic", "bucket", line.alias("line")))).alias("lines"))
+    c = lines.select("symbol", F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("chunks"))
     return p.join(r, "symbol").join(c, "symbol", "left").select("symbol", F.concat_ws("\n", "price", "report", F.coalesce("chunks", F.lit("No chunks"))).alias("context"))
