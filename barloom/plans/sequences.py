@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from barloom.operators import bars as period
 from barloom.operators import chan, chan_blocks, enhanced, pullback, strategies
 from barloom.plans.catalog import query
 from barloom.plans.indicators import O, w
 from barloom.plans.signals import full
-from barloom.sources import daily_bars
+from barloom.sources import daily_bars, walk_bars
 
 
 #: dialect P bar by bar: the state of the last merged bar, pushed or joined at every row; mg has each merged bar's last state
@@ -81,13 +82,13 @@ def structure_sql(kind: str, rule: str, reach: int) -> str:
     return head + strokes_sql(chan.RULES[rule], reach) + " SELECT symbol, " + SHOWN.format(type="type", start="start_date", end="end_date", sp="start_price", ep="end_price", value="value") + " FROM sk"
 
 
-def structure(name, kind, dialect, rule="pullback", reach=1):
+def structure(name, kind, dialect, rule="pullback", reach=1, source=daily_bars, table="bars"):
     def run(spark, d):
-        rows = chan.structures(daily_bars(spark, d), dialect, rule, reach).where(F.col("kind") == kind)
+        rows = chan.structures(source(spark, d), dialect, rule, reach).where(F.col("kind") == kind)
         prices = ("start_price", "end_price", "high", "low", "value")
         return rows.select("symbol", "seq", "type", "start_date", "end_date", *[F.round(c, 4).alias(c) if dialect == "C" else c for c in prices])
 
-    query(name, *([structure_sql(kind, rule, reach), "bars"] if dialect == "P" else []))(run)
+    query(name, *([structure_sql(kind, rule, reach), table] if dialect == "P" else []))(run)
 
 
 structure("k01_p_merged_bars", "merged", "P")
@@ -208,6 +209,16 @@ def l08(spark, d):
     return enhanced.buys(daily_bars(spark, d))
 
 
+@query("l08_enhanced_buy_walk", ENHANCED_SQL, "walk")
+def l08_walk(spark, d):
+    return enhanced.buys(walk_bars(spark, d))
+
+
+@query("l09_enhanced_sell_walk")
+def l09_walk(spark, d):
+    return pullback.enhanced(walk_bars(spark, d)).where("action <> 'BUY'").select("symbol", "date", F.col("action").alias("sell"), F.round("price", 4).alias("price"))
+
+
 @query("l09_enhanced_sell")
 def l09(spark, d):
     return pullback.enhanced(daily_bars(spark, d)).where("action <> 'BUY'").select("symbol", "date", F.col("action").alias("sell"), F.round("price", 4).alias("price"))
@@ -267,3 +278,38 @@ def p06b(spark, d):
 @query("p07_buy_and_hold", "SELECT symbol, round(arg_max(close, date) / arg_min(close, date) - 1, 6) AS ret FROM bars GROUP BY 1", "bars")
 def p07(spark, d):
     return daily_bars(spark, d).groupBy("symbol").agg(F.round(F.try_divide(F.max_by("close", "date"), F.min_by("close", "date")) - 1, 6).alias("ret"))
+
+
+#: bars that walk, on which the rules find something: structures, and the strategies as of every second month
+for _kind, _dialect, _rule in (("merged", "P", "pullback"), ("fractal", "P", "pullback"), ("stroke", "P", "weekly"), ("stroke", "P", "backtest"), ("segment", "C", "pullback"), ("pivot", "C", "pullback"), ("divergence", "C", "pullback"), ("point", "C", "pullback")):
+    structure(f"k_{_dialect.lower()}_{_kind}_{_rule}_walk" if _dialect == "P" else f"k_c_{_kind}_walk", _kind, _dialect, _rule, source=walk_bars, table="walk")
+DAYS = [f"{y}-{m:02d}-15" for y in (1997, 1998, 1999, 2000) for m in (1, 3, 5, 7, 9, 11)]
+
+
+def over_days(spark, d):
+    """The bars up to each of DAYS; symbol * 100 + the day's number stands for the symbol."""
+    to = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.lit(x).cast("date").alias("to")) for n, x in enumerate(DAYS)])).alias("d")
+    rows = walk_bars(spark, d).select("*", to).where(F.col("date") <= F.col("d.to"))
+    return rows.withColumn("symbol", F.col("symbol") * 100 + F.col("d.n")).drop("d")
+
+
+def as_of_days(name, run):
+    def found(spark, d):
+        rows = run(over_days(spark, d)).where("signal_type = 'BUY'")
+        return rows.select(F.floor(F.col("symbol") / 100).alias("symbol"), (F.col("symbol") % 100).alias("day"), "signal_date", "timeframe", F.round("score", 6).alias("score"), F.round("level", 6).alias("level"))
+
+    query(name)(found)
+
+
+def _weeks(bars):
+    return period.weekly(bars).drop("last")
+
+
+def _months(bars):
+    return period.monthly(bars).drop("last")
+
+
+as_of_days("l01_pullback_over_days", lambda bars: pullback.pullback(bars, pullback.DAILY, _weeks(bars)))
+as_of_days("l02_breakout_over_days", pullback.breakout)
+as_of_days("l06_pullback_weekly_over_days", lambda bars: pullback.pullback(_weeks(bars), pullback.WEEKLY, _months(bars)))
+as_of_days("l07_pullback_monthly_over_days", lambda bars: pullback.pullback(_months(bars), pullback.MONTHLY))

@@ -24,6 +24,15 @@ def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def walk_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars on the days of daily_bars whose closes are a random walk: each day's amount gives a return of up to 6 % either way."""
+    w = Window.partitionBy("symbol").orderBy("date")
+    step = (F.round(F.col("amount") * 100).cast("long") % 2001 - 1000) / F.lit(1000.0) * 0.06
+    rows = daily_bars(spark, sf_dir).withColumn("close", F.round(100 * F.exp(F.sum(step).over(w.rowsBetween(Window.unboundedPreceding, 0))), 2))
+    rows = rows.withColumn("open", F.coalesce(F.lag("close").over(w), F.lit(100.0)))
+    return rows.select("symbol", "date", "open", F.round(F.greatest("open", "close") * 1.005, 6).alias("high"), F.round(F.least("open", "close") * 0.995, 6).alias("low"), "close", "volume", "amount")
+
+
 def load_bars(bars: DataFrame, symbol=None, start: str | None = None, end: str | None = None, tail: int | None = None) -> DataFrame:
     """Bars of a closed range of dates, or the last ``tail`` bars of each symbol, by date; of one symbol or of all.
 
@@ -88,6 +97,10 @@ bars AS (
          sum(l_quantity) AS volume, sum(l_extendedprice) AS amount
   FROM lineitem WHERE l_quantity > 0 AND l_shipdate IS NOT NULL GROUP BY 1, 2
 )""",
+    "walk": """
+steps AS (SELECT symbol, date, volume, amount, round(100 * exp(sum((CAST(round(amount * 100) AS BIGINT) % 2001 - 1000) / 1000.0::DOUBLE * 0.06) OVER (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING)), 2) AS close FROM bars0),
+opened AS (SELECT *, coalesce(lag(close) OVER (PARTITION BY symbol ORDER BY date), 100.0) AS open FROM steps),
+bars AS (SELECT symbol, date, open, round(greatest(open, close) * 1.005, 6) AS high, round(least(open, close) * 0.995, 6) AS low, close, volume, amount FROM opened)""",
     "stocks": """
 stocks AS (
   SELECT s_suppkey AS code, s_name AS name, r_name AS area, n_name AS industry
@@ -112,3 +125,5 @@ sums AS (
   FROM reports
 )""",
 }
+#: the walk stands where the bars do, so that queries over bars read either
+SQL["walk"] = SQL["bars"].replace("bars AS (", "bars0 AS (", 1) + "," + SQL["walk"]
