@@ -126,6 +126,27 @@ def test_pivot_and_third_buy():
     assert chan.points(items, zones, []) == [("3B", 30, 15)]
 
 
+def test_first_and_second_points():
+    """First points from consolidation divergences alone, second ones from the first pullback that keeps the level."""
+    fall = [leg(-1, 20, 10, 0), leg(1, 10, 15, 5), leg(-1, 15, 8, 10), leg(1, 8, 14, 15), leg(-1, 14, 9, 20)]
+    assert chan.points(fall, [], [("consolidation_bottom", 0, 2, -5.0, -3.0)]) == [("1B", 15, 8), ("2B", 25, 9)]
+    assert chan.points(fall, [], [("trend_bottom", 0, 2, -5.0, -3.0)]) == []
+    lower = [*fall[:4], leg(-1, 14, 7, 20)]
+    assert chan.points(lower, [], [("consolidation_bottom", 0, 2, -5.0, -3.0)]) == [("1B", 15, 8)]
+    rise = [leg(1, 5, 10, 0), leg(-1, 10, 7, 5), leg(1, 7, 12, 10), leg(-1, 12, 8, 15), leg(1, 8, 11, 20)]
+    assert chan.points(rise, [], [("consolidation_top", 0, 2, 5.0, 3.0)]) == [("1S", 15, 12), ("2S", 25, 11)]
+    higher = [*rise[:4], leg(1, 8, 13, 20)]
+    assert chan.points(higher, [], [("consolidation_top", 0, 2, 5.0, 3.0)]) == [("1S", 15, 12)]
+    assert chan.points(rise, [], []) == []
+
+
+def test_third_sell():
+    items = [leg(1, 4, 9, 0), leg(-1, 9, 5, 5), leg(1, 5, 8, 10), leg(-1, 8, 3, 15), leg(1, 3, 4, 20)]
+    assert chan.points(items, [(0, 2, 9, 5)], []) == [("3S", 25, 4)]
+    back = [*items[:4], leg(1, 3, 6, 20)]  # it returns into the pivot
+    assert chan.points(back, [(0, 2, 9, 5)], []) == []
+
+
 def test_folds_match_a_slow_model():
     x = np.array(walk(80, 3)[3])
     y = [x[0]]
