@@ -77,3 +77,16 @@ def test_nulls_and_nothing(spark):
     assert [(r.high, r.low) for r in chan_blocks.merged(frame, 4)[0].orderBy("seq").collect()] == list(zip(m.high, m.low))
     found, rounds = chan_blocks.merged(frame.limit(0), 4)
     assert found.count() == 0 and rounds == 0 and chan_blocks.strokes(chan_blocks.fractals(found), "weekly", 4)[0].count() == 0
+
+
+def test_blocks_stream_across_batches():
+    """Blocks come whole from batches cut anywhere, each with the state that its first row holds; a state without bars is left out."""
+    import pyarrow as pa
+
+    rows = [(1, 0, None, 0), (1, 0, None, 1), (1, 1, [2.0], 0), (1, 1, None, 2), (2, 0, None, 0), (2, 5, [1.0], 0), (3, 1, [3.0], 0), (3, 1, None, 9)]
+    want = [(1, [0, 1], None), (1, [2], [2.0]), (2, [0], None), (3, [9], [3.0])]
+    for size in (1, 3, 8):
+        parts = [rows[i : i + size] for i in range(0, len(rows), size)]
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[i] for r in p], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.int64()))], ["symbol", "block", "state", "k"]) for p in parts]
+        assert [(own["symbol"][0], own["k"], state) for own, state in chan_blocks._blocks(iter(batches))] == want
+    assert list(chan_blocks._blocks(iter([]))) == []
