@@ -76,9 +76,9 @@ def metrics(slots_: DataFrame, shares: DataFrame) -> DataFrame:
         F.when(F.col("revenue_before").isNull(), "Missing reports for YoY growth"), F.when(F.col("annual_profit").isNull(), "Missing annual profit"),
     ), lambda x: x.isNotNull())
     return rows.select(
-        "symbol", "signal_date", "report_date", F.round("cap", 2).alias("market_cap"), F.round("pe", 4).alias("pe"), (F.col("pe") < 30).alias("pe_lt_30"), F.round("pb", 4).alias("pb"),
-        F.round("revenue_yoy", 4).alias("revenue_growth_yoy"), F.round("profit_yoy", 4).alias("profit_growth_yoy"), positive.alias("growth_positive"),
-        F.round(peg, 4).alias("peg_like_ratio"), (peg < 1).alias("peg_like_lt_1"), three.alias("net_profit_positive_3y_latest"),
+        "symbol", "signal_date", "report_date", fn.rounded(F.col("cap"), 2).alias("market_cap"), fn.rounded(F.col("pe"), 4).alias("pe"), (F.col("pe") < 30).alias("pe_lt_30"), fn.rounded(F.col("pb"), 4).alias("pb"),
+        fn.rounded(F.col("revenue_yoy"), 4).alias("revenue_growth_yoy"), fn.rounded(F.col("profit_yoy"), 4).alias("profit_growth_yoy"), positive.alias("growth_positive"),
+        fn.rounded(peg, 4).alias("peg_like_ratio"), (peg < 1).alias("peg_like_lt_1"), three.alias("net_profit_positive_3y_latest"),
         F.array_join(F.array_sort(F.array_distinct(missing)), "; ").alias("error_reason"),
     )
 

@@ -140,7 +140,7 @@ def screened(bars: DataFrame, day: str | dt.date, strategies: list[Strategy] = S
 
 def ratio(x: Column) -> Column:
     """Two decimals, Infinity, -Infinity, or empty."""
-    return F.when(x.isNull(), "").when(x == float("inf"), "Infinity").when(x == float("-inf"), "-Infinity").otherwise(F.format_string("%.2f", F.round(x, 2)))
+    return F.when(x.isNull(), "").when(x == float("inf"), "Infinity").when(x == float("-inf"), "-Infinity").otherwise(F.format_string("%.2f", fn.rounded(x, 2)))
 
 
 #: fixed values: the report's columns in order; the raw market cap may follow
