@@ -10,7 +10,7 @@ from barloom.operators.scans import indicators as folds
 from barloom.plans.catalog import query
 from barloom.plans.indicators import ADX_SQL, EMA_SQL, O, w
 from barloom.plans.market import WEEK, resampled
-from barloom.sources import daily_bars
+from barloom.sources import daily_bars, dealt_bars
 
 
 def cross_sql(source: str, level: str, rising: str, volume: bool) -> str:
@@ -144,17 +144,17 @@ def l10(spark, d):
 
 @query("l11_rsi_rebound", EMA_SQL + f", q AS (SELECT symbol, date, CASE WHEN down > 0 THEN round(100 - 100 / (1 + up / down), 4) WHEN up > 0 THEN 100 END AS rsi FROM e), p AS (SELECT *, lag(rsi) {O} AS prsi FROM q) SELECT symbol, date FROM p WHERE rsi < 30 AND prsi < 30 AND rsi > prsi", "bars")
 def l11(spark, d):
-    return strategies.rsi_rebound(daily_bars(spark, d)).select("symbol", "date")
+    return strategies.rsi_rebound(dealt_bars(spark, d)).select("symbol", "date")
 
 
 @query("l11_macd_divergence", EMA_SQL + f", q AS (SELECT symbol, date, round(close, 6) AS close, round(2 * (e12 - e26 - dea), 4) AS bar FROM e), p AS (SELECT *, min(close) OVER b AS low, min(bar) {w(5)} AS least, count(*) {w(5)} AS n FROM q WINDOW b AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING)) SELECT symbol, date FROM p WHERE n = 5 AND close < low AND bar > least", "bars")
 def l11b(spark, d):
-    return strategies.macd_divergence(daily_bars(spark, d)).select("symbol", "date")
+    return strategies.macd_divergence(dealt_bars(spark, d)).select("symbol", "date")
 
 
 @query("l12_adx_trend", ADX_SQL + "SELECT symbol, date FROM adx WHERE adx > 25", "bars")
 def l12(spark, d):
-    return folds(daily_bars(spark, d), ["adx"]).where("round(adx, 4) > 25").select("symbol", "date")
+    return folds(dealt_bars(spark, d), ["adx"]).where("round(adx, 4) > 25").select("symbol", "date")
 
 
 @query("l13_pattern_stubs", "SELECT symbol, date AS signal_date, '' AS strategy FROM bars WHERE false", "bars")

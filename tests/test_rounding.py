@@ -13,3 +13,15 @@ def test_rounded_is_what_sql_rounds(spark):
     assert [r.theirs for r in rows] != want
     odd = spark.createDataFrame([(float("nan"),), (float("inf"),), (None,)], "x double").select(fn.rounded(F.col("x"), 2)).collect()
     assert [str(r[0]) for r in odd] == ["nan", "inf", "None"]
+
+
+def test_bars_are_dealt_by_the_number_of_trades(spark, sf):
+    """A task's share of the bars has a bound that does not grow with the tables; windows by symbol add no exchange."""
+    from barloom.operators import scans
+    from barloom.sources import dealt_bars
+
+    parts = dealt_bars(spark, sf, 100)
+    assert parts.rdd.getNumPartitions() == -(-spark.read.parquet(f"{sf}/lineitem.parquet").count() // 100)
+    assert dealt_bars(spark, sf).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    plan = scans.indicators(parts, ["bar"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2
