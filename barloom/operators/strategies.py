@@ -12,7 +12,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom import functions as fn
@@ -123,7 +123,7 @@ def screened(bars: DataFrame, day: str | dt.date, strategies: list[Strategy] = S
     at, found, options = F.lit(str(day)).cast("date"), [], {x.name: {**x.params, **(params or {}).get(x.name, {})} for x in strategies}
     together = [x.name for x in strategies if x.name in pullback.PASSES and x in SCREENED]
     if together:
-        tagged = reduce(DataFrame.unionByName, [given[name].select(F.lit(name).alias("frame"), *pullback.PRICED) for name in ("daily", "weekly", "monthly")])
+        tagged = reduce(DataFrame.unionByName, [ending_from(given[name], at).select(F.lit(name).alias("frame"), *pullback.PRICED) for name in ("daily", "weekly", "monthly")])
         found.append(pullback.one_pass(tagged, {name: options[name] for name in together}))
     for x in strategies:
         if x.name in together:
@@ -138,6 +138,15 @@ def screened(bars: DataFrame, day: str | dt.date, strategies: list[Strategy] = S
     return written(rows.where((F.col("signal_date") == at) & (F.col("signal_type") != "NO_SIGNAL")), "signals"), given
 
 
+def ending_from(rows: DataFrame, day: Column) -> DataFrame:
+    """The bars of the symbols whose last bar is of the day or has a later label.
+
+    A pass over a frame dates its signal by the last bar, so it finds nothing of the day on other symbols; and a symbol with
+    a daily bar on the day has an unfinished week and month dated by it, so its pass keeps the frames that it compares with.
+    """
+    return rows.withColumn("__last", F.max("date").over(Window.partitionBy("symbol"))).where(F.col("__last") >= day).drop("__last")
+
+
 def ratio(x: Column) -> Column:
     """Two decimals, Infinity, -Infinity, or empty."""
     return F.when(x.isNull(), "").when(x == float("inf"), "Infinity").when(x == float("-inf"), "-Infinity").otherwise(F.format_string("%.2f", fn.rounded(x, 2)))
