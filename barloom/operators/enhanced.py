@@ -15,7 +15,7 @@ def buys(bars: DataFrame) -> DataFrame:
     then is a running minimum over the bars that share it, of their own lows and those of the bars before them.
     """
     rows = ind.with_index(bars.dropna(subset=["high", "low", "close", "volume"]).select("symbol", "date", "high", "low", "close"))
-    rows = rows.withColumns({"ma5": ind.mean("close", 5, True, 2), "ma30": ind.mean("close", 30, True, 2)})
+    rows = rows.withColumns({"ma5": ind.exact_mean("close", 5, 2), "ma30": ind.exact_mean("close", 30, 2)})
     whole, cut, w = ind.by_date().rowsBetween(-2, 2), ind.by_date().rowsBetween(-2, 1), ind.by_date()
     k, high, low = F.col("bar_idx"), F.col("high"), F.col("low")
     tall = (k >= 33) & (high >= 1.2 * F.col("ma30"))
