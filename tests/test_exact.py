@@ -42,10 +42,11 @@ def test_revenue_is_added_exactly(spark, tmp_path):
 
 
 def test_mean_is_added_exactly(spark):
-    prices, cents = halves(30, 30, lambda prices, cents: cent(added(prices) / 30) != cent(cents / 100 / 30))
-    bars = spark.createDataFrame([(1, i, x) for i, x in enumerate(prices)], "symbol long, date int, close double").coalesce(1)
-    last = bars.select("date", ind.exact_mean("close", 30, 2).alias("exact"), ind.mean("close", 30, True, 2).alias("plain")).where("date = 29").first()
-    assert last.exact == cent(cents / 100 / 30) / 100 != last.plain
+    for wrong in (lambda prices, cents: cent(added(prices) / 30) != cent(cents / 100 / 30), lambda prices, cents: cent(cents / 100 / 30) != (cents + 15) // 30):
+        prices, cents = halves(30, 30, wrong)
+        bars = spark.createDataFrame([(1, i, x) for i, x in enumerate(prices)], "symbol long, date int, close double").coalesce(1)
+        last = bars.select("date", ind.exact_mean("close", 30, 2).alias("exact")).where("date = 29").first()
+        assert last.exact == (cents + 15) // 30 / 100
 
 
 def test_what_no_decimal_holds_is_still_added(spark):
