@@ -43,8 +43,12 @@ class Vocabulary:
         self.finder.make_automaton()
         self.longest = max(map(len, self.ranks))
         self.split = regex.compile(pattern).findall
+        self.one = [i.to_bytes(4, "little") for i in range(len(self.bytes))]
         self.halves = [self._halves(raw) for raw in self.bytes]
-        self._pairs: dict[int, bool] = {}
+        self.made = [len(raw) < 2 or half is not None for raw, half in zip(self.bytes, self.halves)]
+        self.sizes = list(map(len, self.bytes))
+        self._pairs: list[dict[int, bool]] = [{} for _ in self.bytes]  # for each token, which may follow it
+        self._tested = 0
         self._pieces: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
 
@@ -62,18 +66,23 @@ class Vocabulary:
 
     def fits(self, before: int, token: int) -> bool:
         """Whether token may follow before (-1: begin) in an encoding: see _apart."""
-        if len(self.bytes[token]) > 1 and self.halves[token] is None:
+        if not self.made[token]:
             return False
         if before < 0:
             return True
-        key = before << 32 | token
-        known = self._pairs.get(key)
+        known = self._pairs[before].get(token)
         if known is None:
-            if len(self._pairs) >= CACHED_PAIRS:
-                self._pairs = {}
-            known = self._pairs[key] = self._apart(before, token)
+            if self._tested >= CACHED_PAIRS:
+                self._forget_pairs()
+            self._tested += 1
+            known = self._pairs[before][token] = self._apart(before, token)
         return known
 
+    def _forget_pairs(self) -> None:
+        for own in self._pairs:
+            own.clear()
+        self._tested = 0
+
     def _apart(self, left: int, right: int) -> bool:
         """Whether merging the bytes of both tokens keeps them apart.
 
@@ -95,13 +104,42 @@ class Vocabulary:
             else:
                 bound, right = right + 1, b[0]  # made on the right: an equal rank at the border is further left
 
+    def _tokens(self, raw: bytes) -> list[int]:
+        """Prefixes(self, raw).tokens() for pieces that take no edits: the same array, filled in one loop."""
+        pairs, fits, made, sizes = self._pairs, self.fits, self.made, self.sizes
+        last: list[int] = []
+        add, reach = last.append, 0
+        for end, (token, size) in self.finder.iter(raw.decode("latin-1")):
+            if end < reach:
+                continue
+            if end > reach:
+                break
+            if end >= size:
+                before = last[end - size]
+                known = pairs[before].get(token)
+                if not (fits(before, token) if known is None else known):
+                    continue
+            elif not made[token]:
+                continue
+            add(token)
+            reach = end + 1
+        if reach < len(raw):
+            raise ValueError("a byte has no token")
+        out = []
+        while reach:
+            token = last[reach - 1]
+            out.append(token)
+            reach -= sizes[token]
+        out.reverse()
+        return out
+
     def piece(self, text: str) -> bytes:
         """The piece's ids as little-endian unsigned 32-bit integers; short pieces are remembered, the latest longest."""
         ids = self._older.get(text)
         if ids is None:
             raw = text.encode()
             whole = self.ranks.get(raw)
-            ids = np.array([whole] if whole is not None else Prefixes(self, raw).tokens(), "<u4").tobytes()
+            ids = self.one[whole] if whole is not None else b"".join(map(self.one.__getitem__, self._tokens(raw)))
         if len(text) <= LONG:
             if len(self._pieces) >= CACHED_PIECES // 2:
                 self._pieces, self._older = {}, self._pieces
@@ -116,7 +154,8 @@ class Vocabulary:
         return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
     def forget(self) -> None:
-        self._pieces, self._older, self._pairs = {}, {}, {}
+        self._pieces, self._older = {}, {}
+        self._forget_pairs()
 
 
 class Prefixes:
