@@ -29,6 +29,8 @@ POINTS = 16  # of the sample for each list, at least
 BLOCK = 256
 PACK = 32
 QUERIES = 4096  # whose exact neighbours are found in one pass
+ROWS = 1 << 14  # rows that a task of a search makes at once
+CELLS = 1 << 22  # distances that a task computes at once
 
 
 def usable(column: str):
@@ -67,10 +69,11 @@ def _means(x: np.ndarray, k: int, rounds: int, rng, spherical: bool) -> np.ndarr
 def _nearest(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(index, squared distance less the row's own length) of the nearest of c for every row."""
     near, far, size = np.zeros(len(x), np.int64), np.zeros(len(x), np.float32), (c * c).sum(1)
-    for lo in range(0, len(x), 4096):
-        d = size - 2 * (x[lo : lo + 4096] @ c.T)
-        near[lo : lo + 4096] = d.argmin(1)
-        far[lo : lo + 4096] = d.min(1)
+    step = max(1, min(4096, CELLS // len(c)))
+    for lo in range(0, len(x), step):
+        d = size - 2 * (x[lo : lo + step] @ c.T)
+        near[lo : lo + step] = d.argmin(1)
+        far[lo : lo + step] = d.min(1)
     return near, far
 
 
@@ -169,11 +172,13 @@ class Index:
                 at, x = _unit(batch.column("q"), dims)
                 if not len(at):
                     continue
-                near = x @ shared.value.T
-                some = np.argsort(-near, axis=1, kind="stable")[:, :probes]
-                again = np.repeat(np.arange(len(at)), some.shape[1])
-                unit = pa.array(list(x), pa.list_(pa.float32())).take(pa.array(again))
-                yield pa.RecordBatch.from_arrays([pa.array(some.ravel(), pa.int32()), batch.column("query_id").take(pa.array(at[again])), unit], ["list", "query_id", "q"])
+                step = max(1, ROWS // probes)  # queries at once: each is repeated for its lists
+                for lo in range(0, len(at), step):
+                    own = x[lo : lo + step]
+                    some = np.argsort(-(own @ shared.value.T), axis=1, kind="stable")[:, :probes]
+                    again = np.repeat(np.arange(len(own)), some.shape[1])
+                    unit = pa.array(list(own), pa.list_(pa.float32())).take(pa.array(again))
+                    yield pa.RecordBatch.from_arrays([pa.array(some.ravel(), pa.int32()), batch.column("query_id").take(pa.array(at[lo + again])), unit], ["list", "query_id", "q"])
 
         return queries.mapInArrow(run, "list int, query_id long, q array<float>")
 
@@ -204,8 +209,11 @@ class Index:
                 q = np.frombuffer(raw, np.float32).reshape(-1, len(books), dims // len(books))
                 return np.einsum("qpw,pew->qpe", q, books)
 
+            def made(found):
+                return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], ["query_id", "id", "score"])
+
             for batch in batches:
-                found = []
+                found, n = [], 0
                 for i in range(batch.num_rows):
                     ids, codes = (np.frombuffer(batch.column(c)[i].as_buffer(), kind) for c, kind in (("ids", np.int64), ("codes", np.uint8)))
                     codes = codes.reshape(len(ids), -1)
@@ -220,8 +228,12 @@ class Index:
                     value = score[row, top.ravel()]
                     kept = value > -np.inf
                     found.append((asked[row[kept]], ids[top.ravel()[kept]], value[kept]))
+                    n += len(found[-1][0])
+                    if n >= ROWS:
+                        yield made(found)
+                        found, n = [], 0
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], ["query_id", "id", "score"])
+                    yield made(found)
 
         return run
 
@@ -273,27 +285,39 @@ def exact(vectors: DataFrame, queries: DataFrame, k: int = 10, id_: str = "vec_i
 
 
 def _brute(shared, k: int):
+    """The k best of a task's rows for every query; CELLS distances at a time, and what is best so far."""
+
     def run(batches):
         got = shared.value
-        ids, vectors = np.asarray(got["query_id"]), got["q"].combine_chunks() if len(got) else None
-        sizes = np.asarray(pa.compute.list_value_length(vectors)) if len(got) else np.zeros(0, int)
+        if not len(got):
+            return
+        ids, vectors = np.asarray(got["query_id"]), got["q"].combine_chunks()
+        sizes = np.asarray(pa.compute.list_value_length(vectors))
+        asked = {}
+        for dims in np.unique(sizes):
+            q = np.asarray(vectors.filter(pa.array(sizes == dims)).flatten(), float).reshape(-1, dims)
+            own = ids[sizes == dims]
+            none = np.full((len(own), k), np.inf)
+            asked[dims] = [own, q / np.linalg.norm(q, axis=1)[:, None], none, np.zeros(none.shape, np.int64)]
         for batch in batches:
-            for dims in np.unique(sizes):
-                own = ids[sizes == dims]
-                q = np.asarray(vectors.filter(pa.array(sizes == dims)).flatten(), float).reshape(len(own), dims)
-                lengths = np.asarray(pa.compute.list_value_length(batch.column("v")))
+            lengths = np.asarray(pa.compute.list_value_length(batch.column("v")))
+            for dims, state in asked.items():
+                own, q, best, who = state
+                step = max(1, CELLS // len(own))
                 at = np.flatnonzero(lengths == dims)
-                if not len(at):
-                    continue
-                v = np.asarray(batch.column("v").take(pa.array(at)).flatten(), float).reshape(len(at), dims)
-                rows = np.asarray(batch.column("id"))[at]
-                distance = np.round(1 - (q / np.linalg.norm(q, axis=1)[:, None]) @ (v / np.linalg.norm(v, axis=1)[:, None]).T, 6)
-                distance[own[:, None] == rows[None, :]] = np.inf
-                order = np.lexsort((np.broadcast_to(rows, distance.shape), distance), axis=1)[:, :k]
-                row = np.repeat(np.arange(len(own)), order.shape[1])
-                value = distance[row, order.ravel()]
-                kept = value < np.inf
-                yield pa.RecordBatch.from_arrays([pa.array(own[row[kept]]), pa.array(rows[order.ravel()[kept]]), pa.array(value[kept])], ["query_id", "id", "distance"])
+                for lo in range(0, len(at), step):
+                    some = at[lo : lo + step]
+                    v = np.asarray(batch.column("v").take(pa.array(some)).flatten(), float).reshape(len(some), dims)
+                    rows = np.asarray(batch.column("id"))[some]
+                    distance = np.round(1 - q @ (v / np.linalg.norm(v, axis=1)[:, None]).T, 6)
+                    distance[own[:, None] == rows[None, :]] = np.inf
+                    distance, rows = np.hstack([best, distance]), np.hstack([who, np.broadcast_to(rows, distance.shape)])
+                    order = np.lexsort((rows, distance), axis=1)[:, :k]
+                    best, who = np.take_along_axis(distance, order, 1), np.take_along_axis(rows, order, 1)
+                state[2:] = best, who
+        for own, _, best, who in asked.values():
+            kept = best < np.inf
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, kept.sum(1))), pa.array(who[kept]), pa.array(best[kept])], ["query_id", "id", "distance"])
 
     return run
 
