@@ -315,7 +315,7 @@ def e10(spark, d):
     w = Window.partitionBy("symbol").orderBy(F.desc("date"))
     tail = daily_bars(spark, d).withColumn("rn", F.row_number().over(w)).where("rn <= 60")
     change = (F.try_divide(F.max_by("close", "date"), F.min_by("close", "date")) - 1) * 100
-    return tail.groupBy("symbol").agg(F.round(change, 4).alias("change"), F.round(F.max("high"), 6).alias("high"), F.round(F.min("low"), 6).alias("low"), F.round(F.avg("volume"), 6).alias("volume"))
+    return tail.groupBy("symbol").agg(fn.signed_round(change, 4).alias("change"), F.round(F.max("high"), 6).alias("high"), F.round(F.min("low"), 6).alias("low"), F.round(F.avg("volume"), 6).alias("volume"))
 
 
 @query("e11_report_pivot", "SELECT symbol, metric, round(max(CASE WHEN year(report_date) = 1996 THEN v END), 2) AS y1996, round(max(CASE WHEN year(report_date) = 1997 THEN v END), 2) AS y1997 FROM (SELECT symbol, report_date, unnest(['revenue', 'profit']) AS metric, unnest([revenue, profit]) AS v FROM facts WHERE month(report_date) = 12) WHERE year(report_date) IN (1996, 1997) GROUP BY 1, 2", "reports")
@@ -332,7 +332,7 @@ def e12(spark, d):
     first, last = F.min_by("close", "date"), F.max_by("close", "date")
     r = daily_bars(spark, d).where("date > date'2001-01-01'").groupBy("symbol").agg(F.round(F.when(first == 0, 0.0).otherwise(F.try_divide(last, first) - 1), 9).alias("ret"))
     edge = F.broadcast(r.agg(F.percentile("ret", 0.7).alias("edge")))  # one row
-    return r.crossJoin(edge).where("ret >= edge").select("symbol", F.round("ret", 6).alias("ret"))
+    return r.crossJoin(edge).where("ret >= edge").select("symbol", fn.signed_round(F.col("ret"), 6).alias("ret"))
 
 
 @query("e15_group_turns", "SELECT conv_id, string_agg(role || ':' || length(text), '|' ORDER BY turn, role, length(text)) AS outline FROM conversations WHERE text IS NOT NULL GROUP BY 1")
