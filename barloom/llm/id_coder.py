@@ -15,7 +15,7 @@ import numpy as np
 
 FIRST = 128
 STEP = 512  # tokens of a lane that are modelled at once
-ENCODED, DECODED = 512, 2048  # lanes: decoding needs more array operations a step
+ENCODED, DECODED = 512, 1024  # lanes: decoding needs more array operations a step, and its tables are those of all lanes at once
 EVENTS, CONTEXTS = 4, 32
 OLD, NEW = 2, 3
 EVENT_BITS, COUNT_BITS = 11, 12
